@@ -5,7 +5,25 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm.common import documents
+from basalt.llm.common import documents, shared_folder
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm.language import identify
+
+    return identify(documents(spark, sf_dir), P.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm.simhash import near_groups
+
+    return near_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm.packing import pack, packed_digest
+
+    return packed_digest(pack(documents(spark, sf_dir), P.path("word_bpe_49k.json")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +45,52 @@ from d
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm.quality import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm.tokens import read_token_files, token_index, write_token_files
+
+    path = shared_folder(spark, "tokens.orc")
+    write_token_files(documents(spark, sf_dir), path, P.path("word_bpe_49k.json"))
+    return token_index(read_token_files(spark, path))
+
+
+def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm.recurrent import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
+def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm.vptree import nearest
+
+    return nearest(documents(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+with v as (
+  select vec_id, embedding::double[] as x from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+    and len(list_filter(embedding, lambda e: e <> 0)) > 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, list_distance(q.x, c.x) as score
+  from v q, v c where q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
+select query_id, rank, vec_id, score
+from (select *, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank from pairs)
+where rank <= 10
+"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basalt.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basalt.llm.bpe import bpe_round_trip
 
@@ -34,8 +98,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_exact_dedup": op4_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+    own = (op1_language_id, op2_simhash, op3_packing, op4_exact_dedup, op5_quality, op6_token_files, op7_recurrent_lm, op8_vptree, op9_toxicity, op10_byte_bpe)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_vptree": OP8_SQL}

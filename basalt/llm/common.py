@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
     The files survive lost executors; Spark removes them with the last plan that reads them, if
     spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that are an operator's output."""
+    return f"{_checkpoint_folder(spark)}/{uuid.uuid4()}/{name}"
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+    return sc.getCheckpointDir()
