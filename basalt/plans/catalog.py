@@ -1,11 +1,611 @@
-"""The queries of this repository, by name, and the SQL that each must agree with."""
+"""The queries of this repository by name, each with the SQL that it must agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basalt.functions import text as tx
+from basalt.operators import activity, cache, dependencies, edits, graph, mailbox, mutate, ranking, snapshots, timers, vectors
+from basalt.plans import tables as tb
+from basalt.sources import files, pages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: The moment at which the time-dependent queries ask.
+NOW = "timestamp_ntz '2024-01-20 12:00:00'"
+NOW_SQL = "timestamp '2024-01-20 12:00:00'"
+TIMER_NOW = "timestamp_ntz '1996-01-01 12:00:00'"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+COS = "list_cosine_similarity(v.embedding::double[], q.embedding::double[])"
+HITS_SQL = f"hits as (select v.vec_id as ref_id, {COS} as score, row_number() over (order by {COS} desc, v.vec_id) as rank from embeddings v, (select embedding from embeddings where vec_id = 0) q)"
+
+
+def _hits(s: SparkSession, d: str, k: int) -> DataFrame:
+    return vectors.search(tb.vectors(s, d), tb.query_vector(s, d), k)
+
+
+@query(f"with {HITS_SQL} select ref_id, round(score, 6) as score, rank from hits where rank <= 10")
+def t01_cosine_topk(s, d):
+    return _hits(s, d, 10).select("ref_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {HITS_SQL} select ref_id, round(score, 6) as score from hits where rank <= 10 and score >= 0.3")
+def t05_threshold_after_topk(s, d):
+    return ranking.positive(_hits(s, d, 10), 10, 0.3).select("ref_id", F.round("score", 6).alias("score"))
+
+
+@query(f"with {HITS_SQL} select ref_id, round(greatest(0, score), 6) as score from hits where rank <= 25")
+def t03_clamped_search(s, d):
+    return _hits(s, d, 25).select("ref_id", F.round(F.greatest(F.lit(0.0), "score"), 6).alias("score"))
+
+
+@query(f"""select query_id, ref_id, round(score, 6) as score, rank from (
+  select q.vec_id as query_id, v.vec_id as ref_id, {COS} as score, row_number() over (partition by q.vec_id order by {COS} desc, v.vec_id) as rank
+  from embeddings v, embeddings q where q.vec_id < 20) where rank <= 5""")
+def w02_batch_topk(s, d):
+    v = tb.vectors(s, d)
+    asked = v.filter("ref_id < 20").select(F.col("ref_id").alias("query_id"), "vector")
+    return vectors.search_all(v, asked, 5).select("query_id", "ref_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("select vec_id as ref_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as norm from embeddings")
+def s03_norms(s, d):
+    return tb.vectors(s, d).select("ref_id", F.round(vectors.norm("vector"), 6).alias("norm"))
+
+
+@query("select vec_id as ref_id from embeddings where vec_id % 3 <> 0")
+def s05_remove(s, d):
+    v = tb.vectors(s, d).withColumn("collection", F.lit("all"))
+    return vectors.remove(v, v.filter("ref_id % 3 = 0").select("collection", "ref_id")).select("ref_id")
+
+
+def _collections(s, d):
+    e = tb.table(s, d, "embeddings")
+    rows = e.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("collection"), F.col("vec_id").cast("string").alias("ref_id"), F.lit("").alias("text"), F.col("embedding").cast("array<double>").alias("vector"))
+    registry = s.createDataFrame([(f"c{i}", 64 if i < 8 else 32, "memory" if i % 2 else "workspace", "t1" if i < 3 else None, "ready") for i in range(9)], "name string, dimension int, backend string, tenant string, status string")
+    return rows, registry
+
+
+@query("select 'c' || label as collection, vec_id::varchar as ref_id from embeddings where label < 8")
+def s04_add(s, d):
+    rows, registry = _collections(s, d)
+    return vectors.add(s.createDataFrame([], vectors.SCHEMA), rows, registry)[0].select("collection", "ref_id")
+
+
+@query("select 'c' || label as collection, vec_id::varchar as ref_id, case when label = 8 then 'wrong dimension' else 'unknown collection' end as reason from embeddings where label >= 8")
+def s04_add_refused(s, d):
+    rows, registry = _collections(s, d)
+    return vectors.add(s.createDataFrame([], vectors.SCHEMA), rows, registry)[1]
+
+
+@query("select 'c' || label as collection, vec_id::varchar as ref_id from embeddings where label < 3")
+def s13_tenant(s, d):
+    rows, registry = _collections(s, d)
+    return vectors.of_tenant(rows, registry.fillna({"tenant": "other"}), "t1").select("collection", "ref_id")
+
+
+@query("select 'c' || label as collection, vec_id::varchar as ref_id from embeddings where label % 2 = 1 or label >= 9")
+def s29_backend(s, d):
+    rows, registry = _collections(s, d)
+    return vectors.by_backend(rows, registry, "memory").select("collection", "ref_id")
+
+
+@query("""select 'c' || user_id % 7 as collection, greatest(0, sum(case when event_type = 'view' then 2 else -1 end))::bigint as pending,
+  case when arg_max(event_type, event_id) = 'error' then 'error' when sum(case when event_type = 'view' then 2 else -1 end) > 0 then 'indexing' else 'ready' end as status
+  from events where event_type in ('view', 'click', 'error') group by 1""")
+def a08_indexing_status(s, d):
+    kind = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "error", "failed").otherwise("done")
+    ev = tb.table(s, d, "events").filter("event_type in ('view', 'click', 'error')")
+    ev = ev.select(F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string")).alias("collection"), kind.alias("kind"), F.when(F.col("event_type") == "view", 2).otherwise(1).alias("n"), F.col("event_id").alias("ord"))
+    return vectors.indexing_status(ev)
+
+
+def _parts(s, d):
+    p = tb.table(s, d, "part")
+    e = p.select(F.col("p_partkey").alias("ref_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("entity_type"), F.col("p_partkey").alias("ord"))
+    return e
+
+
+@query("select 'entity' as kind, p_partkey as ref_id from part where contains(lower(p_name), 'ring') or contains(lower(p_type), 'ring') or contains(lower(p_brand), 'ring')")
+def f03_keyword(s, d):
+    return ranking.keyword_hits(_parts(s, d), None, "RING", 1_000_000).select("kind", "ref_id")
+
+
+def _documents(s, d):
+    doc = tb.table(s, d, "documents")
+    e = doc.select(F.col("doc_id").alias("ref_id"), F.col("source").alias("name"), F.col("text").alias("description"), F.col("lang").alias("entity_type"), F.col("doc_id").alias("ord"))
+    return ranking.keyword_hits(e.join(tb.vectors(s, d).select("ref_id"), "ref_id", "left_semi"), None, "license", 20), _hits(s, d, 20)
+
+
+HYBRID_SQL = f"""with {HITS_SQL}, v as (select * from hits where rank <= 20 and score >= 0),
+w as (select doc_id as ref_id, row_number() over (order by doc_id) as o from documents
+  where doc_id in (select vec_id from embeddings) and (contains(lower(text), 'license') or contains(lower(source), 'license') or contains(lower(lang), 'license'))),
+w20 as (select * from w where o <= 20),
+m as (select coalesce(v.ref_id, w20.ref_id) as ref_id, case when v.ref_id is null then 1.0::double when w20.ref_id is null then v.score else v.score + 0.5 end as score, v.rank, w20.o from v full join w20 on v.ref_id = w20.ref_id)
+"""
+
+
+@query(HYBRID_SQL + "select ref_id, round(score, 6) as score, row_number() over (order by score desc, rank nulls last, o) as place from m where score >= 0.2 qualify place <= 10")
+def retrieve_hybrid(s, d):
+    keyword, hits = _documents(s, d)
+    top = ranking.hybrid_graph(ranking.positive(hits, 20), keyword, 10, 0.2)
+    return top.select("ref_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query(HYBRID_SQL + "select ref_id, round(score, 6) as score from m")
+def j03_hybrid_merge(s, d):
+    keyword, hits = _documents(s, d)
+    return ranking.hybrid_graph(ranking.positive(hits, 20), keyword, 1000, -1.0).select("ref_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {HITS_SQL}, v as (select ref_id, score from hits where rank <= 20 and score >= 0.1), w as (select doc_id as ref_id from documents where contains(lower(text), 'license'))
+select doc_id as id, round(case when v.ref_id is null then 1.0::double when w.ref_id is null then v.score else greatest(1.0, v.score) end, 6) as score,
+  case when v.ref_id is null then 'keyword' when w.ref_id is null then 'semantic' else 'hybrid' end as found_by
+from documents left join v on v.ref_id = doc_id left join w on w.ref_id = doc_id where v.ref_id is not null or w.ref_id is not null""")
+def j04_hybrid_board(s, d):
+    tasks = tb.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    return ranking.hybrid_board(tasks, "License", _hits(s, d, 20), 20, 0.1).select("id", F.round("score", 6).alias("score"), "found_by")
+
+
+@query(f"with {tb.BOARD_SQL} select id from tasks where status = 'F' and owner = 'C7'")
+def f04_and_filters(s, d):
+    return ranking.filtered(tb.board(s, d), status="F", owner="C7").select("id")
+
+
+@query(f"with {tb.BOARD_SQL} select id from tasks where owner = '' and creator = 'C7'")
+def f04_unassigned(s, d):
+    return ranking.filtered(tb.board(s, d), owner="", creator="C7").select("id")
+
+
+@query(f"with {tb.BOARD_SQL} select id, status from tasks where id = 33")
+def f05_point_lookup(s, d):
+    return ranking.first_by_id(tb.board(s, d), 33).select("id", "status")
+
+
+@query(f"with {tb.BOARD_SQL} select id, status, owner, description from tasks where owner = 'C3' or (owner <> '' and creator = 'C3')")
+def f07_board_view(s, d):
+    return ranking.board_view(tb.board(s, d), "C3")
+
+
+@query(f"with {tb.BOARD_SQL} select coalesce(nullif(owner, ''), 'unassigned') as owner, count(*) as n, row_number() over (order by owner = '', owner) as place from tasks group by owner")
+def a01_owner_counts(s, d):
+    return ranking.breakdown(tb.board(s, d)).select("owner", "n", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""with {tb.BOARD_SQL} select '- ID ' || id || ' [' || status || '] ' || description || ' (Owner: ' || coalesce(nullif(owner, ''), 'unassigned') || ', Creator: ' || creator || ')' as line from tasks where id < 1000""")
+def f22_task_lines(s, d):
+    rows = tb.board(s, d).filter("id < 1000").withColumn("output", F.lit(""))
+    return rows.select(snapshots.task_line(rows).alias("line"))
+
+
+@query(f"""with {tb.BOARD_SQL}, n as (select id, status, owner, case when id % 4 = 0 then 'changed' else description end as description from tasks where id % 3 <> 0),
+o as (select id, status, owner, description from tasks where id % 11 <> 0)
+select id, 'new' as kind, null::varchar as "old", status as "new" from n where id not in (select id from o)
+union all select id, 'removed', status, null from o where id not in (select id from n)
+union all select n.id, 'description', o.description, n.description from n join o on n.id = o.id where n.description <> o.description""")
+def j18_snapshot_diff(s, d):
+    t = tb.board(s, d)
+    after = t.filter("id % 3 <> 0").withColumn("description", F.when(F.col("id") % 4 == 0, "changed").otherwise(F.col("description")))
+    return snapshots.board_changes(t.filter("id % 11 <> 0"), after)
+
+
+@query("""select c_name as name, c_mktsegment as role, 'added' as change from customer where c_custkey % 3 = 0 and c_custkey % 2 <> 0
+union all select c_name, c_mktsegment, 'removed' from customer where c_custkey % 2 = 0 and c_custkey % 3 <> 0""")
+def j20_roster_diff(s, d):
+    c = tb.table(s, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("role"))
+    return snapshots.set_changes(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 3 = 0"), "name", "role")
+
+
+@query("""select p_name || p_partkey as role, case when p_partkey % 5 = 0 then 'removed' when p_partkey % 7 = 0 then 'added' else 'described anew' end as change
+from part where p_partkey % 5 = 0 and p_partkey % 7 <> 0 or p_partkey % 7 = 0 and p_partkey % 5 <> 0 or p_partkey % 5 <> 0 and p_partkey % 7 <> 0 and p_partkey % 2 = 0""")
+def j21_role_diff(s, d):
+    p = tb.table(s, d, "part").select("p_partkey", F.concat("p_name", F.col("p_partkey").cast("string")).alias("role"), F.col("p_type").alias("description"), F.array("p_brand").alias("skills"))
+    after = p.filter("p_partkey % 5 <> 0").withColumn("description", F.when(F.col("p_partkey") % 2 == 0, "other").otherwise(F.col("description")))
+    return snapshots.role_changes(p.filter("p_partkey % 7 <> 0"), after)
+
+
+@query("select 'customers' as label, count(*) as n, '+' || (count(*) - count(*) filter (c_custkey % 2 = 0)) as moved from customer")
+def a04_count_movement(s, d):
+    c = tb.table(s, d, "customer")
+    return snapshots.count_movement(c.filter("c_custkey % 2 = 0"), c, "customers")
+
+
+@query("select coalesce(max(event_id), 0) as number from events where event_id % 3 = 0")
+def a06_highest_number(s, d):
+    ev = tb.table(s, d, "events").filter("event_id % 3 = 0").select(F.concat(F.lit("see update #"), F.col("event_id").cast("string"), F.lit(" now")).alias("text"))
+    return snapshots.highest_number(ev)
+
+
+@query("""select 'n' || n_nationkey as provider, case when n_nationkey % 4 = 0 or n_nationkey % 6 = 0 then 'full' else 'delta' end as mode, case when n_nationkey % 4 = 0 then 1 else n_nationkey + 1 end::bigint as number
+from nation where n_nationkey % 4 = 0 or n_nationkey % 6 = 0 or n_nationkey % 3 = 0""")
+def r13_due_updates(s, d):
+    n = tb.table(s, d, "nation")
+    key, name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("provider"), F.col("n_name")
+    sections = n.select(key, F.lit("a").alias("kind"), name.alias("state"))
+    base = n.filter("n_nationkey % 4 <> 0").select(
+        key, F.when(F.col("n_nationkey") % 6 == 0, "b").otherwise("a").alias("kind"), F.when(F.col("n_nationkey") % 3 == 0, "old").otherwise(name).alias("state"), F.col("n_nationkey").cast("long").alias("number")
+    )
+    return snapshots.due_updates(sections, base)
+
+
+BFS_SQL = """with recursive {graph}, walk(name, hops) as (
+  select name, 0 from e where {start}
+  union select u.b, hops + 1 from walk join u on u.a = walk.name where hops < {depth} {types})"""
+
+
+@query(BFS_SQL.format(graph=tb.GRAPH_SQL, start="name = 'R:1'", depth=2, types="") + " select name, min(hops)::bigint as hops from walk group by name")
+def g01_bfs(s, d):
+    e, r = tb.graph(s, d)
+    return graph.reach(e, r, s.createDataFrame([("R:1",), ("nobody",)], "name string"), 2).select("name", F.col("hops").cast("long").alias("hops"))
+
+
+@query(BFS_SQL.format(graph=tb.GRAPH_SQL, start="name in ('S:1', 'S:2')", depth=3, types="and t = 'LOCATED_IN'") + ", seen as (select distinct name from walk) select a || '>' || b as ref_id from r where a in (from seen) and b in (from seen)")
+def j10_induced_edges(s, d):
+    e, r = tb.graph(s, d)
+    return graph.subgraph(e, r, s.createDataFrame([("S:1",), ("S:2",)], "name string"), 3, ["LOCATED_IN"])[1].select("ref_id")
+
+
+@query("select 'R:' || r_regionkey as name from region")
+def f02_roots(s, d):
+    e, r = tb.graph(s, d)
+    return graph.subgraph(e, r, roots_only=True)[0].select("name")
+
+
+@query(f"with {tb.GRAPH_SQL} select (select count(*) from e) as entities, (select string_agg(distinct entity_type, ',' order by entity_type) from e) as entity_types, (select count(*) from e where is_root) as roots, (select count(*) from r) as relations, (select string_agg(distinct t, ',' order by t) from r) as relation_types")
+def a03_graph_summary(s, d):
+    return graph.summary(*tb.graph(s, d))
+
+
+@query(f"with {tb.GRAPH_SQL} select a || '>' || b as ref_id from r where a in ('N:3', 'C:7') or b in ('N:3', 'C:7')")
+def j12_touching(s, d):
+    return graph.touching(tb.graph(s, d)[1], s.createDataFrame([("N:3",), ("C:7",)], "name string")).select("ref_id")
+
+
+@query(f"""with {tb.GRAPH_SQL}, h as (select name, row_number() over (order by ord) as rank from e where name in ('N:1', 'C:5', 'S:3')),
+n as (select u.b as name, min(h.rank) as rank from u join h on u.a = h.name where u.b not in (select name from h) group by u.b)
+select n.name, n.rank, row_number() over (order by n.rank, e.ord) as place from n join e on e.name = n.name""")
+def g05_neighbours(s, d):
+    e, r = tb.graph(s, d)
+    from pyspark.sql import Window
+
+    hits = e.filter(F.col("name").isin("N:1", "C:5", "S:3")).withColumn("rank", F.row_number().over(Window.orderBy("ord")).cast("long"))
+    return graph.neighbours(e, r, hits).select("name", "rank", F.col("place").cast("long").alias("place"))
+
+
+@query(BFS_SQL.format(graph=tb.GRAPH_SQL, start="name in ('C:1', 'C:2', 'C:3')", depth=12, types="").replace("walk(name, hops) as (\n  select name, 0", "walk(source, name, hops) as (\n  select name, name, 0").replace("union select u.b", "union select source, u.b")
+       + " select row_number() over (order by source) as pair_id, source, min(hops)::bigint as length from walk where name = 'S:5' group by source")
+def g03_shortest(s, d):
+    e, r = tb.graph(s, d)
+    pairs = s.createDataFrame([(i, f"C:{i}", "S:5") for i in (1, 2, 3)], "pair_id long, source string, target string")
+    return graph.shortest_paths(e, r, pairs).select("pair_id", F.element_at("nodes", 1).alias("source"), F.size("edges").cast("long").alias("length"))
+
+
+@query(BFS_SQL.format(graph=tb.GRAPH_SQL, start="name = 'N:' || (select c_nationkey from customer where c_custkey = 5)", depth=1, types="and u.b <> 'C:5'") + ", seen as (select name from walk union select 'C:5') select name from seen")
+def j11_waypoints(s, d):
+    e, r = tb.graph(s, d)
+    nation = tb.table(s, d, "customer").filter("c_custkey = 5").first()["c_nationkey"]
+    return graph.waypoints(e, r, "C:5", [("LOCATED_IN", f"N:{nation}")], 1)[0].select("name")
+
+
+@query("select 1::bigint as pair_id, 'a' as source, 'b' as target union all select 2, 'a', 'c' union all select 3, 'b', 'c'")
+def j17_top_pairs(s, d):
+    hits = s.createDataFrame([("c", 3), ("a", 1), ("b", 2)], "name string, rank int")
+    return graph.top_pairs(hits).select(F.col("pair_id").cast("long").alias("pair_id"), "source", "target")
+
+
+@query(f"with {tb.GRAPH_SQL} select 'N:' || n_nationkey as ref_id, 'entity' as kind, 'N:' || n_nationkey as label from nation union all select 'N:' || n_nationkey || '>R:' || n_regionkey, 'relation', 'N:' || n_nationkey || ' PART_OF R:' || n_regionkey from nation")
+def f25_resolve(s, d):
+    e, r = tb.graph(s, d)
+    refs = e.filter("entity_type in ('nation')").select("ref_id").unionByName(r.filter("relation_type = 'PART_OF'").select("ref_id")).unionByName(s.createDataFrame([("none",)], "ref_id string"))
+    return graph.resolve_refs(refs, e, r).select("ref_id", "kind", "label")
+
+
+def _batch(s, d):
+    """Creates some customers again and some new ones twice, links, updates and deletes."""
+    c = tb.table(s, d, "customer")
+    key = F.col("c_custkey")
+    name = lambda shift: F.concat(F.lit("C:"), (key + shift).cast("string"))
+    some = c.filter("c_custkey % 10 = 0")
+    create = some.select(name(1_000_000).alias("name"), F.lit("customer").alias("entity_type"), F.lit("new").alias("description"), F.lit(None).cast("array<string>").alias("observations"), F.lit(False).alias("is_root"), key.alias("ord"))
+    create = create.unionByName(c.filter("c_custkey % 20 = 0").select(name(1_000_000).alias("name"), *(F.lit(x).alias(n) for x, n in (("customer", "entity_type"), ("again", "description"))), F.lit(None).cast("array<string>").alias("observations"), F.lit(False).alias("is_root"), (key + 10_000_000).alias("ord")))
+    create = create.unionByName(c.filter("c_custkey % 25 = 0").select(name(0).alias("name"), *(F.lit(x).alias(n) for x, n in (("customer", "entity_type"), ("there", "description"))), F.lit(None).cast("array<string>").alias("observations"), F.lit(False).alias("is_root"), (key + 20_000_000).alias("ord")))
+    link = some.select(name(1_000_000).alias("from_entity"), F.when(key % 30 == 0, "N:999").otherwise(F.concat(F.lit("N:"), F.col("c_nationkey").cast("string"))).alias("to_entity"), F.lit("LOCATED_IN").alias("relation_type"), F.lit("").alias("description"), key.alias("ord"))
+    update = c.filter("c_custkey % 4 = 0").select(
+        F.when(key % 12 == 0, F.lit("nobody")).otherwise(name(0)).alias("name"), F.when(key % 8 == 0, F.lit("moved")).alias("description"), F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("boolean").alias("is_root"),
+        F.when(key % 16 == 0, F.array(F.lit("seen"))).alias("add_observations"), F.lit(None).cast("array<string>").alias("remove_observations"), key.alias("ord"),
+    )
+    delete = c.filter("c_custkey % 7 = 0").select(name(0).alias("name"), key.alias("ord")).unionByName(s.createDataFrame([("ghost", 99_000_000)], "name string, ord long"))
+    return mutate.GraphBatch(create, link, update, None, delete)
+
+
+CHANGED_SQL = f"""{tb.GRAPH_SQL}, made as (select 'C:' || (c_custkey + 1000000) as name, c_custkey, c_nationkey from customer where c_custkey % 10 = 0)"""
+
+
+@query(f"""with {CHANGED_SQL} select name, description from e where not (entity_type = 'customer' and substr(name, 3)::bigint % 7 = 0)
+  and not (entity_type = 'customer' and substr(name, 3)::bigint % 8 = 0 and substr(name, 3)::bigint % 12 <> 0)
+union all select name, 'new' from made
+union all select name, 'moved' from e where entity_type = 'customer' and substr(name, 3)::bigint % 8 = 0 and substr(name, 3)::bigint % 12 <> 0 and substr(name, 3)::bigint % 7 <> 0""")
+def m01_entities_after(s, d):
+    return mutate.update_graph(*tb.graph(s, d), _batch(s, d)).entities.select("name", "description")
+
+
+@query(f"""with {CHANGED_SQL} select 'create_entities' as step, 'exists' as reason, count(*) as n from customer where c_custkey % 20 = 0 or c_custkey % 25 = 0 and c_custkey % 20 <> 0 having count(*) > 0
+union all select 'create_relations', 'no to_entity', count(*) from made where c_custkey % 30 = 0 having count(*) > 0
+union all select 'update_entities', 'not found', count(*) from customer where c_custkey % 12 = 0 having count(*) > 0
+union all select 'delete_entities', 'not found', 1""".replace("count(*) as n from customer where c_custkey % 20 = 0 or c_custkey % 25 = 0 and c_custkey % 20 <> 0 having", "count(*) filter (c_custkey % 20 = 0) + count(*) filter (c_custkey % 25 = 0) as n from customer having"))
+def m01_errors(s, d):
+    return mutate.update_graph(*tb.graph(s, d), _batch(s, d)).errors.groupBy("step", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {CHANGED_SQL}, gone as (select name from e where entity_type = 'customer' and substr(name, 3)::bigint % 7 = 0)
+select 'added' as op, 'entity' as kind, count(*) as n from made union all select 'added', 'relation', count(*) from made where c_custkey % 30 <> 0
+union all select 'modified', 'entity', count(*) from customer where c_custkey % 8 = 0 and c_custkey % 12 <> 0
+union all select 'removed', 'entity', count(*) from gone union all select 'removed', 'relation', count(*) from r where a in (from gone) or b in (from gone)""")
+def m13_delta(s, d):
+    return mutate.update_graph(*tb.graph(s, d), _batch(s, d)).delta.groupBy("op", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {CHANGED_SQL}, gone as (select name from e where entity_type = 'customer' and substr(name, 3)::bigint % 7 = 0)
+select a || '>' || b as edge from r where a not in (from gone) and b not in (from gone) union all select name || '>N:' || c_nationkey from made where c_custkey % 30 <> 0""")
+def j08_relations_after(s, d):
+    return mutate.update_graph(*tb.graph(s, d), _batch(s, d)).relations.select(F.concat("from_entity", F.lit(">"), "to_entity").alias("edge"))
+
+
+@query("select 'kg' as tool_id, 'entity' as kind, event_type || user_id as ref_id from events group by user_id, event_type having arg_max(event_type, event_id) is not null and max(event_id) % 3 <> 0")
+def r16_replay(s, d):
+    ev = tb.table(s, d, "events").select(F.lit("kg").alias("tool_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "removed").otherwise("added").alias("op"), F.lit("entity").alias("kind"), F.concat("event_type", F.col("user_id").cast("string")).alias("ref_id"))
+    return mutate.replay(ev)
+
+
+@query("select 'kg' as tool_id, event_id as seq from events where event_id % 5 <> 0 and event_id > 1 and event_id % 5 = 1 and event_id - 1 >= 0")
+def r16_gaps(s, d):
+    return mutate.gaps(tb.table(s, d, "events").filter("event_id % 5 <> 0").select(F.lit("kg").alias("tool_id"), F.col("event_id").alias("seq")))
+
+
+@query(f"""with {tb.BOARD_SQL} select id, case when id % 5 = 0 then 'done' else status end as status, coalesce(nullif(owner, ''), '-') as owner from tasks where id % 9 <> 0 union all select id, 'pending', 'C1' from tasks where id % 13 = 0 and id % 9 <> 0""")
+def m09_board_after(s, d):
+    t = tb.board(s, d)
+    new = t.filter("id % 13 = 0").withColumn("status", F.lit("pending")).withColumn("owner", F.lit("C1")).withColumn("output", F.lit("x" * 200))
+    none = F.lit(None).cast("string")
+    changes = t.filter("id % 5 = 0").select("id", F.lit("done").alias("status"), none.alias("description"), none.alias("owner"), none.alias("output"), "ord")
+    after, _ = mutate.update_board(t, new, changes, t.filter("id % 9 = 0").select("id", "ord"))
+    return after.select("id", "status", F.coalesce(F.nullif(F.col("owner"), F.lit("")), F.lit("-")).alias("owner"))
+
+
+@query("select doc_id, case when length(text) > 150 then left(text, 147) || '...' else text end as output from documents")
+def m11_shortened(s, d):
+    return tb.table(s, d, "documents").select("doc_id", mutate.shortened("text").alias("output"))
+
+
+OPEN_SQL = f"""{tb.LOG_SQL}, o as (select * from log where kind = 'received' and agent_id <> '5' and name not like '#%' and not is_user_proxy and ts >= {NOW_SQL} - interval 5 day
+  and message_id not in (select message_id from log where kind = 'processed' and message_id is not null))"""
+
+
+@query(f"with {OPEN_SQL} select agent_id, message_id, ord from o")
+def j13_open_handlers(s, d):
+    return activity.open_events(tb.activity_log(s, d), "5", F.expr(NOW), 5 * 86400).select("agent_id", "message_id", "ord")
+
+
+@query(f"""with {OPEN_SQL}, b as (select agent_id, arg_min(message_id, (ts, ord)) as message_id, min(ts) as started_at, count(*) > 1 as suspect from o group by agent_id)
+select b.*, coalesce((select arg_max(text, ord) from log where kind = 'sent' and log.message_id = b.message_id), '<message>') as text from b""")
+def a05_busy(s, d):
+    return activity.busy(tb.activity_log(s, d), "5", F.expr(NOW), 5 * 86400).select("agent_id", "message_id", "started_at", "suspect", "text")
+
+
+@query("select conv_id, arg_max(text, turn) as text from conversations group by conv_id")
+def j14_latest_text(s, d):
+    return tb.table(s, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+
+
+@query("select doc_id::varchar as message_id, case when doc_id % 3 = 0 then 'summary ' || doc_id when length(text) <= 80 then text else left(text, 79) || '…' end as shown, doc_id % 3 <> 0 as pending from documents")
+def r09_summaries(s, d):
+    rows = tb.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("message_id"), "text")
+    known = rows.filter("cast(message_id as long) % 3 = 0").select("message_id", F.concat(F.lit("summary "), "message_id").alias("value"))
+    return activity.with_summaries(rows, known).select("message_id", "shown", "pending")
+
+
+TIMER_SQL = "t as (select o_orderkey as id, 'C' || o_custkey as owner, o_orderdate + to_hours(left(o_orderpriority, 1)::int) as fire_at from orders), now as (select timestamp '1996-01-01 12:00:00' as now)"
+
+
+@query(f"""with {TIMER_SQL} select id as notification_id, case when fire_at > now then 'waiting' when owner in (select 'C' || c_custkey from customer where c_acctbal > 0) then 'delivered'
+  when epoch(now) - epoch(fire_at) >= 86400 then 'dropped' else 'postponed' end as decision from t, now""")
+def r01_due_timers(s, d):
+    return timers.decide(tb.timers(s, d), tb.roster(s, d), F.expr(TIMER_NOW), 86400).select("notification_id", "decision")
+
+
+@query(f"with {TIMER_SQL} select id as notification_id, greatest(0, round_even((epoch(fire_at) - epoch(now))::double, 0))::bigint as seconds_left from t, now where owner = 'C7'")
+def f12_listing(s, d):
+    return timers.listing(tb.timers(s, d), F.expr(TIMER_NOW), "7").select("notification_id", "seconds_left")
+
+
+@query("select o_orderkey as notification_id from orders where not (o_orderkey % 4 = 0)")
+def m12_cancel(s, d):
+    t = tb.timers(s, d)
+    asked = t.filter("notification_id % 4 = 0").select("notification_id", "owner_id").unionByName(t.filter("notification_id % 4 = 1").select("notification_id", F.lit("other").alias("owner_id")))
+    return timers.cancel(t, asked)[0].select("notification_id")
+
+
+def _cache_events(s, d):
+    ev = tb.table(s, d, "events").filter("event_id < 3000")
+    kind = F.when(F.col("event_type") == "view", "deliver").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "click", "request").otherwise("get")
+    return ev.select(F.col("user_id").cast("string").alias("key"), kind.alias("event"), F.col("event_id").cast("string").alias("value"), F.col("event_id").cast("double").alias("t"), F.col("event_id").alias("ord"))
+
+
+CACHE_SQL = """ev as (select user_id::varchar as key, case event_type when 'view' then 'deliver' when 'error' then 'fail' when 'click' then 'request' else 'get' end as event, event_id::varchar as value, event_id::double as t, event_id as ord from events where event_id < 3000)"""
+
+
+@query(f"""with {CACHE_SQL}, m as (select key, arg_max(event, ord) as event, arg_max(value, ord) as value, max(t) as t, min(ord) as since from ev where event in ('deliver', 'fail') group by key),
+u as (select m.key, max(ev.ord) as used from ev join m on ev.key = m.key and ev.ord >= m.since group by m.key),
+p as (select m.*, row_number() over (order by used desc) as place from m join u on m.key = u.key)
+select key, value, case when event = 'deliver' then 'value' else 'failed' end as state from p where place <= 100 and (event = 'deliver' or t + 60 > 3000)""")
+def r06_cache(s, d):
+    return cache.contents(_cache_events(s, d), 3000.0, 100)
+
+
+@query(f"with {CACHE_SQL} select key from ev group by key having max(ord) filter (event = 'request') is not null and (max(ord) filter (event in ('deliver', 'fail')) is null or max(ord) filter (event = 'request') > max(ord) filter (event in ('deliver', 'fail')))")
+def r06_in_flight(s, d):
+    return cache.in_flight(_cache_events(s, d))
+
+
+@query(f"with {tb.MAILBOX_SQL} select msg_id, row_number() over (partition by owner order by ord) as number from mail where owner = 'owner3' and not regexp_matches(content, '^\\s*/stop(\\s|$)')")
+def j16_mailbox_read(s, d):
+    return mailbox.read(tb.mailbox(s, d), "owner3")[0].select("msg_id", F.col("number").cast("long").alias("number"))
+
+
+@query(f"with {tb.MAILBOX_SQL} select msg_id from mail where not (owner = 'owner3' and not regexp_matches(content, '^\\s*/stop(\\s|$)'))")
+def j16_mailbox_left(s, d):
+    return mailbox.read(tb.mailbox(s, d), "owner3")[1].select("msg_id")
+
+
+@query("select conv_id, turn, 'You received a ' || case role when 'user' then 'message' when 'assistant' then 'result' when 'system' then 'notification' end || ' from ' || role as line from conversations")
+def x08_headings(s, d):
+    rows = tb.mailbox(s, d)
+    parts = F.split("msg_id", "-")
+    return rows.select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"), mailbox.heading().alias("line"))
+
+
+@query(f"with {tb.FILES_SQL} select split_part(path, '/', 1) as name, true as is_dir, 0::bigint as size, row_number() over (order by split_part(path, '/', 1)) as place from files group by 1")
+def s17_list_dir(s, d):
+    return files.list_dir(tb.files(s, d)).select("name", "is_dir", "size", F.col("place").cast("long").alias("place"))
+
+
+@query(f"with {tb.FILES_SQL} select distinct split_part(path, '/', 1) as path, 1::bigint as level, true as is_dir from files union all select distinct split_part(path, '/', 1) || '/' || split_part(path, '/', 2), 2, true from files")
+def f20_tree(s, d):
+    return files.tree(tb.files(s, d), 2).select("path", F.col("level").cast("long").alias("level"), "is_dir")
+
+
+@query(f"with {tb.FILES_SQL} select path, count(*) over () as total from files where regexp_matches(path, '^src1[^/]*/(en|de)/.*[05]\\.txt$') order by mtime desc limit 25")
+def f14_glob(s, d):
+    return files.glob(tb.files(s, d), "SRC1*/{en,de}/**/*{0,5}.txt", 25).select("path", "total")
+
+
+@query(f"""with {tb.FILES_SQL}, l as (select path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as lineno from files)
+select path, lineno, left(text, 500) as text from l where regexp_matches(text, '(?i)license')""")
+def f17_grep(s, d):
+    return files.grep(tb.files(s, d), "(?i)license", most=None).select("path", F.col("lineno").cast("long").alias("lineno"), "text")
+
+
+@query(f"""with {tb.FILES_SQL}, l as (select path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as lineno from files)
+select path, lineno from l where regexp_matches(text, 'the') qualify row_number() over (partition by path order by lineno) <= 2""")
+def f18_grep_per_file(s, d):
+    return files.grep(tb.files(s, d), "the", most=None, per_file=2).select("path", F.col("lineno").cast("long").alias("lineno"))
+
+
+@query(f"""with {tb.FILES_SQL}, l as (select path, rtrim(content, chr(10)) as c from files), x as (select path, string_split(c, chr(10)) as s from l)
+select path, i as lineno, s[i] as text, len(s) as total from (select path, s, unnest([3, 4, 5]) as i from x) where i <= len(s)""")
+def s20_read_window(s, d):
+    return files.window(tb.files(s, d), 3, 3).select("path", F.col("lineno").cast("long").alias("lineno"), "text", F.col("total").cast("long").alias("total"))
+
+
+@query("select doc_id, case when length(text) <= 40 then text else left(text, 39) || '…' end as text from documents")
+def x01_clipped(s, d):
+    return tb.table(s, d, "documents").select("doc_id", activity.clipped("text", 40).alias("text"))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 and contains(text, chr(10)) then 'crlf' else 'lf' end as ending from documents")
+def x06_line_ending(s, d):
+    rows = tb.table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, tx.with_endings("text", "\r\n")).otherwise(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.when(tx.line_ending("text") == "\r\n", "crlf").otherwise("lf").alias("ending"))
+
+
+@query("select c_custkey, '**Card**' || chr(10) || c_name || ' (' || c_mktsegment || ') {ok}' as text from customer")
+def x04_template(s, d):
+    c = tb.table(s, d, "customer")
+    return c.select("c_custkey", tx.rendered("{c_name} ({c_mktsegment}) {{ok}}", c.columns, "Card").alias("text"))
+
+
+@query("select c_custkey, 'https://a/' || c_custkey as realm, c_name as scope from customer")
+def x10_header(s, d):
+    c = tb.table(s, d, "customer")
+    header = F.format_string('Bearer realm="x", scope="%s", realm="https://a/%d"', "c_name", "c_custkey")
+    m = tx.challenge(header)
+    return c.select("c_custkey", m["realm"].alias("realm"), m["scope"].alias("scope"))
+
+
+@query("select c_custkey, c_name as who, case when c_custkey % 2 = 0 then c_mktsegment end as what from customer")
+def x12_command(s, d):
+    c = tb.table(s, d, "customer")
+    line = F.when(F.col("c_custkey") % 2 == 0, F.format_string('/tell what=%s "%s"', "c_mktsegment", "c_name")).otherwise(F.format_string("/tell '%s'", "c_name"))
+    return c.select("c_custkey", tx.arguments(line, ["who", "what"]).alias("a")).select("c_custkey", "a.who", "a.what")
+
+
+@query("select c_nationkey, count(*) - coalesce(any_value(k), 0) as n from customer left join (select s_nationkey, count(*) as k from supplier group by 1) on s_nationkey = c_nationkey group by 1 having count(*) > coalesce(any_value(k), 0)")
+def u05_multiset_difference(s, d):
+    c, p = tb.table(s, d, "customer").select("c_nationkey"), tb.table(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))
+    return c.exceptAll(p).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("""with recursive n(name, ord) as (values ('app', 1), ('db', 2), ('log', 3), ('net', 4), ('ui', 5)), d(name, needs) as (values ('app', 'db'), ('app', 'log'), ('db', 'net'), ('ui', 'app')),
+l(name, level) as (select name, 0 from n union select d.name, level + 1 from l join d on d.needs = l.name)
+select name, max(level)::bigint as level from l group by name""")
+def t11_levels(s, d):
+    n = s.createDataFrame([("app", 1), ("db", 2), ("log", 3), ("net", 4), ("ui", 5)], "name string, ord int")
+    deps = s.createDataFrame([("app", "db"), ("app", "log"), ("db", "net"), ("ui", "app")], "name string, needs string")
+    return dependencies.levels(n, deps).select("name", F.col("level").cast("long").alias("level"))
+
+
+@query("select name, needs from (values ('app', 'ghost')) t(name, needs)")
+def j22_missing_dependencies(s, d):
+    n = s.createDataFrame([("app", 1), ("db", 2)], "name string, ord int")
+    return dependencies.missing(n, s.createDataFrame([("app", "db"), ("app", "ghost")], "name string, needs string")).select("name", "needs")
+
+
+@query(f"with {tb.FILES_SQL} select path, replace(content, ' the ', ' THE ') as content from files where contains(content, ' the ')")
+def m15_edit_all(s, d):
+    f = tb.files(s, d)
+    edit = f.select(F.col("path").alias("edit_id"), "path", F.lit(" the ").alias("old"), F.lit(" THE ").alias("new"))
+    return edits.edited(edit, f, True).filter("strategy = 'exact'").select("path", "content")
+
+
+@query(f"with {tb.FILES_SQL} select path, 'top' || chr(10) || rtrim(content, chr(10)) || chr(10) as content from files where content <> ''")
+def m17_patch(s, d):
+    f = tb.files(s, d)
+    patch = F.format_string("--- a/%s\n+++ b/%s\n@@ -0,0 +1 @@\n+top\n@@ -1,1 +2,1 @@\n %s", "path", "path", F.element_at(tx.lines("content"), 1))
+    return edits.patched(f.select(F.col("path").alias("patch_id"), patch.alias("text")), f)[0].select("path", "content")
+
+
+@query("select url, count(*) as n from pages group by url")
+def s25_fetch(s, d):
+    p = tb.table(s, d, "pages")
+    return pages.fetched(p, p.select("url")).filter("found").groupBy("url").agg(F.count("*").alias("n"))
+
+
+@query()
+def s24_page_search(s, d):
+    return pages.search(tb.table(s, d, "pages"), "the and of", 10)
+
+
+@query()
+def s21_page_text(s, d):
+    return pages.extracted(tb.table(s, d, "pages"))
+
+
+@query()
+def s26_crawl(s, d):
+    p = tb.table(s, d, "pages")
+    return pages.crawl(p, p.orderBy("page_id").first()["url"], 2)

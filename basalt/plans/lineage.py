@@ -1,0 +1,15 @@
+"""Cutting of lineage for loops, by the cluster's shared checkpoint folder."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+    return df.checkpoint(eager=True)
