@@ -60,17 +60,16 @@ class Plan:
 
     def _pattern(self, window: int) -> int:
         """One pattern of a full sequence, as many times as it can be had."""
-        largest = max(self.left)
-        need, slack, cut_from = {}, window, 0
-        if largest <= window:
-            need = {largest: 1}
-            others = dict(self.left)
-            others[largest] -= 1
-            for x, k in fill({x: n for x, n in others.items() if n}, window - largest).items():
-                need[x] = need.get(x, 0) + k
-            slack = window - sum(x * k for x, k in need.items())
+        largest, others = max(self.left), dict(self.left)
+        need = {largest: 1} if largest <= window else {}
+        for x in need:
+            others[x] -= 1
+        for x, k in fill({x: n for x, n in others.items() if n}, window - sum(need)).items():
+            need[x] = need.get(x, 0) + k
+        slack, cut_from = window - sum(x * k for x, k in need.items()), 0
         if slack:  # no whole piece fits in, so one that is longer is cut
-            cut_from = max((x for x in self.left if self.left[x] > need.get(x, 0)), key=lambda x: (self.left[x] - need.get(x, 0), x))
+            spare = {x: n - need.get(x, 0) for x, n in self.left.items() if x > slack and n > need.get(x, 0)}
+            cut_from = max(spare, key=lambda x: (spare[x], x))
         uses = dict(need)
         if cut_from:
             uses[cut_from] = uses.get(cut_from, 0) + 1
