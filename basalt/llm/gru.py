@@ -14,39 +14,53 @@ REST, END = HEAD, HEAD + 1
 
 
 class Lanes:
-    """Documents side by side: each lane holds whole documents one after the other, and lanes are about as long.
+    """Documents side by side: each lane holds whole documents one after the other, the longest lanes first.
 
-    One very long document makes few lanes, so the table stays about as large as the documents are.
+    ``active`` tells how many lanes go on at a step, so steps that only few long documents reach are
+    narrow. The table is kept to about four times the size of the documents by making fewer lanes.
     """
 
     def __init__(self, docs: list[np.ndarray], width: int) -> None:
         lens = np.array([len(d) for d in docs], np.int64)
-        lanes = int(max(1, min(width, lens.sum() // max(1, lens.max())))) if len(docs) else 1
-        ends = [(0, k) for k in range(lanes)]
-        self.places = [(0, 0)] * len(docs)
-        for i in np.argsort(-lens, kind="stable"):
+        lanes = int(max(1, min(width, len(docs), 4 * lens.sum() // max(1, lens.max())))) if len(docs) else 1
+        ends, own = [(0, k) for k in range(lanes)], [(0, 0)] * len(docs)
+        for i in np.argsort(-lens, kind="stable").tolist():
             at, k = heapq.heappop(ends)
-            self.places[i] = (at, k)
+            own[i] = (at, k)
             heapq.heappush(ends, (at + int(lens[i]), k))
-        steps = max(e for e, _ in ends)
-        self.target = np.full((steps, lanes), -1, np.int32)
-        self.given = np.full((steps, lanes), END, np.int32)
-        self.keep = np.ones((steps, lanes), np.float32)
+        order = sorted(ends, reverse=True)
+        new = {k: j for j, (_, k) in enumerate(order)}
+        self.places = [(at, new[k]) for at, k in own]
+        self.ends = np.array([e for e, _ in order], np.int64)
+        self.steps = int(self.ends[0])
+        self.target = np.full((self.steps, lanes), -1, np.int16)
+        self.given = np.full((self.steps, lanes), END, np.int16)
+        self.keep = np.ones((self.steps, lanes), np.bool_)
         for d, (at, k) in zip(docs, self.places):
             self.target[at : at + len(d), k] = d
             self.given[at + 1 : at + len(d), k] = d[:-1]
-            self.keep[at, k] = 0
+            self.keep[at, k] = False
+
+    def windows(self, size: int):
+        """The steps of each window, and how many lanes have any of them."""
+        for at in range(0, self.steps, size):
+            yield slice(at, at + size), int(np.searchsorted(-self.ends, -at))
 
     def sums(self, values: np.ndarray, docs: list[np.ndarray]) -> list[float]:
         return [float(values[at : at + len(d), k].sum(dtype=np.float64)) for d, (at, k) in zip(docs, self.places)]
 
 
+def segments(docs: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """Documents cut at every ``size`` tokens, for training: long ones then don't keep the other lanes waiting."""
+    return [d[at : at + size] for d in docs for at in range(0, len(d), size)]
+
+
 class Gru:
     """h' = n + z (h - n). A word's probability is that of its class times, for a head word, its own within the class."""
 
     NAMES = ("embed", "into", "into_b", "state", "state_b", "klass", "klass_b", "word", "word_b")
 
-    def __init__(self, head_words: int, width: int = 16, hidden: int = 24, seed: int = 3) -> None:
+    def __init__(self, head_words: int, width: int = 16, hidden: int = 16, seed: int = 3) -> None:
         rng, h = np.random.default_rng(seed), hidden
         self.hidden = hidden
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
@@ -76,8 +90,12 @@ class Gru:
         out, past = np.empty((*given.shape, self.hidden), np.float32), []
         for t in range(len(given)):
             before = h * keep[t][:, None]
-            own = before @ self.state + self.state_b
-            zr = 1 / (1 + np.exp(-np.clip(gates[t, :, :n2] + own[:, :n2], -30, 30)))
+            own = before @ self.state
+            own += self.state_b
+            zr = gates[t, :, :n2] + own[:, :n2]
+            np.tanh(np.multiply(zr, 0.5, out=zr), out=zr)  # the logistic function, without overflow
+            zr += 1
+            zr *= 0.5
             z, r = zr[:, : self.hidden], zr[:, self.hidden :]
             n = np.tanh(gates[t, :, n2:] + r * own[:, n2:])
             h = out[t] = n + z * (before - n)
@@ -111,10 +129,9 @@ class Gru:
         """Natural log of each whole document: the state goes on from window to window."""
         lanes = Lanes(docs, width)
         values, h = np.zeros(lanes.target.shape, np.float32), np.zeros((lanes.target.shape[1], self.hidden), np.float32)
-        for at in range(0, len(values), window):
-            part = slice(at, at + window)
-            hs, h, _ = self._run(lanes.given[part], lanes.keep[part], h, False)
-            target = lanes.target[part].ravel()
+        for part, n in lanes.windows(window):
+            hs, h, _ = self._run(lanes.given[part, :n], lanes.keep[part, :n], h[:n], False)
+            target = lanes.target[part, :n].ravel()
             some = np.flatnonzero(target >= 0)
             rows, own = hs.reshape(-1, self.hidden)[some], target[some]
             klass = self._class_of(own)
@@ -123,7 +140,7 @@ class Gru:
                 p[at_k] += self._words(rows[at_k], k)[np.arange(len(at_k)), own[at_k] % CLASS_WORDS]
             flat = np.zeros(len(target), np.float32)
             flat[some] = p
-            values[part] = flat.reshape(values[part].shape)
+            values[part, :n] = flat.reshape(-1, n)
         return lanes.sums(values, docs)
 
     def _gradients(self, given, keep, target, h) -> tuple[list[np.ndarray], np.ndarray]:
@@ -148,17 +165,17 @@ class Gru:
         g_out, n2 = g_out.reshape(hs.shape), 2 * self.hidden
         g_in, g_own = np.empty((*given.shape, 3 * self.hidden), np.float32), np.empty((*given.shape, 3 * self.hidden), np.float32)
         carried = np.zeros_like(h)
+        before, z, r, n, own_n = (np.stack(x) for x in zip(*past))
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), own_n * r * (1 - r)
         for t in range(len(given) - 1, -1, -1):
-            before, z, r, n, own_n = past[t]
-            g = g_out[t] + carried
-            g_n = g * (1 - z) * (1 - n * n)
-            g_in[t, :, n2:] = g_n
-            g_in[t, :, : self.hidden] = g * (before - n) * z * (1 - z)
-            g_in[t, :, self.hidden : n2] = g_n * own_n * r * (1 - r)
-            g_own[t] = g_in[t]
-            g_own[t, :, n2:] *= r
-            carried = (g * z + g_own[t] @ self.state.T) * keep[t][:, None]
-        befores = np.concatenate([p[0] for p in past])
+            g, gates, own = g_out[t] + carried, g_in[t], g_own[t]
+            np.multiply(g, to_z[t], out=gates[:, : self.hidden])
+            np.multiply(g, to_n[t], out=gates[:, n2:])
+            np.multiply(gates[:, n2:], to_r[t], out=gates[:, self.hidden : n2])
+            own[:, :n2] = gates[:, :n2]
+            np.multiply(gates[:, n2:], r[t], out=own[:, n2:])
+            carried = (g * z[t] + own @ self.state.T) * keep[t][:, None]
+        befores = before.reshape(-1, self.hidden)
         g_own, g_in, ids = g_own.reshape(-1, 3 * self.hidden), g_in.reshape(-1, 3 * self.hidden), given.ravel()
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
@@ -166,17 +183,20 @@ class Gru:
         g_table[ids[order][first]] = np.add.reduceat(g_in[order], first, axis=0)
         return [g_table @ self.into.T, self.embed.T @ g_table, g_table.sum(0), befores.T @ g_own, g_own.sum(0), g_klass, g_klass_b, g_word, g_word_b], last
 
-    def train(self, docs: list[np.ndarray], optimiser: Adam, width: int = 256, window: int = 24) -> int:
-        """One pass by truncated backpropagation; the state is carried over windows, gradients are not. Returns the number of tokens."""
+    def train(self, docs: list[np.ndarray], optimiser: Adam, width: int = 256, window: int = 24, segment: int = 1024) -> int:
+        """One pass by truncated backpropagation; the state is carried over windows, gradients are not. Returns the number of tokens.
+
+        Documents of more than ``segment`` tokens begin anew there, in training only.
+        """
+        docs = segments(docs, segment)
         if not docs:
             return 0
         lanes = Lanes(docs, width)
         h = np.zeros((lanes.target.shape[1], self.hidden), np.float32)
-        for at in range(0, len(lanes.target), window):
-            part = slice(at, at + window)
-            grads, h = self._gradients(lanes.given[part], lanes.keep[part], lanes.target[part], h)
-            optimiser.step([getattr(self, n) for n in self.NAMES], grads)
-        return int((lanes.target >= 0).sum())
+        for part, n in lanes.windows(window):
+            grads, h = self._gradients(lanes.given[part, :n], lanes.keep[part, :n], lanes.target[part, :n], h[:n])
+            optimiser.step([getattr(self, name) for name in self.NAMES], grads)
+        return sum(map(len, docs))
 
 
 class Adam:

@@ -42,49 +42,60 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _encoded(ids: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter((*(ids.get(w, REST) for w in words), END), np.int32, len(words) + 1)
+class Coder:
+    """Ids of the recurrent model, and log10(c + 1), for the words that are sent to every task."""
 
+    def __init__(self, frequent: dict[bytes, int], head: list[bytes]) -> None:
+        rest = sorted(frequent.keys() - set(head))
+        self.rows = {w: i for i, w in enumerate([*head, *rest])}
+        self.head = len(head)
+        self.logs = np.log10(np.array([frequent[w] for w in self.rows] or [0], float) + 1)
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Some rows (their other columns, as tuples) and their words at a time, of about so many tokens."""
-    rows, words, n = [], [], 0
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """A row per word: below ``head`` those of the model, -1 for words that are not sent."""
+        get = self.rows.get
+        return np.array([get(w, -1) for w in words], np.int64)
+
+    def ids(self, rows: np.ndarray) -> np.ndarray:
+        """For the model: any other word is one, and the end follows."""
+        return np.append(np.where((rows >= 0) & (rows < self.head), rows, REST), END).astype(np.int16)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
+    """Rows one by one, the text's words in place of the text."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            others = [part.column(i).to_pylist() for i in range(part.num_columns) if i != column]
-            for row, text in zip(zip(*others) if others else [()] * part.num_rows, part.column(column).to_pylist()):
-                own = words_of(text)
-                rows.append(row)
-                words.append(own)
-                n += len(own) + 1
-                if n >= tokens:
-                    yield rows, words
-                    rows, words, n = [], [], 0
-    if rows:
-        yield rows, words
-
-
-def train(rows: DataFrame, head: list[bytes], sample: int = 1500, epochs: int = 3, rate: float = 8e-3, shard_rate: float = 2e-3, tokens: int = 500_000) -> np.ndarray:
+            columns = [c.to_pylist() for c in batch.slice(at, 256).columns]
+            columns[column] = map(words_of, columns[column])
+            yield from zip(*columns)
+
+
+def train(rows: DataFrame, frequent: dict[bytes, int], head: list[bytes], sample: int = 1500, epochs: int = 3, rate: float = 8e-3, shard_rate: float = 2e-3, tokens: int = 1_000_000) -> np.ndarray:
     """The weights after a first round on about ``sample`` documents and one pass over all rows.
 
     The first round brings the weights near a good place. Then each task goes on from there over its
     whole shard of the corpus, and the weights of all tasks are averaged by their tokens: a task sends
     one vector of fixed length, a few tasks add vectors up, and their sums come to the driver.
     """
-    ids = {w: i for i, w in enumerate(head)}
+    coder = Coder({w: frequent[w] for w in head}, head)
     model, total = Gru(len(head)), rows.count()
     first = rows.filter(share("doc_id", "recurrent", sample, total)).select("doc_id", "text").collect()
-    docs = [_encoded(ids, words_of(bytes(r["text"] or b""))) for r in sorted(first, key=lambda r: (r["doc_id"], bytes(r["text"] or b"")))]
+    docs = [coder.ids(coder(words_of(bytes(r["text"] or b"")))) for r in sorted(first, key=lambda r: (r["doc_id"], bytes(r["text"] or b"")))]
     optimiser = Adam(rate)
     for _ in range(epochs):
         model.train(docs, optimiser, width=128)
-    begun = rows.sparkSession.sparkContext.broadcast(model.weights())
+    begun = rows.sparkSession.sparkContext.broadcast((model.weights(), coder))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, step, n = Gru(len(head)).with_weights(begun.value.copy()), Adam(shard_rate), 0
-        for _, words in _groups(batches, 0, tokens):
-            n += own.train([_encoded(ids, w) for w in words], step)
+        weights, coder = begun.value
+        own, step, n, docs, held = Gru(coder.head).with_weights(weights.copy()), Adam(shard_rate), 0, [], 0
+        for (words,) in _texts(batches, 0):
+            docs.append(coder.ids(coder(words)))
+            held += len(docs[-1])
+            if held >= tokens:
+                n += own.train(docs, step)
+                docs, held = [], 0
+        n += own.train(docs, step)
         if n:
             yield _sum_row(n, own.weights().astype(np.float64) * n)
 
@@ -109,7 +120,7 @@ def _sum_row(n: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
 
 
-def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, common: int = 500_000) -> DataFrame:
+def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, common: int = 500_000, tokens: int = 2_000_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are a text's words and one end. Counts c of all N training tokens, V distinct ones, give the
@@ -131,50 +142,41 @@ def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds:
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
     frequent = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") * common >= n).collect()}
     head = sorted(frequent, key=lambda w: (-frequent[w], w))[:HEAD]
-    ids = {w: i for i, w in enumerate(head)}
     rest = sums["n"] - sum(frequent[w] for w in head) + (sums["v"] - len(head)) + 1
-    weights = train(training, head)
+    weights = train(training, frequent, head)
     spark = df.sparkSession.sparkContext
-    shared = spark.broadcast((frequent, ids, weights))
-    head_words, log_end, one = len(head), math.log10(ends + 1), math.log10(n + v + 1)
+    shared = spark.broadcast((Coder(frequent, head), weights))
+    log_end, one = math.log10(ends + 1), math.log10(n + v + 1)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, ids, weights = shared.value
-        model = Gru(head_words).with_weights(weights)
-        logs = {w: math.log10(c + 1) for w, c in frequent.items()}
-        for some, words in _groups(batches, 3, 1_000_000):
-            lp = model.log_probabilities([_encoded(ids, w) for w in words])
-            known, others, open_, rare = [], [], [], []
-            for own in words:
-                a = [logs[w] for w in own if w in logs]
-                far = [logs[w] for w in own if w in logs and w not in ids]
-                known.append((len(a), math.fsum(a)))
-                others.append((len(far), math.fsum(far)))
-                missing = Counter(w for w in own if w not in logs)
-                open_.append(sum(missing.values()))
-                rare.append(list(missing.items()))
-            flat = [x for r in rare for x in r]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *(len(r) for r in rare)]), pa.int32()),
-                pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int64())], names=["word", "k"]),
-            )
-            yield pa.record_batch(
-                [
-                    pa.array([r[0] for r in some], pa.int64()),
-                    pa.array([r[1] for r in some], kind),
-                    pa.array([r[2] for r in some], pa.bool_()),
-                    pa.array([len(w) + 1 for w in words], pa.int64()),
-                    pa.array([k for k, _ in known], pa.int64()),
-                    pa.array([s for _, s in known], pa.float64()),
-                    pa.array([x / LN10 + s for x, (_, s) in zip(lp, others)], pa.float64()),
-                    pa.array([k + m for (k, _), m in zip(others, open_)], pa.int64()),
-                    lists,
-                ],
-                names=["row_id", "doc_id", "held_out", "n_tokens", "seen", "sum_log", "model_log", "outside", "rare"],
-            )
+        coder, weights = shared.value
+        model = Gru(coder.head).with_weights(weights)
+        out, docs, held = [], [], 0
+        for row_id, own_id, held_out, words in _texts(batches, 3):
+            at = coder(words)
+            docs.append(coder.ids(at))
+            held += len(docs[-1])
+            logs, far = coder.logs[at[at >= 0]], at >= coder.head
+            rare = list(Counter(w for w, i in zip(words, at.tolist()) if i < 0).items()) if len(logs) < len(at) else []
+            out.append((row_id, own_id, held_out, len(at) + 1, len(logs), float(logs.sum()), float(coder.logs[at[far]].sum()), int(far.sum()) + len(at) - len(logs), rare))
+            if held >= tokens:
+                yield scored(out, model.log_probabilities(docs))
+                out, docs, held = [], [], 0
+        if out:
+            yield scored(out, model.log_probabilities(docs))
+
+    def scored(out: list[tuple], logs: list[float]) -> pa.RecordBatch:
+        row_id, own_id, held_out, n_tokens, seen, sum_log, far_log, outside, rare = zip(*out)
+        flat = [x for r in rare for x in r]
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()),
+            pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int64())], names=["word", "k"]),
+        )
+        columns = [pa.array(x, k) for x, k in ((row_id, pa.int64()), (own_id, pa.int64()), (held_out, pa.bool_()), (n_tokens, pa.int64()), (seen, pa.int64()), (sum_log, pa.float64()))]
+        columns += [pa.array([x / LN10 + y for x, y in zip(logs, far_log)], pa.float64()), pa.array(outside, pa.int64()), lists]
+        return pa.record_batch(columns, names=["row_id", "doc_id", "held_out", "n_tokens", "seen", "sum_log", "model_log", "outside", "rare"])
 
     numbered = rows.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "doc_id", "held_out", "text")
-    kind = pa.int64()
     numbered = numbered.withColumn("doc_id", F.col("doc_id").cast("long"))
     fields = "row_id long, doc_id long, held_out boolean, n_tokens long, seen long, sum_log double, model_log double, outside long, rare array<struct<word: binary, k: long>>"
     found = cut(numbered.mapInArrow(local, fields))
