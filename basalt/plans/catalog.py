@@ -520,7 +520,7 @@ def f18_grep_per_file(s, d):
 
 
 @query(f"""with {tb.FILES_SQL}, l as (select path, rtrim(content, chr(10)) as c from files), x as (select path, string_split(c, chr(10)) as s from l)
-select path, i as lineno, s[i] as text, len(s) as total from (select path, s, unnest([3, 4, 5]) as i from x) where i <= len(s)""")
+select path, i as lineno, s[i] as text, len(s) as total from (select path, s, unnest([3::bigint, 4, 5]) as i from x) where i <= len(s)""")
 def s20_read_window(s, d):
     return files.window(tb.files(s, d), 3, 3).select("path", F.col("lineno").cast("long").alias("lineno"), "text", F.col("total").cast("long").alias("total"))
 
