@@ -598,12 +598,22 @@ def s25_fetch(s, d):
     return pages.fetched(p, p.select("url")).filter("found").groupBy("url").agg(F.count("*").alias("n"))
 
 
-@query()
+TEXT_SQL = "html"
+for _pattern in ("<!--.*?-->", *(rf"<{_tag}\b.*?</{_tag}\s*>" for _tag in pages.HIDDEN), "<[^>]*>"):
+    TEXT_SQL = f"regexp_replace({TEXT_SQL}, '(?is){_pattern}', ' ', 'g')"
+for _name, _sign in pages.ENTITIES.items():
+    TEXT_SQL = "replace({}, '{}', '{}')".format(TEXT_SQL, _name, _sign.replace("'", "''"))
+TEXT_SQL = f"trim(regexp_replace({TEXT_SQL}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""with p as (select page_id, url, lower({TEXT_SQL}) as t from pages), h as (select page_id, url, len(string_split(t, 'the')) + len(string_split(t, 'and')) + len(string_split(t, 'of')) - 3 as hits from p)
+select page_id, url, hits, row_number() over (order by hits desc, page_id) as rank from h where hits > 0 qualify rank <= 10""")
 def s24_page_search(s, d):
-    return pages.search(tb.table(s, d, "pages"), "the and of", 10)
+    found = pages.search(tb.table(s, d, "pages"), "the and of", 10)
+    return found.select("page_id", "url", F.col("hits").cast("long").alias("hits"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"with p as (select page_id, url, {TEXT_SQL} as text from pages) select *, length(regexp_replace(text, '\\s', '', 'g')) < 50 as scant from p")
 def s21_page_text(s, d):
     return pages.extracted(tb.table(s, d, "pages"))
 

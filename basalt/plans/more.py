@@ -206,7 +206,7 @@ def w07_second_of_a_name(s, d):
     return counted.groupBy("user_id").agg(F.max("i").cast("long").alias("n")).filter("n > 60")
 
 
-@query()
+@query(r"""select n_nationkey, concat_ws(chr(10), '--- a/p', '+++ b/p', '@@ -1,3 +1,3 @@', ' a', '-b', '+' || n_name, ' c') as diff from nation""")
 def x15_unified_diff(s, d):
     t = tb.table(s, d, "nation")
     return t.select("n_nationkey", edits.diff(F.lit("a\nb\nc\n"), F.concat(F.lit("a\n"), "n_name", F.lit("\nc\n")), F.lit("p")).alias("diff"))

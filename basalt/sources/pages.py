@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from basalt.plans.lineage import cut
 
+#: Elements whose content is not shown.
+HIDDEN = ("script", "style", "head")
 #: Named character references that are replaced; others stay as they are.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
 def html_text(html: Column | str = "html") -> Column:
     """The visible text: scripts, styles, comments and tags go, runs of blanks become one."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
+    text = F.col(html) if isinstance(html, str) else html
+    for hidden in (r"<!--.*?-->", *(rf"<{tag}\b.*?</{tag}\s*>" for tag in HIDDEN), "<[^>]*>"):
+        text = F.regexp_replace(text, f"(?is){hidden}", " ")
     for name, sign in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
