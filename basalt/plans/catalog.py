@@ -618,7 +618,10 @@ def s21_page_text(s, d):
     return pages.extracted(tb.table(s, d, "pages"))
 
 
-@query()
+@query("select 'u' || page_id as url, floor(log2(page_id + 1))::bigint as level from pages where page_id < 15")
 def s26_crawl(s, d):
-    p = tb.table(s, d, "pages")
-    return pages.crawl(p, p.orderBy("page_id").first()["url"], 2)
+    """The pages' own links lead out of the table, so each page is given links to two others."""
+    n = F.col("page_id")
+    link = F.format_string("<p><a class=x href='u%d'>one</a> and <A HREF=u%d>two</A>", 2 * n + 1, 2 * n + 2)
+    p = tb.table(s, d, "pages").select(F.concat(F.lit("u"), n.cast("string")).alias("url"), link.alias("html"))
+    return pages.crawl(p, "u0", 3).select("url", F.col("level").cast("long").alias("level"))
