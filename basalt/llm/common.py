@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,20 @@ def share(doc_id: str, salt: str, wanted: int, of: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), F.col(doc_id)), F.lit(1 << 30)) < int(wanted / of * (1 << 30))
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks, of one operator at a time: another key drops the rest.
+
+    Workers run tasks of many stages, so what each stage remembers would add up.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the cluster's shared checkpoint folder and goes on from there.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import in_fold, share
+from basalt.llm.common import held, in_fold, share
 from basalt.llm.words import Numbered, Table
 
 #: Pieces of more bytes are left out of the vocabulary; eight bytes make one exact integer key.
@@ -189,13 +189,7 @@ def fit(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", la
     return LanguageModel(languages, prob, path)
 
 
-@functools.lru_cache(maxsize=1)
-def _worker_cache(key: int, langs: int) -> dict:
-    """What a Python worker keeps of one model: words that it has scored."""
-    return {"numbers": Numbered(), "table": Table(langs)}
-
-
-def predict(model: LanguageModel, text: Column, room: int = 600_000) -> Column:
+def predict(model: LanguageModel, text: Column, room: int = 400_000) -> Column:
     """A struct of lang_pred and score for a text column.
 
     The score is the posterior probability, languages being equally likely beforehand, over the letters
@@ -206,12 +200,12 @@ def predict(model: LanguageModel, text: Column, room: int = 600_000) -> Column:
 
     def run(column: pa.Array) -> pa.Array:
         labels, scores, langs = [], [], len(model.languages)
-        cache, values = _worker_cache(key, langs), column.to_pylist()
-        if len(cache["numbers"]) > room:
-            cache |= {"numbers": Numbered(), "table": Table(langs)}
-        numbers, table = cache["numbers"], cache["table"]
-        for at in range(0, len(values), 256):
-            split = [words_of(t) for t in values[at : at + 256]]
+        cache = held(("language", key), dict)  # words that this worker has scored
+        for at in range(0, len(column), 256):
+            if not cache or len(cache["numbers"]) > room:
+                cache |= {"numbers": Numbered(), "table": Table(langs)}
+            numbers, table = cache["numbers"], cache["table"]
+            split = [words_of(t) for t in column.slice(at, 256).to_pylist()]
             rows = numbers.of([w for ws in split for w in ws])
             table.append(word_scores(numbers.drain(), model.path, model.prob))
             own = table.data[rows]

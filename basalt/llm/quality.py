@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import in_fold
+from basalt.llm.common import held, in_fold
 from basalt.llm.labelled import labelled_sample
 from basalt.llm.words import Numbered, Ragged, Table
 
@@ -76,7 +75,7 @@ class Pooler:
         self.vectors = np.concatenate([sums[:, :-1] / np.maximum(norm, 1e-9), index.vectors], axis=1).astype(np.float32)
         self.width = self.vectors.shape[1] + 1
 
-    def features(self, texts: list[str | None], cache: dict, room: int = 400_000) -> np.ndarray:
+    def features(self, texts: list[str | None], cache: dict, room: int = 300_000) -> np.ndarray:
         """One row a text; an empty text has zeros."""
         if not cache or len(cache["numbers"]) > room:
             cache |= {"numbers": Numbered(), "table": Table(self.width, np.float32)}
@@ -158,12 +157,6 @@ class QualityModel:
         self.pooler, self.network = pooler, network
 
 
-@functools.lru_cache(maxsize=1)
-def _worker_cache(key: int) -> dict:
-    """What a Python worker keeps of one model: vectors of the words that it has met."""
-    return {}
-
-
 def fit(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = 6000) -> QualityModel:
     """Fits on about ``sample`` labelled documents outside the held-out fold.
 
@@ -204,8 +197,8 @@ def score(model: QualityModel, text: Column) -> Column:
     key = hash((model.pooler.vectors.tobytes(), model.network.temperature))
 
     def run(column: pa.Array) -> pa.Array:
-        cache, values = _worker_cache(key), column.to_pylist()
-        parts = [model.network.score(model.pooler.features(values[at : at + 256], cache)) for at in range(0, len(values), 256)]
+        cache = held(("quality", key), dict)  # words that this worker has met
+        parts = [model.network.score(model.pooler.features(column.slice(at, 256).to_pylist(), cache)) for at in range(0, len(column), 256)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return F.arrow_udf(run, "double")(text)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import in_fold
+from basalt.llm.common import held, in_fold
 from basalt.llm.labelled import labelled_sample
 from basalt.llm.words import Numbered, Table
 
@@ -59,7 +58,7 @@ class Features:
         hidden = letters > 0 and INSIDE.search(word) is not None
         return [weight, weight > 0, core in SECOND_PERSON, letters, upper, letters > 2 and upper == letters, signs, word.count("!"), hidden, THRICE.search(word.lower()) is not None, len(word), 1]
 
-    def __call__(self, texts: list[str | None], cache: dict, room: int = 400_000, window: int = 5) -> np.ndarray:
+    def __call__(self, texts: list[str | None], cache: dict, room: int = 300_000, window: int = 5) -> np.ndarray:
         """One row a text, in the order of FEATURES; an empty text has zeros."""
         if not cache or len(cache["numbers"]) > room:
             cache |= {"numbers": Numbered(), "table": Table(len(WORD_FIELDS), np.float32)}
@@ -175,12 +174,6 @@ class ToxicityModel:
         return self.calibration(self.trees.raw(self.features(texts, cache)))
 
 
-@functools.lru_cache(maxsize=1)
-def _worker_cache(key: int) -> dict:
-    """What a Python worker keeps of one model: features of the words that it has met."""
-    return {}
-
-
 def fit(
     df: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = 12000, lexicon: int = 400, least: int = 5, odds: float = 2.0
 ) -> ToxicityModel:
@@ -229,8 +222,8 @@ def score(model: ToxicityModel, text: Column) -> Column:
     key = hash((tuple(model.features.lexicon.items()), model.trees.start, len(model.trees.forest)))
 
     def run(column: pa.Array) -> pa.Array:
-        cache, values = _worker_cache(key), column.to_pylist()
-        parts = [model.score(values[at : at + 256], cache) for at in range(0, len(values), 256)]
+        cache = held(("toxicity", key), dict)  # words that this worker has met
+        parts = [model.score(column.slice(at, 256).to_pylist(), cache) for at in range(0, len(column), 256)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return F.arrow_udf(run, "double")(text)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 
 import numpy as np
 
+from basalt.llm.common import held
+
 #: One run of Latin letters, then one run of ASCII punctuation; either may be missing. The tokenizer
 #: makes one unit of each, and neither Unicode composition nor its white-space rule changes them.
 REGULAR = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
@@ -76,7 +77,7 @@ class WordEncoder:
     """Encodes texts word by word; ASCII white space always ends a word for this kind of tokenizer
     (white space is dropped and no piece goes over it). ``room`` words are remembered at most."""
 
-    def __init__(self, path: str, room: int = 1_000_000) -> None:
+    def __init__(self, path: str, room: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -144,7 +145,6 @@ class WordEncoder:
             self.unit_ids.append(flat, lens)
 
 
-@functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """One for each Python worker, whichever tasks it runs."""
-    return WordEncoder(path)
+    """One for each Python worker, whichever tasks of the operator it runs."""
+    return held(("words", path), lambda: WordEncoder(path))
