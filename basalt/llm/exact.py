@@ -45,15 +45,14 @@ def exact_groups(
     shared = known.groupBy("h").count().filter("count > 1").select("h")
     shared = cut(shared)
 
-    digests = cuts.select(
-        "row_id", "doc_id", "size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform("pieces", lambda c: hashed(c)).alias("recipe")
-    )
     if shared.isEmpty():
-        digests = digests.withColumn("marks", F.lit(None).cast("array<struct<pos:int,rank:int>>"))
+        digests = _digests(cuts, hashed).withColumn("marks", F.lit(None).cast("array<struct<pos:int,rank:int>>"))
     else:
+        cuts = cut(cuts)  # one numbering of the rows for both sides of the join below
+        occurs = cuts.select("row_id", F.posexplode("pieces").alias("pos", "piece")).select("row_id", "pos", "piece", hashed("piece").alias("h"))
         ranks = known.join(shared, "h").withColumn("rank", F.expr("row_number() over (partition by h order by piece)"))
         marks = occurs.join(shared, "h").join(ranks, ["h", "piece"]).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("pos", "rank"))).alias("marks"))
-        digests = digests.join(marks, "row_id", "left")
+        digests = _digests(cuts, hashed).join(marks, "row_id", "left")
     digests = cut(digests)
 
     best = F.struct("size", (-F.col("doc_id")).alias("id_down"), (-F.col("row_id")).alias("row_down"))
@@ -67,8 +66,18 @@ def exact_groups(
     )
 
 
+def _digests(cuts: DataFrame, hashed) -> DataFrame:
+    return cuts.select(
+        "row_id", "doc_id", "size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform("pieces", lambda c: hashed(c)).alias("recipe")
+    )
+
+
 def exact_distinct(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
+    """The rows of ``df`` that stay, with all their columns.
+
+    Rows are found again by their place, so ``df`` must have the same rows in the same partitions
+    whenever it is computed: files and checkpoints have, a random repartition has not.
+    """
     row = "__exact_row"
     kept = exact_groups(df, doc_id, text).filter("kept").select(F.col("row_id").alias(row))
     return df.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)

@@ -101,7 +101,11 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
 
 
 def near_distinct(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3) -> DataFrame:
-    """The rows of ``df``, with all their columns, one of each group: the smallest doc_id, and of its repeated rows the first."""
+    """The rows of ``df``, with all their columns, one of each group: the smallest doc_id, and of its repeated rows the first.
+
+    Rows are found again by their place, so ``df`` must have the same rows in the same partitions
+    whenever it is computed: files and checkpoints have, a random repartition has not.
+    """
     row = "__near_row"
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first")
     kept = near_groups(df, doc_id, text, width, most).groupBy("group_id").agg(first).select(F.col("first.row_id").alias(row))
