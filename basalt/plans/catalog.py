@@ -140,12 +140,13 @@ def f03_keyword(s, d):
 
 
 def _documents(s, d):
+    # Rounded, so that a cosine of one is as good as a keyword hit in any engine.
     doc = tb.table(s, d, "documents")
     e = doc.select(F.col("doc_id").alias("ref_id"), F.col("source").alias("name"), F.col("text").alias("description"), F.col("lang").alias("entity_type"), F.col("doc_id").alias("ord"))
-    return ranking.keyword_hits(e.join(tb.vectors(s, d).select("ref_id"), "ref_id", "left_semi"), None, "license", 20), _hits(s, d, 20)
+    return ranking.keyword_hits(e.join(tb.vectors(s, d).select("ref_id"), "ref_id", "left_semi"), None, "license", 20), _hits(s, d, 20).withColumn("score", F.round("score", 9))
 
 
-HYBRID_SQL = f"""with {HITS_SQL}, v as (select * from hits where rank <= 20 and score >= 0),
+HYBRID_SQL = f"""with {HITS_SQL}, v as (select ref_id, round(score, 9) as score, rank from hits where rank <= 20 and score >= 0),
 w as (select doc_id as ref_id, row_number() over (order by doc_id) as o from documents
   where doc_id in (select vec_id from embeddings) and (contains(lower(text), 'license') or contains(lower(source), 'license') or contains(lower(lang), 'license'))),
 w20 as (select * from w where o <= 20),
