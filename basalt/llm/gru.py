@@ -55,6 +55,24 @@ def segments(docs: list[np.ndarray], size: int) -> list[np.ndarray]:
     return [d[at : at + size] for d in docs for at in range(0, len(d), size)]
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """In place; numpy's exp is much faster than its tanh."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _scores(hs: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of these; states are below 1, so logits stay far below the limit set here."""
+    z = hs @ weight
+    z += bias
+    np.minimum(z, 80, out=z)
+    e = np.exp(z)
+    return z, e, e @ np.ones(e.shape[1], np.float32)
+
+
 class Gru:
     """h' = n + z (h - n). A word's probability is that of its class times, for a head word, its own within the class."""
 
@@ -70,8 +88,9 @@ class Gru:
         self.klass, self.klass_b = draw(h, CLASSES + 2), np.zeros(CLASSES + 2, np.float32)
         self.word, self.word_b = (rng.normal(0, 0.1, (CLASSES, CLASS_WORDS, h))).astype(np.float32), np.zeros((CLASSES, CLASS_WORDS), np.float32)
         # Places without a word get no probability.
-        self.there = (np.arange(HEAD) < head_words).reshape(CLASSES, CLASS_WORDS)
-        self.classes = np.concatenate([self.there.any(1), [True, True]])
+        there = (np.arange(HEAD) < head_words).reshape(CLASSES, CLASS_WORDS)
+        self.no_word = np.where(there, 0, -1e9).astype(np.float32)
+        self.no_class = np.where(np.concatenate([there.any(1), [True, True]]), 0, -1e9).astype(np.float32)
 
     def weights(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -92,28 +111,19 @@ class Gru:
             before = h * keep[t][:, None]
             own = before @ self.state
             own += self.state_b
-            zr = gates[t, :, :n2] + own[:, :n2]
-            np.tanh(np.multiply(zr, 0.5, out=zr), out=zr)  # the logistic function, without overflow
-            zr += 1
-            zr *= 0.5
+            zr = _logistic(gates[t, :, :n2] + own[:, :n2])
             z, r = zr[:, : self.hidden], zr[:, self.hidden :]
-            n = np.tanh(gates[t, :, n2:] + r * own[:, n2:])
+            n = 2 * _logistic(2 * (gates[t, :, n2:] + r * own[:, n2:])) - 1
             h = out[t] = n + z * (before - n)
             if remember:
                 past.append((before, z, r, n, own[:, n2:]))
         return out, h, past
 
-    def _classes(self, hs: np.ndarray) -> np.ndarray:
-        z = hs @ self.klass + self.klass_b
-        z[:, ~self.classes] = -1e9
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+    def _classes(self, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _scores(hs, self.klass, self.klass_b + self.no_class)
 
-    def _words(self, hs: np.ndarray, k: int) -> np.ndarray:
-        z = hs @ self.word[k].T + self.word_b[k]
-        z[:, ~self.there[k]] = -1e9
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+    def _words(self, hs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _scores(hs, self.word[k].T, self.word_b[k] + self.no_word[k])
 
     @staticmethod
     def _class_of(target: np.ndarray) -> np.ndarray:
@@ -135,9 +145,11 @@ class Gru:
             some = np.flatnonzero(target >= 0)
             rows, own = hs.reshape(-1, self.hidden)[some], target[some]
             klass = self._class_of(own)
-            p = self._classes(rows)[np.arange(len(own)), klass]
+            z, _, total = self._classes(rows)
+            p = z[np.arange(len(own)), klass] - np.log(total)
             for k, at_k in self._by_class(klass):
-                p[at_k] += self._words(rows[at_k], k)[np.arange(len(at_k)), own[at_k] % CLASS_WORDS]
+                z, _, total = self._words(rows[at_k], k)
+                p[at_k] += z[np.arange(len(at_k)), own[at_k] % CLASS_WORDS] - np.log(total)
             flat = np.zeros(len(target), np.float32)
             flat[some] = p
             values[part, :n] = flat.reshape(-1, n)
@@ -149,13 +161,15 @@ class Gru:
         some = np.flatnonzero(target >= 0)
         rows, own = flat[some], target[some]
         klass, scale = self._class_of(own), np.float32(1 / max(1, len(own)))
-        d = np.exp(self._classes(rows))
+        _, d, total = self._classes(rows)
+        d /= total[:, None]
         d[np.arange(len(own)), klass] -= 1
         d *= scale
         g_klass, g_klass_b, back = rows.T @ d, d.sum(0), d @ self.klass.T
         g_word, g_word_b = np.zeros_like(self.word), np.zeros_like(self.word_b)
         for k, at in self._by_class(klass):
-            d = np.exp(self._words(rows[at], k))
+            _, d, total = self._words(rows[at], k)
+            d /= total[:, None]
             d[np.arange(len(at)), own[at] % CLASS_WORDS] -= 1
             d *= scale
             g_word[k], g_word_b[k] = d.T @ rows[at], d.sum(0)
@@ -183,7 +197,7 @@ class Gru:
         g_table[ids[order][first]] = np.add.reduceat(g_in[order], first, axis=0)
         return [g_table @ self.into.T, self.embed.T @ g_table, g_table.sum(0), befores.T @ g_own, g_own.sum(0), g_klass, g_klass_b, g_word, g_word_b], last
 
-    def train(self, docs: list[np.ndarray], optimiser: Adam, width: int = 256, window: int = 24, segment: int = 1024) -> int:
+    def train(self, docs: list[np.ndarray], optimiser: Adam, width: int = 512, window: int = 24, segment: int = 1024) -> int:
         """One pass by truncated backpropagation; the state is carried over windows, gradients are not. Returns the number of tokens.
 
         Documents of more than ``segment`` tokens begin anew there, in training only.

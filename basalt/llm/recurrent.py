@@ -120,7 +120,7 @@ def _sum_row(n: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
 
 
-def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, common: int = 500_000, tokens: int = 2_000_000) -> DataFrame:
+def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, common: int = 1_000_000, tokens: int = 2_000_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are a text's words and one end. Counts c of all N training tokens, V distinct ones, give the
