@@ -41,8 +41,8 @@ def _tables(path: str) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def words_of(text: str | None) -> list[str]:
-    """The runs of letters, in lower case."""
-    return LETTERS.findall((text or "").lower())
+    """The runs of letters, in lower case; runs of numerals alone (as fractions and superscripts) are none."""
+    return [w for w in LETTERS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def lattice(words: list[str], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
