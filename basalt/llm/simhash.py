@@ -30,18 +30,21 @@ def shingle_hashes(text: bytes, width: int = 3, seed: int = 42) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :] or ends[-1:])]
 
 
-def fingerprints_of(texts_: list[bytes | None], width: int = 3) -> np.ndarray:
-    """Bit i is 1 if more than half of a text's shingle hashes have it; zero for no word."""
-    hashes = [shingle_hashes(x or b"", width) for x in texts_]
+def fingerprints_of(texts_: list[bytes | None], width: int = 3, at_once: int = 1 << 17) -> np.ndarray:
+    """Bit i is 1 if more than half of a text's shingle hashes have it; zero for no word.
+
+    Bits are spread out and added for ``at_once`` hashes at a time, however long a text is.
+    """
+    hashes = [np.array(shingle_hashes(x or b"", width), np.uint64) for x in texts_]
     lens = np.array([len(h) for h in hashes], np.int64)
-    out, some = np.zeros(len(hashes), np.uint64), np.flatnonzero(lens)
-    if len(some):
-        flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(lens.sum()))
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = lens[some]
-        sums = np.add.reduceat(bits, np.cumsum(own) - own, axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * sums > own[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    flat, doc = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.repeat(np.arange(len(hashes)), lens)
+    sums = np.zeros((len(hashes), 64), np.int64)
+    for at in range(0, len(flat), at_once):
+        bits = np.unpackbits(flat[at : at + at_once].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = doc[at : at + at_once]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > lens[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:

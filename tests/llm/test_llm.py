@@ -247,6 +247,16 @@ def plain_components(fps):
     return {f: find(f) for f in fps}
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 17])
+def test_fingerprints_do_not_depend_on_how_many_hashes_are_added_at_once(at_once):
+    rng = random.Random(5)
+    texts = [*TEXTS, *(" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 90))) for _ in range(60))]
+    texts = [t for t in texts if t != LONG or at_once > 100]
+    got = simhash.fingerprints_of([t.encode() if t is not None else None for t in texts], at_once=at_once)
+    assert got.tolist() == [plain_fingerprint(t) for t in texts]
+    assert simhash.fingerprints_of([]).tolist() == []
+
+
 def test_near_groups_on_odd_rows(spark):
     rows = frame(odd_rows(spark))
     fps = [plain_fingerprint(t) for t in rows.text]
@@ -307,6 +317,10 @@ def test_language_on_held_out_documents(spark, sf_dir):
     assert (got.lang_pred == got.lang)[got.held_out].mean() >= 0.95
 
 
+def test_numerals_are_no_letters():
+    assert language.words_of("½ ² Ⅷ 12 _ x² Été") == ["x²", "été"]
+
+
 def test_language_on_odd_rows(spark):
     got = frame(language.identify(odd_rows(spark), RANKS))
     assert len(got) == odd_rows(spark).count() and got.score.between(0, 1).all()
