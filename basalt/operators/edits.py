@@ -71,7 +71,7 @@ def located(edits: DataFrame, files: DataFrame) -> DataFrame:
         exact,
         by_line(_array_place(stripped(F.col("l")), stripped(F.col("w"))), "line_trimmed"),
         by_line(_array_place(squeezed(F.col("l")), squeezed(F.col("w"))), "whitespace_normalised"),
-        F.when(F.col("d") != old, spot(at("d"), F.length("d"), "dedented")),
+        F.when(F.coalesce(indent, F.lit(0)) > 0, spot(at("d"), F.length("d"), "dedented")),
         F.when(F.col("b") != old, spot(at("b"), F.length("b"), "trimmed_boundary")),
         F.when(F.col("u") != old, spot(at("u"), F.length("u"), "escape_normalised")),
         by_line(F.col("fuzzy"), "fuzzy"),

@@ -199,7 +199,7 @@ def x18_exact_place(s, d):
     return found.select("path", (F.split("content", "\n")[0] == "none").alias("x"), "strategy")
 
 
-@query("select user_id, count(*) as n from events where event_type = 'view' group by user_id having count(*) > 60 union all select -1, 0 where false")
+@query("select user_id, count(*) as n from events where event_type = 'view' group by user_id having count(*) > 60")
 def w07_second_of_a_name(s, d):
     ev = tb.table(s, d, "events").filter("event_type = 'view'")
     counted = ev.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
