@@ -9,6 +9,7 @@ from basalt.functions import text as tx
 from basalt.operators import activity, cache, edits, graph, mailbox, mutate, ranking, snapshots, timers, vectors
 from basalt.plans import tables as tb
 from basalt.plans.catalog import BFS_SQL, CACHE_SQL, COS, HITS_SQL, OPEN_SQL, NOW, TIMER_NOW, TIMER_SQL, _cache_events, _collections, _hits, query
+from basalt.plans.lineage import shared_path
 from basalt.sources import embed, files
 
 
@@ -496,3 +497,23 @@ def u01_united_candidates(s, d):
 def u04_common_keys(s, d):
     c, p = tb.table(s, d, "customer").select(F.col("c_nationkey").alias("key")), tb.table(s, d, "supplier").select(F.col("s_nationkey").alias("key"))
     return c.join(p, "key", "left_semi").distinct()
+
+
+@query("select vec_id::varchar as ref_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as norm from embeddings where label = 2")
+def s08_saved_and_loaded(s, d):
+    rows, registry = _collections(s, d)
+    path = shared_path(s, "vectors.parquet")
+    vectors.save(vectors.add(s.createDataFrame([], vectors.SCHEMA), rows, registry)[0], path)
+    return vectors.load(s, path, "c2").select("ref_id", F.round("norm", 6).alias("norm"))
+
+
+@query("select 0 as n")
+def s09_nothing_saved(s, d):
+    return vectors.load(s, shared_path(s, "none.parquet")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"with {tb.GRAPH_SQL} select name from e where name in ('N:1', 'N:2') or entity_type = 'region'")
+def u03_united_names(s, d):
+    e, _ = tb.graph(s, d)
+    near = e.filter("entity_type = 'region' or name = 'N:1'").select("name")
+    return near.unionByName(e.filter(F.col("name").isin("N:1", "N:2")).select("name")).dropDuplicates(["name"])
