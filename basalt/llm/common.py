@@ -22,6 +22,12 @@ def texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: str)
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c) for c in more))
 
 
+def numbered_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """row_id, doc_id and text: row_id is the column ``row``, or without one the row's place."""
+    place = F.col(row) if row else F.monotonically_increasing_id()
+    return df.select(place.alias("row_id"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+
 def fold(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id as text, modulo k; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % k
@@ -68,6 +74,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoint_folder(spark)}/{uuid.uuid4()}/{name}"
 
 
+def numbered(df: DataFrame, row: str) -> DataFrame:
+    """The rows with their places in the column ``row``, written as Parquet to the shared folder and read again.
+
+    The places are stored beside the rows, so all that reads them sees the same ones, however ``df`` would
+    be computed another time and however the files are dealt out to tasks.
+    """
+    path = shared_folder(df.sparkSession, "numbered")
+    void = {c for c, kind in df.dtypes if kind == "void"}  # Parquet has no such type
+    df.drop(*void).withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    return back.select(*(F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns), row)
+
+
 def _checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import SPACES, cut, texts
+from basalt.llm.common import SPACES, cut, numbered, numbered_texts
 
 #: A chunk ends after one letter of each class, no sooner than MIN and no later than MAX characters.
 BOUNDARY = "[ehinort0-4\\u00E0-\\u00E9\\u0400-\\u0437\\u4E00-\\u6FFF][bcdfgkmpuvwy5-9\\u00EA-\\u00FF\\u0438-\\u04FF\\u7000-\\u9FFF][adelsz.,]"
@@ -22,7 +22,7 @@ def chunks(text: Column, least: int = MIN, most: int = MAX) -> Column:
 
 
 def exact_groups(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN, most: int = MAX, hashed=F.xxhash64
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN, most: int = MAX, hashed=F.xxhash64, row: str | None = None
 ) -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256, and row_id.
 
@@ -34,9 +34,10 @@ def exact_groups(
 
     Of equal texts the row with the most code points stays, then the smallest doc_id; a null doc_id
     comes last; of repeated rows one stays. Ties among them go by row_id (the row's place in the
-    input). An empty table gives no rows. Other columns of ``df`` are not read.
+    input, or the column ``row`` if that is given). An empty table gives no rows. Other columns of
+    ``df`` are not read.
     """
-    rows = texts(df, doc_id, text).withColumn("row_id", F.monotonically_increasing_id())
+    rows = numbered_texts(df, doc_id, text, row)
     cuts = rows.select("row_id", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("size"), normalised(F.col("text")).alias("norm"))
     cuts = cuts.select("*", chunks(F.col("norm"), least, most).alias("pieces"))
 
@@ -75,9 +76,9 @@ def _digests(cuts: DataFrame, hashed) -> DataFrame:
 def exact_distinct(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns.
 
-    Rows are found again by their place, so ``df`` must have the same rows in the same partitions
-    whenever it is computed: files and checkpoints have, a random repartition has not.
+    ``df`` is computed once: its rows are stored with their places and found again by these.
     """
     row = "__exact_row"
-    kept = exact_groups(df, doc_id, text).filter("kept").select(F.col("row_id").alias(row))
-    return df.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)
+    rows = numbered(df, row)
+    kept = exact_groups(rows, doc_id, text, row=row).filter("kept").select(F.col("row_id").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

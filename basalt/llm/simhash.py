@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut, texts
+from basalt.llm.common import cut, numbered, numbered_texts
 from basalt.llm.components import components
 
 #: Every second bit, from the lowest: 16 segments of two bits make up half a fingerprint x, and
@@ -47,9 +47,9 @@ def fingerprints_of(texts_: list[bytes | None], width: int = 3, at_once: int = 1
     return np.packbits(2 * sums > lens[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, row: str | None = None) -> DataFrame:
     """doc_id, fp (the 64 bits as a long) and row_id of every row."""
-    rows = texts(df, doc_id, text).withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
+    rows = numbered_texts(df, doc_id, text, row).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -81,16 +81,19 @@ def linked(distinct: DataFrame, most: int = 3) -> DataFrame:
     return visits.join(homes, (F.col("cell") == F.col("home")) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
 
-def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3) -> DataFrame:
+def near_groups(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3, row: str | None = None
+) -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id, row_id and group_id.
 
     Rows of one fingerprint are taken together first, so copies are not expanded into pairs; distinct
     fingerprints that differ in at most ``most`` bits are linked, and component_id is the smallest
     doc_id that a row reaches over links. A null or empty text has fingerprint zero and is linked like
     any other; null doc_ids are passed over for component_id, which is null if there is no other.
-    An empty table gives no rows; repeated rows stay. Other columns are not read.
+    An empty table gives no rows; repeated rows stay. Other columns are not read. row_id is the row's
+    place in the input, or the column ``row`` if that is given.
     """
-    rows = cut(fingerprints(df, doc_id, text, width))
+    rows = cut(fingerprints(df, doc_id, text, width, row))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     reached = cut(components(linked(distinct.select("fp"), most)))
     joined = reached.join(distinct, reached.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component"))
@@ -106,10 +109,10 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
 def near_distinct(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3) -> DataFrame:
     """The rows of ``df``, with all their columns, one of each group: the smallest doc_id, and of its repeated rows the first.
 
-    Rows are found again by their place, so ``df`` must have the same rows in the same partitions
-    whenever it is computed: files and checkpoints have, a random repartition has not.
+    ``df`` is computed once: its rows are stored with their places and found again by these.
     """
     row = "__near_row"
+    rows = numbered(df, row)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first")
-    kept = near_groups(df, doc_id, text, width, most).groupBy("group_id").agg(first).select(F.col("first.row_id").alias(row))
-    return df.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)
+    kept = near_groups(rows, doc_id, text, width, most, row).groupBy("group_id").agg(first).select(F.col("first.row_id").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)

@@ -500,3 +500,22 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
             assert got.count() >= 0
             if name != "packing":
                 assert got.columns == df.columns
+
+
+@pytest.mark.parametrize("one_of", [exact.exact_distinct, simhash.near_distinct])
+def test_distinct_rows_of_an_input_that_comes_in_another_order_each_time(spark, one_of):
+    chance = F.udf(lambda: int.from_bytes(os.urandom(6), "big"), "long").asNondeterministic()
+    texts = [" ".join(f"{random.Random(i).getrandbits(40):x}{j}" for j in range(30)) for i in range(100)]
+    rows = spark.createDataFrame([(i, texts[i % 100]) for i in range(200)], "doc_id long, text string").withColumn("none", F.lit(None))
+    mixed = rows.withColumn("chance", chance()).repartition(4, "chance").sortWithinPartitions("chance").drop("chance")
+    got = one_of(mixed)
+    assert got.columns == mixed.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(100))
+
+
+def test_run_equals_its_stages_written_one_by_one(spark, sf_dir, tmp_path):
+    docs = documents(spark, sf_dir)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert set(frame(corpus_pipeline.run(spark, sf_dir)).doc_id) == set(frame(docs).doc_id)
