@@ -431,6 +431,12 @@ def test_the_model_beats_the_base_on_held_out_documents(spark):
     assert got.score.sum() > got.base_score.sum() * 0.97
 
 
+def test_likelihood_of_held_out_documents_with_the_whole_model(spark):
+    got = frame(recurrent.lm_scores(documents(spark, "/root/testdata/sf0.01")))
+    got = got[got.held_out]
+    assert got.score.sum() / got.n_tokens.sum() > -3.843
+
+
 # Nearest neighbours
 
 
