@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 NEGATIVE, CAPACITY = 60.0, 128
 
 
-def contents(events: DataFrame, now: float, capacity: int = CAPACITY, negative: float = NEGATIVE) -> DataFrame:
+def contents(events: DataFrame, now: float, capacity: int | None = CAPACITY, negative: float = NEGATIVE) -> DataFrame:
     """key, value, state (value, failed) of the entries that are kept at ``now``: the most recently used ones.
 
     A delivery or failure makes an entry, later ones replace it; requests and reads count as uses of
     it. A failure is forgotten after ``negative`` seconds; until it is replaced or pushed out, it takes a place.
+    Without a capacity, nothing is pushed out.
     """
     made = events.filter(F.col("event").isin("deliver", "fail")).groupBy("key").agg(F.max_by(F.struct("event", "value", "t"), "ord").alias("last"), F.min("ord").alias("since"))
     used = events.join(made.select("key", "since"), "key").filter("ord >= since").groupBy("key").agg(F.max("ord").alias("used"))
-    ranked = made.join(used, "key").withColumn("place", F.row_number().over(Window.orderBy(F.desc("used"))))
-    live = ranked.filter((F.col("place") <= capacity) & ((F.col("last.event") == "deliver") | (F.col("last.t") + negative > now)))
+    kept = made
+    if capacity is not None:
+        kept = made.join(used, "key").withColumn("place", F.row_number().over(Window.orderBy(F.desc("used")))).filter(F.col("place") <= capacity)
+    live = kept.filter((F.col("last.event") == "deliver") | (F.col("last.t") + negative > now))
     return live.select("key", "last.value", F.when(F.col("last.event") == "deliver", "value").otherwise("failed").alias("state"))
 
 

@@ -19,9 +19,11 @@ def matches(query: str, *columns: str) -> Column:
     return found
 
 
-def keyword_hits(entities: DataFrame, relations: DataFrame | None, query: str, k: int) -> DataFrame:
+def keyword_hits(entities: DataFrame, relations: DataFrame | None, query: str, k: int | None) -> DataFrame:
     """kind, ref_id, ord and score of the first k rows that match: entities in their order, then relations in theirs.
 
+    Without a k, all that match, in no order.
+
     Entities are searched by name, description and entity_type, relations by relation_type,
     description, from_entity and to_entity.
     """
@@ -29,7 +31,8 @@ def keyword_hits(entities: DataFrame, relations: DataFrame | None, query: str, k
     if relations is not None:
         more = relations.filter(matches(query, "relation_type", "description", "from_entity", "to_entity"))
         found = found.unionByName(more.select(F.lit("relation").alias("kind"), "ref_id", "ord"))
-    return found.orderBy("kind", "ord").limit(k).withColumn("score", F.lit(KEYWORD))
+    found = found if k is None else found.orderBy("kind", "ord").limit(k)
+    return found.withColumn("score", F.lit(KEYWORD))
 
 
 def positive(vector_hits: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:

@@ -208,3 +208,10 @@ def test_update_blocks_are_numbered(spark):
     base = spark.createDataFrame([("a", "k", "old", 4), ("b", "k", "same", 2)], "provider string, kind string, state string, number long")
     assert {r["provider"]: (r["mode"], r["number"]) for r in snapshots.due_updates(sections, base).collect()} == {"a": ("delta", 5), "c": ("full", 1)}
     assert {r["provider"]: r["number"] for r in snapshots.advanced(sections, base).collect()} == {"a": 5, "b": 2, "c": 1}
+
+
+def test_no_limit_is_no_number(spark):
+    parts = spark.range(300).select(F.col("id").alias("ref_id"), F.lit("ring").alias("name"), F.lit("").alias("description"), F.lit("").alias("entity_type"), F.col("id").alias("ord"))
+    assert ranking.keyword_hits(parts, None, "RING", None).count() == 300
+    events = spark.range(300).select(F.col("id").cast("string").alias("key"), F.lit("deliver").alias("event"), F.lit("v").alias("value"), F.lit(0.0).alias("t"), F.col("id").alias("ord"))
+    assert cache.contents(events, 0.0, None).count() == 300 and cache.contents(events, 0.0).count() == 128
