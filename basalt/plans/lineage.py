@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The rows, written to the folder in spark.checkpoint.dir; a folder of our own only where that is unset and the master is local."""
     _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -22,5 +22,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def _folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoints"))
     return sc.getCheckpointDir()
