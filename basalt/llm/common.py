@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +55,51 @@ _held: dict = {}
 def held(key: tuple, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks, of one operator at a time: another key drops the rest.
 
-    Workers run tasks of many stages, so what each stage remembers would add up.
+    Workers run tasks of many stages, so what each stage remembers would add up. Every operator that
+    runs Python calls this, also one that has nothing to keep.
     """
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            give_back()
         _held[key] = make()
     return _held[key]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system; the C library would keep it for this worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it, so that no column of ``df`` has it."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
+def joined_evenly(rows: DataFrame, groups: DataFrame, rows_on: Column, groups_on: Column, same: Column, size: str, row: str, most: int = 1000, ways: int = 64) -> DataFrame:
+    """The equi-join ``same`` of rows with their groups (one row each), no large group in one task.
+
+    ``size`` is the column of ``groups`` with the number of its rows, ``rows_on`` and ``groups_on`` are
+    the same number (a hash of the key) on either side, ``row`` a column that differs between rows.
+    Groups with more than one in ``most`` of all rows, so fewer than ``most`` of them, are sent to every
+    task by their number; their rows are dealt to ``ways`` parts, to each of which the group is sent.
+    """
+    total = rows.count()
+    hot = groups.filter(F.col(size) * most > total).select(groups_on.alias("hot")).distinct()  # fewer than ``most`` rows
+    part, parts = unused(rows, "part"), unused(groups, "to_part")
+    own = rows.withColumn(part + "_of", rows_on).join(F.broadcast(hot), F.col(part + "_of") == F.col("hot"), "left")
+    own = own.withColumn(part, F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(row), F.lit(ways))).otherwise(F.lit(0))).drop("hot", part + "_of")
+    to = groups.withColumn(parts + "_of", groups_on).join(F.broadcast(hot), F.col(parts + "_of") == F.col("hot"), "left")
+    to = to.withColumn(parts, F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0))))).drop("hot", parts + "_of")
+    return own.join(to, same & (F.col(part) == F.col(parts))).drop(part, parts)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the cluster's shared checkpoint folder and goes on from there.
 
@@ -88,7 +129,11 @@ def numbered(df: DataFrame, row: str) -> DataFrame:
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; on a local master only, one of our own where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoints"))
     return sc.getCheckpointDir()

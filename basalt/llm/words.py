@@ -13,6 +13,9 @@ from basalt.llm.common import held
 #: makes one unit of each, and neither Unicode composition nor its white-space rule changes them.
 REGULAR = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
+#: Letters of both cases with and without accents, punctuation in runs, numerals, other scripts and white space, on which a new file is tried.
+PROBE = "The quick-brown Größe NAÏVE don't ... 'tis (a.b) x1y2 100% é\t日本語 \n WORD end!?  ÿß×÷ ſ ﬁ a\u0301"
+
 
 class Ragged:
     """Rows of integers of different lengths, in one growing array."""
@@ -59,6 +62,7 @@ class Numbered(dict):
     def __init__(self) -> None:
         super().__init__()
         self.new: list = []
+        self.size = 0
 
     def __missing__(self, key):
         self[key] = n = len(self)
@@ -70,23 +74,30 @@ class Numbered(dict):
 
     def drain(self) -> list:
         new, self.new = self.new, []
+        self.size += sum(map(len, new))
         return new
 
+    def full(self, room: int, size: int = 16 << 20) -> bool:
+        """More than ``room`` keys, or than ``size`` letters in all: time to forget them. Nothing but time is lost."""
+        return len(self) > room or self.size > size
+
 
 class WordEncoder:
     """Encodes texts word by word; ASCII white space always ends a word for this kind of tokenizer
     (white space is dropped and no piece goes over it). ``room`` words are remembered at most."""
 
-    def __init__(self, path: str, room: int = 400_000) -> None:
+    def __init__(self, path: str, room: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.tokenizer, self.room, self.by_word = Tokenizer.from_file(path), room, True
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.final = np.zeros(self.size, bool)
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
+        # A file that follows other rules has no words to remember: its texts go to the tokenizer whole.
+        self.by_word = self([PROBE])[0].tolist() == self.tokenizer.encode(PROBE, add_special_tokens=False).ids
 
     def _forget(self) -> None:
         self.words, self.units = Numbered(), Numbered()
@@ -94,7 +105,10 @@ class WordEncoder:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
-        if len(self.words) > self.room:
+        if not self.by_word:
+            encoded = [np.asarray(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int32), *encoded]), np.array([len(x) for x in encoded], np.int64)
+        if self.words.full(self.room):
             self._forget()
         split = [(x or "").encode().split() for x in texts]
         rows = self.words.of([w for ws in split for w in ws])
