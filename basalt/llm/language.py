@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import held, in_fold, share
+from basalt.llm.common import held, in_fold, share, unused
 from basalt.llm.words import Numbered, Table
 
-#: Pieces of more bytes are left out of the vocabulary; eight bytes make one exact integer key.
-PIECE_BYTES = 8
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Ends of a word that are looked up at once, and (words x bytes) of a batch.
+BLOCK, BATCH = 1 << 14, 200_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -26,109 +26,129 @@ def pieces(path: str) -> list[bytes]:
     """The public vocabulary: byte strings of a rank file. All single bytes are in it, so any text has a segmentation."""
     with open(path, "rb") as lines:
         found = {base64.b64decode(line.split()[0]) for line in lines}
-    return sorted(x for x in found | {bytes([b]) for b in range(256)} if len(x) <= PIECE_BYTES)
+    return sorted(found | {bytes([b]) for b in range(256)})
 
 
 @functools.lru_cache(maxsize=2)
 def _tables(path: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per piece length: the sorted integer keys of the pieces, and their numbers."""
+    """Per piece length, up to the longest piece that a word can hold: the sorted pieces as keys, and their numbers.
+
+    Up to eight bytes make one integer; longer pieces are compared as byte strings.
+    """
+    own = [(x, i) for i, x in enumerate(pieces(path)) if _in_words(x)]
     out = []
-    for n in range(1, PIECE_BYTES + 1):
-        own = [(int.from_bytes(x, "big"), i) for i, x in enumerate(pieces(path)) if len(x) == n]
-        own.sort()
-        out.append((np.array([k for k, _ in own], np.uint64), np.array([i for _, i in own], np.int32)))
+    for n in range(1, max(len(x) for x, _ in own) + 1):
+        some = [(x, i) for x, i in own if len(x) == n]  # pieces() sorts them
+        keys = np.array([int.from_bytes(x, "big") for x, _ in some], np.uint64) if n <= 8 else np.array([x for x, _ in some], f"S{n}")
+        out.append((keys, np.array([i for _, i in some], np.int32)))
     return out
 
 
+def _in_words(piece: bytes) -> bool:
+    """Whether a piece can stand in a word, which has no space but the one that it begins with, nor any other ASCII sign than letters."""
+    return not any(b < 97 or 122 < b < 128 for b in piece[piece[:1] == b" " :])
+
+
 def words_of(text: str | None) -> list[str]:
     """The runs of letters, in lower case; runs of numerals alone (as fractions and superscripts) are none."""
     return [w for w in LETTERS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
-def lattice(words: list[str], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of words of one length: their places in the list, and ids[i, end, n - 1], the number of
-    the piece of n bytes that ends at a place of word i, or -1. A word begins with a space."""
+def batches_of(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of one length together: their places in the list, and their bytes as a matrix. A word begins with a space."""
     coded = [b" " + w.encode() for w in words]
     lens = np.array([len(w) for w in coded])
     for size in np.unique(lens):
         rows = np.flatnonzero(lens == size)
-        for part in np.array_split(rows, max(1, len(rows) * int(size) // 200_000)):
-            if not len(part):
-                continue
-            chars = np.frombuffer(b"".join(coded[i] for i in part), np.uint8).reshape(len(part), size).astype(np.uint64)
-            ids = np.full((len(part), size + 1, PIECE_BYTES), -1, np.int32)
-            for n, (keys, numbers) in enumerate(_tables(path), 1):
-                if n > size or not len(keys):
-                    continue
-                key = np.zeros((len(part), size - n + 1), np.uint64)
-                for j in range(n):
-                    key = key << np.uint64(8) | chars[:, j : size - n + 1 + j]
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                ids[:, n:, n - 1] = np.where(keys[at] == key, numbers[at], -1)
-            yield part, ids
+        for part in np.array_split(rows, max(1, len(rows) * int(size) // BATCH)):
+            if len(part):
+                yield part, np.frombuffer(b"".join(coded[i] for i in part), np.uint8).reshape(len(part), size)
+
+
+def lattice(chars: np.ndarray, first: int, last: int, path: str) -> np.ndarray:
+    """ids[i, e, n - 1]: the number of the piece of n bytes of word i that ends at first + e, or -1; ends ``first`` up to ``last``."""
+    tables = _tables(path)
+    reach = min(last, len(tables))
+    ids = np.full((len(chars), last - first + 1, reach), -1, np.int32)
+    for n, (keys, numbers) in enumerate(tables[:reach], 1):
+        low = max(first, n)  # no piece of n bytes ends before
+        if low > last or not len(keys):
+            continue
+        seen = np.lib.stride_tricks.sliding_window_view(chars[:, low - n : last], n, axis=1)
+        if n <= 8:
+            key = np.zeros(seen.shape[:2], np.uint64)
+            for j in range(n):
+                key = key << np.uint64(8) | seen[:, :, j]
+        else:
+            key = np.ascontiguousarray(seen).view(f"S{n}")[:, :, 0]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        ids[:, low - first :, n - 1] = np.where(keys[at] == key, numbers[at], -1)
+    return ids
+
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over axis 1; some term is finite, since each single byte is a piece."""
+    top = x.max(1)
+    return top + np.log(np.exp(x - top[:, None]).sum(1))
 
-def forward(ids: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all segmentations up to each end: alpha[i, end, language], and the log of the scale taken out of the last.
 
-    prob: (pieces + 1) x languages, the last row zero, for a piece that isn't there.
+def forward(chars: np.ndarray, path: str, log_prob: np.ndarray, whole: bool = False) -> np.ndarray:
+    """Log of the sum over all segmentations of each word, words x languages; with ``whole``, up to each end: words x ends x languages.
+
+    log_prob: (pieces + 1) x languages, the last row minus infinity, for a piece that isn't there. A
+    word of any length is taken in blocks; only the ends that a piece can reach back to are kept.
     """
-    n, size, langs = ids.shape[0], ids.shape[1] - 1, prob.shape[1]
-    alpha, scale = np.zeros((n, size + 1, langs)), np.zeros((n, langs))
-    alpha[:, 0] = 1
-    for end in range(1, size + 1):
-        reach = min(end, PIECE_BYTES)
-        p = prob[ids[:, end, :reach]]
-        alpha[:, end] = np.einsum("nrl,nrl->nl", p, alpha[:, end - reach : end][:, ::-1])
-        if end % 16 == 0:  # long words: keep what is still looked back on within range
-            top = alpha[:, end - reach + 1 : end + 1].max(1)
-            alpha[:, max(0, end - PIECE_BYTES) : end + 1] /= top[:, None]
-            scale += np.log(top)
-    return alpha, scale
+    (n, size), longest = chars.shape, len(_tables(path))
+    alpha = np.full((n, 1, log_prob.shape[1]), 0.0)
+    kept = [alpha]
+    for first in range(1, size + 1, BLOCK):
+        last = min(size, first + BLOCK - 1)
+        ids = lattice(chars, first, last, path)
+        back = alpha.shape[1]
+        alpha = np.concatenate([alpha, np.empty((n, last - first + 1, alpha.shape[2]))], axis=1)
+        for e in range(last - first + 1):
+            reach = min(first + e, ids.shape[2])
+            alpha[:, back + e] = _log_sum(alpha[:, back + e - reach : back + e][:, ::-1] + log_prob[ids[:, e, :reach]])
+        if whole:
+            kept.append(alpha[:, back:])
+        alpha = alpha[:, -longest:]
+    return np.concatenate(kept, axis=1) if whole else alpha[:, -1]
 
 
 def word_scores(words: list[str], path: str, prob: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability in each language."""
     out = np.zeros((len(words), prob.shape[1]))
-    for rows, ids in lattice(words, path):
-        alpha, scale = forward(ids, prob)
-        out[rows] = np.log(alpha[:, -1]) + scale
+    with np.errstate(divide="ignore"):
+        log_prob = np.log(prob)
+    for rows, chars in batches_of(words):
+        out[rows] = forward(chars, path, log_prob)
     return out
 
 
 def expected_counts(words: list[str], weights: np.ndarray, path: str, prob: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in all segmentations of the words, by a forward and a backward pass; one language."""
     out = np.zeros(len(prob))
-    for rows, ids in lattice(words, path):
-        size = ids.shape[1] - 1
-        if size > 200:  # runs of letters without an end are no words to learn from
-            continue
-        alpha, scale = forward(ids, prob)
-        if size >= 16:  # one scale for both passes
-            alpha = _unscaled(ids, prob)
-        alpha = alpha[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[:, size] = 1
-        total = np.maximum(alpha[:, size], 1e-300)
-        for end in range(size, 0, -1):
-            for n in range(1, min(end, PIECE_BYTES) + 1):
-                p = prob[ids[:, end, n - 1], 0]
-                use = p * beta[:, end]
-                beta[:, end - n] += use
-                out += np.bincount(ids[:, end, n - 1] % len(prob), alpha[:, end - n] * use / total * weights[rows], len(prob))
+    with np.errstate(divide="ignore"):
+        log_prob = np.log(prob)
+    for rows, chars in batches_of(words):
+        size = chars.shape[1]
+        alpha = forward(chars, path, log_prob, whole=True)[:, :, 0]
+        beta = np.full_like(alpha, -np.inf)
+        beta[:, size] = 0
+        for first in range((size - 1) // BLOCK * BLOCK + 1, 0, -BLOCK):
+            last = min(size, first + BLOCK - 1)
+            ids = lattice(chars, first, last, path)
+            for end in range(last, first - 1, -1):
+                own = ids[:, end - first, : min(end, ids.shape[2])]
+                onward = log_prob[own, 0] + beta[:, [end]]
+                before = slice(end - own.shape[1], end)
+                beta[:, before] = np.logaddexp(beta[:, before], onward[:, ::-1])
+                uses = np.exp(alpha[:, before][:, ::-1] + onward - alpha[:, [size]]) * weights[rows, None]
+                out += np.bincount((own % len(prob)).ravel(), uses.ravel(), len(prob))
     out[-1] = 0
     return out
 
 
-def _unscaled(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    alpha = np.zeros((ids.shape[0], ids.shape[1], 1))
-    alpha[:, 0] = 1
-    for end in range(1, ids.shape[1]):
-        reach = min(end, PIECE_BYTES)
-        alpha[:, end] = np.einsum("nrl,nrl->nl", prob[ids[:, end, :reach]], alpha[:, end - reach : end][:, ::-1])
-    return alpha
-
-
 class LanguageModel:
     """Languages, and the probability of each piece in each."""
 
@@ -189,7 +209,7 @@ def fit(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", la
     return LanguageModel(languages, prob, path)
 
 
-def predict(model: LanguageModel, text: Column, room: int = 400_000) -> Column:
+def predict(model: LanguageModel, text: Column, room: int = 300_000) -> Column:
     """A struct of lang_pred and score for a text column.
 
     The score is the posterior probability, languages being equally likely beforehand, over the letters
@@ -202,7 +222,7 @@ def predict(model: LanguageModel, text: Column, room: int = 400_000) -> Column:
         labels, scores, langs = [], [], len(model.languages)
         cache = held(("language", key), dict)  # words that this worker has scored
         for at in range(0, len(column), 256):
-            if not cache or len(cache["numbers"]) > room:
+            if not cache or cache["numbers"].full(room):
                 cache |= {"numbers": Numbered(), "table": Table(langs)}
             numbers, table = cache["numbers"], cache["table"]
             split = [words_of(t) for t in column.slice(at, 256).to_pylist()]
@@ -229,7 +249,8 @@ def predict(model: LanguageModel, text: Column, room: int = 400_000) -> Column:
 def identify(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1500) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row: learned from one part of the rows, applied to all.
 
-    A null doc_id is neither learned from nor held out. Repeated rows stay; an empty table gives none.
+    A null doc_id is neither learned from nor held out. Repeated rows stay, and score alike; an empty
+    table gives none. Other columns are not read. Runs of letters of any length are scored whole.
     """
     model = fit(df, path, doc_id, text, lang, sample)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -237,6 +258,11 @@ def identify(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
 
 def languages_known(df: DataFrame, path: str, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1500) -> DataFrame:
-    """The rows of ``df``, with all their columns, whose language is told: not ``und``, and with a score of ``least`` or more."""
-    model, told = fit(df, path, doc_id, text, lang, sample), "__language"
+    """The rows of ``df``, with all their columns, whose language is told: not ``und``, and with a score of ``least`` or more.
+
+    Null texts and texts without a letter go, and so do all rows if no row has a language to learn from;
+    a null in another column does not matter. Repeated rows stay or go together; an empty table gives
+    none. Columns may have any names.
+    """
+    model, told = fit(df, path, doc_id, text, lang, sample), unused(df, "language_told")
     return df.withColumn(told, predict(model, F.col(text))).filter((F.col(f"{told}.lang_pred") != "und") & (F.col(f"{told}.score") >= least)).drop(told)
