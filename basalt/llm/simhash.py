@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut, numbered, numbered_texts
+from basalt.llm.common import cut, held, joined_evenly, numbered, numbered_texts, unused
 from basalt.llm.components import components
 
-#: Every second bit, from the lowest: 16 segments of two bits make up half a fingerprint x, and
-#: x - ((x >> 1) & LOW_BITS) holds the bit count of each segment in that segment's two bits.
+#: Every second bit, from the lowest: x - ((x >> 1) & LOW_BITS) holds, for each segment of two bits of
+#: a half fingerprint x, how many of them are set, in that segment's two bits.
 LOW_BITS = 0x55555555
 
 
@@ -48,10 +48,11 @@ def fingerprints_of(texts_: list[bytes | None], width: int = 3, at_once: int = 1
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, row: str | None = None) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) and row_id of every row."""
+    """doc_id, fp (the 64 bits as a long) and row_id of every row; a null text counts as empty."""
     rows = numbered_texts(df, doc_id, text, row).select("row_id", "doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("simhash",), object)  # nothing to keep, but what other operators left goes
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
@@ -61,24 +62,33 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     return rows.mapInArrow(run, f"row_id long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def segment_counts(x: str) -> str:
+    """SQL for the bit counts of a half fingerprint's segments of two bits, as one number of 64 bits: those that begin at even bits, and those at odd ones."""
+    counts = lambda y: f"({y} - (shiftright({y}, 1) & {LOW_BITS}L))"
+    return f"({counts(x)} | shiftleft({counts(f'shiftright({x}, 1)')}, 32))"
+
+
 def linked(distinct: DataFrame, most: int = 3) -> DataFrame:
     """Pairs a < b of fingerprints (column fp, each once) that differ in at most ``most`` (3 or fewer) bits.
 
-    Fingerprints are points of bit counts in 32 dimensions. The Manhattan distance of two points is at
-    most the number of bits that differ, so if that is 3 or less, the points are at distance 1 or less
-    in the first 16 dimensions or in the last 16. In each half a point stands in its own cell and
-    visits the cells at distance 1; points that meet in a cell are verified on all 64 bits.
+    Each half of a fingerprint is a point of bit counts in 32 dimensions, one for each two neighbouring
+    bits, so a bit that differs moves the point by one in at most two of them: half the Manhattan
+    distance of two points is a lower bound of the bits that differ. If these are 3 or fewer, they are
+    at most one in one of the halves. In each half a point stands in the grid cell of its counts and
+    visits the cells that it would have with one bit changed; points that meet in a cell are verified
+    on all 64 bits. Segments overlap, since counts of separate ones let a thousand times as many
+    unlike points meet. An empty table gives no pairs; null fingerprints none.
     """
     if most > 3:
         raise ValueError("two halves find pairs of at most 3 differing bits")
-    halves = "explode(array(struct(0L as half, fp & 4294967295L as x), struct(1L as half, shiftrightunsigned(fp, 32) as x)))"
-    cells = distinct.select("fp", F.expr(halves).alias("c")).select("fp", F.expr(f"c.half * 4294967296L + c.x - (shiftright(c.x, 1) & {LOW_BITS}L)").alias("cell"))
-    up = "transform(filter(sequence(0, 30, 2), i -> (shiftrightunsigned(cell, i) & 3L) < 2L), i -> cell + shiftleft(1L, i))"
-    down = "transform(filter(sequence(0, 30, 2), i -> (shiftrightunsigned(cell, i) & 3L) > 0L), i -> cell - shiftleft(1L, i))"
-    visits = cells.select(F.col("fp").alias("a"), F.expr(f"explode(concat(array(cell), {up}, {down}))").alias("cell"))
-    homes = cells.select(F.col("fp").alias("b"), F.col("cell").alias("home"))
+    halves = "explode(array(struct(0 as half, fp & 4294967295L as x), struct(1 as half, shiftrightunsigned(fp, 32) as x))) as c"
+    points = distinct.selectExpr("fp", halves)
+    around = f"transform(sequence(0, 31), i -> {segment_counts('(c.x ^ shiftleft(1L, i))')})"
+    visits = points.selectExpr("fp as a", "c.half as half", f"explode(concat(array({segment_counts('c.x')}), {around})) as cell")
+    homes = points.selectExpr("fp as b", "c.half as home_half", f"{segment_counts('c.x')} as home")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    return visits.join(homes, (F.col("cell") == F.col("home")) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    met = (F.col("cell") == F.col("home")) & (F.col("half") == F.col("home_half")) & (F.col("a") < F.col("b"))
+    return visits.join(homes, met & close).select("a", "b").distinct()
 
 
 def near_groups(
@@ -94,24 +104,25 @@ def near_groups(
     place in the input, or the column ``row`` if that is given.
     """
     rows = cut(fingerprints(df, doc_id, text, width, row))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
     reached = cut(components(linked(distinct.select("fp"), most)))
     joined = reached.join(distinct, reached.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component"))
     moved = reached.join(joined, "root").select("node", "root", "component")
     groups = distinct.join(moved, distinct.fp == moved.node, "left").select(
-        F.col("fp").alias("of"), F.coalesce("root", "fp").alias("group_id"), F.expr("if(node is null, least, component)").alias("component_id")
-    )
-    return rows.join(groups, F.col("fp") == F.col("of")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row_id", "group_id"
+        F.col("fp").alias("of"), F.coalesce("root", "fp").alias("group_id"), F.expr("if(node is null, least, component)").alias("component_id"), "size"
     )
+    found = joined_evenly(rows, groups, F.col("fp"), F.col("of"), F.col("fp") == F.col("of"), "size", "row_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row_id", "group_id")
 
 
 def near_distinct(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3) -> DataFrame:
     """The rows of ``df``, with all their columns, one of each group: the smallest doc_id, and of its repeated rows the first.
 
-    ``df`` is computed once: its rows are stored with their places and found again by these.
+    ``df`` is computed once: its rows are stored with their places and found again by these. Null and
+    empty texts are one group; a null doc_id stays only where its group has no other. An empty table
+    gives no rows. Columns may have any names.
     """
-    row = "__near_row"
+    row = unused(df, "near_row")
     rows = numbered(df, row)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first")
     kept = near_groups(rows, doc_id, text, width, most, row).groupBy("group_id").agg(first).select(F.col("first.row_id").alias(row))
