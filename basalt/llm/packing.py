@@ -152,18 +152,19 @@ def pack(
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
 
-    cut_up = cut(rows.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary"))
+    # Numbers of the pieces deal them to buckets, since null and repeated ids would meet in one.
+    cut_up = cut(rows.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary").withColumn("piece", F.monotonically_increasing_id()))
     total = cut_up.count()
     # A third of all pieces may have one length; a bucket of a length stays at some thousands of pieces.
     buckets = max(64, total // 20_000)
-    bucketed = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    bucketed = cut_up.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets)))
     counts = cut(bucketed.groupBy("length", "bucket").count())
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("count")).collect()}
     plan = df.sparkSession.sparkContext.broadcast(Plan(histogram, capacity))
     before = counts.selectExpr(
         "length", "bucket", "coalesce(sum(count) over (partition by length order by bucket rows between unbounded preceding and 1 preceding), 0L) as before"
     )
-    ranked = bucketed.withColumn("n", F.expr("row_number() over (partition by length, bucket order by doc_id, start) - 1L")).join(before, ["length", "bucket"])
+    ranked = bucketed.withColumn("n", F.expr("row_number() over (partition by length, bucket order by doc_id, start, piece) - 1L")).join(before, ["length", "bucket"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
