@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import SPACES, cut, numbered, numbered_texts
+from basalt.llm.common import SPACES, cut, joined_evenly, numbered, numbered_texts, unused
 
 #: A chunk ends after one letter of each class, no sooner than MIN and no later than MAX characters.
 BOUNDARY = "[ehinort0-4\\u00E0-\\u00E9\\u0400-\\u0437\\u4E00-\\u6FFF][bcdfgkmpuvwy5-9\\u00EA-\\u00FF\\u0438-\\u04FF\\u7000-\\u9FFF][adelsz.,]"
@@ -62,7 +62,8 @@ def exact_groups(
         F.col("recipe").alias("g_recipe"), F.col("marks").alias("g_marks"), "group_size", (-F.col("best.id_down")).alias("keep_id"), (-F.col("best.row_down")).alias("keep_row")
     )
     same = (F.col("recipe") == F.col("g_recipe")) & F.col("marks").eqNullSafe(F.col("g_marks"))
-    return digests.join(groups, same).select(
+    by, to = F.xxhash64("recipe", "marks"), F.xxhash64("g_recipe", "g_marks")
+    return joined_evenly(digests, groups, by, to, same, "group_size", "row_id").select(
         "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256", "row_id"
     )
 
@@ -74,11 +75,13 @@ def _digests(cuts: DataFrame, hashed) -> DataFrame:
 
 
 def exact_distinct(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns.
+    """The rows of ``df`` that stay, with all their columns: of equal texts the longest, then the smallest doc_id.
 
-    ``df`` is computed once: its rows are stored with their places and found again by these.
+    ``df`` is computed once: its rows are stored with their places and found again by these. Null texts
+    equal empty ones; of repeated rows the first stays; a null doc_id stays only where its group has no
+    other. An empty table gives no rows. Columns may have any names.
     """
-    row = "__exact_row"
+    row = unused(df, "exact_row")
     rows = numbered(df, row)
     kept = exact_groups(rows, doc_id, text, row=row).filter("kept").select(F.col("row_id").alias(row))
     return rows.join(kept, row, "left_semi").drop(row)
