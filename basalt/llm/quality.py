@@ -40,7 +40,7 @@ class Index:
                 shape = "upper" if unit.isupper() and len(unit) > 1 else "lower" if unit.islower() else "title" if unit.istitle() else "mixed"
                 out += [self.bucket("word", unit.lower()), self.bucket("shape", shape)]
             else:
-                out.append(self.bucket("digits", "") if unit[0].isdigit() else self.bucket("signs", unit[:16]))
+                out.append(self.bucket("digits", "") if unit[0].isdigit() else self.bucket("signs", unit))
         return out
 
 
@@ -77,7 +77,7 @@ class Pooler:
 
     def features(self, texts: list[str | None], cache: dict, room: int = 300_000) -> np.ndarray:
         """One row a text; an empty text has zeros."""
-        if not cache or len(cache["numbers"]) > room:
+        if not cache or cache["numbers"].full(room):
             cache |= {"numbers": Numbered(), "table": Table(self.width, np.float32)}
         numbers, table = cache["numbers"], cache["table"]
         split = [(t or "").split() for t in texts]

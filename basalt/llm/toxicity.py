@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import held, in_fold
+from basalt.llm.common import held, in_fold, unused
 from basalt.llm.labelled import labelled_sample
 from basalt.llm.words import Numbered, Table
 
@@ -60,7 +60,7 @@ class Features:
 
     def __call__(self, texts: list[str | None], cache: dict, room: int = 300_000, window: int = 5) -> np.ndarray:
         """One row a text, in the order of FEATURES; an empty text has zeros."""
-        if not cache or len(cache["numbers"]) > room:
+        if not cache or cache["numbers"].full(room):
             cache |= {"numbers": Numbered(), "table": Table(len(WORD_FIELDS), np.float32)}
         numbers, table = cache["numbers"], cache["table"]
         split = [(t or "").split() for t in texts]
@@ -242,8 +242,12 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
 
 def clean(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 12000, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``df``, with all their columns, that score below ``threshold``; without any labels, all rows."""
-    model, told = fit(df, labels, label, doc_id, text, sample), "__toxicity"
+    """The rows of ``df``, with all their columns, that score below ``threshold``; without labels of both kinds, all rows.
+
+    A null or empty text scores as one without words; nulls in other columns do not matter. Repeated
+    rows stay or go together; an empty table gives none. Columns may have any names.
+    """
+    model, told = fit(df, labels, label, doc_id, text, sample), unused(df, "toxicity_told")
     if not model.trees.forest:
         return df
     return df.withColumn(told, score(model, F.col(text))).filter(F.col(told) < threshold).drop(told)
