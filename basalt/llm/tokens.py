@@ -25,21 +25,26 @@ def write_token_files(
     doc_id: str = "doc_id",
     text: str = "text",
     shards: int | None = None,
+    shard_bytes: int = 256 << 20,
     stripe_bytes: int = 64 << 20,
     index_rows: int = 1000,
     false_positives: float = 0.01,
 ) -> None:
     """Encodes every whole text and writes the ids as ORC in ascending order of doc_id.
 
-    Rows are dealt by ranges of doc_id to ``shards`` files (the session's shuffle partitions unless
-    given) and sorted within them; ``shard`` numbers the files in that order, and ``offset`` is how
+    Rows are dealt by ranges of doc_id to ``shards`` files (unless given, as many as the session's shuffle
+    partitions, and so many more that a file has about ``shard_bytes`` of text) and sorted within them; ``shard`` numbers the files in that order, and ``offset`` is how
     many ids of the file come before the row. ORC writes the integers run-length encoded, in stripes
     that are read in parallel, with statistics for each ``index_rows`` rows and a Bloom filter on
     doc_id, so that a search by id reads few stripes. A null text has the end id only. A null doc_id
     comes first. Rows of one doc_id stand together, ordered by their texts' hash; repeated rows stay.
+    An empty table gives files without rows. Other columns are not read.
     """
     rows = texts(df, doc_id, text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = shards or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shards
+    if not n:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
+        n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +87,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_index(files: DataFrame) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32; of files without rows none."""
     sizes = files.groupBy("shard").agg(F.sum("n_tokens").alias("size"))
     # One row a file, so its size is bounded by the number of files that were asked for.
     bases = F.broadcast(sizes.select(F.col("shard").alias("of"), F.expr("coalesce(sum(size) over (order by shard rows between unbounded preceding and 1 preceding), 0L)").alias("base")))
