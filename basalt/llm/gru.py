@@ -3,24 +3,20 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
-#: Head words in one class of the output, and classes of them.
-CLASS_WORDS, CLASSES = 32, 32
-HEAD = CLASS_WORDS * CLASSES
-#: Ids after the head words: any other word, and the end of a document (also what comes before its first word).
-REST, END = HEAD, HEAD + 1
-
 
 class Lanes:
     """Documents side by side: each lane holds whole documents one after the other, the longest lanes first.
 
     ``active`` tells how many lanes go on at a step, so steps that only few long documents reach are
     narrow. The table is kept to about four times the size of the documents by making fewer lanes.
+    ``end`` is the id that closes a document, and what comes before its first word.
     """
 
-    def __init__(self, docs: list[np.ndarray], width: int) -> None:
+    def __init__(self, docs: list[np.ndarray], width: int, end: int) -> None:
         lens = np.array([len(d) for d in docs], np.int64)
         lanes = int(max(1, min(width, len(docs), 4 * lens.sum() // max(1, lens.max())))) if len(docs) else 1
         ends, own = [(0, k) for k in range(lanes)], [(0, 0)] * len(docs)
@@ -33,8 +29,8 @@ class Lanes:
         self.places = [(at, new[k]) for at, k in own]
         self.ends = np.array([e for e, _ in order], np.int64)
         self.steps = int(self.ends[0])
-        self.target = np.full((self.steps, lanes), -1, np.int16)
-        self.given = np.full((self.steps, lanes), END, np.int16)
+        self.target = np.full((self.steps, lanes), -1, np.int32)
+        self.given = np.full((self.steps, lanes), end, np.int32)
         self.keep = np.ones((self.steps, lanes), np.bool_)
         for d, (at, k) in zip(docs, self.places):
             self.target[at : at + len(d), k] = d
@@ -56,39 +52,59 @@ def segments(docs: list[np.ndarray], size: int) -> list[np.ndarray]:
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
-    """In place; numpy's exp is much faster than its tanh."""
+    """In place; an exponential that is too large gives 0."""
     np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _scores(hs: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place; numpy's exp is much faster than its tanh."""
+    x *= -2
+    np.exp(x, out=x)
+    x += 1
+    np.divide(2, x, out=x)
+    x -= 1
+    return x
+
+
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """Stable; short integers are sorted by their digits."""
+    return np.argsort(numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers, kind="stable")
+
+
+def _scores(hs: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logits, their exponentials and the sums of these; states are below 1, so logits stay far below the limit set here."""
     z = hs @ weight
-    z += bias
     np.minimum(z, 80, out=z)
     e = np.exp(z)
     return z, e, e @ np.ones(e.shape[1], np.float32)
 
 
 class Gru:
-    """h' = n + z (h - n). A word's probability is that of its class times, for a head word, its own within the class."""
+    """h' = n + z (h - n). A word's probability is that of its class times, for a head word, its own within the class.
+
+    ``head_words`` words, the most frequent first, have ids from 0 on and a place in one of ``side``
+    classes of as many words each, so the work for a word grows with the square root of the head. All
+    other words share the id and the class ``rest``; ``end`` closes a document.
+    """
 
-    NAMES = ("embed", "into", "into_b", "state", "state_b", "klass", "klass_b", "word", "word_b")
+    NAMES = ("embed", "into", "into_b", "state", "state_b", "klass", "word")
 
     def __init__(self, head_words: int, width: int = 16, hidden: int = 24, seed: int = 3) -> None:
         rng, h = np.random.default_rng(seed), hidden
-        self.hidden = hidden
-        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
-        self.embed = rng.normal(0, 0.3, (HEAD + 2, width)).astype(np.float32)
-        self.into, self.into_b = draw(width, 3 * h), np.zeros(3 * h, np.float32)
-        self.state, self.state_b = draw(h, 3 * h), np.zeros(3 * h, np.float32)
-        self.klass, self.klass_b = draw(h, CLASSES + 2), np.zeros(CLASSES + 2, np.float32)
-        self.word, self.word_b = (rng.normal(0, 0.1, (CLASSES, CLASS_WORDS, h))).astype(np.float32), np.zeros((CLASSES, CLASS_WORDS), np.float32)
-        # Places without a word get no probability.
-        there = (np.arange(HEAD) < head_words).reshape(CLASSES, CLASS_WORDS)
+        self.hidden, self.side = hidden, max(2, math.isqrt(max(0, head_words - 1)) + 1)
+        self.rest, self.end = self.side**2, self.side**2 + 1
+        draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[-2]), shape).astype(np.float32)
+        self.embed = rng.normal(0, 0.3, (self.end + 1, width)).astype(np.float32)
+        # Of the gates z and r and of the candidate n, in this order.
+        self.into, self.into_b = draw(3, width, h), np.zeros((3, h), np.float32)
+        self.state, self.state_b = draw(3, h, h), np.zeros(h, np.float32)
+        # The last rows are the biases. Places without a word get no probability.
+        self.klass, self.word = draw(h + 1, self.side + 2), rng.normal(0, 0.1, (self.side, h + 1, self.side)).astype(np.float32)
+        self.klass[h] = self.word[:, h] = 0
+        there = (np.arange(self.rest) < head_words).reshape(self.side, self.side)
         self.no_word = np.where(there, 0, -1e9).astype(np.float32)
         self.no_class = np.where(np.concatenate([there.any(1), [True, True]]), 0, -1e9).astype(np.float32)
 
@@ -104,98 +120,135 @@ class Gru:
         return self
 
     def _run(self, given: np.ndarray, keep: np.ndarray, h: np.ndarray, remember: bool):
-        table = self.embed @ self.into + self.into_b
-        gates, n2 = table[given], 2 * self.hidden
-        out, past = np.empty((*given.shape, self.hidden), np.float32), []
-        for t in range(len(given)):
-            before = h * keep[t][:, None]
-            own = before @ self.state
-            own += self.state_b
-            zr = _logistic(gates[t, :, :n2] + own[:, :n2])
-            z, r = zr[:, : self.hidden], zr[:, self.hidden :]
-            n = 2 * _logistic(2 * (gates[t, :, n2:] + r * own[:, n2:])) - 1
-            h = out[t] = n + z * (before - n)
-            if remember:
-                past.append((before, z, r, n, own[:, n2:]))
-        return out, h, past
+        """States after each step, the last one, and with ``remember`` what the gradients need: states before, gates (z, r, n), and n's part of the state."""
+        (steps, lanes), size = given.shape, self.hidden
+        table = np.matmul(self.embed, self.into) + self.into_b[:, None]
+        gates = np.take(table.reshape(-1, size), given[:, None, :] + (np.arange(3, dtype=np.int32) * len(self.embed))[:, None], axis=0)
+        out, whole = np.empty((steps, lanes, size), np.float32), keep.all(1)
+        own = np.empty((steps if remember else 1, 3, lanes, size), np.float32)
+        before = np.empty((steps if remember else 1, lanes, size), np.float32)
+        spare = np.empty((lanes, size), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                at = t if remember else 0
+                if whole[t]:
+                    before[at] = h
+                else:
+                    np.multiply(h, keep[t][:, None], out=before[at])
+                np.matmul(before[at], self.state, out=own[at])
+                own[at, 2] += self.state_b
+                gate = gates[t]
+                gate[:2] += own[at, :2]
+                _logistic(gate[:2])
+                np.multiply(gate[1], own[at, 2], out=spare)
+                gate[2] += spare
+                n, h = _tanh(gate[2]), out[t]
+                np.subtract(before[at], n, out=h)
+                h *= gate[0]
+                h += n
+        return out, h, (before, gates, own[:, 2])
 
     def _classes(self, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _scores(hs, self.klass, self.klass_b + self.no_class)
+        weight = self.klass.copy()
+        weight[-1] += self.no_class
+        return _scores(hs, weight)
 
     def _words(self, hs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _scores(hs, self.word[k].T, self.word_b[k] + self.no_word[k])
-
-    @staticmethod
-    def _class_of(target: np.ndarray) -> np.ndarray:
-        return np.where(target < HEAD, target // CLASS_WORDS, target - HEAD + CLASSES)
-
-    @staticmethod
-    def _by_class(klass: np.ndarray):
-        order = np.argsort(klass, kind="stable")
-        ends = np.searchsorted(klass[order], np.arange(CLASSES + 1))
-        return ((k, order[a:b]) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
+        weight = self.word[k].copy()
+        weight[-1] += self.no_word[k]
+        return _scores(hs, weight)
+
+    def _class_of(self, target: np.ndarray) -> np.ndarray:
+        return np.where(target < self.rest, target // self.side, target - self.rest + self.side)
+
+    def _by_class(self, klass: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """The order of targets by class, the head's only, and where in it each class is."""
+        order = _order(klass)
+        ends = np.searchsorted(klass[order], np.arange(self.side + 1))
+        return order[: ends[-1]], [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+
+    def _told(self, hs: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where there is a target, those targets, and their states with a one behind for the bias."""
+        some = np.flatnonzero(target.ravel() >= 0)
+        rows = np.ones((len(some), self.hidden + 1), np.float32)
+        rows[:, :-1] = hs.reshape(-1, self.hidden)[some]
+        return some, target.ravel()[some], rows
 
     def log_probabilities(self, docs: list[np.ndarray], width: int = 512, window: int = 64) -> list[float]:
         """Natural log of each whole document: the state goes on from window to window."""
-        lanes = Lanes(docs, width)
+        lanes = Lanes(docs, width, self.end)
         values, h = np.zeros(lanes.target.shape, np.float32), np.zeros((lanes.target.shape[1], self.hidden), np.float32)
         for part, n in lanes.windows(window):
             hs, h, _ = self._run(lanes.given[part, :n], lanes.keep[part, :n], h[:n], False)
-            target = lanes.target[part, :n].ravel()
-            some = np.flatnonzero(target >= 0)
-            rows, own = hs.reshape(-1, self.hidden)[some], target[some]
+            some, own, rows = self._told(hs, lanes.target[part, :n])
             klass = self._class_of(own)
             z, _, total = self._classes(rows)
             p = z[np.arange(len(own)), klass] - np.log(total)
-            for k, at_k in self._by_class(klass):
-                z, _, total = self._words(rows[at_k], k)
-                p[at_k] += z[np.arange(len(at_k)), own[at_k] % CLASS_WORDS] - np.log(total)
-            flat = np.zeros(len(target), np.float32)
+            order, classes = self._by_class(klass)
+            rows, place, within = rows[order], own[order] % self.side, np.empty(len(order), np.float32)
+            for k, at in classes:
+                z, _, total = self._words(rows[at], k)
+                within[at] = z[np.arange(len(z)), place[at]] - np.log(total)
+            p[order] += within
+            flat = np.zeros(hs.shape[0] * n, np.float32)
             flat[some] = p
             values[part, :n] = flat.reshape(-1, n)
         return lanes.sums(values, docs)
 
     def _gradients(self, given, keep, target, h) -> tuple[list[np.ndarray], np.ndarray]:
-        hs, last, past = self._run(given, keep, h, True)
-        flat, target = hs.reshape(-1, self.hidden), target.ravel()
-        some = np.flatnonzero(target >= 0)
-        rows, own = flat[some], target[some]
+        hs, last, (before, gates, own_n) = self._run(given, keep, h, True)
+        some, own, rows = self._told(hs, target)
         klass, scale = self._class_of(own), np.float32(1 / max(1, len(own)))
         _, d, total = self._classes(rows)
-        d /= total[:, None]
-        d[np.arange(len(own)), klass] -= 1
-        d *= scale
-        g_klass, g_klass_b, back = rows.T @ d, d.sum(0), d @ self.klass.T
-        g_word, g_word_b = np.zeros_like(self.word), np.zeros_like(self.word_b)
-        for k, at in self._by_class(klass):
+        d *= (scale / total)[:, None]
+        d[np.arange(len(own)), klass] -= scale
+        g_klass, back = rows.T @ d, d @ self.klass[:-1].T
+        g_word = np.zeros_like(self.word)
+        order, classes = self._by_class(klass)
+        rows, place, within = rows[order], own[order] % self.side, np.empty((len(order), self.hidden), np.float32)
+        for k, at in classes:
             _, d, total = self._words(rows[at], k)
-            d /= total[:, None]
-            d[np.arange(len(at)), own[at] % CLASS_WORDS] -= 1
-            d *= scale
-            g_word[k], g_word_b[k] = d.T @ rows[at], d.sum(0)
-            back[at] += d @ self.word[k]
-        g_out = np.zeros_like(flat)
+            d *= (scale / total)[:, None]
+            d[np.arange(len(d)), place[at]] -= scale
+            np.matmul(rows[at].T, d, out=g_word[k])
+            np.matmul(d, self.word[k, :-1].T, out=within[at])
+        back[order] += within
+        g_out = np.zeros((hs.shape[0] * hs.shape[1], self.hidden), np.float32)
         g_out[some] = back
-        g_out, n2 = g_out.reshape(hs.shape), 2 * self.hidden
-        g_in, g_own = np.empty((*given.shape, 3 * self.hidden), np.float32), np.empty((*given.shape, 3 * self.hidden), np.float32)
-        carried = np.zeros_like(h)
-        before, z, r, n, own_n = (np.stack(x) for x in zip(*past))
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), own_n * r * (1 - r)
+        g_out = g_out.reshape(hs.shape)
+        z, r, n = gates[:, 0], gates[:, 1], gates[:, 2]
+        to_z, to_r, to_n = (before - n) * z * (1 - z), own_n * r * (1 - r), (1 - z) * (1 - n * n)
+        g_in, g_own_n = np.empty_like(gates), np.empty_like(hs)
+        back_state, part = self.state.transpose(0, 2, 1), np.empty((3, *h.shape), np.float32)
+        carried, spare = np.zeros_like(h), np.empty_like(h)
         for t in range(len(given) - 1, -1, -1):
-            g, gates, own = g_out[t] + carried, g_in[t], g_own[t]
-            np.multiply(g, to_z[t], out=gates[:, : self.hidden])
-            np.multiply(g, to_n[t], out=gates[:, n2:])
-            np.multiply(gates[:, n2:], to_r[t], out=gates[:, self.hidden : n2])
-            own[:, :n2] = gates[:, :n2]
-            np.multiply(gates[:, n2:], r[t], out=own[:, n2:])
-            carried = (g * z[t] + own @ self.state.T) * keep[t][:, None]
-        befores = before.reshape(-1, self.hidden)
-        g_own, g_in, ids = g_own.reshape(-1, 3 * self.hidden), g_in.reshape(-1, 3 * self.hidden), given.ravel()
-        order = np.argsort(ids, kind="stable")
+            g, own_t = g_out[t], g_in[t]
+            g += carried
+            np.multiply(g, to_z[t], out=own_t[0])
+            np.multiply(g, to_n[t], out=own_t[2])
+            np.multiply(own_t[2], to_r[t], out=own_t[1])
+            np.multiply(own_t[2], r[t], out=g_own_n[t])
+            np.matmul(own_t[:2], back_state[:2], out=part[:2])
+            np.matmul(g_own_n[t], back_state[2], out=part[2])
+            np.multiply(g, z[t], out=carried)
+            np.add(part[0], part[1], out=spare)
+            spare += part[2]
+            carried += spare
+            carried *= keep[t][:, None]
+        g_state = np.empty_like(self.state)
+        flat = before.reshape(-1, self.hidden)
+        into_flat = [np.ascontiguousarray(g_in[:, j]).reshape(-1, self.hidden) for j in range(3)]
+        for j in range(3):
+            g_state[j] = flat.T @ (into_flat[j] if j < 2 else g_own_n.reshape(-1, self.hidden))
+        ids = given.ravel()
+        words = self.embed[ids]
+        g_into = np.stack([words.T @ x for x in into_flat])
+        g_words = sum(x @ w.T for x, w in zip(into_flat, self.into))
+        order = _order(ids)
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g_table = np.zeros((len(self.embed), 3 * self.hidden), np.float32)
-        g_table[ids[order][first]] = np.add.reduceat(g_in[order], first, axis=0)
-        return [g_table @ self.into.T, self.embed.T @ g_table, g_table.sum(0), befores.T @ g_own, g_own.sum(0), g_klass, g_klass_b, g_word, g_word_b], last
+        g_embed = np.zeros_like(self.embed)
+        g_embed[ids[order][first]] = np.add.reduceat(g_words[order], first, axis=0)
+        return [g_embed, g_into, np.stack([x.sum(0) for x in into_flat]), g_state, g_own_n.sum((0, 1)), g_klass, g_word], last
 
     def train(self, docs: list[np.ndarray], optimiser: Adam, width: int = 256, window: int = 24, segment: int = 1024) -> int:
         """One pass by truncated backpropagation; the state is carried over windows, gradients are not. Returns the number of tokens.
@@ -205,7 +258,7 @@ class Gru:
         docs = segments(docs, segment)
         if not docs:
             return 0
-        lanes = Lanes(docs, width)
+        lanes = Lanes(docs, width, self.end)
         h = np.zeros((lanes.target.shape[1], self.hidden), np.float32)
         for part, n in lanes.windows(window):
             grads, h = self._gradients(lanes.given[part, :n], lanes.keep[part, :n], lanes.target[part, :n], h[:n])
@@ -221,10 +274,11 @@ class Adam:
         """Changes the weights in place."""
         if self.m is None:
             self.m, self.v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-        size = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
+        size = math.sqrt(sum(float(np.vdot(g, g)) for g in grads))
         self.n += 1
         for w, g, m, v in zip(weights, grads, self.m, self.v):
-            g = g * np.float32(min(1.0, self.clip / (size + 1e-9)))
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            w -= np.float32(self.rate) * (m / np.float32(1 - 0.9**self.n)) / (np.sqrt(v / np.float32(1 - 0.999**self.n)) + np.float32(1e-8))
+            g *= np.float32(min(1.0, self.clip / (size + 1e-9)))
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            v += np.float32(0.001) * (g - v)
+            w -= np.float32(self.rate / (1 - 0.9**self.n)) * m / (np.sqrt(v / np.float32(1 - 0.999**self.n)) + np.float32(1e-8))

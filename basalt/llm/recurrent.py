@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut, in_fold, share
-from basalt.llm.gru import END, HEAD, REST, Adam, Gru
+from basalt.llm.common import cut, held, in_fold, share
+from basalt.llm.gru import Adam, Gru
 
 LN10 = math.log(10)
 
@@ -26,6 +27,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word (binary) and n over all rows' texts: each task counts its own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("recurrent",), object)  # nothing to keep, but what other operators left goes
         counts: Counter = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -53,12 +55,11 @@ class Coder:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """A row per word: below ``head`` those of the model, -1 for words that are not sent."""
-        get = self.rows.get
-        return np.array([get(w, -1) for w in words], np.int64)
+        return np.fromiter(map(self.rows.get, words, repeat(-1)), np.int32, len(words))
 
-    def ids(self, rows: np.ndarray) -> np.ndarray:
+    def ids(self, rows: np.ndarray, model: Gru) -> np.ndarray:
         """For the model: any other word is one, and the end follows."""
-        return np.append(np.where((rows >= 0) & (rows < self.head), rows, REST), END).astype(np.int16)
+        return np.append(np.where((rows >= 0) & (rows < self.head), rows, np.int32(model.rest)), np.int32(model.end))
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
@@ -70,31 +71,53 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
             yield from zip(*columns)
 
 
-def train(rows: DataFrame, frequent: dict[bytes, int], head: list[bytes], sample: int = 1500, epochs: int = 3, rate: float = 8e-3, shard_rate: float = 2e-3, tokens: int = 1_000_000) -> np.ndarray:
+def train(
+    rows: DataFrame,
+    frequent: dict[bytes, int],
+    head: list[bytes],
+    hidden: int = 24,
+    sample: int = 1500,
+    sample_tokens: int = 3_000_000,
+    epochs: int = 4,
+    rate: float = 8e-3,
+    shard_rate: float = 2e-3,
+    tokens: int = 1_000_000,
+) -> np.ndarray:
     """The weights after a first round on about ``sample`` documents and one pass over all rows.
 
-    The first round brings the weights near a good place. Then each task goes on from there over its
-    whole shard of the corpus, and the weights of all tasks are averaged by their tokens: a task sends
-    one vector of fixed length, a few tasks add vectors up, and their sums come to the driver.
+    The first round, in one task over ``sample_tokens`` tokens of the sample at most, brings the weights
+    near a good place. Then each task goes on from there over its whole shard of the corpus, and the
+    weights of all tasks are averaged by their tokens: a task sends one vector of fixed length, a few
+    tasks add vectors up, and their sums come to the driver.
     """
+    spark, total = rows.sparkSession.sparkContext, rows.count()
     coder = Coder({w: frequent[w] for w in head}, head)
-    model, total = Gru(len(head)), rows.count()
-    first = rows.filter(share("doc_id", "recurrent", sample, total)).select("doc_id", "text").collect()
-    docs = [coder.ids(coder(words_of(bytes(r["text"] or b"")))) for r in sorted(first, key=lambda r: (r["doc_id"], bytes(r["text"] or b"")))]
-    optimiser = Adam(rate)
-    for _ in range(epochs):
-        model.train(docs, optimiser, width=128)
-    begun = rows.sparkSession.sparkContext.broadcast((model.weights(), coder))
+    sent = spark.broadcast(coder)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, step, docs, n = Gru(sent.value.head, hidden=hidden), Adam(rate), [], 0
+        for (words,) in _texts(batches, 0):
+            if n < sample_tokens:
+                docs.append(sent.value.ids(sent.value(words), own)[: sample_tokens - n])
+                n += len(docs[-1])
+        for _ in range(epochs):
+            own.train(docs, step, width=128)
+        yield _sum_row(n, own.weights().astype(np.float64))
+
+    sampled = rows.filter(share("doc_id", "recurrent", sample, total)).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), F.xxhash64("text"))
+    got = sampled.select("text").mapInArrow(first, "n long, weights binary").collect()
+    weights = np.frombuffer(got[0]["weights"]).astype(np.float32) if got else Gru(len(head), hidden=hidden).weights()
+    begun = spark.broadcast((weights, coder))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, coder = begun.value
-        own, step, n, docs, held = Gru(coder.head).with_weights(weights.copy()), Adam(shard_rate), 0, [], 0
+        own, step, n, docs, waiting = Gru(coder.head, hidden=hidden).with_weights(weights.copy()), Adam(shard_rate), 0, [], 0
         for (words,) in _texts(batches, 0):
-            docs.append(coder.ids(coder(words)))
-            held += len(docs[-1])
-            if held >= tokens:
+            docs.append(coder.ids(coder(words), own))
+            waiting += len(docs[-1])
+            if waiting >= tokens:
                 n += own.train(docs, step)
-                docs, held = [], 0
+                docs, waiting = [], 0
         n += own.train(docs, step)
         if n:
             yield _sum_row(n, own.weights().astype(np.float64) * n)
@@ -112,7 +135,7 @@ def train(rows: DataFrame, frequent: dict[bytes, int], head: list[bytes], sample
     sums = shards.repartition(few).mapInArrow(add, "n long, weights binary").collect()
     n = sum(r["n"] for r in sums)
     if not n:
-        return model.weights()
+        return weights
     return (sum(np.frombuffer(r["weights"]) for r in sums) / n).astype(np.float32)
 
 
@@ -120,7 +143,17 @@ def _sum_row(n: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
 
 
-def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, common: int = 1_000_000, tokens: int = 2_000_000) -> DataFrame:
+def lm_scores(
+    df: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    folds: int = 7,
+    held_fold: int = 2,
+    hidden: int = 24,
+    head_words: int | None = None,
+    common: int = 1_000_000,
+    tokens: int = 1_000_000,
+) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are a text's words and one end. Counts c of all N training tokens, V distinct ones, give the
@@ -129,39 +162,43 @@ def lm_scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text", folds:
     the word; any other word has its share (c + 1) of the class of all other words, where unseen words
     together count as one, so that the score is a probability over the same tokens as the base.
 
+    The model has ``hidden`` units and the ``head_words`` most frequent words of the training rows; unless
+    given, the square root of the number of distinct ones, 1,024 at least, so that the head grows with
+    the corpus. Head words are dealt to as many classes as a class has words.
+
     Words that make up at least one in ``common`` training tokens (so at most that many words) are sent
     to every task with their counts; counts of all others are found by a join. A null text is empty: its
     end only. A null doc_id is neither trained on nor held out. Repeated rows stay; an empty table gives
     no rows, and one without training rows has N = V = 0. Other columns are not read.
     """
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), in_fold(doc_id, folds, held).alias("held_out"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), in_fold(doc_id, folds, held_fold).alias("held_out"))
     training = rows.filter("doc_id is not null and not held_out").select("doc_id", "text")
     counts = cut(word_counts(training))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
     frequent = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") * common >= n).collect()}
-    head = sorted(frequent, key=lambda w: (-frequent[w], w))[:HEAD]
+    head = sorted(frequent, key=lambda w: (-frequent[w], w))[: head_words or max(1024, math.isqrt(sums["v"]))]
     rest = sums["n"] - sum(frequent[w] for w in head) + (sums["v"] - len(head)) + 1
-    weights = train(training, frequent, head)
+    weights = train(training, frequent, head, hidden)
     spark = df.sparkSession.sparkContext
     shared = spark.broadcast((Coder(frequent, head), weights))
     log_end, one = math.log10(ends + 1), math.log10(n + v + 1)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, weights = shared.value
-        model = Gru(coder.head).with_weights(weights)
-        out, docs, held = [], [], 0
+        model = Gru(coder.head, hidden=hidden).with_weights(weights)
+        out, docs, waiting = [], [], 0
         for row_id, own_id, held_out, words in _texts(batches, 3):
             at = coder(words)
-            docs.append(coder.ids(at))
-            held += len(docs[-1])
+            docs.append(coder.ids(at, model))
+            waiting += len(docs[-1])
             logs, far = coder.logs[at[at >= 0]], at >= coder.head
             rare = list(Counter(w for w, i in zip(words, at.tolist()) if i < 0).items()) if len(logs) < len(at) else []
             out.append((row_id, own_id, held_out, len(at) + 1, len(logs), float(logs.sum()), float(coder.logs[at[far]].sum()), int(far.sum()) + len(at) - len(logs), rare))
-            if held >= tokens:
+            if waiting >= tokens:
                 yield scored(out, model.log_probabilities(docs))
-                out, docs, held = [], [], 0
+                out, docs, waiting = [], [], 0
         if out:
             yield scored(out, model.log_probabilities(docs))
 
