@@ -1,13 +1,21 @@
-"""Nearest neighbours by vantage-point trees, one per shard of the vectors."""
+"""Nearest neighbours by vantage-point trees, one per shard of the vectors; queries go only to shards that may hold an answer."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basalt.llm.common import cut, held, share
+
 LEAF = 48
+#: What is allowed for rounding where bounds are compared with distances.
+MORE, LEAST = 1 + 1e-9, 1e-9
+#: Queries that are searched for together.
+TOGETHER = 1024
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -39,16 +47,17 @@ class Tree:
             return rows
         return far, radius, self._build(rest[inside]), self._build(rest[~inside])
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Distances and ids (n x k; infinity where there are fewer) of the nearest other ids, ties to the smaller id.
 
         A subtree is left out for a query if the triangle inequality puts it at more than the k-th best
-        distance so far divided by ``factor``: 1 is exact, more is faster and may miss some.
+        distance so far divided by ``factor``: 1 is exact, more is faster and may miss some. ``limit`` is
+        a distance within which k ids of a query are known to be already.
         """
         best = np.full((len(queries), k), np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
-        every = np.arange(len(queries))
+        every, limit = np.arange(len(queries)), np.full(len(queries), np.inf) if limit is None else limit
         self._descend(self.root, every, query_ids, queries, best)
-        self._visit(self.root, every, np.zeros(len(queries)), query_ids, queries, best, factor)
+        self._visit(self.root, every, np.zeros(len(queries)), query_ids, queries, best, factor, limit)
         return best
 
     def _offer(self, rows: np.ndarray, q: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best) -> None:
@@ -73,9 +82,8 @@ class Tree:
             self._descend(node[2], q[d <= node[1]], query_ids, queries, best)
             self._descend(node[3], q[d > node[1]], query_ids, queries, best)
 
-    def _visit(self, node, q: np.ndarray, bound: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best, factor: float) -> None:
-        # The bound is of rounded distances, so that much is allowed for.
-        near = bound * factor <= best[0][q, -1] * (1 + 1e-12) + 1e-12
+    def _visit(self, node, q: np.ndarray, bound: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, best, factor: float, limit: np.ndarray) -> None:
+        near = bound * factor <= np.minimum(best[0][q, -1], limit[q]) * MORE + LEAST
         q, bound = q[near], bound[near]
         if not len(q):
             return
@@ -85,8 +93,51 @@ class Tree:
         far, radius, inside, outside = node
         self._offer(np.array([far]), q, query_ids, queries, best)
         d = distances(queries[q], self.points[[far]])[:, 0]
-        self._visit(inside, q, np.maximum(bound, d - radius), query_ids, queries, best, factor)
-        self._visit(outside, q, np.maximum(bound, radius - d), query_ids, queries, best, factor)
+        self._visit(inside, q, np.maximum(bound, d - radius), query_ids, queries, best, factor, limit)
+        self._visit(outside, q, np.maximum(bound, radius - d), query_ids, queries, best, factor, limit)
+
+
+class Cells:
+    """Parts of space around pivots: each vector is in the cell of its nearest pivot. For each cell the least and largest distance of its vectors to the pivot."""
+
+    def __init__(self, pivots: list[np.ndarray]) -> None:
+        self.pivots = {d: np.array([p for p in pivots if len(p) == d]) for d in {len(p) for p in pivots}}
+        self.near: dict[int, np.ndarray] = {}
+        self.far: dict[int, np.ndarray] = {}
+
+    def of(self, dim: int) -> np.ndarray:
+        """The pivots of one number of components; the origin if none was drawn."""
+        return self.pivots.get(dim, np.zeros((1, dim)))
+
+    def measured(self, rows: list) -> Cells:
+        """``rows``: dim, cell, near and far of the cells that hold any vector; others are at infinity."""
+        for dim in {r["dim"] for r in rows}:
+            n = len(self.of(dim))
+            self.near[dim], self.far[dim] = np.full(n, np.inf), np.full(n, -np.inf)
+        for r in rows:
+            self.near[r["dim"]][r["cell"]], self.far[r["dim"]][r["cell"]] = r["near"], r["far"]
+        return self
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector, and its distance to the pivot."""
+        d = distances(x, self.of(x.shape[1]))
+        cell = d.argmin(1)
+        return cell.astype(np.int32), d[np.arange(len(x)), cell]
+
+    def beyond(self, x: np.ndarray, limit: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a row of ``x`` and a cell, not its own, that may hold vectors within the limit divided by ``factor``.
+
+        A cell is out of reach by the triangle inequality on the ring that its vectors lie in, or because
+        they are nearer to its pivot than to the row's own.
+        """
+        dim = x.shape[1]
+        d = distances(x, self.of(dim))
+        own = d.argmin(1)
+        bound = np.maximum(np.maximum(d - self.far[dim], self.near[dim] - d), (d - d.min(1, keepdims=True)) / 2)
+        reached = bound * factor <= limit[:, None] * MORE + LEAST
+        reached[:, ~np.isfinite(self.near[dim])] = False
+        reached[np.arange(len(x)), own] = False
+        return np.nonzero(reached)
 
 
 def nearest(
@@ -98,45 +149,109 @@ def nearest(
     embedding: str = "embedding",
     every: int = 100,
     shard_rows: int = 4096,
-    block_rows: int = 8192,
+    most_cells: int = 4096,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows of ``df`` for each query, by Euclidean distance in double precision.
 
     Queries are the rows of ``queries`` or else those of ``df`` whose id is divisible by ``every``; a
-    query's own id is no candidate. Rows are dealt to shards of about ``shard_rows`` by a hash of the
-    id, queries to blocks of about ``block_rows``; for each shard and block one task builds the
-    shard's tree and searches it for the block, and the best k of all shards stay. Each task holds one
-    shard and one block, whatever the size of the table. ``factor`` 1 finds exactly the nearest ones.
+    query's own id is no candidate. Rows are dealt to cells around pivots, which are rows drawn by a hash
+    of the id (about one for each ``shard_rows`` rows, ``most_cells`` at most), and cells to shards of
+    about ``shard_rows`` by a hash. Each shard's tree is built once a search, in the task that the
+    shard's rows come to, and queries pass through it. A query first searches the shards of its own cell;
+    its k-th best distance there tells to which other cells it goes. ``factor`` 1 finds exactly the
+    nearest ones; more leaves out cells and subtrees sooner. A task holds one shard and a batch of queries.
 
     A vector that is null, empty or zero, or holds a null, NaN or infinity takes no part, nor does a null
     id; vectors are compared with those of the same length only. Of rows with one id the smallest vector counts. Fewer than k
     candidates give fewer rows; an empty table gives none. Ties go to the smaller vec_id.
     """
-    base = _usable(df, vec_id, embedding)
-    asked = _usable(queries, vec_id, embedding) if queries is not None else base.filter(F.col("id") % every == 0)
-    shards = max(1, -(-base.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // block_rows))
-    own = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    keys = ("shard", "block", "dim")
-    candidates = base.withColumn("shard", own(shards, "shard")).withColumn("block", everywhere(blocks))
-    asked = asked.withColumn("block", own(blocks, "block")).withColumn("shard", everywhere(shards))
-
-    def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if len(c) and len(q):
-            tree = Tree(c["id"].to_numpy(np.int64), np.stack(c["vector"].to_numpy()))
-            ids = q["id"].to_numpy(np.int64)
-            d, found = tree.nearest(ids, np.stack(q["vector"].to_numpy()), k, factor)
-            some = ~np.isinf(d)
-            out = pd.DataFrame({"query_id": np.repeat(ids, some.sum(1)), "vec_id": found[some], "score": d[some]})
-        return out.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = candidates.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)"))
+    base = cut(_usable(df, vec_id, embedding))
+    total = base.count()
+    drawn = base.filter(share("id", "pivots", min(most_cells, -(-total // shard_rows)), total)).limit(2 * most_cells).select("vector").collect()
+    cells = Cells([np.array(r["vector"]) for r in drawn])
+    placed = cut(_placed(base, cells))
+    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.min("gap").alias("near"), F.max("gap").alias("far")).collect()  # one row a cell
+    cells = cells.measured(sizes)
+    spark = df.sparkSession
+    parts = spark.createDataFrame([(r["dim"], r["cell"], -(-r["n"] // shard_rows)) for r in sizes], "dim int, cell int, parts long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * shard_rows)))
+
+    candidates = placed.join(F.broadcast(parts), ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(0).alias("kind"), "id", "vector", F.lit(0.0).alias("limit"))
+
+    def found(asked: DataFrame) -> DataFrame:
+        """query_id, vec_id and score of the k best in each shard for the rows asked (id, vector, dim, cell, limit)."""
+        sent = asked.join(F.broadcast(parts), ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        both = candidates.unionByName(sent.select("dim", "cell", "part", F.lit(1).alias("kind"), "id", "vector", "limit"))
+        dealt = both.repartition(tasks, "dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "kind")
+        return dealt.mapInArrow(_searcher(k, factor), "query_id long, vec_id long, score double")
+
+    asked = _placed(_usable(queries, vec_id, embedding), cells) if queries is not None else placed.filter(F.col("id") % every == 0)
+    asked = cut(asked.withColumn("limit", F.lit(float("inf"))))
+    at_home = cut(found(asked))
+    order = "row_number() over (partition by query_id order by score, vec_id)"
+    limits = at_home.withColumn("rank", F.expr(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
+    known = asked.drop("limit").join(limits, "id", "left").fillna({"limit": float("inf")})
+
+    def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, x in _by_length(batches):
+            row, cell = cells.beyond(x, rows.column(2).to_numpy(), factor)
+            yield pa.record_batch([c.take(pa.array(row)) for c in rows.columns] + [pa.array(cell.astype(np.int32))], names=["id", "vector", "limit", "cell"])
+
+    abroad = found(known.select("id", "vector", "limit").mapInArrow(onward, "id long, vector array<double>, limit double, cell int").withColumn("dim", F.size("vector")))
+    ranked = at_home.unionByName(abroad).withColumn("rank", F.expr(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _placed(rows: DataFrame, cells: Cells) -> DataFrame:
+    """id, vector, dim, cell and gap, the distance to the cell's pivot."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("vptree",), object)  # nothing to keep, but what other operators left goes
+        for dim, part, x in _by_length(batches):
+            cell, gap = cells.home(x)
+            yield pa.record_batch([*part.columns, pa.array(np.full(len(x), dim, np.int32)), pa.array(cell), pa.array(gap)], names=["id", "vector", "dim", "cell", "gap"])
+
+    return rows.select("id", "vector").mapInArrow(place, "id long, vector array<double>, dim int, cell int, gap double")
+
+
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """Rows whose vectors (the second column) have as many components, a bounded number at once, and those as a matrix."""
+    for batch in batches:
+        lens = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(lens):
+            rows = np.flatnonzero(lens == dim)
+            for at in range(0, len(rows), TOGETHER):
+                part = batch.take(pa.array(rows[at : at + TOGETHER]))
+                yield int(dim), part, part.column(1).flatten().to_numpy().reshape(-1, int(dim))
+
+
+def _searcher(k: int, factor: float):
+    """Rows come shard by shard, first a shard's vectors, then the queries that pass through its tree."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids, points, tree = None, [], [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()] if len(keys) else []
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                if shard != (now := tuple(keys[a, :3].tolist())):
+                    shard, ids, points, tree = now, [], [], None
+                for at in range(a, b, TOGETHER):
+                    part = batch.slice(at, min(TOGETHER, b - at))
+                    own, x = part.column(4).to_numpy(), part.column(5).flatten().to_numpy().reshape(-1, shard[0])
+                    if keys[a, 3] == 0:
+                        ids.append(own)
+                        points.append(x)
+                    elif ids:
+                        if tree is None:
+                            tree = Tree(np.concatenate(ids), np.concatenate(points))
+                        d, near = tree.nearest(own, x, k, factor, part.column(6).to_numpy())
+                        some = ~np.isinf(d)
+                        yield pa.record_batch([pa.array(np.repeat(own, some.sum(1))), pa.array(near[some]), pa.array(d[some])], names=["query_id", "vec_id", "score"])
+
+    return search
+
+
 def _usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     vector = F.col(embedding).cast("array<double>")
     sound = "id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)"
