@@ -99,7 +99,11 @@ def bpe_decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def bpe_round_trip(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, and the SHA-256 of the ids (little-endian 32-bit) and of the bytes they decode to."""
+    """Per row: doc_id, n_tokens, and the SHA-256 of the ids (little-endian 32-bit) and of the bytes they decode to.
+
+    A null text counts as empty, with no ids; a null doc_id is kept; repeated rows stay; an empty table
+    gives none. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
