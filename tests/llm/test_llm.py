@@ -1,6 +1,7 @@
 """The operators against plain versions, and on rows that are easily got wrong."""
 
 import base64
+import functools
 import hashlib
 import math
 import os
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from basalt.llm.common import cut
+from basalt.llm.common import cut, joined_evenly
 from basalt.llm import bpe, catalog, components, exact, gru, labelled, language, packing, quality, recurrent, simhash, tokens, toxicity, vptree, words
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,7 +37,7 @@ def odd_rows(spark):
     rows = [(i if i != 5 else None, t, "en" if i % 2 else None, None, i) for i, t in enumerate(TEXTS)]
     rows += [rows[3], rows[3], (7, "another text of id seven", "de", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for c in ("row_id", "fp", "fingerprint", "component_id", "kept", "held_out", "score", "p", "ids", "start", "length", "bucket", "n", "tie", "shard", "word", "y", "part", "same", "h", "pos"):
+    for c in ("row_id", "fp", "fingerprint", "component_id", "kept", "held_out", "score", "p", "ids", "start", "length", "bucket", "n", "tie", "shard", "word", "y", "part", "same", "h", "pos", "near_row", "exact_row", "language_told", "toxicity_told", "piece", "hot", "cell", "size"):
         df = df.withColumn(c, F.lit("clash"))
     return cut(df.repartition(3))
 
@@ -301,10 +302,11 @@ def test_forward_sums_all_segmentations():
     prob = np.append(rng.random(len(known)) / 1000, 0)[:, None]
     of = {p: prob[i, 0] for i, p in enumerate(known)}
 
+    @functools.cache
     def total(word):
-        return 1.0 if not word else sum(of.get(word[:n], 0.0) * total(word[n:]) for n in range(1, min(8, len(word)) + 1))
+        return 1.0 if not word else sum(of.get(word[:n], 0.0) * total(word[n:]) for n in range(1, len(word) + 1))
 
-    for w in ("a", "the", "Größe", "überraschung", "日本"):
+    for w in ("a", "the", "größe", "überraschung", "日本", "использовать", "internationalization"):
         assert language.word_scores([w], RANKS, prob)[0, 0] == pytest.approx(math.log(total(b" " + w.encode())))
     assert np.isfinite(language.word_scores(["x" * 5000], RANKS, prob)).all()
     weights, got = np.array([2.0]), language.expected_counts(["then"], np.array([2.0]), RANKS, prob)
@@ -330,6 +332,99 @@ def test_language_on_odd_rows(spark):
     assert language.languages_known(odd_rows(spark), RANKS).columns == odd_rows(spark).columns
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBc 12!?-é"), max_size=60), max_size=4))
+def test_pooled_words_equal_plain_sums(texts):
+    index = quality.Index(buckets=64, width=8)
+    split = [[b for w in t.split() for b in index.of_word(w)] for t in texts]
+    want = np.zeros((64, 9))
+    for seq in split:
+        for i, b in enumerate(seq):
+            want[b, -1] += 1
+            for j in range(max(0, i - 2), min(len(seq), i + 3)):
+                if j != i:
+                    want[b, :-1] += index.vectors[seq[j]]
+    got = quality.context_sums(texts, index)
+    assert np.allclose(got, want)
+    pooler = quality.Pooler(index, got)
+    x = pooler.features(texts, {})
+    for row, t, seq in zip(x, texts, split):
+        plain = np.zeros(pooler.width)
+        if seq:
+            words_ = t.split()
+            plain[:-1] = sum(pooler.vectors[b] for b in seq) + sum(a == b for a, b in zip(words_, words_[1:])) * pooler.vectors[index.repeat]
+            plain[:-1] /= len(seq)
+            plain[-1] = math.log1p(len(seq))
+        assert np.allclose(row, plain, atol=1e-4)
+
+
+def test_the_network_equals_plain_layers_and_learns():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    net = quality.Network().fit(x, y, np.arange(4000) % 5 == 0)
+    w1, b1, w2, b2 = net.weights
+    for row, p in zip(x[:20], net.score(x[:20])):
+        hidden_ = [math.tanh(sum((row[i] - net.mean[i]) / net.sd[i] * w1[i, j] for i in range(3)) + b1[j]) for j in range(net.hidden)]
+        z = sum(h * w for h, w in zip(hidden_, w2)) + b2[0]
+        assert p == pytest.approx(1 / (1 + math.exp(-z / net.temperature)))
+    assert ((net.score(x) > 0.5) == y).mean() > 0.95
+
+
+def plain_features(lexicon, text, window=5):
+    own = (text or "").split()
+    if not own:
+        return [0.0] * len(toxicity.FEATURES)
+    cores = [toxicity.plain(w) for w in own]
+    weight = [max([lexicon.get(e, 0.0) for e in toxicity.entries(c)] or [0.0]) for c in cores]
+    hit, second, n = [w > 0 for w in weight], [c in toxicity.SECOND_PERSON for c in cores], len(own)
+    near = sum(h and any(second[max(0, i - window) : i + window + 1]) for i, h in enumerate(hit))
+    count = lambda f: sum(f(c) for w in own for c in w)
+    letters, chars = max(1, count(str.isalpha)), max(1, count(lambda c: True))
+    shout = sum(sum(map(str.isalpha, w)) > 2 and sum(map(str.isalpha, w)) == sum(map(str.isupper, w)) for w in own)
+    hidden_ = sum(any(map(str.isalpha, w)) and toxicity.INSIDE.search(w) is not None for w in own)
+    drawn = sum(toxicity.THRICE.search(w.lower()) is not None for w in own)
+    return [
+        sum(hit) / n, sum(weight) / n, max(weight), math.log1p(sum(hit)), math.log1p(len({w for w, h in zip(own, hit) if h})), sum(second) / n, near / n, math.log1p(near),
+        count(str.isupper) / letters, shout / n, count(lambda c: not c.isalnum()) / chars, count(lambda c: c == "!") / n, hidden_ / n, drawn / n, chars / n, math.log1p(n),
+    ]
+
+
+def test_toxicity_features_equal_plain_ones():
+    lexicon, rng = {"idiot": 3.0, "moro-": 2.0, "dumm": 2.5}, random.Random(3)
+    some = ["you", "IDIOT!!", "m-o-r-o-n", "Hello", "du", "dumm", "x1y", "soooo", "fine", "ID1OT", "é", "..."]
+    texts = [None, "", " ", *(" ".join(rng.choice(some) for _ in range(rng.randrange(1, 40))) for _ in range(50))]
+    got = toxicity.Features(lexicon)(texts, {})
+    assert np.allclose(got, [plain_features(lexicon, t) for t in texts], atol=1e-5)
+
+
+def test_boosted_trees_split_best_and_add_up():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (200, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (rng.random(200) < 0.1)).astype(float)
+    trees = toxicity.Boosted(trees=5, depth=2, least=5).fit(x, y)
+    share, gains = y.mean(), {}
+    g, h = y - share, np.full(200, share * (1 - share))
+    for j in range(3):
+        for cut_ in range(8):
+            left = x[:, j] <= cut_
+            if 5 <= left.sum() <= 195:
+                gains[j, cut_] = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left))
+    feature, limit, _ = trees.forest[0]
+    assert (feature[0], int(limit[0])) == max(gains, key=gains.get)
+
+    def walked(row):
+        z = trees.start
+        for feature, limit, values in trees.forest:
+            node = 0
+            for _ in range(2):
+                node = 2 * node + 1 + int(row[feature[node]] > limit[node])
+            z += values[node - 3]
+        return z
+
+    assert trees.raw(x[:50]) == pytest.approx([walked(r) for r in x[:50]])
+
+
 def held_out_auc(got, labels_, label):
     m = got.merge(labels_.groupby("doc_id").max().reset_index(), on="doc_id")
     m = m[m.held_out]
@@ -380,9 +475,9 @@ def test_hidden_words_are_read():
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     model = gru.Gru(40, width=4, hidden=5)
-    docs = [np.append(rng.integers(0, 40, n), gru.END).astype(np.int16) for n in (7, 3, 5)]
-    docs[0][2] = gru.REST
-    lanes = gru.Lanes(docs, 2)
+    docs = [np.append(rng.integers(0, 40, n), model.end) for n in (7, 3, 5)]
+    docs[0][2] = model.rest
+    lanes = gru.Lanes(docs, 2, model.end)
     loss = lambda: -sum(model.log_probabilities(docs, 2)) / sum(map(len, docs))
     grads, _ = model._gradients(lanes.given, lanes.keep, lanes.target, np.zeros((2, 5), np.float32))
     for name, g in zip(model.NAMES, grads):
@@ -398,15 +493,17 @@ def test_gradients_are_right():
 
 
 def test_probabilities_of_all_next_words_sum_to_one():
-    model, begun = gru.Gru(50), [np.array([3, gru.REST], np.int16)]
-    total = sum(math.exp(model.log_probabilities([np.append(b, np.int16(w))])[0] - model.log_probabilities([b])[0]) for b in begun for w in [*range(50), gru.REST, gru.END])
-    assert total == pytest.approx(1, abs=1e-4)
+    for words_ in (50, 1, 1300):
+        model = gru.Gru(words_)
+        begun = np.array([min(3, words_ - 1), model.rest])
+        total = sum(math.exp(p) for p in model.log_probabilities([np.append(begun, w) for w in [*range(words_), model.rest, model.end]])) / math.exp(model.log_probabilities([begun])[0])
+        assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_lanes_and_windows_do_not_change_scores():
     rng = np.random.default_rng(1)
-    docs = [np.append(rng.integers(0, gru.HEAD, n), gru.END).astype(np.int16) for n in (300, 1, 20, 20, 77)]
-    model = gru.Gru(gru.HEAD)
+    model = gru.Gru(1024)
+    docs = [np.append(rng.integers(0, 1024, n), model.end) for n in (300, 1, 20, 20, 77)]
     alone = [model.log_probabilities([d], 1, 7)[0] for d in docs]
     assert model.log_probabilities(docs, 3, 64) == pytest.approx(alone, rel=1e-4)
 
@@ -425,6 +522,46 @@ def test_lm_scores_on_odd_rows(spark):
     assert recurrent.lm_scores(empty(spark)).count() == 0
 
 
+def plain_log10(weights, head, rest_share, words_, hidden=24):
+    """The score of one text, word by word, in double precision."""
+    model = gru.Gru(len(head), hidden=hidden).with_weights(weights)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, given, total = np.zeros(hidden), model.end, 0.0
+    for w in [*words_, None]:
+        x = model.embed[given].astype(float) @ model.into.astype(float) + model.into_b
+        own = h @ model.state.astype(float)
+        z, r = sig(x[0] + own[0]), sig(x[1] + own[1])
+        n = np.tanh(x[2] + r * (own[2] + model.state_b))
+        h = n + z * (h - n)
+        logits = np.append(h, 1) @ model.klass.astype(float) + model.no_class
+        target = model.end if w is None else head.get(w, model.rest)
+        k = target // model.side if target < model.rest else target - model.rest + model.side
+        total += logits[k] - np.log(np.exp(logits).sum())
+        if target < model.rest:
+            inner = np.append(h, 1) @ model.word[k].astype(float) + model.no_word[k]
+            total += inner[target % model.side] - np.log(np.exp(inner).sum())
+        elif w is not None:
+            total += math.log(rest_share(w))
+        given = target
+    return total / math.log(10)
+
+
+def test_scores_equal_plain_ones_word_by_word(spark, sf_dir, monkeypatch):
+    rng, docs = np.random.default_rng(6), documents(spark, sf_dir).limit(60)
+    weights = gru.Gru(40).weights() + rng.normal(0, 0.2, gru.Gru(40).weights().size).astype(np.float32)
+    monkeypatch.setattr(recurrent, "train", lambda *a: weights)
+    rows = frame(docs)
+    split = [(t or "").encode().lower().split() for t in rows.text]
+    counts = Counter(w for d, ws in zip(rows.doc_id, split) if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
+    head = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:40])}
+    rest = sum(n + 1 for w, n in counts.items() if w not in head) + 1
+    tokens_ = sum(counts.values()) + len(split)
+    for common in (1_000_000, tokens_ // min(counts[w] for w in head) + 1):  # all words are sent, or little more than the head
+        got = dict(frame(recurrent.lm_scores(docs, head_words=40, common=common)).set_index("doc_id").score)
+        for d, ws in zip(rows.doc_id, split):
+            assert got[d] == pytest.approx(plain_log10(weights, head, lambda w: (counts[w] + 1) / rest, ws), rel=2e-4)
+
+
 def test_the_model_beats_the_base_on_held_out_documents(spark):
     got = frame(recurrent.lm_scores(documents(spark, "/root/testdata/sf0.01")))
     got = got[got.held_out]
@@ -449,8 +586,8 @@ def test_exact_neighbours_and_recall_of_relaxed_ones(spark, sf_dir):
         d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
         d[ids == q] = np.inf
         want |= {(q, ids[i]) for i in np.lexsort((ids, d))[:10]}
-    for factor, least in ((1.0, 1.0), (1.2, 0.9)):
-        got = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(v, factor=factor, shard_rows=100, block_rows=2).collect()}
+    for factor, least, shard_rows in ((1.0, 1.0, 100), (1.0, 1.0, 7), (1.0, 1.0, 4096), (1.2, 0.9, 100)):
+        got = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(v, factor=factor, shard_rows=shard_rows).collect()}
         assert len(got & want) >= least * len(want)
 
 
@@ -519,6 +656,37 @@ def test_distinct_rows_of_an_input_that_comes_in_another_order_each_time(spark,
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(100))
 
 
+def test_distinct_rows_whatever_adaptive_execution_makes_of_them(spark, sf_dir):
+    """Chained without Parquet between, joins not broadcast and small partitions put together."""
+    docs, fps = frame(documents(spark, sf_dir)), {}
+    texts = {}
+    for d, t in sorted(zip(docs.doc_id, docs.text), key=lambda r: (-len(r[1] or ""), r[0])):
+        texts.setdefault("".join((t or "").split()), (d, t))
+    of = plain_components([plain_fingerprint(t) for _, t in texts.values()])
+    for d, t in texts.values():
+        root = of[plain_fingerprint(t)]
+        fps[root] = min(d, fps.get(root, d))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "50"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = simhash.near_distinct(exact.exact_distinct(documents(spark, sf_dir).repartition(7)))
+        assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(fps.values())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("most, ways", [(2, 3), (1000, 64), (1, 64)])
+def test_even_joins_equal_plain_ones(spark, most, ways):
+    rows = cut(spark.createDataFrame([(i, 0 if i % 3 else i % 7) for i in range(90)], "row long, k long"))
+    groups = rows.groupBy(F.col("k").alias("of")).agg(F.count("*").alias("size"))
+    got = joined_evenly(rows, groups, F.col("k"), F.col("of"), F.col("k") == F.col("of"), "size", "row", most, ways)
+    want = rows.join(groups, F.col("k") == F.col("of"))
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
 def test_run_equals_its_stages_written_one_by_one(spark, sf_dir, tmp_path):
     docs = documents(spark, sf_dir)
     for name, stage in corpus_pipeline.STAGES:
