@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.functions.numbering import placed, placed_within
+
 #: What a message of a type is called; any other goes by its own name.
 TYPES = {"UserMessage": "message", "ResultMessage": "result", "NotificationMessage": "notification"}
 
@@ -19,10 +21,19 @@ def cancels(kind: Column | str = "kind", content: Column | str = "content") -> C
 def read(mailbox: DataFrame, owner: str) -> tuple[DataFrame, DataFrame]:
     """The owner's messages with their numbers, cancels left out, and the mailbox without what was read."""
     own = (F.col("owner") == owner) & ~cancels()
-    taken = mailbox.filter(own).withColumn("number", F.row_number().over(Window.partitionBy("owner").orderBy("ord")))
+    taken = placed(mailbox.filter(own), "ord", name="number")
     return taken, mailbox.filter(~F.coalesce(own, F.lit(False)))
 
 
+def numbered(messages: DataFrame) -> DataFrame:
+    """Messages of all owners with their numbers within their mailbox."""
+    return placed_within(messages, ["owner"], "ord")
+
+
+def sender_name(sender: Column | str = "sender") -> Column:
+    return F.coalesce(F.nullif(F.col(sender) if isinstance(sender, str) else sender, F.lit("")), F.lit("unknown"))
+
+
 def article(word: Column) -> Column:
     return F.when(F.lower(F.substring(word, 1, 1)).isin("a", "e", "i", "o", "u"), "an").otherwise("a")
 
@@ -34,11 +45,12 @@ def heading(type: Column | str = "type", sender: Column | str = "sender") -> Col
     for k, v in TYPES.items():
         name = F.when(type == k, v).otherwise(name)
     name = F.coalesce(name, type)
-    return F.concat(F.lit("You received "), article(name), F.lit(" "), name, F.lit(" from "), F.coalesce(sender, F.lit("unknown")))
+    return F.concat(F.lit("You received "), article(name), F.lit(" "), name, F.lit(" from "), sender_name(sender))
 
 
-def rendered(messages: DataFrame) -> DataFrame:
-    """owner and text: each owner's messages in order, numbered; a mailbox is read by one owner at a time."""
+def rendered(messages: DataFrame, per_part: int = 1000) -> DataFrame:
+    """owner, part and text: each owner's numbered messages in order, as texts of ``per_part`` messages, so that a full mailbox is many rows."""
     line = F.concat(F.col("number").cast("string"), F.lit(". "), heading(), F.lit(": "), F.coalesce("content", F.lit("")))
-    lines = messages.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("number", line.alias("line")))).alias("l"))
-    return lines.select("owner", F.array_join(F.col("l.line"), "\n").alias("text"))
+    part = F.floor((F.col("number") - 1) / per_part).cast("long").alias("part")
+    lines = messages.groupBy("owner", part).agg(F.sort_array(F.collect_list(F.struct("number", line.alias("line")))).alias("l"))
+    return lines.select("owner", "part", F.array_join(F.col("l.line"), "\n").alias("text"))

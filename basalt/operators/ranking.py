@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions.numbering import placed
+
 #: What a keyword hit scores, and what it adds to a vector hit of the same row.
 KEYWORD, BOTH = 1.0, 0.5
 
@@ -92,7 +94,7 @@ def breakdown(tasks: DataFrame, none: str = "unassigned") -> DataFrame:
     """owner, n and place: tasks by owner over the whole board, those without an owner last."""
     owner = F.coalesce(F.nullif(F.col("owner"), F.lit("")), F.lit(none))
     counts = tasks.groupBy(owner.alias("owner")).agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("owner") == none, "owner")))
+    return placed(counts, F.col("owner") == none, "owner")
 
 
 def board_view(tasks: DataFrame, me: str, columns: Sequence[str] = ("id", "status", "owner", "description")) -> DataFrame:

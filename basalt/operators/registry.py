@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions.numbering import placed
 from basalt.operators.snapshots import skills
 
 
@@ -38,7 +39,7 @@ def merged(first: DataFrame, second: DataFrame, key: str = "ref_id") -> DataFram
     """key and ord: the distinct keys of two lists (key, ord), those of the first before the second's, each at its first place."""
     both = first.select(key, F.lit(0).alias("list"), "ord").unionByName(second.select(key, F.lit(1).alias("list"), "ord"))
     firsts = both.groupBy(key).agg(F.min(F.struct("list", "ord")).alias("at"))
-    return firsts.select(key, F.row_number().over(Window.orderBy("at")).alias("ord"))
+    return placed(firsts, "at", name="place").select(key, F.col("place").alias("ord"))
 
 
 def new_names(requests: DataFrame, taken: DataFrame, first: int = 100) -> DataFrame:

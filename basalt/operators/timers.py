@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.functions.numbering import placed
+
 #: Seconds that a due timer waits for an absent owner.
 GRACE = 300
 
@@ -15,17 +17,32 @@ def seconds(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(1e6)
 
 
+def due(fire_at: Column, now: Column) -> Column:
+    """Whether a timer's time has come."""
+    return fire_at <= now
+
+
+def cut_off(now: Column, seconds_: int) -> Column:
+    """The moment that many seconds ago: what is older is stale."""
+    return now - F.make_dt_interval(secs=F.lit(seconds_))
+
+
+def marked_line(show_owner: bool) -> Column:
+    """A timer's content, in a list of all owners with the owner's name before it."""
+    return F.concat(F.lit("@"), "owner_name", F.lit(" "), "content") if show_owner else F.col("content")
+
+
 def decide(timers: DataFrame, roster: DataFrame | None, now: Column, grace: int = GRACE) -> DataFrame:
     """Timers with decision: waiting (not due), delivered, postponed (owner absent) or dropped (absent for ``grace``).
 
     Owners are found by name. Without a roster every due timer is delivered.
     """
-    due = F.col("fire_at") <= now
+    come = due(F.col("fire_at"), now)
     if roster is None:
-        return timers.withColumn("decision", F.when(due, "delivered").otherwise("waiting"))
+        return timers.withColumn("decision", F.when(come, "delivered").otherwise("waiting"))
     present = roster.select(F.col("name").alias("owner_name"), F.lit(True).alias("present")).distinct()
     late = seconds(now, F.col("fire_at")) >= grace
-    decision = F.when(~due, "waiting").when(F.col("present"), "delivered").when(late, "dropped").otherwise("postponed")
+    decision = F.when(~come, "waiting").when(F.col("present"), "delivered").when(late, "dropped").otherwise("postponed")
     return timers.join(present, "owner_name", "left").withColumn("decision", decision).drop("present")
 
 
@@ -37,8 +54,7 @@ def remaining(decided: DataFrame) -> DataFrame:
 def schedule(timers: DataFrame, requests: DataFrame) -> DataFrame:
     """Timers and the requests (owner_id, owner_name, content, created_at, delay seconds, ord) numbered after them."""
     base = timers.agg(F.coalesce(F.max("notification_id"), F.lit(0)).alias("base"))
-    n = F.row_number().over(Window.orderBy("ord"))  # one batch of requests
-    new = requests.withColumn("n", n).crossJoin(F.broadcast(base))
+    new = placed(requests, "ord", name="n").crossJoin(F.broadcast(base))
     fire = F.col("created_at") + F.make_dt_interval(secs=F.col("delay"))
     return timers.unionByName(new.select((F.col("base") + F.col("n")).alias("notification_id"), "owner_id", "owner_name", "content", "created_at", fire.alias("fire_at")))
 
