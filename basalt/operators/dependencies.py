@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basalt.functions.numbering import placed
 from basalt.plans.lineage import cut
 
 
@@ -18,26 +21,27 @@ def repeated(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("name").count().filter("count > 1").select("name")
 
 
-def levels(nodes: DataFrame, dependencies: DataFrame, most: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, dependencies: DataFrame) -> DataFrame:
     """name, level and place: each after all that it needs; equal levels in the order in which their last need was released.
 
-    Names without an open need are peeled off in turn. ``ValueError`` if a circle is left.
+    Names without an open need are peeled off in turn, however many turns it takes: each looks only at
+    the names that the last one released. ``ValueError`` if a circle is left.
     """
-    left, needs = cut(nodes.select("name", "ord")), cut(dependencies.select("name", "needs").distinct())
-    done, level = None, 0
-    while not left.isEmpty():
-        ready = left.join(needs.select("name"), "name", "left_anti")
-        if done is not None:
-            released = dependencies.join(done.select(F.col("name").alias("needs"), "place"), "needs").groupBy("name").agg(F.max("place").alias("by"))
-            ready = ready.join(released, "name", "left")
-        else:
-            ready = ready.withColumn("by", F.lit(None).cast("int"))
-        base = 0 if done is None else done.count()
-        ready = cut(ready.select("name", F.lit(level).alias("level"), (F.row_number().over(Window.orderBy(F.asc_nulls_first("by"), "ord")) + base).alias("place")))
-        if ready.isEmpty() or level > most:
+    needs, waiting = cut(dependencies.select("name", "needs").distinct()), nodes.count()
+    free = nodes.select("name", "ord", F.lit(None).cast("long").alias("by")).join(needs.select("name"), "name", "left_anti")
+    done, base, level = [], 0, 0
+    while waiting:
+        ready = placed(free, F.asc_nulls_first("by"), "ord").select("name", F.lit(level).alias("level"), (F.col("place") + base).alias("place"))
+        ready = cut(ready)
+        n = ready.count()
+        if not n:
             raise ValueError("circular dependency")
-        done = ready if done is None else cut(done.unionByName(ready))
-        left = cut(left.join(ready.select("name"), "name", "left_anti"))
+        done.append(ready)
+        base, waiting, level = base + n, waiting - n, level + 1
+        if not waiting:
+            break
+        met = needs.join(ready.select(F.col("name").alias("needs"), "place"), "needs").groupBy("name").agg(F.max("place").alias("by"))
         needs = cut(needs.join(ready.select(F.col("name").alias("needs")), "needs", "left_anti"))
-        level += 1
-    return done if done is not None else left.select("name", F.lit(0).alias("level"), F.lit(0).alias("place"))
+        free = met.join(needs.select("name"), "name", "left_anti").join(nodes.select("name", "ord"), "name")
+    none = nodes.select("name", F.lit(0).alias("level"), F.lit(0).cast("long").alias("place")).limit(0)
+    return reduce(DataFrame.unionByName, done, none)

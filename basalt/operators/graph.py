@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions.numbering import placed
 from basalt.plans.lineage import cut
 
 
@@ -80,39 +81,42 @@ def waypoints(entities: DataFrame, relations: DataFrame, start: str, path: Seque
     return entities.join(seen.select("name"), "name", "left_semi"), edges
 
 
-def shortest_paths(entities: DataFrame, relations: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
-    """pair_id, nodes and edges (ref_ids) of one shortest undirected path of each pair (pair_id, source, target).
+def shortest_paths(entities: DataFrame, relations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, nodes and edges (ref_ids) of one shortest undirected path of each pair (pair_id, source, target), however long.
 
     One search over levels serves all pairs. A node keeps the path whose edges come first, compared
-    from the start; a pair ends with its target. Pairs without a path, or with an unknown end, have no row.
+    from the start; a pair ends with its target, and no more is carried of it then. Pairs without a
+    path, or with an unknown end, have no row.
     """
     names = entities.select(F.col("name").alias("b")).distinct()
     edges = cut(both_ways(relations).join(names, "b", "left_semi"))
     known = pairs.join(names.withColumnRenamed("b", "source"), "source", "left_semi").join(names.withColumnRenamed("b", "target"), "target", "left_semi")
     empty = F.array().cast("array<string>")
-    state = known.select("pair_id", "target", F.col("source").alias("name"), F.array("source").alias("nodes"), F.array().cast("array<bigint>").alias("ords"), empty.alias("edges"), F.lit(0).alias("level"))
-    state = cut(state)
-    for level in range(1, most + 1):
-        done = state.filter("name = target").select("pair_id")
-        front = state.filter(F.col("level") == level - 1).join(done, "pair_id", "left_anti").withColumnRenamed("name", "a")
-        step = front.join(edges, "a").select(
+    front = cut(known.select("pair_id", "target", F.col("source").alias("name"), F.array("source").alias("nodes"), F.array().cast("array<bigint>").alias("ords"), empty.alias("edges")))
+    seen, found = front.select("pair_id", "name"), []
+    while not front.isEmpty():
+        found.append(front.filter("name = target").select("pair_id", "nodes", "edges"))
+        open_ = front.join(found[-1].select("pair_id"), "pair_id", "left_anti")
+        step = open_.withColumnRenamed("name", "a").join(edges, "a").select(
             "pair_id", "target", F.col("b").alias("name"),
             F.concat("nodes", F.array("b")).alias("nodes"), F.concat("ords", F.array("ord")).alias("ords"), F.concat("edges", F.array(F.col("edge").cast("string"))).alias("edges"),
         )
-        best = step.groupBy("pair_id", "target", "name").agg(F.min_by(F.struct("nodes", "ords", "edges"), "ords").alias("p"))
-        fresh = best.join(state.select("pair_id", "name"), ["pair_id", "name"], "left_anti")
-        fresh = fresh.select("pair_id", "target", "name", "p.nodes", "p.ords", "p.edges", F.lit(level).alias("level"))
-        state = cut(state.unionByName(fresh))
-        if state.filter(F.col("level") == level).isEmpty():
-            break
-    return state.filter("name = target").select("pair_id", "nodes", "edges")
+        best = step.join(seen, ["pair_id", "name"], "left_anti").groupBy("pair_id", "target", "name").agg(F.min_by(F.struct("nodes", "ords", "edges"), "ords").alias("p"))
+        now = cut(best.select("pair_id", "target", "name", "p.nodes", "p.ords", "p.edges"))
+        # What is behind the last level needs no look again: an edge leads at most one level back.
+        seen = front.select("pair_id", "name").unionByName(now.select("pair_id", "name"))
+        front = now
+    out = entities.sparkSession.createDataFrame([], known.select("pair_id", empty.alias("nodes"), empty.alias("edges")).schema)
+    for part in found:
+        out = out.unionByName(part)
+    return out
 
 
 def neighbours(entities: DataFrame, relations: DataFrame, hits: DataFrame) -> DataFrame:
     """Entities one hop from any hit (name, rank) that are no hits, with the first hit's rank and place: first seen first."""
     near = both_ways(relations).join(hits.select(F.col("name").alias("a"), "rank"), "a").groupBy(F.col("b").alias("name")).agg(F.min("rank").alias("rank"))
     fresh = near.join(hits.select("name"), "name", "left_anti").join(entities.select("name", "ord"), "name")
-    return fresh.withColumn("place", F.row_number().over(Window.orderBy("rank", "ord"))).select("name", "rank", "place")
+    return placed(fresh, "rank", "ord").select("name", "rank", "place")
 
 
 def touching(relations: DataFrame, names: DataFrame) -> DataFrame:
