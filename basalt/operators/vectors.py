@@ -6,13 +6,15 @@ order, which breaks ties). Tables are values: each change gives a new DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from basalt.plans.lineage import cut
+
 #: The smallest denominator of a cosine: a zero vector scores 0.
 FLOOR = 1e-10
 SCHEMA = "collection string, ref_id string, text string, vector array<double>, norm double, ord long"
@@ -56,47 +58,42 @@ def search(vectors: DataFrame, query: Sequence[float], k: int, vector: str = "ve
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "ord"))).select("ref_id", "score", "rank")
 
 
-def search_all(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "vector", ref_id: str = "ref_id", block: int = 2048) -> DataFrame:
+def search_all(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "vector", ref_id: str = "ref_id", block: int = 2048, shard: int = 65536) -> DataFrame:
     """query_id, ref_id, score and rank of the k best rows for each query (columns query_id and vector).
 
-    Queries go to the tasks in blocks of ``block``, so what is sent at once is bounded; each batch of
-    rows keeps its k best for each query before anything is shuffled. Ties go to the smaller ref_id.
+    Vectors are dealt to shards and queries to blocks; each shard meets each block in a group of its
+    own, of at most about ``shard`` vectors and ``block`` queries, and keeps the k best for each query
+    before anything else is shuffled. Nothing comes to the driver. Ties go to the smaller ref_id.
     """
-    numbered = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    blocks = max(1, -(-queries.count() // block))
-    parts = [_best(vectors, numbered.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, vector, ref_id) for b in range(blocks)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    rows = vectors.select(F.col(ref_id).alias("ref_id"), F.col(vector).cast("array<double>").alias("vector")).filter("vector is not null")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
+    shards, blocks = max(1, -(-rows.count() // shard)), max(1, -(-asked.count() // block))
+    kinds = dict(rows.dtypes) | dict(asked.dtypes)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("shard", dealt("ref_id", shards)).withColumn("block", each(blocks)).groupBy("shard", "block")
+    right = asked.withColumn("block", dealt("query_id", blocks)).withColumn("shard", each(shards)).groupBy("shard", "block")
+
+    def run(c: pa.Table, q: pa.Table) -> pa.Table:
+        out = []
+        for dim in set(q.column("vector").combine_chunks().value_lengths().to_pylist()):
+            (ok, x), (asks, y) = (_matrix(t.column("vector").combine_chunks(), dim) for t in (c, q))
+            if len(x) and len(y):
+                refs, ids = np.asarray(c.column("ref_id"))[ok], np.asarray(q.column("query_id"))[asks]
+                order = np.argsort(refs, kind="stable")
+                refs, x = refs[order], x[order]
+                scores = y @ x.T / np.maximum(np.sqrt((y * y).sum(1))[:, None] * np.sqrt((x * x).sum(1)), FLOOR)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                out.append((np.repeat(ids, best.shape[1]), refs[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [[], [], []]
+        fields = (("query_id", q.schema.field("query_id").type), ("ref_id", c.schema.field("ref_id").type), ("score", pa.float64()))
+        return pa.table({n: pa.array(v, t) for (n, t), v in zip(fields, columns)})
+
+    found = left.cogroup(right).applyInArrow(run, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _best(vectors: DataFrame, block: DataFrame, k: int, vector: str, ref_id: str) -> DataFrame:
-    asked = block.collect()  # one block of queries
-    ids, dims = [r["query_id"] for r in asked], {len(r["vector"]) for r in asked}
-    q = {d: np.array([r["vector"] for r in asked if len(r["vector"]) == d], float) for d in dims}
-    own = {d: [i for i, r in zip(ids, asked) if len(r["vector"]) == d] for d in dims}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, queries in q.items():
-                ok, rows = _matrix(batch.column(1), d)
-                refs = np.asarray(batch.column(0))[ok]
-                if not len(rows):
-                    continue
-                size = np.sqrt((queries * queries).sum(1))[:, None] * np.sqrt((rows * rows).sum(1))
-                scores = queries @ rows.T / np.maximum(size, FLOOR)
-                order = np.lexsort((np.broadcast_to(refs, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.record_batch(
-                    [pa.array(np.repeat(np.array(own[d]), order.shape[1])), pa.array(refs[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
-                    names=["query_id", "ref_id", "score"],
-                )
-
-    kinds = dict(vectors.select(F.col(ref_id).alias("r")).dtypes) | dict(block.dtypes)
-    return vectors.select(ref_id, vector).mapInArrow(run, f"query_id {kinds['query_id']}, ref_id {kinds['r']}, score double")
-
-
 def create_collection(collections: DataFrame, name: str, dimension: int, backend: str = "memory", tenant: str | None = None) -> DataFrame:
     """The registry (name, dimension, backend, tenant, status) with one more row, unless the name is there."""
     if dimension < 1:
@@ -106,17 +103,16 @@ def create_collection(collections: DataFrame, name: str, dimension: int, backend
 
 
 def add(vectors: DataFrame, entries: DataFrame, collections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries (collection, ref_id, text, vector) upserted by (collection, ref_id), and those refused with a reason.
+    """Entries (collection, ref_id, text, vector, ord) upserted by (collection, ref_id), and those refused with a reason.
 
     An entry is refused if its collection is not registered or its vector has another dimension. Of
-    several entries with one key the last counts; new rows go after all present ones.
+    several entries with one key the last by ord counts; new rows go after all present ones, in their order.
     """
     known = collections.select(F.col("name").alias("collection"), "dimension")
     checked = entries.join(known, "collection", "left").withColumn(
         "reason", F.when(F.col("dimension").isNull(), "unknown collection").when(F.size("vector") != F.col("dimension"), "wrong dimension")
     )
-    place = F.monotonically_increasing_id()
-    good = checked.filter("reason is null").withColumn("place", place)
+    good = checked.filter("reason is null").withColumn("place", F.col("ord").cast("long"))
     last = good.groupBy("collection", "ref_id").agg(F.max_by(F.struct("text", "vector"), "place").alias("e"), F.max("place").alias("place"))
     base = vectors.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("base"))
     vector = F.col("e.vector").cast("array<double>")
@@ -157,6 +153,48 @@ def load(spark: SparkSession, path: str, collection: str | None = None) -> DataF
     return rows.filter(F.col("collection") == collection) if collection else rows
 
 
+def persist(vectors: DataFrame, path: str, changed: Sequence[str]) -> None:
+    """Writes the named collections (of one batch of changes) again, each to its own folder of what ``save`` wrote; an emptied one keeps no rows."""
+    for name in changed:
+        rows = cut(vectors.filter(F.col("collection") == name).drop("collection"))  # may have been read from that folder
+        rows.write.mode("overwrite").parquet(f"{path}/collection={name}")
+
+
+def dumped(vectors: DataFrame) -> DataFrame:
+    """collection, ref_id and state: each entry as one JSON text, from which ``restored`` makes the table again."""
+    return vectors.select("collection", "ref_id", F.to_json(F.struct("ref_id", "text", "vector", "norm", "ord")).alias("state"))
+
+
+def restored(dump: DataFrame) -> DataFrame:
+    fields = "ref_id string, text string, vector array<double>, norm double, ord long"
+    return dump.select("collection", F.from_json("state", fields).alias("e")).select("collection", "e.*")
+
+
+def search_collection(vectors: DataFrame, statuses: DataFrame, collection: str, query: Sequence[float], k: int, available: bool = True) -> DataFrame:
+    """The k best rows of a collection, each with the collection's status and how many rows wait to be indexed.
+
+    Statuses: collection, status, pending, as of ``indexing_status``; without one a collection is ready.
+    Nothing is changed. No rows if the backend is not available, or the query has another dimension.
+    """
+    own = vectors.filter(F.col("collection") == collection)
+    hits = search(own if available else own.filter(F.lit(False)), query, k)
+    status = statuses.filter(F.col("collection") == collection).groupBy("collection").agg(F.max("status").alias("status"), F.max("pending").alias("pending"))
+    told = hits.withColumn("collection", F.lit(collection)).join(F.broadcast(status), "collection", "left")  # one row
+    return told.fillna({"status": "ready", "pending": 0})
+
+
+def embedding_requests(entries: DataFrame, collection: str = "collection") -> tuple[DataFrame, DataFrame]:
+    """Entries that have no vector yet, and the events queued by them: collection, kind, n and ord."""
+    waiting = entries.filter("vector is null and text is not null")
+    return waiting, waiting.groupBy(collection).agg(F.count("*").alias("n"), F.max("ord").alias("ord")).select(F.col(collection).alias("collection"), F.lit("queued").alias("kind"), "n", "ord")
+
+
+def answered(answers: DataFrame) -> DataFrame:
+    """The events of answers (collection, ref_id, vector, ord): those with a vector are done, the others failed; collection, kind, n, ord."""
+    kind = F.when(F.col("vector").isNotNull(), "done").otherwise("failed")
+    return answers.groupBy("collection", kind.alias("kind")).agg(F.count("*").alias("n"), F.max("ord").alias("ord"))
+
+
 def indexing_status(outcomes: DataFrame) -> DataFrame:
     """Per collection: pending and status, from events (collection, kind in queued, done, failed; n; ord).
 
