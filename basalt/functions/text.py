@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What ends a line, the pair first.
@@ -44,6 +44,18 @@ def template_fields(template: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def fields_of(template: Column | str) -> Column:
+    """As ``template_fields``, of a column of templates: the bare names in braces, in order, each once."""
+    plain = F.replace(F.replace(_col(template), F.lit("{{"), F.lit("")), F.lit("}}"), F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(plain, F.lit("\\{([A-Za-z_]\\w*)\\}"), F.lit(1)))
+
+
+def unknown_fields(templates: DataFrame, columns: DataFrame) -> DataFrame:
+    """template_id and field of the fields of templates (template_id, template) that no column (name) has."""
+    asked = templates.select("template_id", F.explode(fields_of("template")).alias("field"))
+    return asked.join(columns.select(F.col("name").alias("field")), "field", "left_anti")
+
+
 def rendered(template: str, columns: Sequence[str], header: str | None = None) -> Column:
     """The template with each field's column in its place, null as nothing; unknown fields are an error."""
     fields = template_fields(template)
@@ -102,6 +114,40 @@ def expanded(pattern: str) -> list[str]:
     return [x for alt in m[1].split(",") for x in expanded(pattern[: m.start()] + alt.strip() + pattern[m.end() :])]
 
 
+def expanded_rows(patterns: DataFrame) -> DataFrame:
+    """pattern_id and pattern: for each pattern (pattern_id, pattern) one row for each choice of its brace groups.
+
+    Each round opens the first group of every pattern that has one.
+    """
+    group = "\\{([^{}]+)\\}"
+    rows, done = patterns.select("pattern_id", "pattern"), None
+    while True:
+        closed = rows.filter(~F.col("pattern").rlike(group))
+        done = closed if done is None else done.unionByName(closed)
+        rows = rows.filter(F.col("pattern").rlike(group))
+        if rows.isEmpty():
+            return done
+        alternatives = F.split(F.regexp_extract("pattern", group, 1), ",")
+        head, tail = F.regexp_extract("pattern", f"^(.*?){group}", 1), F.regexp_extract("pattern", f"^.*?{group}(.*)$", 2)
+        rows = rows.select("pattern_id", head.alias("head"), tail.alias("tail"), F.explode(alternatives).alias("one"))
+        rows = rows.select("pattern_id", F.concat("head", F.trim("one"), "tail").alias("pattern"))
+
+
+def glob_expression(pattern: Column | str) -> Column:
+    """As ``glob_regex``, of a column of patterns without braces; case counts as there."""
+    quoted = F.regexp_replace(_col(pattern), "([.+^$|()\\[\\]{}\\\\])", "\\\\$1")
+    for sign, to in (("(^|/)\\*\\*/", "$1\u0001"), ("\\*\\*", "\u0002"), ("\\*", "[^/]*"), ("\\?", "[^/]"), ("\u0001", "(?:[^/]+/)*"), ("\u0002", ".*")):
+        quoted = F.regexp_replace(quoted, sign, to)
+    return F.concat(F.lit("(?i)^(?:"), quoted, F.lit(")$"))
+
+
+def as_utc(text: Column | str) -> Column:
+    """A time as text, with an offset or without one, which then counts as UTC: a timestamp."""
+    text = _col(text)
+    aware = text.rlike("(?i)(z|[+-]\\d\\d:?\\d\\d)$")
+    return F.to_timestamp(F.when(aware, text).otherwise(F.concat(text, F.lit("Z"))))
+
+
 def _spaced(pattern: str) -> str:
     """``**`` made a part of its own: the rest of its part follows as the next one."""
     out: list[str] = []

@@ -31,6 +31,22 @@ def busy(log: DataFrame, caller: str, now: Column, stale_seconds: int = 300) ->
     return rows.join(sent, "message_id", "left").withColumn("text", F.coalesce(F.nullif(F.col("text"), F.lit("")), F.lit("<message>")))
 
 
+def latest_texts(messages: DataFrame, key: str, ord: str, text: str = "text") -> DataFrame:
+    """``key`` and text: the last text of each key."""
+    return messages.groupBy(key).agg(F.max_by(text, ord).alias("text"))
+
+
+def unanswered(log: DataFrame) -> DataFrame:
+    """The received messages of a log that nobody has processed, of whatever age."""
+    return log.filter("kind = 'received'").join(log.filter("kind = 'processed'").select("message_id"), "message_id", "left_anti")
+
+
+def message_text(content: Column | str, type: Column | str) -> Column:
+    """A message's text, or its type in brackets where it has none."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.nullif(col(content), F.lit("")), F.concat(F.lit("<"), col(type), F.lit(">")))
+
+
 def clipped(text: Column | str, most: int) -> Column:
     """At most ``most`` characters, the last being an ellipsis if something was cut; nothing for 0 or less."""
     text = F.col(text) if isinstance(text, str) else text

@@ -79,6 +79,20 @@ def located(edits: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("m", found).select(*edits.columns, "content", "m.start", "m.length", "m.strategy")
 
 
+def by_line_count(content: Column, old: Column, normal: Column, start: Column) -> Column:
+    """Where a match that began at ``start`` (from 1) of a normalised text stands in the original: a struct of start and length.
+
+    As many whole lines as ``old`` has, after as many lines as there are before the match; null where
+    the original has no such line, or nothing matched.
+    """
+    ends = F.regexp_extract_all(content, F.lit("[^\\n]*\\n|[^\\n]+"), F.lit(0))
+    before = F.size(F.split(F.substring(normal, F.lit(1), start - 1), "\n", -1)) - 1
+    size = lambda part: F.aggregate(part, F.lit(0), lambda s, t: s + F.length(t))
+    first = size(F.slice(ends, F.lit(1), before))
+    length = size(F.slice(ends, before + 1, F.size(lines(old))))
+    return F.when((start > 0) & (before < F.size(ends)), F.struct((first + 1).alias("start"), length.alias("length")))
+
+
 def edited(edits: DataFrame, files: DataFrame, all_places: bool = False) -> DataFrame:
     """edit_id, path, strategy and content after each edit alone; content is null where nothing was found.
 
@@ -138,15 +152,17 @@ def patched(patches: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]
 
     Hunks name lines of the old file, so all are applied at once: old lines that no hunk covers stay,
     and a hunk's context and added lines stand at its start. Context is not verified. A new text ends
-    with one line feed. A path is patched by one patch of a batch.
+    with one line feed. A path is patched by one patch of a batch, the first by patch_id; others are refused.
     """
     hunks = parsed(patches)
     whole = hunks.groupBy("patch_id", "path").agg(F.max("deletes").alias("deletes"), F.min(F.startswith("line", F.lit("+")) | F.startswith("line", F.lit("@@"))).alias("adds"))
     there = files.select("path", F.lit(True).alias("there"))
     done = F.when(F.col("deletes"), F.when(F.col("there"), "deleted").otherwise("missing")).when(F.col("adds"), "created").when(F.col("there"), "updated").otherwise("missing")
-    report = whole.join(there, "path", "left").select("patch_id", "path", done.alias("done"))
+    firsts = whole.groupBy("path").agg(F.min("patch_id").alias("first"))
+    told = F.when(F.col("patch_id") > F.col("first"), "refused").otherwise(done)
+    report = whole.join(there, "path", "left").join(firsts, "path").select("patch_id", "path", told.alias("done"))
     targets = report.filter("done in ('created', 'updated')")
-    own = hunks.filter("not deletes").join(targets.select("path", "done"), "path")
+    own = hunks.filter("not deletes").join(targets.select("patch_id", "path", "done"), ["patch_id", "path"])
     kept = own.filter(F.col("line").rlike("^[+ ]")).select("path", (F.col("old_start") + F.when(F.col("old_count") == 0, 1).otherwise(0)).alias("at"), F.lit(0).alias("old"), "pos", F.substr(F.col("line"), F.lit(2)).alias("text"))
     covered = own.filter("done = 'updated' and old_count > 0").select("path", F.explode(F.sequence(F.col("old_start"), F.col("old_start") + F.col("old_count") - 1)).alias("at")).distinct()
     old = files.join(targets.filter("done = 'updated'").select("path"), "path", "left_semi").select("path", F.posexplode(lines("content")).alias("i", "text"))

@@ -16,6 +16,12 @@ ERRORS = "step string, ord long, key string, reason string"
 OUTPUT = 150
 
 
+def after_observations(observations: Column, add: Column, remove: Column) -> Column:
+    """Added ones at the end, then every equal one of those to be removed gone."""
+    none = F.array().cast("array<string>")
+    return F.filter(F.concat(F.coalesce(observations, none), F.coalesce(add, none)), lambda o: ~F.array_contains(F.coalesce(remove, none), o))
+
+
 def entity_id(name: Column | str) -> Column:
     """An id that depends on the key alone, so that a repeated run gives the same table."""
     return F.substring(F.sha2(F.concat(F.lit("entity:"), name), 256), 1, 32)

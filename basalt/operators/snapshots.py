@@ -31,6 +31,14 @@ def set_changes(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
     return added.unionByName(a.join(b, list(keys), "left_anti").withColumn("change", F.lit("removed")))
 
 
+def multiset_changes(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """The keys, n and change: how many more rows (added) or fewer (removed) have them in the second table."""
+    count = lambda df: df.groupBy(*keys).agg(F.count("*").alias("n_"))
+    more = count(after).withColumnRenamed("n_", "new_").join(count(before).withColumnRenamed("n_", "old_"), list(keys), "full_outer").fillna(0, ["new_", "old_"])
+    n = F.col("new_") - F.col("old_")
+    return more.filter(n != 0).select(*keys, F.abs(n).alias("n"), F.when(n > 0, "added").otherwise("removed").alias("change"))
+
+
 def role_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """role and change (added, removed, described anew) of catalogues with role, description and skills (array)."""
     a = before.select("role", F.struct("description", "skills").alias("a"))

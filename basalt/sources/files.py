@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.functions.text import glob_regex, line_ending, lines, with_endings
+from basalt.functions.numbering import placed
+from basalt.functions.text import glob_expression, glob_regex, line_ending, lines, with_endings
 
 #: Longest line shown by a search, and most lines.
 LINE, RESULTS = 500, 100
+#: Suffixes of documents whose text can be read, and of images with their media types: fixed values.
+DOCUMENTS = ("docx", "pdf", "pptx", "xlsx")
 IMAGES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp"}
 
 
@@ -48,6 +51,18 @@ def delete_files(files: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFra
     return files.join(paths, "path", "left_anti"), paths.join(files.select("path"), "path", "left_anti")
 
 
+def make_dirs(dirs: DataFrame, paths: DataFrame) -> DataFrame:
+    """Folders (path) and those asked for, each once; one that is there stays as it is."""
+    return dirs.unionByName(paths.select("path").distinct().join(dirs.select("path"), "path", "left_anti"))
+
+
+def deleted_or_missing(files: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files left, and per path asked for whether it was deleted or not found."""
+    left, none = delete_files(files, paths)
+    gone = paths.select("path").distinct().join(files.select("path"), "path", "left_semi")
+    return left, gone.withColumn("done", F.lit("deleted")).unionByName(none.select("path").distinct().withColumn("done", F.lit("not found")))
+
+
 def list_dir(files: DataFrame, folder: str = "") -> DataFrame:
     """name, is_dir, size and place of what is in a folder: folders first (size 0), then files, each by name."""
     prefix = f"{folder.strip('/')}/" if folder.strip("/") else ""
@@ -56,7 +71,7 @@ def list_dir(files: DataFrame, folder: str = "") -> DataFrame:
     is_dir = F.size("p") > 1
     rows = inside.groupBy(F.element_at("p", 1).alias("name"), is_dir.alias("is_dir")).agg(F.max("size").alias("size"))
     rows = rows.withColumn("size", F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("size")).cast("long"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("is_dir"), "name")))
+    return placed(rows, F.desc("is_dir"), "name")
 
 
 def tree(files: DataFrame, depth: int = 0) -> DataFrame:
@@ -102,6 +117,42 @@ def window(files: DataFrame, offset: int = 1, limit: int = 2000) -> DataFrame:
     return rows.select("path", (F.col("i") + offset).alias("lineno"), "text", "total")
 
 
+def numbered_lines(files: DataFrame, offset: int = 1, limit: int = 2000) -> DataFrame:
+    """path, lineno and line: as ``window``, each line with its number, in six places, before it."""
+    rows = window(files, offset, limit)
+    return rows.select("path", "lineno", F.concat(F.rpad(F.col("lineno").cast("string"), 6, " "), "text").alias("line"))
+
+
+def media_references(prompts: DataFrame, files: DataFrame) -> DataFrame:
+    """prompt_id, pos, i, kind, value and path: the parts of prompts (prompt_id, text) in order.
+
+    ``!!pattern`` or ``!!"pattern with spaces"`` stands for the images that the pattern matches, by path;
+    if there are none, for a hint at each document that it does, else for an error. Text between
+    references, and after the last, is a part as it is. Patterns are joined with files by suffix.
+    """
+    token = '!!"[^"]+"|!!\\S+'
+    texts = F.split("text", token, -1)
+    refs = F.regexp_extract_all("text", F.lit(token), F.lit(0))
+    parts = prompts.select("prompt_id", F.posexplode(texts).alias("n", "t"), refs.alias("refs"))
+    plain = parts.filter("t <> '' or n = size(refs)").select("prompt_id", (F.col("n") * 2).alias("pos"), F.lit("").alias("i"), F.lit("text").alias("kind"), F.col("t").alias("value"), F.lit(None).cast("string").alias("path"))
+    asked = prompts.select("prompt_id", F.posexplode(refs).alias("n", "ref"))
+    asked = asked.select("prompt_id", (F.col("n") * 2 + 1).alias("pos"), F.regexp_replace("ref", '^!!"?|"$', "").alias("pattern"))
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    kind = F.when(suffix.isin(*IMAGES), "image").when(suffix.isin(*DOCUMENTS), "document")
+    known = files.select("path", kind.alias("kind"), suffix.alias("suffix")).filter("kind is not null")
+    # A pattern meets the files of its suffix, one that ends otherwise those of every known suffix.
+    own, every = F.lower(F.regexp_extract("pattern", r"\.([^./*?]+)$", 1)), F.array(*map(F.lit, (*IMAGES, *DOCUMENTS)))
+    wanted = asked.select("pattern").distinct().withColumn("suffix", F.explode(F.when(own == "", every).otherwise(F.array(own))))
+    found = known.join(wanted, "suffix").filter(F.rlike("path", glob_expression("pattern"))).drop("suffix")
+    images = found.filter("kind = 'image'").select("pattern", F.lit(True).alias("has_image")).distinct()
+    matched = asked.join(found, "pattern", "left").join(images, "pattern", "left").filter("kind is null or kind = 'image' or has_image is null")
+    name = F.element_at(F.split("path", "/"), -1)
+    value = F.when(F.col("kind") == "image", F.col("path")).when(F.col("kind") == "document", F.concat(F.lit("!!"), name, F.lit("[=> Use workspace_read tool]")))
+    value = F.coalesce(value, F.concat(F.lit("!!"), "pattern", F.lit("[Error: no image found in the workspace]")))
+    shown = matched.select("prompt_id", "pos", F.coalesce("path", F.lit("")).alias("i"), F.coalesce("kind", F.lit("error")).alias("kind"), value.alias("value"), "path")
+    return plain.unionByName(shown)
+
+
 def media_type(path: Column | str = "path") -> Column:
     """Of an image, by its suffix; null for others."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
