@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import basalt.plans.more, basalt.plans.parts  # noqa: E401, F401  they register their own
+    import basalt.plans.more, basalt.plans.parts, basalt.plans.wider  # noqa: E401, F401  they register their own
 
     return dict(QUERIES)
 
@@ -69,10 +69,10 @@ def t03_clamped_search(s, d):
 
 @query(f"""select query_id, ref_id, round(score, 6) as score, rank from (
   select q.vec_id as query_id, v.vec_id as ref_id, {COS} as score, row_number() over (partition by q.vec_id order by {COS} desc, v.vec_id) as rank
-  from embeddings v, embeddings q where q.vec_id < 20) where rank <= 5""")
+  from embeddings v, embeddings q where q.vec_id % 50 = 0) where rank <= 5""")
 def w02_batch_topk(s, d):
     v = tb.vectors(s, d)
-    asked = v.filter("ref_id < 20").select(F.col("ref_id").alias("query_id"), "vector")
+    asked = v.filter("ref_id % 50 = 0").select(F.col("ref_id").alias("query_id"), "vector")
     return vectors.search_all(v, asked, 5).select("query_id", "ref_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -89,7 +89,7 @@ def s05_remove(s, d):
 
 def _collections(s, d):
     e = tb.table(s, d, "embeddings")
-    rows = e.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("collection"), F.col("vec_id").cast("string").alias("ref_id"), F.lit("").alias("text"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = e.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("collection"), F.col("vec_id").cast("string").alias("ref_id"), F.lit("").alias("text"), F.col("embedding").cast("array<double>").alias("vector"), F.col("vec_id").alias("ord"))
     registry = s.createDataFrame([(f"c{i}", 64 if i < 8 else 32, "memory" if i % 2 else "workspace", "t1" if i < 3 else None, "ready") for i in range(9)], "name string, dimension int, backend string, tenant string, status string")
     return rows, registry
 
@@ -201,9 +201,9 @@ def a01_owner_counts(s, d):
     return ranking.breakdown(tb.board(s, d)).select("owner", "n", F.col("place").cast("long").alias("place"))
 
 
-@query(f"""with {tb.BOARD_SQL} select '- ID ' || id || ' [' || status || '] ' || description || ' (Owner: ' || coalesce(nullif(owner, ''), 'unassigned') || ', Creator: ' || creator || ')' as line from tasks where id < 1000""")
+@query(f"""with {tb.BOARD_SQL} select '- ID ' || id || ' [' || status || '] ' || description || ' (Owner: ' || coalesce(nullif(owner, ''), 'unassigned') || ', Creator: ' || creator || ')' as line from tasks""")
 def f22_task_lines(s, d):
-    rows = tb.board(s, d).filter("id < 1000").withColumn("output", F.lit(""))
+    rows = tb.board(s, d).withColumn("output", F.lit(""))
     return rows.select(snapshots.task_line(rows).alias("line"))
 
 
@@ -316,10 +316,10 @@ def j11_waypoints(s, d):
     return graph.waypoints(e, r, "C:5", [("LOCATED_IN", f"N:{nation}")], 1)[0].select("name")
 
 
-@query("select 1::bigint as pair_id, 'a' as source, 'b' as target union all select 2, 'a', 'c' union all select 3, 'b', 'c'")
+@query(f"with {HITS_SQL}, h as (select 'C:' || ref_id as name, rank from hits where rank <= 5) select row_number() over (order by a.rank, b.rank) as pair_id, a.name as source, b.name as target from h a join h b on a.rank < b.rank qualify pair_id <= 8")
 def j17_top_pairs(s, d):
-    hits = s.createDataFrame([("c", 3), ("a", 1), ("b", 2)], "name string, rank int")
-    return graph.top_pairs(hits).select(F.col("pair_id").cast("long").alias("pair_id"), "source", "target")
+    hits = _hits(s, d, 30).select(F.concat(F.lit("C:"), F.col("ref_id").cast("string")).alias("name"), "rank")
+    return graph.top_pairs(hits, 5, 8).select(F.col("pair_id").cast("long").alias("pair_id"), "source", "target")
 
 
 @query(f"with {tb.GRAPH_SQL} select 'N:' || n_nationkey as ref_id, 'entity' as kind, 'N:' || n_nationkey as label from nation union all select 'N:' || n_nationkey || '>R:' || n_regionkey, 'relation', 'N:' || n_nationkey || ' PART_OF R:' || n_regionkey from nation")
@@ -423,7 +423,7 @@ def a05_busy(s, d):
 
 @query("select conv_id, arg_max(text, turn) as text from conversations group by conv_id")
 def j14_latest_text(s, d):
-    return tb.table(s, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    return activity.latest_texts(tb.table(s, d, "conversations"), "conv_id", "turn")
 
 
 @query("select doc_id::varchar as message_id, case when doc_id % 3 = 0 then 'summary ' || doc_id when length(text) <= 80 then text else left(text, 79) || '…' end as shown, doc_id % 3 <> 0 as pending from documents")
@@ -455,20 +455,21 @@ def m12_cancel(s, d):
 
 
 def _cache_events(s, d):
-    ev = tb.table(s, d, "events").filter("event_id < 3000")
+    ev = tb.table(s, d, "events")
     kind = F.when(F.col("event_type") == "view", "deliver").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "click", "request").otherwise("get")
     return ev.select(F.col("user_id").cast("string").alias("key"), kind.alias("event"), F.col("event_id").cast("string").alias("value"), F.col("event_id").cast("double").alias("t"), F.col("event_id").alias("ord"))
 
 
-CACHE_SQL = """ev as (select user_id::varchar as key, case event_type when 'view' then 'deliver' when 'error' then 'fail' when 'click' then 'request' else 'get' end as event, event_id::varchar as value, event_id::double as t, event_id as ord from events where event_id < 3000)"""
+CACHE_SQL = """ev as (select user_id::varchar as key, case event_type when 'view' then 'deliver' when 'error' then 'fail' when 'click' then 'request' else 'get' end as event, event_id::varchar as value, event_id::double as t, event_id as ord from events)"""
 
 
 @query(f"""with {CACHE_SQL}, m as (select key, arg_max(event, ord) as event, arg_max(value, ord) as value, max(t) as t, min(ord) as since from ev where event in ('deliver', 'fail') group by key),
 u as (select m.key, max(ev.ord) as used from ev join m on ev.key = m.key and ev.ord >= m.since group by m.key),
 p as (select m.*, row_number() over (order by used desc) as place from m join u on m.key = u.key)
-select key, value, case when event = 'deliver' then 'value' else 'failed' end as state from p where place <= 100 and (event = 'deliver' or t + 60 > 3000)""")
+select key, value, case when event = 'deliver' then 'value' else 'failed' end as state from p where place <= 100 and (event = 'deliver' or t + 60 > (select max(event_id) from events))""")
 def r06_cache(s, d):
-    return cache.contents(_cache_events(s, d), 3000.0, 100)
+    ev = _cache_events(s, d)
+    return cache.contents(ev, ev.agg(F.max("t")).first()[0], 100)
 
 
 @query(f"with {CACHE_SQL} select key from ev group by key having max(ord) filter (event = 'request') is not null and (max(ord) filter (event in ('deliver', 'fail')) is null or max(ord) filter (event = 'request') > max(ord) filter (event in ('deliver', 'fail')))")
@@ -558,25 +559,28 @@ def x12_command(s, d):
     return c.select("c_custkey", tx.arguments(line, ["who", "what"]).alias("a")).select("c_custkey", "a.who", "a.what")
 
 
-@query("select c_nationkey, count(*) - coalesce(any_value(k), 0) as n from customer left join (select s_nationkey, count(*) as k from supplier group by 1) on s_nationkey = c_nationkey group by 1 having count(*) > coalesce(any_value(k), 0)")
+@query("""with c as (select c_nationkey, count(*) as n from customer group by 1), p as (select s_nationkey, count(*) as n from supplier group by 1)
+select coalesce(c_nationkey, s_nationkey) as nation, abs(coalesce(c.n, 0) - coalesce(p.n, 0)) as n, case when coalesce(c.n, 0) > coalesce(p.n, 0) then 'added' else 'removed' end as change
+from c full join p on c_nationkey = s_nationkey where coalesce(c.n, 0) <> coalesce(p.n, 0)""")
 def u05_multiset_difference(s, d):
-    c, p = tb.table(s, d, "customer").select("c_nationkey"), tb.table(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))
-    return c.exceptAll(p).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    c, p = tb.table(s, d, "customer").select(F.col("c_nationkey").alias("nation")), tb.table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return snapshots.multiset_changes(p, c, "nation")
 
 
-@query("""with recursive n(name, ord) as (values ('app', 1), ('db', 2), ('log', 3), ('net', 4), ('ui', 5)), d(name, needs) as (values ('app', 'db'), ('app', 'log'), ('db', 'net'), ('ui', 'app')),
-l(name, level) as (select name, 0 from n union select d.name, level + 1 from l join d on d.needs = l.name)
-select name, max(level)::bigint as level from l group by name""")
+@query("select 'P' || p_partkey as name, case when p_partkey = 0 then 0 else floor(log2(p_partkey)) end::bigint as level from part")
 def t11_levels(s, d):
-    n = s.createDataFrame([("app", 1), ("db", 2), ("log", 3), ("net", 4), ("ui", 5)], "name string, ord int")
-    deps = s.createDataFrame([("app", "db"), ("app", "log"), ("db", "net"), ("ui", "app")], "name string, needs string")
-    return dependencies.levels(n, deps).select("name", F.col("level").cast("long").alias("level"))
+    """Each part needs the ones at a half and at a third of its number, so its level is that of its half and one."""
+    from basalt.plans.wider import _needs
 
+    return dependencies.levels(*_needs(s, d)).select("name", F.col("level").cast("long").alias("level"))
 
-@query("select name, needs from (values ('app', 'ghost')) t(name, needs)")
+
+@query("select 'P' || p_partkey as name, 'P' || (p_partkey + 7) as needs from part where p_partkey + 7 > (select max(p_partkey) from part)")
 def j22_missing_dependencies(s, d):
-    n = s.createDataFrame([("app", 1), ("db", 2)], "name string, ord int")
-    return dependencies.missing(n, s.createDataFrame([("app", "db"), ("app", "ghost")], "name string, needs string")).select("name", "needs")
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    p = tb.table(s, d, "part").select(F.col("p_partkey").alias("ord"))
+    nodes = p.select(name(F.col("ord")).alias("name"), "ord")
+    return dependencies.missing(nodes, p.select(name(F.col("ord")).alias("name"), name(F.col("ord") + 7).alias("needs"))).select("name", "needs")
 
 
 @query(f"with {tb.FILES_SQL} select path, replace(content, ' the ', ' THE ') as content from files where contains(content, ' the ')")

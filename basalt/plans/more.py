@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as tx
@@ -49,10 +48,11 @@ def a10_duplicates(s, d):
     return registry.duplicates(tb.table(s, d, "part"), "p_brand")
 
 
-@query("select c_nationkey as ref_id, row_number() over (order by not a, k) as ord from (select c_nationkey, bool_or(c_custkey < 20) as a, coalesce(min(c_custkey) filter (c_custkey < 20), min(c_custkey)) as k from customer where c_custkey < 100 group by 1)")
+@query("select 'k' || c_custkey % 1000 as ref_id, row_number() over (order by not bool_or(c_custkey % 3 = 0), coalesce(min(c_custkey) filter (c_custkey % 3 = 0), min(c_custkey))) as ord from customer group by 1")
 def a11_merged(s, d):
-    c = tb.table(s, d, "customer").select(F.col("c_nationkey").alias("ref_id"), F.col("c_custkey").alias("ord"))
-    return registry.merged(c.filter("ord < 20"), c.filter("ord < 100 and ord >= 20")).select("ref_id", F.col("ord").cast("long").alias("ord"))
+    """Two lists that hold all customers between them, with keys that come again in either and in both."""
+    c = tb.table(s, d, "customer").select(F.concat(F.lit("k"), (F.col("c_custkey") % 1000).cast("string")).alias("ref_id"), F.col("c_custkey").alias("ord"))
+    return registry.merged(c.filter("ord % 3 = 0"), c.filter("ord % 3 <> 0")).select("ref_id", F.col("ord").cast("long").alias("ord"))
 
 
 @query("select 'r' || n_regionkey as role, n_nationkey as ord, '@r' || n_regionkey || (100 + 2 * row_number() over (partition by n_regionkey order by n_nationkey) - 1) as name from nation where n_nationkey % 2 = 0")
@@ -142,11 +142,15 @@ def x42_signed(s, d):
     return tb.table(s, d, "nation").select("n_nationkey", snapshots.signed(F.col("n_nationkey") - 12).alias("moved"))
 
 
-@query("select 'l_quantity' as name, 'number' as type union all select 'l_linenumber', 'integer' union all select 'l_returnflag', 'string'")
+TYPED = ("lineitem", "orders", "events", "documents", "embeddings")
+
+
+@query(" union all ".join(f"""select '{t}' as of, column_name as name, case when column_type like '%[]' then 'array' when column_type in ('BIGINT', 'INTEGER') then 'integer' when column_type in ('DOUBLE', 'FLOAT') then 'number' when column_type = 'BOOLEAN' then 'boolean' else 'string' end as type
+from (describe select * from {t})""" for t in TYPED))
 def x14_type_names(s, d):
-    kinds = dict(tb.table(s, d, "lineitem").dtypes)
-    rows = s.createDataFrame([(c, kinds[c]) for c in ("l_quantity", "l_linenumber", "l_returnflag")], "name string, kind string")
-    return rows.select("name", registry.type_name("kind").alias("type"))
+    """Of the columns of five tables."""
+    rows = s.createDataFrame([(t, c, kind) for t in TYPED for c, kind in tb.table(s, d, t).dtypes], "of string, name string, kind string")
+    return rows.select("of", "name", registry.type_name("kind").alias("type"))
 
 
 @query(f"with {tb.FILES_SQL} select path from files where mtime % 4 <> 0 union all select 'new/' || mtime from files where mtime % 10 = 0")
@@ -199,11 +203,12 @@ def x18_exact_place(s, d):
     return found.select("path", (F.split("content", "\n")[0] == "none").alias("x"), "strategy")
 
 
-@query("select user_id, count(*) as n from events where event_type = 'view' group by user_id having count(*) > 60")
+@query("select 'new' || c_nationkey as key, 'exists' as reason, count(*) - 1 as n from customer group by c_nationkey having count(*) > 1")
 def w07_second_of_a_name(s, d):
-    ev = tb.table(s, d, "events").filter("event_type = 'view'")
-    counted = ev.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    return counted.groupBy("user_id").agg(F.max("i").cast("long").alias("n")).filter("n > 60")
+    """One batch creates an entity for each customer's nation: the first of a name is made, the others are errors."""
+    c = tb.table(s, d, "customer")
+    asked = c.select(F.concat(F.lit("new"), F.col("c_nationkey").cast("string")).alias("name"), F.lit("nation").alias("entity_type"), F.lit("").alias("description"), F.lit(None).cast("array<string>").alias("observations"), F.lit(False).alias("is_root"), F.col("c_custkey").alias("ord"))
+    return mutate.create_entities(tb.graph(s, d)[0], asked)[1].groupBy("key", "reason").agg(F.count("*").alias("n"))
 
 
 @query(r"""select n_nationkey, concat_ws(chr(10), '--- a/p', '+++ b/p', '@@ -1,3 +1,3 @@', ' a', '-b', '+' || n_name, ' c') as diff from nation""")

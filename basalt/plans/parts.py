@@ -162,11 +162,11 @@ def j15_due_by_presence(s, d):
     return decided.groupBy((F.col("decision") == "delivered").alias("present")).agg(F.count("*").alias("n"))
 
 
-@query("""select c_nationkey::varchar as name, 'added' as change from customer where c_custkey % 2 = 0 group by 1 having name not in (select c_nationkey::varchar from customer where c_custkey % 3 = 0)
-union all select c_nationkey::varchar, 'removed' from customer where c_custkey % 3 = 0 group by 1 having c_nationkey::varchar not in (select c_nationkey::varchar from customer where c_custkey % 2 = 0)""")
+@query(f"""with {tb.GRAPH_SQL}, o as (select name from e where entity_type <> 'supplier' and ord % 3 <> 0), n as (select name from e where entity_type <> 'region' and ord % 5 <> 0)
+select name, 'added' as change from n where name not in (from o) union all select name, 'removed' from o where name not in (from n)""")
 def j19_set_delta(s, d):
-    c = tb.table(s, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("name"))
-    return snapshots.set_changes(c.filter("c_custkey % 3 = 0"), c.filter("c_custkey % 2 = 0"), "name")
+    e, _ = tb.graph(s, d)
+    return snapshots.set_changes(e.filter("entity_type <> 'supplier' and ord % 3 <> 0"), e.filter("entity_type <> 'region' and ord % 5 <> 0"), "name")
 
 
 @query("select count(*) filter (doc_id % 3 <> 0) as pending from documents")
@@ -178,8 +178,7 @@ def a09_pending(s, d):
 
 @query(f"with {tb.LOG_SQL} select message_id, kind, agent_id from log where kind = 'received' and message_id not in (select message_id from log where kind = 'processed')")
 def u06_received_not_processed(s, d):
-    log = tb.activity_log(s, d)
-    return log.filter("kind = 'received'").join(log.filter("kind = 'processed'").select("message_id"), "message_id", "left_anti").select("message_id", "kind", "agent_id")
+    return activity.unanswered(tb.activity_log(s, d)).select("message_id", "kind", "agent_id")
 
 
 @query(f"with {OPEN_SQL} select count(distinct agent_id) as busy, count(*) as open from o")
@@ -210,9 +209,14 @@ def f13_cancels(s, d):
     return tb.mailbox(s, d).select("msg_id", mailbox.cancels().alias("cancels"))
 
 
-@query("select * from (values ('a/b.py'), ('a/b.md'), ('c/b.py'), ('c/b.md')) t(pattern)")
+@query("select n_nationkey as pattern_id, a || '/' || n_name || b || '.' || c as pattern from nation, (values ('a'), ('c')) x(a), (values (''), ('/**')) y(b), (values ('py'), ('md'), ('t' || 'xt')) z(c) where n_nationkey % 2 = 0 or c = 'py' and b = ''")
 def f15_braces(s, d):
-    return s.createDataFrame([(p,) for p in tx.expanded("{a,c}/b.{py,md}")], "pattern string")
+    """Patterns with three groups of braces, and with one."""
+    n = tb.table(s, d, "nation")
+    three, one = F.concat(F.lit("{a, c}/"), "n_name", F.lit("{/**,}.{py,md,txt}")), F.concat(F.lit("{a,c}/"), "n_name", F.lit(".py"))
+    three = F.replace(three, F.lit("{/**,}"), F.lit("{/**,-}"))
+    rows = tx.expanded_rows(n.select(F.col("n_nationkey").alias("pattern_id"), F.when(F.col("n_nationkey") % 2 == 0, three).otherwise(one).alias("pattern")))
+    return rows.withColumn("pattern", F.regexp_replace("pattern", r"-\.", "."))
 
 
 @query(f"with {tb.FILES_SQL} select path from files where regexp_matches(path, '^(.*/)?[^/]*7\\.txt$')")
@@ -252,7 +256,7 @@ def w01_first_per_key(s, d):
 
 @query(f"with {tb.MAILBOX_SQL} select owner, msg_id, row_number() over (partition by owner order by ord) as number from mail")
 def w06_numbered_messages(s, d):
-    return tb.mailbox(s, d).select("owner", "msg_id", F.row_number().over(Window.partitionBy("owner").orderBy("ord")).cast("long").alias("number"))
+    return mailbox.numbered(tb.mailbox(s, d)).select("owner", "msg_id", "number")
 
 
 PATCH = "--- a/%s\n+++ b/%s\n@@ -1,2 +1,3 @@\n a\n-b\n+B\n+C\n@@ -9,1 +10,1 @@\n-x\n+y\n@@ -20,3 +21,1 @@\n-p\n-q\n r\n"
@@ -352,16 +356,18 @@ def x02_substring(s, d):
     return tb.table(s, d, "part").filter(ranking.matches("AN", "p_name", "p_brand")).select("p_partkey")
 
 
-@query("select * from (values (1, 'who'), (2, 'what'), (3, 'when_1')) t(place, field)")
+@query("select n_nationkey, place, case place when 1 then 'who' when 2 then 'f' || n_nationkey else 'when_1' end as field from nation, (values (1), (2), (3)) t(place)")
 def x03_template_fields(s, d):
-    return s.createDataFrame(list(enumerate(tx.template_fields("{who} {{no}} {what} {who} {when_1}"), 1)), "place int, field string")
+    n = tb.table(s, d, "nation")
+    template = F.concat(F.lit("{who} {{no}} {f"), F.col("n_nationkey").cast("string"), F.lit("} {who} {when_1} {{{{x}}}}"))
+    return n.select("n_nationkey", F.posexplode(tx.fields_of(template)).alias("i", "field")).select("n_nationkey", (F.col("i") + 1).alias("place"), "field")
 
 
-@query(f"""with {tb.MAILBOX_SQL}, l as (select owner, row_number() over (partition by owner order by ord) as n, 'You received a ' || case sender when 'user' then 'message' when 'assistant' then 'result' else 'notification' end || ' from ' || sender || ': ' || content as line from mail
-where owner in ('owner3', 'owner4')) select owner, string_agg(n || '. ' || line, chr(10) order by n) as text from l group by owner""")
+@query(f"""with {tb.MAILBOX_SQL}, l as (select owner, row_number() over (partition by owner order by ord) as n, 'You received a ' || case sender when 'user' then 'message' when 'assistant' then 'result' else 'notification' end || ' from ' || sender || ': ' || content as line from mail)
+select owner, (n - 1) // 10 as part, string_agg(n || '. ' || line, chr(10) order by n) as text from l group by 1, 2""")
 def x09_rendered_mailbox(s, d):
-    m = tb.mailbox(s, d).filter(F.col("owner").isin("owner3", "owner4"))
-    return mailbox.rendered(m.withColumn("number", F.row_number().over(Window.partitionBy("owner").orderBy("ord"))))
+    """All mailboxes, ten messages a row."""
+    return mailbox.rendered(mailbox.numbered(tb.mailbox(s, d)), 10)
 
 
 @query("select c_custkey, c_custkey as n, case when c_custkey % 3 = 0 then 'too many arguments' when c_custkey % 3 = 1 then 'too few arguments' end as error from customer")
