@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,8 +37,24 @@ def open_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 mi
     return open_.groupBy(F.window("received_at", window)).agg(F.count("*").alias("n"))
 
 
-def latest(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps, in the session's memory table, the last word on each (tool_id, kind, ref_id) of a stream of change events."""
-    word = F.max(F.struct("seq", (F.col("op") == "removed").alias("gone"))).alias("last")
-    rows = events.groupBy("tool_id", "kind", "ref_id").agg(word).select("tool_id", "kind", "ref_id", "last.seq", "last.gone")
-    return rows.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the last word on each (tool_id, kind, ref_id) of a stream of change events in Parquet, a folder a batch.
+
+    A batch writes only the ids that it tells of, and one that runs again writes to the same folder;
+    ``latest_words`` folds what is there.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        _last_words(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return events.withColumn("gone", F.col("op") == "removed").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_words(spark: SparkSession, path: str) -> DataFrame:
+    """tool_id, kind, ref_id, seq and gone, as far as ``latest`` has come."""
+    return _last_words(spark.read.parquet(path))
+
+
+def _last_words(rows: DataFrame) -> DataFrame:
+    word = F.max(F.struct("seq", "gone")).alias("last")
+    return rows.groupBy("tool_id", "kind", "ref_id").agg(word).select("tool_id", "kind", "ref_id", "last.seq", "last.gone")

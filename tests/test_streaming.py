@@ -26,8 +26,9 @@ def test_latest_word_of_each_id(spark, tmp_path):
     rows = spark.createDataFrame([("t", 1, "added", "e", "a"), ("t", 2, "removed", "e", "a"), ("t", 2, "added", "e", "b")], "tool_id string, seq long, op string, kind string, ref_id string")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    ingest.latest(stream, "latest_words", str(tmp_path / "cp")).awaitTermination(120)
-    assert {(r["ref_id"], r["gone"]) for r in spark.table("latest_words").collect()} == {("a", True), ("b", False)}
+    for _ in range(2):
+        ingest.latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert {(r["ref_id"], r["gone"]) for r in ingest.latest_words(spark, str(tmp_path / "out")).collect()} == {("a", True), ("b", False)}
 
 
 def test_timers_fire_once_and_cancels_hold(spark, tmp_path):
