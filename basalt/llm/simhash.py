@@ -81,6 +81,8 @@ def linked(distinct: DataFrame, most: int = 3) -> DataFrame:
     """
     if most > 3:
         raise ValueError("two halves find pairs of at most 3 differing bits")
+    # A fingerprint makes 66 visits, so their partitions are not to be put together by its own small size.
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     halves = "explode(array(struct(0 as half, fp & 4294967295L as x), struct(1 as half, shiftrightunsigned(fp, 32) as x))) as c"
     points = distinct.selectExpr("fp", halves)
     around = f"transform(sequence(0, 31), i -> {segment_counts('(c.x ^ shiftleft(1L, i))')})"
@@ -106,8 +108,8 @@ def near_groups(
     rows = cut(fingerprints(df, doc_id, text, width, row))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
     reached = cut(components(linked(distinct.select("fp"), most)))
-    joined = reached.join(distinct, reached.node == distinct.fp).groupBy("root").agg(F.min("least").alias("component"))
-    moved = reached.join(joined, "root").select("node", "root", "component")
+    joined = reached.join(distinct, reached.node == distinct.fp).groupBy(F.col("root").alias("of_root")).agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    moved = joined_evenly(reached, joined, F.col("root"), F.col("of_root"), F.col("root") == F.col("of_root"), "members", "node").select("node", "root", "component")
     groups = distinct.join(moved, distinct.fp == moved.node, "left").select(
         F.col("fp").alias("of"), F.coalesce("root", "fp").alias("group_id"), F.expr("if(node is null, least, component)").alias("component_id"), "size"
     )
