@@ -103,16 +103,19 @@ def create_collection(collections: DataFrame, name: str, dimension: int, backend
 
 
 def add(vectors: DataFrame, entries: DataFrame, collections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries (collection, ref_id, text, vector, ord) upserted by (collection, ref_id), and those refused with a reason.
+    """Entries (collection, ref_id, text, vector and, for their order, ord) upserted by (collection, ref_id), and those refused with a reason.
 
     An entry is refused if its collection is not registered or its vector has another dimension. Of
-    several entries with one key the last by ord counts; new rows go after all present ones, in their order.
+    several entries with one key the last by ord counts; new rows go after all present ones, in their
+    order. Entries without the column ord are taken as they are stored, which only a table that is read
+    the same way each time makes certain.
     """
     known = collections.select(F.col("name").alias("collection"), "dimension")
-    checked = entries.join(known, "collection", "left").withColumn(
+    place = F.col("ord").cast("long") if "ord" in entries.columns else F.monotonically_increasing_id()
+    checked = entries.withColumn("place", place).join(known, "collection", "left").withColumn(
         "reason", F.when(F.col("dimension").isNull(), "unknown collection").when(F.size("vector") != F.col("dimension"), "wrong dimension")
     )
-    good = checked.filter("reason is null").withColumn("place", F.col("ord").cast("long"))
+    good = checked.filter("reason is null")
     last = good.groupBy("collection", "ref_id").agg(F.max_by(F.struct("text", "vector"), "place").alias("e"), F.max("place").alias("place"))
     base = vectors.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("base"))
     vector = F.col("e.vector").cast("array<double>")

@@ -3,10 +3,13 @@
 import datetime
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from basalt.functions import numbering
 from basalt.functions import text as tx
-from basalt.operators import activity, cache, dependencies, edits, graph, mailbox, mutate, ranking, snapshots, timers, vectors
+from basalt.operators import activity, cache, dependencies, edits, graph, mailbox, mutate, ranking, search, snapshots, timers, vectors
 from basalt.sources import embed, files, pages
 
 
@@ -215,3 +218,91 @@ def test_no_limit_is_no_number(spark):
     assert ranking.keyword_hits(parts, None, "RING", None).count() == 300
     events = spark.range(300).select(F.col("id").cast("string").alias("key"), F.lit("deliver").alias("event"), F.lit("v").alias("value"), F.lit(0.0).alias("t"), F.col("id").alias("ord"))
     assert cache.contents(events, 0.0, None).count() == 300 and cache.contents(events, 0.0).count() == 128
+
+
+@pytest.mark.parametrize("rows", [0, 1, 200])
+def test_places_are_those_of_one_sorted_list(spark, rows):
+    df = spark.range(rows).select((F.col("id") * 37 % 101).alias("k"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("owner"), "id").repartition(5)
+    got = sorted(numbering.placed(df, F.desc("k"), "id").select("place", "k", "id").collect())
+    want = sorted(((i * 37 % 101, i) for i in range(rows)), key=lambda x: (-x[0], x[1]))
+    assert [tuple(r) for r in got] == [(n, *x) for n, x in enumerate(want, 1)]
+    own = [tuple(r) for r in numbering.placed_within(df, ["owner"], "id").select("owner", "number", "id").collect()]
+    hot = [i for i in range(rows) if i % 3 == 0]
+    assert sorted(x for x in own if x[0] == "hot") == [("hot", n, i) for n, i in enumerate(hot, 1)]
+    assert all(n == 1 for o, n, _ in own if o != "hot") and len(own) == rows
+
+
+def test_paths_of_sixty_hops_and_chains_of_levels(spark):
+    e = spark.range(62).select(F.col("id").cast("string").alias("name"))
+    r = spark.range(60).select(F.format_string("e%d", "id").alias("ref_id"), F.col("id").cast("string").alias("from_entity"), (F.col("id") + 1).cast("string").alias("to_entity"), F.lit("next").alias("relation_type"), F.col("id").alias("ord"))
+    pairs = spark.createDataFrame([(1, "0", "60"), (2, "5", "3"), (3, "0", "61"), (4, "7", "7")], "pair_id long, source string, target string")
+    got = {x["pair_id"]: (len(x["edges"]), x["nodes"][0], x["nodes"][-1]) for x in graph.shortest_paths(e, r, pairs).collect()}
+    assert got == {1: (60, "0", "60"), 2: (2, "5", "3"), 4: (0, "7", "7")}
+    nodes = spark.range(30).select(F.col("id").cast("string").alias("name"), (-F.col("id")).alias("ord"))
+    chain = spark.range(29).select((F.col("id") + 1).cast("string").alias("name"), F.col("id").cast("string").alias("needs"))
+    assert {(x["name"], x["level"], x["place"]) for x in dependencies.levels(nodes, chain).collect()} == {(str(i), i, i + 1) for i in range(30)}
+    with pytest.raises(ValueError):
+        dependencies.levels(nodes, chain.unionByName(spark.createDataFrame([("0", "29")], "name string, needs string")))
+    assert dependencies.levels(nodes.limit(0), chain.limit(0)).count() == 0
+
+
+def test_a_second_patch_of_a_path_is_refused(spark):
+    f = spark.createDataFrame([("a", "x\n", 2, datetime.datetime(2024, 1, 1))], "path string, content string, size long, mtime timestamp")
+    text = "--- a/a\n+++ b/a\n@@ -1,1 +1,1 @@\n-x\n+%s\n"
+    after, report = edits.patched(spark.createDataFrame([(1, text % "one"), (2, text % "two")], "patch_id int, text string"), f)
+    assert col(after, "content") == ["one\n"]
+    assert {(x["patch_id"], x["done"]) for x in report.collect()} == {(1, "updated"), (2, "refused")}
+
+
+def test_batch_search_equals_single_ones_and_leaves_out_other_dimensions(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)] + [(90, [1.0]), (91, None)], "ref_id long, vector array<double>").withColumn("ord", F.col("ref_id"))
+    asked = v.filter("ref_id % 9 = 0").select(F.col("ref_id").alias("query_id"), "vector")
+    for block, shard in ((2, 7), (2048, 65536)):
+        got = {}
+        for x in vectors.search_all(v, asked, 3, block=block, shard=shard).collect():
+            got.setdefault(x["query_id"], {})[x["rank"]] = x["ref_id"]
+        for q in asked.filter("query_id < 90").collect():
+            want = {x["rank"]: x["ref_id"] for x in vectors.search(v, q["vector"], 3).collect()}
+            assert got[q["query_id"]] == want
+        assert got[90] == {1: 90}
+    assert vectors.search_all(v, asked.limit(0), 3).count() == 0
+
+
+def test_entries_keep_the_last_by_their_order(spark):
+    registry = vectors.create_collection(spark.createDataFrame([], "name string, dimension int, backend string, tenant string, status string"), "a", 1)
+    entries = spark.createDataFrame([("a", str(i % 10), f"t{i}", [float(i)], i) for i in range(100)], "collection string, ref_id string, text string, vector array<double>, ord int").repartition(7)
+    got = vectors.add(spark.createDataFrame([], vectors.SCHEMA), entries, registry)[0]
+    assert sorted((r["ref_id"], r["text"]) for r in got.collect()) == [(str(i), f"t{90 + i}") for i in range(10)]
+
+
+def test_modes_of_graph_search(spark):
+    e = spark.createDataFrame([("i1", "Ann", "person", "builds", False, 0), ("i2", "Bob", "person", "sings", False, 1)], "ref_id string, name string, entity_type string, description string, is_root boolean, ord long")
+    r = spark.createDataFrame([("r1", "Ann", "Bob", "BUILDS_WITH", "", 0)], "ref_id string, from_entity string, to_entity string, relation_type string, description string, ord long")
+    hits = spark.createDataFrame([("i2", 0.9, 1), ("gone", 0.8, 2)], "ref_id string, score double, rank int")
+    found = search.search_graph(e, r, "BUILD", neighbours=True, edges=True, paths=True)
+    assert [(x["kind"], x["label"]) for x in found.hits.orderBy("place").collect()] == [("entity", "Ann"), ("relation", "Ann BUILDS_WITH Bob")]
+    assert col(found.neighbours, "name") == ["Bob"] and col(found.edges, "ref_id") == ["r1"] and found.paths.count() == 0
+    assert col(search.search_graph(e, r, "", "vector", 5, 0.5, hits).hits, "label") == ["Bob"]
+    assert search.search_graph(e, r, "x", "vector").hits.count() == 0
+    assert search.search_graph(e, r, "build", "hybrid").hits.count() == 2
+    both = search.search_graph(e, r, "build", "hybrid", 5, 0.0, hits).hits.orderBy("place").collect()
+    assert [x["label"] for x in both] == ["Ann", "Ann BUILDS_WITH Bob", "Bob"]
+    with pytest.raises(ValueError):
+        search.search_graph(e, r, "x", "other")
+
+
+def test_changed_collections_are_written_alone(spark, tmp_path):
+    path, schema = str(tmp_path / "v"), vectors.SCHEMA
+    rows = spark.createDataFrame([(c, str(i), "t", [1.0], 1.0, i) for c in "ab" for i in range(3)], schema)
+    vectors.save(rows, path)
+    stored = vectors.load(spark, path)
+    vectors.persist(stored.filter("collection <> 'a'"), path, ["a"])
+    assert sorted(col(vectors.load(spark, path), "collection")) == ["b"] * 3
+    assert vectors.restored(vectors.dumped(rows)).exceptAll(rows).count() == 0
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(alphabet=st.sampled_from("abc/.{},* "), max_size=14))
+def test_brace_patterns_as_rows_equal_those_of_one(spark, pattern):
+    got = tx.expanded_rows(spark.createDataFrame([(1, pattern)], "pattern_id int, pattern string"))
+    assert sorted(col(got, "pattern")) == sorted(tx.expanded(pattern))
