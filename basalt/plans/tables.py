@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Regions, nations, customers and suppliers, and where they lie; roots are the regions.
 
-    Some orders link customers to suppliers, so that there are circles.
+    All orders link customers to the suppliers of their items, so that there are circles.
     """
     t = lambda n: table(spark, sf_dir, n)
     none = F.array().cast("array<string>")
@@ -38,8 +38,8 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     relations = relation(t("nation"), "PART_OF", ("N:", "n_nationkey"), ("R:", "n_regionkey"), 0)
     relations = relations.unionByName(relation(t("customer"), "LOCATED_IN", ("C:", "c_custkey"), ("N:", "c_nationkey"), 1))
     relations = relations.unionByName(relation(t("supplier"), "LOCATED_IN", ("S:", "s_suppkey"), ("N:", "s_nationkey"), 2))
-    urgent = t("orders").filter("o_orderpriority = '1-URGENT'").join(t("lineitem").filter("l_quantity = 50"), F.col("o_orderkey") == F.col("l_orderkey"))
-    relations = relations.unionByName(relation(urgent.select("o_custkey", "l_suppkey").distinct(), "ORDERED_FROM", ("C:", "o_custkey"), ("S:", "l_suppkey"), 3))
+    ordered = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    relations = relations.unionByName(relation(ordered.select("o_custkey", "l_suppkey").distinct(), "ORDERED_FROM", ("C:", "o_custkey"), ("S:", "l_suppkey"), 3))
     return entities, relations
 
 
@@ -54,8 +54,7 @@ r as (
   select 'N:' || n_nationkey as a, 'R:' || n_regionkey as b, 'PART_OF' as t from nation
   union all select 'C:' || c_custkey, 'N:' || c_nationkey, 'LOCATED_IN' from customer
   union all select 'S:' || s_suppkey, 'N:' || s_nationkey, 'LOCATED_IN' from supplier
-  union all select distinct 'C:' || o_custkey, 'S:' || l_suppkey, 'ORDERED_FROM' from orders join lineitem on o_orderkey = l_orderkey
-    where o_orderpriority = '1-URGENT' and l_quantity = 50),
+  union all select distinct 'C:' || o_custkey, 'S:' || l_suppkey, 'ORDERED_FROM' from orders join lineitem on o_orderkey = l_orderkey),
 u as (select a, b, t from r union all select b, a, t from r)
 """
 
