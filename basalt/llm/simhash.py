@@ -82,7 +82,8 @@ def linked(distinct: DataFrame, most: int = 3) -> DataFrame:
     if most > 3:
         raise ValueError("two halves find pairs of at most 3 differing bits")
     # A fingerprint makes 66 visits, so their partitions are not to be put together by its own small size.
-    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # By a hash of fp, since a repartition by what the rows are grouped by already is planned away.
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     halves = "explode(array(struct(0 as half, fp & 4294967295L as x), struct(1 as half, shiftrightunsigned(fp, 32) as x))) as c"
     points = distinct.selectExpr("fp", halves)
     around = f"transform(sequence(0, 31), i -> {segment_counts('(c.x ^ shiftleft(1L, i))')})"
