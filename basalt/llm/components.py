@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut
+from basalt.llm.common import cut, joined_evenly
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large stars and small stars in turn (Kiveris et al., "Connected Components in MapReduce and
     Beyond", 2014): each round links every larger neighbour to the smallest one, until nothing changes.
-    No node's neighbours are brought together in one task; each round is cut off by a checkpoint.
+    Neighbours are counted and compared before they are shuffled, and those of a node with more than a
+    thousandth of all links are joined in parts; each round is cut off by a checkpoint.
     Null ends and links of a node to itself are left out; no links give no rows.
     """
     hi, lo = F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
@@ -32,13 +33,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
+def _beside_least(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Each edge with m, the smallest of the ends ``b`` of its ``a``."""
+    least = edges.groupBy(F.col(a).alias("of")).agg(F.min(b).alias("m"), F.count("*").alias("size"))
+    return joined_evenly(edges, least, F.col(a), F.col("of"), F.col(a) == F.col("of"), "size", b).drop("of", "size")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _beside_least(both, "u", "v").filter("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = _beside_least(edges, "a", "b").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(edges.groupBy("a").agg(F.min("b").alias("b"))).distinct()
