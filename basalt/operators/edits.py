@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions.text import lines
 
-#: Share of equal lines from which on a window counts as found.
+#: Likeness from which on a window counts as found.
 ALIKE = 0.85
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
@@ -22,23 +22,29 @@ def _array_place(content: Column, wanted: Column) -> Column:
     return F.try_element_at(F.filter(starts, lambda i: F.slice(content, i, F.size(wanted)) == wanted), F.lit(1))
 
 
-def _alike(content: Column, wanted: Column) -> Column:
-    """The first line of the most similar window of as many lines as wanted, if similar enough."""
+def _likeness(window: Column, wanted: Column) -> Column:
+    """Twice the lines in matching runs, by all lines of both."""
 
-    def run(contents: pa.Array, wanteds: pa.Array) -> pa.Array:
-        out = []
-        for c, w in zip(contents.to_pylist(), wanteds.to_pylist()):
-            matcher = difflib.SequenceMatcher(None, autojunk=False)
-            matcher.set_seq2(w or [])
-            best, at = 0.0, None
-            for i in range(len(c or []) - len(w or []) + 1 if w else 0):
-                matcher.set_seq1(c[i : i + len(w)])
-                if matcher.real_quick_ratio() > best and (ratio := matcher.ratio()) > best:
-                    best, at = ratio, i + 1
-            out.append(at if best >= ALIKE else None)
-        return pa.array(out, pa.int32())
+    def run(windows: pa.Array, wanteds: pa.Array) -> pa.Array:
+        return pa.array([difflib.SequenceMatcher(None, x, w, autojunk=False).ratio() for x, w in zip(windows.to_pylist(), wanteds.to_pylist())], pa.float64())
 
-    return F.arrow_udf(run, "int")(content, wanted)
+    return F.arrow_udf(run, "double")(window, wanted)
+
+
+def most_alike(rows: DataFrame) -> DataFrame:
+    """edit_id and line: where the window most like the wanted lines begins, the first of such; only windows that are alike enough.
+
+    Rows: edit_id (each once), l (the file's lines) and w (the lines wanted). A window has as many lines
+    as are wanted. Its lines that are wanted anywhere bound its likeness from above, so only windows with
+    enough of them go on, as rows of their own, and are compared in order.
+    """
+    n = F.size("w")
+    rows = rows.filter((n > 0) & (F.size("l") >= n)).withColumn("hit", F.transform("l", lambda t: F.array_contains("w", t).cast("int")))
+    enough = lambda i: F.aggregate(F.slice("hit", i, n), F.lit(0), lambda s, h: s + h) >= F.lit(ALIKE) * n
+    starts = rows.select("edit_id", "l", "w", F.explode(F.filter(F.sequence(F.lit(1), F.size("l") - n + 1), enough)).alias("line"))
+    windows = starts.select("edit_id", "line", F.slice("l", F.col("line"), n).alias("window"), "w")
+    like = windows.select("edit_id", "line", _likeness(F.col("window"), F.col("w")).alias("like")).filter(F.col("like") >= ALIKE)
+    return like.groupBy("edit_id").agg(F.max_by("line", F.struct("like", -F.col("line"))).alias("line"))
 
 
 def located(edits: DataFrame, files: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def located(edits: DataFrame, files: DataFrame) -> DataFrame:
 
     In turn: the exact text; its lines without outer blanks; runs of blanks as one; without common
     indentation; without blank lines around; with \\n, \\t and \\" undone; the most similar window of
-    lines. All but the exact ones find whole lines.
+    lines. All but the exact ones find whole lines. edit_id tells edits apart.
     """
     rows = edits.join(files.select("path", "content"), "path", "left")
     c, old = F.col("content"), F.col("old")
@@ -66,7 +72,7 @@ def located(edits: DataFrame, files: DataFrame) -> DataFrame:
         return F.when(joined, spot(F.when(line.isNotNull(), before + 1), F.least(size, F.length(c) - before), name))
 
     exact = spot(at("old"), F.length(old), "exact")
-    rows = rows.withColumn("fuzzy", F.when(exact.isNull(), _alike(F.col("l"), F.col("w"))))
+    rows = rows.join(most_alike(rows.filter(exact.isNull())).withColumnRenamed("line", "fuzzy"), "edit_id", "left")
     found = F.coalesce(
         exact,
         by_line(_array_place(stripped(F.col("l")), stripped(F.col("w"))), "line_trimmed"),

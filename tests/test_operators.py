@@ -1,6 +1,8 @@
 """Fixed cases of operators whose order or text matters."""
 
 import datetime
+import difflib
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -152,6 +154,24 @@ def test_edits_find_by_each_way(spark):
     assert after.startswith("def f():\nNEW") and after.endswith("end three\n")
 
 
+def test_most_alike_window_is_that_of_all_windows(spark):
+    draw = random.Random(3)
+    cases = []
+    for i in range(60):
+        wanted = [draw.choice("abc") for _ in range(draw.randint(0, 7))]
+        lines = [draw.choice("abcd") for _ in range(draw.randint(0, 12))]
+        if i % 2:
+            lines += wanted[:-1] + ["x"] + wanted + lines
+        cases.append((i, lines, wanted))
+    expected = {}
+    for i, lines, wanted in cases:
+        likes = [(difflib.SequenceMatcher(None, lines[a : a + len(wanted)], wanted, autojunk=False).ratio(), -a - 1) for a in range(len(lines) - len(wanted) + 1) if wanted]
+        if likes and max(likes)[0] >= edits.ALIKE:
+            expected[i] = -max(likes)[1]
+    got = edits.most_alike(spark.createDataFrame(cases, "edit_id int, l array<string>, w array<string>")).collect()
+    assert {r["edit_id"]: r["line"] for r in got} == expected and len(expected) > 20
+
+
 def test_fuzzy_edit(spark):
     ten = [f"line {i}" for i in range(10)]
     f = spark.createDataFrame([("p", "\n".join(["top", *ten, "end"]) + "\n")], "path string, content string")
