@@ -7,9 +7,11 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,15 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     return _held[key]
 
 
+def slices(column: pa.Array, rows: int, size: int = 1 << 23) -> Iterator[pa.Array]:
+    """A column of texts in order, ``rows`` texts and ``size`` bytes at most at once, or one longer text alone."""
+    lens, at = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), 0
+    while at < len(column):
+        n = max(1, int(np.searchsorted(np.cumsum(lens[at : at + rows], dtype=np.int64), size, "right")))
+        yield column.slice(at, n)
+        at += n
+
+
 def give_back() -> None:
     """Freed memory goes back to the system; the C library would keep it for this worker."""
     gc.collect()

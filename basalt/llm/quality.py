@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import held, in_fold
+from basalt.llm.common import held, in_fold, slices
 from basalt.llm.labelled import labelled_sample
-from basalt.llm.words import Numbered, Ragged, Table
+from basalt.llm.words import Numbered, Ragged, Table, add_up
 
 UNIT = re.compile(r"[^\W\d_]+|\d+|[\W_]+")
 
@@ -44,8 +44,11 @@ class Index:
         return out
 
 
-def context_sums(texts: list[str], index: Index, window: int = 2) -> np.ndarray:
-    """For each bucket the sum of the index vectors found within ``window`` places of it; the last column counts it."""
+def context_sums(texts: list[str], index: Index, window: int = 2, at_once: int = 1 << 17) -> np.ndarray:
+    """For each bucket the sum of the index vectors found within ``window`` places of it; the last column counts it.
+
+    Vectors are gathered for ``at_once`` places at a time, however long a text is.
+    """
     out = np.zeros((index.buckets, index.width + 1))
     numbers, ids = Numbered(), Ragged()
     for text in texts:
@@ -53,16 +56,18 @@ def context_sums(texts: list[str], index: Index, window: int = 2) -> np.ndarray:
         new = [index.of_word(w) for w in numbers.drain()]
         ids.append(np.array([b for x in new for b in x], np.int32), np.array([len(x) for x in new], np.int64))
         seq, _ = ids.take(rows)
-        if len(seq):
-            own = index.vectors[seq]
+        for a in range(0, len(seq), at_once):
+            lo, b = max(0, a - window), min(a + at_once, len(seq))
+            own = index.vectors[seq[lo : b + window]]
             near = np.zeros_like(own)
-            for k in range(1, min(window, len(seq) - 1) + 1):
+            for k in range(1, min(window, len(own) - 1) + 1):
                 near[k:] += own[:-k]
                 near[:-k] += own[k:]
-            order = np.argsort(seq, kind="stable")
-            first = np.flatnonzero(np.diff(seq[order], prepend=-1))
-            out[seq[order][first], :-1] += np.add.reduceat(near[order], first, axis=0)
-            out[:, -1] += np.bincount(seq, minlength=index.buckets)
+            near, here = near[a - lo : b - lo], seq[a:b]
+            order = np.argsort(here, kind="stable")
+            first = np.flatnonzero(np.diff(here[order], prepend=-1))
+            out[here[order][first], :-1] += np.add.reduceat(near[order], first, axis=0)
+            out[:, -1] += np.bincount(here, minlength=index.buckets)
     return out
 
 
@@ -75,8 +80,8 @@ class Pooler:
         self.vectors = np.concatenate([sums[:, :-1] / np.maximum(norm, 1e-9), index.vectors], axis=1).astype(np.float32)
         self.width = self.vectors.shape[1] + 1
 
-    def features(self, texts: list[str | None], cache: dict, room: int = 300_000) -> np.ndarray:
-        """One row a text; an empty text has zeros."""
+    def features(self, texts: list[str | None], cache: dict, room: int = 300_000, at_once: int = 1 << 17) -> np.ndarray:
+        """One row a text; an empty text has zeros. Vectors are gathered for ``at_once`` words at a time."""
         if not cache or cache["numbers"].full(room):
             cache |= {"numbers": Numbered(), "table": Table(self.width, np.float32)}
         numbers, table = cache["numbers"], cache["table"]
@@ -91,7 +96,7 @@ class Pooler:
         out, some = np.zeros((len(texts), self.width)), np.flatnonzero(lens)
         if len(some):
             starts = np.cumsum(lens) - lens
-            out[some] = np.add.reduceat(table.data[rows], starts[some], axis=0, dtype=np.float64)
+            add_up(out, np.repeat(np.arange(len(texts)), lens), rows, table, at_once)
             again = np.concatenate([[0], rows[1:] == rows[:-1]])
             again[starts[some]] = 0
             repeats = np.add.reduceat(again, starts[some])
@@ -198,7 +203,7 @@ def score(model: QualityModel, text: Column) -> Column:
 
     def run(column: pa.Array) -> pa.Array:
         cache = held(("quality", key), dict)  # words that this worker has met
-        parts = [model.network.score(model.pooler.features(column.slice(at, 256).to_pylist(), cache)) for at in range(0, len(column), 256)]
+        parts = [model.network.score(model.pooler.features(x.to_pylist(), cache)) for x in slices(column, 256)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return F.arrow_udf(run, "double")(text)

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import held, in_fold, unused
+from basalt.llm.common import held, in_fold, slices, unused
 from basalt.llm.labelled import labelled_sample
-from basalt.llm.words import Numbered, Table
+from basalt.llm.words import Numbered, Table, add_up
 
 #: Words that speak to someone, in the languages of the tables.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -58,8 +58,8 @@ class Features:
         hidden = letters > 0 and INSIDE.search(word) is not None
         return [weight, weight > 0, core in SECOND_PERSON, letters, upper, letters > 2 and upper == letters, signs, word.count("!"), hidden, THRICE.search(word.lower()) is not None, len(word), 1]
 
-    def __call__(self, texts: list[str | None], cache: dict, room: int = 300_000, window: int = 5) -> np.ndarray:
-        """One row a text, in the order of FEATURES; an empty text has zeros."""
+    def __call__(self, texts: list[str | None], cache: dict, room: int = 300_000, window: int = 5, at_once: int = 1 << 17) -> np.ndarray:
+        """One row a text, in the order of FEATURES; an empty text has zeros. Fields are gathered for ``at_once`` words at a time."""
         if not cache or cache["numbers"].full(room):
             cache |= {"numbers": Numbered(), "table": Table(len(WORD_FIELDS), np.float32)}
         numbers, table = cache["numbers"], cache["table"]
@@ -72,19 +72,20 @@ class Features:
         out, some = np.zeros((len(texts), len(FEATURES))), np.flatnonzero(lens)
         if not len(some):
             return out
-        own = table.data[rows]
         starts, n = (np.cumsum(lens) - lens)[some], lens[some]
-        sums = dict(zip(WORD_FIELDS, np.add.reduceat(own, starts, axis=0, dtype=np.float64).T))
-        doc = np.repeat(np.arange(len(some)), n)
-        hits = np.flatnonzero(own[:, 1])
-        seconds = np.concatenate([[0], np.cumsum(own[:, 2])])
+        doc, fields = np.repeat(np.arange(len(some)), n), np.zeros((len(some), len(WORD_FIELDS)))
+        add_up(fields, doc, rows, table, at_once)
+        sums = dict(zip(WORD_FIELDS, fields.T))
+        weight, hit, second = (table.data[:, i][rows] for i in range(3))
+        hits = np.flatnonzero(hit)
+        seconds = np.concatenate([[0], np.cumsum(second, dtype=np.int64)])
         first, last = starts[doc[hits]], (starts + n)[doc[hits]]
         addressed = seconds[np.minimum(hits + window + 1, last)] - seconds[np.maximum(hits - window, first)] > 0
         near = np.bincount(doc[hits], addressed, len(some))
         distinct = np.bincount(np.unique(np.stack([doc[hits], rows[hits]]), axis=1)[0].astype(int), minlength=len(some)) if len(hits) else np.zeros(len(some))
         letters, chars = np.maximum(sums["letters"], 1), np.maximum(sums["chars"], 1)
         columns = (
-            sums["hit"] / n, sums["weight"] / n, np.maximum.reduceat(own[:, 0], starts), np.log1p(sums["hit"]), np.log1p(distinct), sums["second"] / n, near / n, np.log1p(near),
+            sums["hit"] / n, sums["weight"] / n, np.maximum.reduceat(weight, starts), np.log1p(sums["hit"]), np.log1p(distinct), sums["second"] / n, near / n, np.log1p(near),
             sums["upper"] / letters, sums["shout"] / n, sums["signs"] / chars, sums["bangs"] / n, sums["hidden"] / n, sums["drawn"] / n, sums["chars"] / n, np.log1p(n),
         )
         out[some] = np.stack(columns, axis=1)
@@ -223,7 +224,7 @@ def score(model: ToxicityModel, text: Column) -> Column:
 
     def run(column: pa.Array) -> pa.Array:
         cache = held(("toxicity", key), dict)  # words that this worker has met
-        parts = [model.score(column.slice(at, 256).to_pylist(), cache) for at in range(0, len(column), 256)]
+        parts = [model.score(x.to_pylist(), cache) for x in slices(column, 256)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return F.arrow_udf(run, "double")(text)

@@ -56,6 +56,14 @@ class Table:
         self.rows = need
 
 
+def add_up(out: np.ndarray, to: np.ndarray, rows: np.ndarray, table: Table, at_once: int) -> None:
+    """Adds the rows of a table to the rows ``to`` of ``out`` (in ascending order), ``at_once`` of them at a time."""
+    for at in range(0, len(rows), at_once):
+        own = to[at : at + at_once]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[first]] += np.add.reduceat(table.data[rows[at : at + at_once]], first, axis=0, dtype=np.float64)
+
+
 class Numbered(dict):
     """Gives each new key the next number and remembers it as new."""
 

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from basalt.llm.common import cut, joined_evenly
+from basalt.llm.common import cut, joined_evenly, slices
 from basalt.llm import bpe, catalog, components, exact, gru, labelled, language, packing, quality, recurrent, simhash, tokens, toxicity, vptree, words
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -346,8 +347,10 @@ def test_pooled_words_equal_plain_sums(texts):
                     want[b, :-1] += index.vectors[seq[j]]
     got = quality.context_sums(texts, index)
     assert np.allclose(got, want)
+    assert all(np.allclose(quality.context_sums(texts, index, at_once=n), want) for n in (1, 2, 5))
     pooler = quality.Pooler(index, got)
     x = pooler.features(texts, {})
+    assert all(np.allclose(pooler.features(texts, {}, at_once=n), x) for n in (1, 2, 5))
     for row, t, seq in zip(x, texts, split):
         plain = np.zeros(pooler.width)
         if seq:
@@ -396,6 +399,16 @@ def test_toxicity_features_equal_plain_ones():
     texts = [None, "", " ", *(" ".join(rng.choice(some) for _ in range(rng.randrange(1, 40))) for _ in range(50))]
     got = toxicity.Features(lexicon)(texts, {})
     assert np.allclose(got, [plain_features(lexicon, t) for t in texts], atol=1e-5)
+    assert all(np.allclose(toxicity.Features(lexicon)(texts, {}, at_once=n), got) for n in (1, 7))
+
+
+@pytest.mark.parametrize("rows, size", [(1, 100), (3, 5), (256, 0), (256, 1 << 23)])
+def test_slices_hold_every_text_once_in_order(rows, size):
+    texts = [None, "", "abc", "é" * 4, None, "x" * 50, "", "ab", "c"]
+    got = [x.to_pylist() for x in slices(pa.array(texts, pa.string()), rows, size)]
+    assert [t for x in got for t in x] == texts and all(len(x) <= rows for x in got)
+    assert all(len(x) == 1 or sum(len((t or "").encode()) for t in x) <= size for x in got)
+    assert list(slices(pa.array([], pa.string()), rows, size)) == []
 
 
 def test_boosted_trees_split_best_and_add_up():
