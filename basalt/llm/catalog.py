@@ -73,14 +73,14 @@ def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 with v as (
-  select vec_id, embedding::double[] as x from embeddings
+  select row_number() over () as row, vec_id, embedding::double[] as x from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
     and len(list_filter(embedding, lambda e: e <> 0)) > 0),
 pairs as (
-  select q.vec_id as query_id, c.vec_id, list_distance(q.x, c.x) as score
-  from v q, v c where q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
+  select q.row, q.vec_id as query_id, c.vec_id, list_distance(q.x, c.x) as score
+  from v q, v c where q.vec_id % 100 = 0 and q.row <> c.row)
 select query_id, rank, vec_id, score
-from (select *, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank from pairs)
+from (select *, cast(row_number() over (partition by row order by score, vec_id) as integer) as rank from pairs)
 where rank <= 10
 """
 

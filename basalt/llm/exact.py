@@ -56,10 +56,11 @@ def exact_groups(
         digests = _digests(cuts, hashed).join(marks, "row_id", "left")
     digests = cut(digests)
 
-    best = F.struct("size", (-F.col("doc_id")).alias("id_down"), (-F.col("row_id")).alias("row_down"))
+    # Bitwise not turns the order of integers round, the smallest one's too.
+    best = F.struct("size", F.bitwise_not("doc_id").alias("id_down"), F.bitwise_not("row_id").alias("row_down"))
     groups = digests.groupBy("recipe", "marks").agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
     groups = groups.select(
-        F.col("recipe").alias("g_recipe"), F.col("marks").alias("g_marks"), "group_size", (-F.col("best.id_down")).alias("keep_id"), (-F.col("best.row_down")).alias("keep_row")
+        F.col("recipe").alias("g_recipe"), F.col("marks").alias("g_marks"), "group_size", F.bitwise_not("best.id_down").alias("keep_id"), F.bitwise_not("best.row_down").alias("keep_row")
     )
     same = (F.col("recipe") == F.col("g_recipe")) & F.col("marks").eqNullSafe(F.col("g_marks"))
     by, to = F.xxhash64("recipe", "marks"), F.xxhash64("g_recipe", "g_marks")
