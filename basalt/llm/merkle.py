@@ -12,6 +12,8 @@ from basalt.llm.common import cut, fold, shared_folder
 
 #: So many consecutive nodes become one.
 WIDTH = 8
+#: So many consecutive runs of leaves share a salt; a node row is met by so many at most. A power of WIDTH, or it is cut into such powers evenly.
+BLOCK = 256
 #: Places within a partition take the lower bits of a row's number, partitions the bits above.
 BITS = 33
 
@@ -80,9 +82,9 @@ def manifest(df: DataFrame, doc_id: str = "doc_id", source: str = "source", lang
 
     Levels are stored as node rows linked to their parents, which hold the siblings beside them. A
     recursive query climbs from the leaves: the eight leaves of a run share a row, as they share all
-    siblings from the first level on; each is folded on its own. Nodes near the root are on the
-    way of all rows, so their rows are stored once for each of a number of salts that grows with the
-    table: about 256 runs meet a node row. Spark's limit of rows in recursions is lifted while the query runs.
+    siblings from the first level on; each tampered leaf is folded on its own, and so is the run as it was.
+    Nodes near the root are on the way of all rows, so their rows are stored once for each block of
+    runs below them, and no more than a block meets one node row. Spark's limit of rows in recursions is lifted while the query runs.
     """
     spark = df.sparkSession
     given = df.select(*(F.col(c).alias(a) for c, a in ((doc_id, "doc_id"), (source, "source"), (lang, "lang"), (n_chars, "n_chars"), (text, "text"))))
@@ -113,11 +115,14 @@ def manifest(df: DataFrame, doc_id: str = "doc_id", source: str = "source", lang
     runs_of = cut(
         leaves.groupBy("tree", F.expr(f"pos div {WIDTH}").alias("run"), "n").agg(F.sort_array(F.collect_list(F.struct("pos", "doc_id", "leaf", "changed"))).alias("own"))  # WIDTH at most
     )
-    salts = max(1, runs_of.count() // 256)
+    salts = max(1, runs_of.count() // BLOCK)
     climb = _climbed(runs_of, _node_rows(spark, path, top, salts), salts, root)
 
-    one = "transform(own, (x, i) -> named_struct('doc_id', x.doc_id, 'leaf', x.leaf, 'proof', concat(array_join(transform(filter(own, (y, j) -> j != i), y -> y.leaf), ''), lower(hex(proof))), 'folded', folds[i]))"
-    rows = climb.join(runs_of, ["tree", "run"]).selectExpr("subroot", f"explode({one}) as x")
+    # folds[0] is what the run gives as it was, the others are of its changed leaves in their order.
+    fold_of = "lower(hex(folds[if(x.changed = x.leaf, 0, size(filter(slice(own, 1, i + 1), y -> y.changed != y.leaf)))]))"
+    proof = "concat(array_join(transform(filter(own, (y, j) -> j != i), y -> y.leaf), ''), lower(hex(proof)))"
+    one = f"transform(own, (x, i) -> named_struct('doc_id', x.doc_id, 'leaf', x.leaf, 'proof', {proof}, 'folded', {fold_of}))"
+    rows = climb.join(runs_of, ["tree", "run"]).selectExpr("lower(hex(subroot)) as subroot", f"explode({one}) as x")
     return rows.select(
         "x.doc_id", "x.leaf", "subroot", F.lit(root).alias("root"), F.sha2("x.proof", 256).alias("proof_sha256"), F.col("x.folded").alias("folded_root"), (F.col("x.folded") == root).alias("verified")
     )
@@ -131,24 +136,28 @@ def _node_rows(spark, path: str, top: DataFrame, salts: int) -> DataFrame:
     below, above = (spark.read.parquet(f"{path}/{part}") for part in ("below", "above"))
     # A node of level k of a language's tree has the runs from pos * WIDTH^(k - 1) on below it.
     span = f"cast(power({WIDTH}, level - 1) as long)"
+    blocks = lambda runs: f"least(greatest({runs} div {BLOCK}, 1L), {salts}L) as copies"
+    upward = ["up_tree", "up_level", "up_pos", "before", "after"]
     inner = below.filter("level > 0").selectExpr(
-        "tree", "level", "pos", "up_tree", "up_level", "up_pos", "before", "after", "if(up_n = 1, up_digest, null) as subroot", f"pos * {span} as first", f"least({span}, {salts}L) as copies"
+        "tree", "level", "pos", *upward, "if(up_n = 1, unhex(up_digest), null) as subroot", f"(pos * {span}) div {BLOCK} as first", blocks(span)
     )
     joints = top.select("below", "depth", "pos").join(above.filter("level = 0").drop("tree", "level"), "pos")
-    joints = joints.selectExpr("below as tree", "depth as level", "0L as pos", "up_tree", "up_level", "up_pos", "before", "after", "cast(null as string) as subroot", "0L as first", f"least(runs, {salts}L) as copies")
-    upper = above.filter("level > 0").selectExpr("tree", "level", "pos", "up_tree", "up_level", "up_pos", "before", "after", "cast(null as string) as subroot", "0L as first", f"least(runs, {salts}L) as copies")
+    joints = joints.selectExpr("below as tree", "depth as level", "0L as pos", *upward, "cast(null as binary) as subroot", "0L as first", blocks(f"(runs + {BLOCK - 1})"))
+    upper = above.filter("level > 0").selectExpr("tree", "level", "pos", *upward, "cast(null as binary) as subroot", "0L as first", blocks(f"(runs + {BLOCK - 1})"))
     whole = inner.unionByName(joints).unionByName(upper)
-    return cut(whole.selectExpr("tree", "level", "pos", f"explode(transform(sequence(first, first + copies - 1), x -> x % {salts})) as salt", "up_tree", "up_level", "up_pos", "before", "after", "subroot"))
+    return cut(whole.selectExpr("tree", "level", "pos", f"explode(transform(sequence(first, first + copies - 1), x -> x % {salts})) as salt", *upward, "subroot"))
 
 
 def _climbed(runs_of: DataFrame, nodes: DataFrame, salts: int, root: str) -> DataFrame:
     """tree, run, subroot, folds (what each leaf of the run gives at the root) and proof (siblings above the run) of each run of leaves."""
     spark = runs_of.sparkSession
-    folded = "transform(own, (x, i) -> sha2(array_join(transform(own, (y, j) -> if(i = j, y.changed, y.leaf)), ''), 256))"
-    digest = "sha2(array_join(own.leaf, ''), 256)"
+    changed = "transform(filter(own, x -> x.changed != x.leaf), x -> {})"
+    single = f"concat(array(unhex(own[0].leaf)), {changed.format('unhex(x.changed)')})"
+    node = "unhex(sha2(array_join(own.leaf, ''), 256))"
+    several = f"concat(array({node}), {changed.format("unhex(sha2(array_join(transform(own, y -> if(x.pos = y.pos, y.changed, y.leaf)), ''), 256))")})"
     start = runs_of.selectExpr(
-        "tree", "run", f"run % {salts} as salt", "tree as at_tree", "if(n = 1, 0, 1) as at_level", "run as at_pos", f"if(n = 1, own.changed, {folded}) as folds", "cast('' as binary) as proof",
-        f"case when n = 1 then own[0].leaf when n <= {WIDTH} then {digest} end as subroot",
+        "tree", "run", f"(run div {BLOCK}) % {salts} as salt", "tree as at_tree", "if(n = 1, 0, 1) as at_level", "run as at_pos", f"if(n = 1, {single}, {several}) as folds", "cast('' as binary) as proof",
+        f"case when n = 1 then unhex(own[0].leaf) when n <= {WIDTH} then {node} end as subroot",
     )
     key, before = "spark.sql.cteRecursionRowLimit", spark.conf.get("spark.sql.cteRecursionRowLimit")
     spark.conf.set(key, -1)
@@ -160,7 +169,7 @@ def _climbed(runs_of: DataFrame, nodes: DataFrame, salts: int, root: str) -> Dat
                   select tree, run, salt, at_tree, at_level, at_pos, folds, proof, subroot from {start}
                   union all
                   select c.tree, c.run, c.salt, n.up_tree, n.up_level, n.up_pos,
-                    transform(c.folds, f -> sha2(concat(lower(hex(n.before)), f, lower(hex(n.after))), 256)),
+                    transform(c.folds, f -> unhex(sha2(lower(hex(concat(n.before, f, n.after))), 256))),
                     concat(c.proof, n.before, n.after), coalesce(c.subroot, n.subroot)
                   from climb c join {nodes} n on c.at_tree = n.tree and c.at_level = n.level and c.at_pos = n.pos and c.salt = n.salt)
                 select tree, run, folds, proof, subroot from climb
