@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.plans.lineage import cut
+from basalt.functions.lineage import cut
 
 #: Places within a partition take the lower bits of a row's number, partitions the bits above.
 BITS = 33

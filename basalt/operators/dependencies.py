@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.functions.numbering import placed
-from basalt.plans.lineage import cut
+from basalt.functions.lineage import cut
 
 
 def missing(nodes: DataFrame, dependencies: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.numbering import placed
-from basalt.plans.lineage import cut
+from basalt.functions.lineage import cut
 
 
 def both_ways(relations: DataFrame, types: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.plans.lineage import cut
+from basalt.functions.lineage import cut
 
 #: The smallest denominator of a cosine: a zero vector scores 0.
 FLOOR = 1e-10

@@ -9,7 +9,7 @@ from basalt.functions import text as tx
 from basalt.operators import activity, cache, edits, graph, mailbox, mutate, ranking, snapshots, timers, vectors
 from basalt.plans import tables as tb
 from basalt.plans.catalog import BFS_SQL, CACHE_SQL, COS, HITS_SQL, OPEN_SQL, NOW, TIMER_NOW, TIMER_SQL, _cache_events, _collections, _hits, query
-from basalt.plans.lineage import shared_path
+from basalt.functions.lineage import shared_path
 from basalt.sources import embed, files
 
 

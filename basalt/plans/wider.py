@@ -8,7 +8,7 @@ from basalt.functions import text as tx
 from basalt.operators import activity, dependencies, edits, mailbox, mutate, ranking, rendering, search, timers, vectors
 from basalt.plans import tables as tb
 from basalt.plans.catalog import HITS_SQL, TIMER_NOW, TIMER_SQL, _collections, _hits, query
-from basalt.plans.lineage import shared_path
+from basalt.functions.lineage import shared_path
 from basalt.sources import embed, files
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.plans.lineage import cut
+from basalt.functions.lineage import cut
 
 #: Elements whose content is not shown.
 HIDDEN = ("script", "style", "head")
