@@ -46,6 +46,9 @@ class Aligner:
         v = self.second.vocabulary
         self.b_bytes = [bytes([i - v.bytes_from]) if v.library.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(v.pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(t), np.uint8) for t in (self.a_bytes, self.b_bytes))
+        # How an id is spelt, by what follows it: a further id of its tokenizer in the group, the other tokenizer's or the next group, or nothing.
+        self.spelt = [f"{i}{end}" for n, ends in ((len(self.a_len), ",|"), (len(self.b_len), (",", ";", ""))) for end in ends for i in range(n)]
 
         later = {b for p in v.number for a, b in zip(p, p[1:]) if not a == b == SPACE}
         stays = "".join(re.escape(c) for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c) and (SPACE if c == " " else c) in later)
@@ -55,13 +58,31 @@ class Aligner:
 
     def forget(self) -> None:
         self.units, self.a, self.b, self.groups = Numbered(), Ragged(), Ragged(), []
+        self.met = np.zeros(1 << 12, np.int64)  # how often each unit was met
         self.counts = np.zeros((0, 3), np.int64)  # tokens of either tokenizer, and 1 if the bytes are the unit's
 
+    def make_room(self) -> None:
+        """Forgets units that were met once since the last time; all of them, if the rest is still large."""
+        kept = np.flatnonzero(self.met[: len(self.units)] > 1)
+        if 2 * len(kept) > self.room:
+            return self.forget()
+        units, a, b, groups, counts = self.units, self.a, self.b, self.groups, self.counts
+        names = list(units)
+        self.forget()
+        self.units.of([names[i] for i in kept.tolist()])
+        self.units.drain()
+        self.a.append(*a.take(kept))
+        self.b.append(*b.take(kept))
+        self.groups, self.counts = [groups[i] for i in kept.tolist()], counts[kept]
+
     def rows(self, units: list[str]) -> np.ndarray:
         found = self.units.of(units)
         new = self.units.drain()
         if new:
             self._learn(new)
+            if len(self.units) > len(self.met):
+                self.met = np.concatenate([self.met, np.zeros(max(len(self.units), 2 * len(self.met)) - len(self.met), np.int64)])
+        np.add.at(self.met, found, 1)
         return found
 
     def _learn(self, units: list[str]) -> None:
@@ -73,8 +94,12 @@ class Aligner:
         b_of = np.repeat(np.repeat(np.arange(len(units)), [len(x) for x in own]), lens)
         n_a, n_b = (np.bincount(x, minlength=len(units)) for x in (a_of, b_of))
 
-        bytes_a, bytes_b = (_joined(t, ids, n) for t, ids, n in ((self.a_bytes, a, n_a), (self.b_bytes, b, n_b)))
-        same = np.array([x == y == u.encode() for x, y, u in zip(bytes_a, bytes_b, units)], bool)
+        whole = "".join(units).encode()
+        size = np.array([len(u.encode()) for u in units], np.int64)
+        same = np.ones(len(units), bool)
+        for ids, of, lens, flat, table in ((a, a_of, self.a_len, self.a_flat, self.a_bytes), (b, b_of, self.b_len, self.b_flat, self.b_bytes)):
+            if _gathered(flat, lens, ids).tobytes() != whole or (np.bincount(of, lens[ids], len(units)) != size).any():
+                same &= [x == u.encode() for x, u in zip(_joined(table, ids, np.bincount(of, minlength=len(units))), units)]
         a, a_of, b, b_of = a[same[a_of]], a_of[same[a_of]], b[same[b_of]], b_of[same[b_of]]
         # Units stand one behind another with as many bytes in both, so their borders are ends in both.
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
@@ -84,10 +109,14 @@ class Aligner:
         self.b.append(b[b_cut].astype(np.int32), links)
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, same], axis=1)])
 
-        spelt_a, spelt_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        to_a, to_b = (np.flatnonzero(a_cut) + 1).tolist(), (np.flatnonzero(b_cut) + 1).tolist()
-        groups = (f"{','.join(spelt_a[i:j])}|{','.join(spelt_b[k:m])}" for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b))
-        self.groups += [";".join(itertools.islice(groups, n)) for n in links.tolist()]
+        # The spelling of a unit: group by group the first tokenizer's ids and then the second's.
+        last = np.append(np.flatnonzero(np.diff(b_of)), len(b_of) - 1)  # the last token of each unit
+        after_b = b_cut.astype(np.int64)
+        after_b[last if len(b_of) else []] = 2
+        token = np.concatenate([a + a_cut * len(self.a_len), 2 * len(self.a_len) + b + after_b * len(self.b_len)])
+        group = np.concatenate([2 * (np.cumsum(a_cut) - a_cut), 2 * (np.cumsum(b_cut) - b_cut) + 1])
+        each = map(self.spelt.__getitem__, token[np.argsort(group, kind="stable")].tolist())
+        self.groups += ["".join(itertools.islice(each, n)) for n in np.where(same, n_a + n_b, 0).tolist()]
 
     def of(self, text: str, most: int = 1 << 17) -> tuple[int, int, str, np.ndarray]:
         """n_a, n_b, the digest of the groups and the pairs of all links of a text; nothing if the tokens are not its bytes."""
@@ -103,12 +132,19 @@ class Aligner:
 
     def learn_together(self, some: list[str]) -> None:
         """The new units of several texts at once, so that a round of merges serves all."""
-        self.rows(list({u for x in some for u in self.pattern.findall(" " + x)}))
+        self.units.of(list({u for x in some for u in self.pattern.findall(" " + x)}))
+        self.rows([])
 
 
 NOTHING = 0, 0, "", np.zeros(0, np.int64)
 
 
+def _gathered(flat: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The bytes of all ids, one behind another."""
+    own = lens[ids]
+    return flat[np.repeat((np.cumsum(lens) - lens)[ids] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+
+
 def _joined(table: list[bytes], ids: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
     each = map(table.__getitem__, ids.tolist())
     return (b"".join(itertools.islice(each, n)) for n in counts.tolist())
@@ -128,7 +164,7 @@ def _bundles(byte_path: str, piece_path: str, size: int):
             at = 0
             for part in slices(batch.column(1), 512, 1 << 22):
                 if aligner.units.full(aligner.room):
-                    aligner.forget()
+                    aligner.make_room()
                 some = part.to_pylist()
                 if len(some) > 1:
                     aligner.learn_together(some)
@@ -192,7 +228,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*(pa.array([x[k] for x in own], _TEXT.field(k).type) for k in names), pa.array(sums[0]), pa.array(sums[1])], names=[*names, "n_best", "count_sum"])
 
 
-def aligned(df: DataFrame, byte_path: str, piece_path: str, doc_id: str = "doc_id", text: str = "text", bundle_bytes: int = 16 << 20) -> DataFrame:
+def aligned(df: DataFrame, byte_path: str, piece_path: str, doc_id: str = "doc_id", text: str = "text", bundle_bytes: int = 16 << 20, task_bytes: int = 24 << 20) -> DataFrame:
     """One row per row of ``df``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     The byte-level tokenizer (A) reads a space and the text, the piece tokenizer (B) the text. Where
@@ -202,7 +238,7 @@ def aligned(df: DataFrame, byte_path: str, piece_path: str, doc_id: str = "doc_i
     is the most frequent of its B id (ties too), count_sum adds the counts of all links.
 
     Texts are gathered in bundles of ``bundle_bytes`` or one longer text; a bundle asks for each distinct pair once,
-    so neither texts nor single links are joined with the counts. The counts of a B id's best pair are
+    so neither texts nor single links are joined with the counts. Tasks read about ``task_bytes`` of text each. The counts of a B id's best pair are
     broadcast: a row for each id of B's vocabulary at most. Documents find their text again by its
     SHA-256; texts with many copies are joined in parts.
 
@@ -212,7 +248,10 @@ def aligned(df: DataFrame, byte_path: str, piece_path: str, doc_id: str = "doc_i
     """
     spark = df.sparkSession
     rows = texts(df, doc_id, text).selectExpr("cast(doc_id as long) as doc_id", "nullif(text, '') as text")
-    distinct = rows.filter("text is not null").groupBy("text").agg(F.count("*").alias("copies")).selectExpr("unhex(sha2(text, 256)) as key", "text", "copies")
+    # As many tasks as the size of the texts asks for, so that how many bundles there are does not depend on the session's partitions.
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // task_bytes))
+    distinct = rows.filter("text is not null").groupBy("text").agg(F.count("*").alias("copies")).coalesce(tasks).selectExpr("unhex(sha2(text, 256)) as key", "text", "copies")
     path = shared_folder(spark, "bundles")
     distinct.mapInArrow(_bundles(byte_path, piece_path, bundle_bytes), BUNDLE).write.parquet(path)
     bundles = spark.read.parquet(path)

@@ -47,6 +47,7 @@ class Vocabulary:
         pairs.sort()
         self.keys, self.into = (np.array(x, np.int64) for x in zip(*pairs))
         self.order = order[self.into]
+        self.tables = _hashed(self.keys)
         self.symbols, self.other = symbols, self.width - 1  # ``other``: characters that no piece has
 
         # Nothing merges over a place between two characters where no piece holds the second one after another.
@@ -74,6 +75,21 @@ class Vocabulary:
         return re.compile(f"{block}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+{own}")
 
 
+def _hashed(keys: np.ndarray, bits: int = 20) -> list[np.ndarray]:
+    """Tables of places in ``keys`` by a hash of the key; a key that finds its slot taken goes to the next table."""
+    tables, left = [], np.arange(len(keys))
+    while len(left):
+        table = np.full(1 << bits, -1)
+        table[_slots(keys[left], len(tables), bits)] = left
+        tables.append(table)
+        left = left[table[_slots(keys[left], len(tables) - 1, bits)] != left]
+    return tables
+
+
+def _slots(keys: np.ndarray, nth: int, bits: int = 20) -> np.ndarray:
+    return (keys * (0x1E3779B97F4A7C15 + 2 * nth * 0x632BE59BD9B4E019 & (1 << 62) - 1 | 1)) >> (63 - bits) & (1 << bits) - 1
+
+
 def _only_plain_bpe(model: sentencepiece.SentencePieceProcessor) -> None:
     """Models that normalise their texts, have pieces of the user's own, or fall back on no bytes follow rules that are not kept here."""
     from sentencepiece import sentencepiece_model_pb2
@@ -149,9 +165,17 @@ NONE = np.iinfo(np.int64).max
 
 
 def _lookup(left: np.ndarray, right: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair its place among the vocabulary's pairs, and whether it is one of them."""
     key = left.astype(np.int64) * vocabulary.width + right
-    at = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
-    return at, vocabulary.keys[at] == key
+    at = vocabulary.tables[0][_slots(key, 0)]
+    known = vocabulary.keys[at] == key
+    for nth in range(1, len(vocabulary.tables)):
+        rest = np.flatnonzero(~known & (at >= 0))  # an empty slot says that no table has the key
+        if not len(rest):
+            break
+        at[rest] = vocabulary.tables[nth][_slots(key[rest], nth)]
+        known[rest] = vocabulary.keys[at[rest]] == key[rest]
+    return at, known
 
 
 def _order(left: np.ndarray, right: np.ndarray, of_one_word: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:

@@ -290,3 +290,17 @@ def test_ids_of_the_byte_vocabulary_are_one_to_one(aligner):
     vocabulary = json.load(open(BYTES))["model"]["vocab"]
     of = letters_of_bytes()
     assert all(aligner.a_bytes[i] == bytes(of[c] for c in t) for t, i in vocabulary.items() if all(c in of for c in t))
+
+
+def test_units_met_once_are_forgotten_first(plain_aligned):
+    own = align.Aligner(BYTES, PIECES, room=10)
+    text = "one two three one two four five six seven eight nine ten eleven twelve"
+    first = own.of(text)[:3]
+    assert own.units.full(own.room)
+    own.make_room()
+    assert set(own.units) == {" one", " two"}
+    a, b, groups, _ = plain_aligned(text)
+    assert own.of(text)[:3] == first == (a, b, hashlib.sha256(groups.encode()).hexdigest())
+    own.room = 1
+    own.make_room()
+    assert not own.units
