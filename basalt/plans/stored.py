@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions.lineage import shared_path
+from basalt.operators import near
 from basalt.plans import tables as tb
 from basalt.plans.catalog import query
 from basalt.sources import collections
@@ -50,3 +51,46 @@ def s12_stored_removals(s, d):
     collections.remove(rows.filter("cast(ref_id as long) % 4 = 1"), path)
     n = F.col("ref_id").cast("long")
     return collections.read(s, path).groupBy("collection", "tenant").agg(F.count("*").alias("n"), F.min(n).alias("least"), F.max(n).alias("most"))
+
+
+def _indexed(s: SparkSession, d: str, **how) -> tuple[str, DataFrame]:
+    path, v = shared_path(s, "near"), tb.vectors(s, d)
+    near.build(v, path, **how)
+    return path, v
+
+
+def _asked(v: DataFrame) -> DataFrame:
+    return v.filter("ref_id % 50 = 0").select(F.col("ref_id").alias("query_id"), "vector")
+
+
+NEAR_SQL = """select query_id, ref_id, round(score, 6) as score, rank from (
+  select q.vec_id as query_id, v.ref_id, list_cosine_similarity(v.vector, q.embedding::double[]) as score,
+    row_number() over (partition by q.vec_id order by list_cosine_similarity(v.vector, q.embedding::double[]) desc, v.ref_id) as rank
+  from ({}) v, embeddings q where q.vec_id % 50 = 0) where rank <= 10"""
+
+
+@query(NEAR_SQL.format("select vec_id::varchar as ref_id, embedding::double[] as vector from embeddings"))
+def t03_all_cells(s, d):
+    """The index asked in all its cells, with exact scores: as exact search."""
+    path, v = _indexed(s, d)
+    found = near.search(s, path, _asked(v), 10, None, None)
+    return found.select("query_id", "ref_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(NEAR_SQL.format("""select vec_id::varchar as ref_id, case when vec_id % 7 = 3 then list_reverse(embedding::double[]) else embedding::double[] end as vector from embeddings where vec_id % 9 <> 5"""))
+def t03_changed_index(s, d):
+    """Every seventh vector is written anew and every ninth removed, without building again."""
+    path, v = _indexed(s, d)
+    turned = v.filter("ref_id % 7 = 3 and ref_id % 9 <> 5").select("ref_id", F.reverse("vector").alias("vector"))
+    near.upsert(turned, path, v.filter("ref_id % 9 = 5"))
+    found = near.search(s, path, _asked(v), 10, None, None)
+    return found.select("query_id", "ref_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def t03_near_cells(s, d):
+    """The ten best found in a few cells by their codes, then scored exactly; how many are found is measured by the tests."""
+    path, v = _indexed(s, d)
+    return near.search(s, path, _asked(v), 10)
+
+
+query()(t03_near_cells)
