@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions.lineage import shared_path
-from basalt.operators import near
+from basalt.operators import near, trigrams
 from basalt.plans import tables as tb
 from basalt.plans.catalog import query
 from basalt.sources import collections
@@ -94,3 +94,29 @@ def t03_near_cells(s, d):
 
 
 query()(t03_near_cells)
+
+
+def _text_index(s: SparkSession, d: str) -> str:
+    path = shared_path(s, "trigrams")
+    trigrams.build(tb.files(s, d), path)
+    return path
+
+
+LINES_SQL = f"with {tb.FILES_SQL}, l as (select path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as lineno from files)"
+
+
+@query(LINES_SQL + " select path, lineno, left(text, 500) as text from l where regexp_matches(text, '(?i)li(cen[cs]e|mited)d?[ .]')")
+def f17_indexed_grep(s, d):
+    found = trigrams.grep(s, _text_index(s, d), "(?i)li(cen[cs]e|mited)d?[ .]", most=None)
+    return found.select("path", F.col("lineno").cast("long").alias("lineno"), "text")
+
+
+@query(LINES_SQL + " select path, lineno from l where regexp_matches(text, '[Rr]eleased .*the (MIT|Apache) |der [a-z]+ung') qualify row_number() over (partition by path order by lineno) <= 2")
+def f18_indexed_per_file(s, d):
+    found = trigrams.grep(s, _text_index(s, d), "[Rr]eleased .*the (MIT|Apache) |der [a-z]+ung", most=None, per_file=2)
+    return found.select("path", F.col("lineno").cast("long").alias("lineno"))
+
+
+@query(f"with {tb.FILES_SQL} select path, length(content) as size from files where contains(lower(content), 'apache')")
+def f03_indexed_keyword(s, d):
+    return trigrams.holding(s, _text_index(s, d), "APache").select("path", F.length("content").cast("long").alias("size"))
