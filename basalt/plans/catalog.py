@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import basalt.plans.called, basalt.plans.more, basalt.plans.parts, basalt.plans.stored, basalt.plans.wider  # noqa: E401, F401  they register their own
+    import basalt.plans.called, basalt.plans.more, basalt.plans.parts, basalt.plans.stored, basalt.plans.streams, basalt.plans.wider  # noqa: E401, F401  they register their own
 
     return dict(QUERIES)
 
