@@ -9,7 +9,7 @@ from basalt.functions.lineage import shared_path
 from basalt.operators import near, trigrams
 from basalt.plans import tables as tb
 from basalt.plans.catalog import query
-from basalt.sources import collections
+from basalt.sources import collections, office
 
 
 def _stored(s: SparkSession, d: str) -> tuple[str, DataFrame]:
@@ -120,3 +120,15 @@ def f18_indexed_per_file(s, d):
 @query(f"with {tb.FILES_SQL} select path, length(content) as size from files where contains(lower(content), 'apache')")
 def f03_indexed_keyword(s, d):
     return trigrams.holding(s, _text_index(s, d), "APache").select("path", F.length("content").cast("long").alias("size"))
+
+
+@query(r"""with d as (select doc_id, doc_id || case doc_id % 3 when 0 then '.docx' when 1 then '.xlsx' else '.pptx' end as path, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') as t from documents),
+x as (select path, case when doc_id % 3 = 1 then '## Sheet1' || chr(10) || t else t end as text from d)
+select path, text, case when length(regexp_replace(text, '\s', '', 'g')) < 50 then 'scant' else 'ok' end as status from x""")
+def s21_office_text(s, d):
+    """Every document is written as a file of one of three kinds, and the files are read."""
+    root, doc = shared_path(s, "office"), tb.table(s, d, "documents")
+    suffix = F.element_at(F.array(F.lit(".docx"), F.lit(".xlsx"), F.lit(".pptx")), (F.col("doc_id") % 3 + 1).cast("int"))
+    office.write(doc.select(F.concat(F.col("doc_id").cast("string"), suffix).alias("path"), "text"), root)
+    found = office.extracted(office.read(s, root))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("path"), "text", "status")
