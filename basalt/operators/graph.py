@@ -12,34 +12,53 @@ from basalt.functions.numbering import placed
 from basalt.functions.lineage import cut
 
 
+#: Rows of a frontier up to which it is sent to the tasks that hold the edges; a larger one is joined by a shuffle.
+FEW = 100_000
+
+
 def both_ways(relations: DataFrame, types: Sequence[str] = ()) -> DataFrame:
-    """a, b, ord and ref_id of each edge in either direction, of the given types or all."""
+    """a, b, ord and edge (ref_id) of each edge in either direction, of the given types or all; the relations are read once."""
     edges = relations.filter(F.col("relation_type").isin(*types)) if types else relations
-    there = edges.select(F.col("from_entity").alias("a"), F.col("to_entity").alias("b"), "ord", F.col("ref_id").alias("edge"))
-    return there.unionByName(there.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "ord", "edge"))
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    ways = F.when(F.col("from_entity") == F.col("to_entity"), F.array(way("from_entity", "to_entity"))).otherwise(F.array(way("from_entity", "to_entity"), way("to_entity", "from_entity")))
+    return edges.select(F.explode(ways).alias("w"), "ord", F.col("ref_id").alias("edge")).select("w.a", "w.b", "ord", "edge")
+
+
+def _from(edges: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
+    """The edges that begin at a frontier (name and whatever else) of n rows."""
+    front = frontier.withColumnRenamed("name", "a")
+    return edges.join(F.broadcast(front) if n <= FEW else front, "a")
 
 
 def reach(entities: DataFrame, relations: DataFrame, start: DataFrame, depth: int, types: Sequence[str] = (), blocked: DataFrame | None = None) -> DataFrame:
     """name and hops of all entities within ``depth`` undirected hops of ``start`` (column name).
 
     Unknown starts are left out. ``blocked`` names count as visited, are part of the result with no
-    hops (null), and are not walked through. Each hop is one join of the frontier with the edges.
+    hops (null), and are not walked through. Each hop is one join of the last level with the relations as they are; only the new
+    level is written. An edge leads at most one level back, so a new level is compared with the last two.
     """
-    known = entities.select("name").distinct()
-    visited = start.select("name").distinct().join(known, "name", "left_semi").withColumn("hops", F.lit(0))
+    level = start.select("name").distinct().join(entities.select("name").distinct(), "name", "left_semi")
+    level = cut(level) if depth else level
+    levels = [level.withColumn("hops", F.lit(0))]
+    walls = None
     if blocked is not None:
-        extra = blocked.select("name").distinct().join(visited, "name", "left_anti")
-        visited = visited.unionByName(extra.withColumn("hops", F.lit(None).cast("int")))
-    if depth == 0:
-        return visited
-    edges, visited = cut(both_ways(relations, types)), cut(visited)
+        walls = blocked.select("name").distinct()
+        levels.append(walls.join(level, "name", "left_anti").withColumn("hops", F.lit(None).cast("int")))
+    edges, n, before = both_ways(relations, types), level.count() if depth else 0, None
     for hop in range(1, depth + 1):
-        frontier = visited.filter(F.col("hops") == hop - 1).select(F.col("name").alias("a"))
-        found = edges.join(frontier, "a").select(F.col("b").alias("name")).distinct().join(visited, "name", "left_anti")
-        before, visited = visited, cut(visited.unionByName(found.withColumn("hops", F.lit(hop))))
-        if hop < depth and visited.filter(F.col("hops") == hop).isEmpty():
+        if not n:
             break
-    return visited
+        found = _from(edges, level, n).select(F.col("b").alias("name")).distinct()
+        for known in (level, before, walls):
+            if known is not None:
+                found = found.join(known, "name", "left_anti")
+        before, level = level, cut(found)
+        n = level.count()
+        levels.append(level.withColumn("hops", F.lit(hop)))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def induced(relations: DataFrame, names: DataFrame) -> DataFrame:
@@ -84,34 +103,75 @@ def waypoints(entities: DataFrame, relations: DataFrame, start: str, path: Seque
 def shortest_paths(entities: DataFrame, relations: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair_id, nodes and edges (ref_ids) of one shortest undirected path of each pair (pair_id, source, target), however long.
 
-    One search over levels serves all pairs. A node keeps the path whose edges come first, compared
-    from the start; a pair ends with its target, and no more is carried of it then. Pairs without a
-    path, or with an unknown end, have no row.
+    Both ends of all pairs are searched level by level, the side with the smaller level first; levels
+    hold names alone. Where two levels meet, the way back through them tells which names are on a
+    shortest path, and the path is then walked from its source: at each step by the edge that
+    comes first. Pairs without a path, or with an unknown end, have no row.
     """
-    names = entities.select(F.col("name").alias("b")).distinct()
-    edges = cut(both_ways(relations).join(names, "b", "left_semi"))
-    known = pairs.join(names.withColumnRenamed("b", "source"), "source", "left_semi").join(names.withColumnRenamed("b", "target"), "target", "left_semi")
-    empty = F.array().cast("array<string>")
-    front = cut(known.select("pair_id", "target", F.col("source").alias("name"), F.array("source").alias("nodes"), F.array().cast("array<bigint>").alias("ords"), empty.alias("edges")))
-    seen, found = front.select("pair_id", "name"), []
-    while not front.isEmpty():
-        found.append(front.filter("name = target").select("pair_id", "nodes", "edges"))
-        open_ = front.join(found[-1].select("pair_id"), "pair_id", "left_anti")
-        step = open_.withColumnRenamed("name", "a").join(edges, "a").select(
-            "pair_id", "target", F.col("b").alias("name"),
-            F.concat("nodes", F.array("b")).alias("nodes"), F.concat("ords", F.array("ord")).alias("ords"), F.concat("edges", F.array(F.col("edge").cast("string"))).alias("edges"),
-        )
-        best = step.join(seen, ["pair_id", "name"], "left_anti").groupBy("pair_id", "target", "name").agg(F.min_by(F.struct("nodes", "ords", "edges"), "ords").alias("p"))
-        now = cut(best.select("pair_id", "target", "name", "p.nodes", "p.ords", "p.edges"))
-        # What is behind the last level needs no look again: an edge leads at most one level back.
-        seen = front.select("pair_id", "name").unionByName(now.select("pair_id", "name"))
-        front = now
-    out = entities.sparkSession.createDataFrame([], known.select("pair_id", empty.alias("nodes"), empty.alias("edges")).schema)
-    for part in found:
+    names = entities.select("name").distinct()
+    known = pairs.join(names.withColumnRenamed("name", "source"), "source", "left_semi").join(names.withColumnRenamed("name", "target"), "target", "left_semi").select("pair_id", "source", "target")
+    known = cut(known.dropDuplicates(["pair_id"]))
+    single = known.select("pair_id", F.array("source").alias("nodes"), F.array().cast("array<string>").alias("edges"))
+    found = [single.join(known.filter("source = target"), "pair_id", "left_semi")]
+    edges = cut(relations.select("ref_id", "from_entity", "to_entity", "relation_type", "ord"))  # read at every level
+    edges = both_ways(edges)
+    open_ = known.filter("source <> target")
+    sides = [[cut(open_.select("pair_id", F.col(end).alias("name")))] for end in ("source", "target")]
+    sizes = [side[0].count() for side in sides]
+    while all(sizes):
+        turn = 0 if sizes[0] <= sizes[1] else 1
+        own, other = sides[turn], sides[1 - turn]
+        step = _from(edges, own[-1], sizes[turn]).select("pair_id", F.col("b").alias("name")).distinct().join(names, "name", "left_semi")
+        for seen in own[-2:]:
+            step = step.join(seen, ["pair_id", "name"], "left_anti")
+        own.append(cut(step.select("pair_id", "name")))
+        met = cut(own[-1].join(other[-1], ["pair_id", "name"], "left_semi"))
+        ended = met.select("pair_id").distinct()
+        n = met.count()
+        if n:
+            found.append(_walked(edges, known, _between(edges, *sides, met, n)))
+            open_now = lambda level: level.join(ended, "pair_id", "left_anti")
+            sides = [[open_now(level) for level in side[:-1]] + [cut(open_now(side[-1]))] for side in sides]
+            sizes = [side[-1].count() for side in sides]
+        else:
+            sizes[turn] = own[-1].count()
+            # A pair whose side has no further level has no path.
+            if sizes[turn]:
+                stuck = other[-1].select("pair_id").distinct().join(own[-1].select("pair_id"), "pair_id", "left_anti")
+                other[-1] = cut(other[-1].join(stuck, "pair_id", "left_anti"))
+                sizes[1 - turn] = other[-1].count()
+    out = found[0]
+    for part in found[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _between(edges: DataFrame, near: list[DataFrame], far: list[DataFrame], met: DataFrame, n: int) -> list[DataFrame]:
+    """For pairs whose levels met: the names (pair_id, name) that are on a shortest path, from the first step's to the target."""
+    ways = []
+    for side in (near, far):
+        marked, size, steps = met, n, []
+        for level in reversed(side[:-1]):
+            back = _from(edges, marked, size).select("pair_id", F.col("b").alias("name")).distinct()
+            marked = cut(level.join(back, ["pair_id", "name"], "left_semi"))
+            size = marked.count()
+            steps.append(marked)
+        ways.append(steps)
+    return [*reversed(ways[0][:-1]), met, *ways[1]] if ways[0] else [met, *ways[1]]
+
+
+def _walked(edges: DataFrame, known: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The paths through the levels, each step by the edge that comes first."""
+    at = known.join(levels[-1].select("pair_id").distinct(), "pair_id", "left_semi").select("pair_id", F.col("source").alias("name"), F.array("source").alias("nodes"), F.array().cast("array<string>").alias("edges"))
+    at = cut(at)
+    n = at.count()
+    for level in levels:
+        step = _from(edges, at, n).select("pair_id", F.col("b").alias("name"), "ord", "edge", "nodes", "edges").join(level, ["pair_id", "name"], "left_semi")
+        first = step.groupBy("pair_id").agg(F.min_by(F.struct("name", "edge", "nodes", "edges"), F.struct("ord", "name")).alias("s"))
+        at = cut(first.select("pair_id", "s.name", F.concat("s.nodes", F.array("s.name")).alias("nodes"), F.concat("s.edges", F.array(F.col("s.edge").cast("string"))).alias("edges")))
+    return at.select("pair_id", "nodes", "edges")
+
+
 def neighbours(entities: DataFrame, relations: DataFrame, hits: DataFrame) -> DataFrame:
     """Entities one hop from any hit (name, rank) that are no hits, with the first hit's rank and place: first seen first."""
     near = both_ways(relations).join(hits.select(F.col("name").alias("a"), "rank"), "a").groupBy(F.col("b").alias("name")).agg(F.min("rank").alias("rank"))
