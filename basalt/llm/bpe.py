@@ -13,7 +13,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from basalt.llm.common import texts
+from basalt.llm.common import held, parts, texts
 
 #: Unicode White_Space, which is what \s is in the library's patterns.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -77,11 +77,11 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("bpe",), object)  # nothing to keep, but what other operators left goes
         enc = encoding(path, pattern)
-        for batch in batches:
-            for part in _sliced(batch):
-                ids = [encode(enc, x or "") for x in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), lists(ids)], names=["doc_id", "ids"])
+        for part in parts(batches, 1, 512):
+            ids = [encode(enc, x or "") for x in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), lists(ids)], names=["doc_id", "ids"])
 
     return _input(df, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -90,6 +90,7 @@ def bpe_decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and content (binary) of rows of doc_id and ids; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("bpe",), object)  # nothing to keep, but what other operators left goes
         enc = encoding(path, pattern)
         for batch in batches:
             content = [decode(enc, x) for x in arrays(batch.column(1))]
@@ -106,16 +107,16 @@ def bpe_round_trip(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("bpe",), object)  # nothing to keep, but what other operators left goes
         enc = encoding(path, pattern)
-        for batch in batches:
-            for part in _sliced(batch):
-                n, a, b = [], [], []
-                for x in part.column(1).to_pylist():
-                    ids = encode(enc, x or "")
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    b.append(hashlib.sha256(decode(enc, ids)).hexdigest())
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in parts(batches, 1, 512):
+            n, a, b = [], [], []
+            for x in part.column(1).to_pylist():
+                ids = encode(enc, x or "")
+                n.append(len(ids))
+                a.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                b.append(hashlib.sha256(decode(enc, ids)).hexdigest())
+            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _input(df, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -124,12 +125,6 @@ def _input(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return texts(df, doc_id, text).selectExpr("cast(doc_id as long) as doc_id", "text")
 
 
-def _sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """What is held at once stays small beside the batch."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def lists(ids: list[np.ndarray]) -> pa.ListArray:
     ends = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) for x in ids], out=ends[1:])

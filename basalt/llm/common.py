@@ -77,6 +77,15 @@ def slices(column: pa.Array, rows: int, size: int = 1 << 23) -> Iterator[pa.Arra
         at += n
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, rows: int, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Rows in order, ``rows`` of them and ``size`` bytes of one column at most at once, or one row with a longer text alone."""
+    for batch in batches:
+        at = 0
+        for part in slices(batch.column(column), rows, size):
+            yield batch.slice(at, len(part))
+            at += len(part)
+
+
 def give_back() -> None:
     """Freed memory goes back to the system; the C library would keep it for this worker."""
     gc.collect()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import held, in_fold, share, unused
+from basalt.llm.common import held, in_fold, slices, unused
 from basalt.llm.words import Numbered, Table
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -156,25 +156,26 @@ class LanguageModel:
         self.languages, self.prob, self.path = languages, prob, path
 
 
-def fit(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1500, rounds: int = 2, added: float = 0.05, folds: int = 4, held: int = 2) -> LanguageModel:
+def fit(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1500, rounds: int = 2, added: float = 0.05, folds: int = 4, held: int = 2, most_languages: int = 200) -> LanguageModel:
     """Learns from text and non-null lang of rows outside the held-out fold.
 
     ``sample`` documents of each language, about, chosen by a hash of the id, are enough and bound the
-    work. Their words are counted by language; then ``rounds`` of expectation maximisation run over the
+    work, and the ``most_languages`` most frequent values of lang (ties by name), which bound the model: rarer
+    values, as of a column that holds other things too, are not learned and never predicted. The words of the sample are counted by language; then ``rounds`` of expectation maximisation run over the
     counted words, from equal probabilities: tasks send the expected counts of pieces, summed by Spark,
     and only (languages x vocabulary) numbers come to the driver. With no labelled row the model knows
     no language.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_fold("doc_id", folds, held))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     languages = sorted(sizes)
     known = pieces(path)
     if not languages:
         return LanguageModel([], np.zeros((len(known) + 1, 0)), path)
-    chosen = F.lit(False)
-    for x in languages:
-        chosen = chosen | ((F.col("lang") == x) & share("doc_id", "language", sample, sizes[x]))
+    # One row a language, so ``most_languages`` at most.
+    wanted = rows.sparkSession.createDataFrame([(x, min(1.0, sample / sizes[x])) for x in languages], "lang string, wanted double")
+    chosen = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.floor(F.col("wanted") * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -183,7 +184,7 @@ def fit(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", la
                 counts.update((own, w) for w in words_of(t))
         yield pa.record_batch([pa.array([k[i] for k in counts], pa.string()) for i in (0, 1)] + [pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = rows.filter(chosen).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    words = rows.join(F.broadcast(wanted), "lang").filter(chosen).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     prob = np.full((len(known) + 1, len(languages)), 1 / len(known))
     prob[-1] = 0
     for _ in range(rounds):
@@ -221,11 +222,11 @@ def predict(model: LanguageModel, text: Column, room: int = 300_000) -> Column:
     def run(column: pa.Array) -> pa.Array:
         labels, scores, langs = [], [], len(model.languages)
         cache = held(("language", key), dict)  # words that this worker has scored
-        for at in range(0, len(column), 256):
+        for some in slices(column, 256):
             if not cache or cache["numbers"].full(room):
                 cache |= {"numbers": Numbered(), "table": Table(langs)}
             numbers, table = cache["numbers"], cache["table"]
-            split = [words_of(t) for t in column.slice(at, 256).to_pylist()]
+            split = [words_of(t) for t in some.to_pylist()]
             rows = numbers.of([w for ws in split for w in ws])
             table.append(word_scores(numbers.drain(), model.path, model.prob))
             own = table.data[rows]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import cut, texts
+from basalt.llm.common import parts as in_parts
 from basalt.llm.words import word_encoder
 
 
@@ -136,21 +137,19 @@ def pack(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         kind = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                flat, lens = encoder(batch.column(1).to_pylist())
-                flat, lens = np.insert(flat, np.cumsum(lens), end_id).astype(kind), lens + 1
-                parts = -(-lens // capacity)
-                doc = np.repeat(np.arange(len(lens)), parts)
-                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
-                length = np.minimum(capacity, lens[doc] - start)
-                first = (np.cumsum(lens) - lens)[doc] + start
-                ids = [flat[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist())]
-                yield pa.record_batch(
-                    [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(lens[doc]), pa.array(ids, pa.binary())],
-                    names=["doc_id", "start", "length", "doc_tokens", "ids"],
-                )
+        for batch in in_parts(batches, 1, 256):
+            flat, lens = encoder(batch.column(1).to_pylist())
+            flat, lens = np.insert(flat, np.cumsum(lens), end_id).astype(kind), lens + 1
+            parts = -(-lens // capacity)
+            doc = np.repeat(np.arange(len(lens)), parts)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
+            length = np.minimum(capacity, lens[doc] - start)
+            first = (np.cumsum(lens) - lens)[doc] + start
+            ids = [flat[a : a + n].tobytes() for a, n in zip(first.tolist(), length.tolist())]
+            yield pa.record_batch(
+                [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(lens[doc]), pa.array(ids, pa.binary())],
+                names=["doc_id", "start", "length", "doc_tokens", "ids"],
+            )
 
     # Numbers of the pieces deal them to buckets, since null and repeated ids would meet in one.
     cut_up = cut(rows.mapInArrow(pieces, "doc_id long, start long, length long, doc_tokens long, ids binary").withColumn("piece", F.monotonically_increasing_id()))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut, held, in_fold, share
+from basalt.llm.common import cut, held, in_fold, parts, share
 from basalt.llm.gru import Adam, Gru
 
 LN10 = math.log(10)
@@ -29,13 +29,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("recurrent",), object)  # nothing to keep, but what other operators left goes
         counts: Counter = Counter()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    counts.update(words_of(text))
-                if len(counts) > 1_000_000:
-                    yield out(counts)
-                    counts.clear()
+        for batch in parts(batches, 0, 256):
+            for text in batch.column(0).to_pylist():
+                counts.update(words_of(text))
+            if len(counts) > 1_000_000:
+                yield out(counts)
+                counts.clear()
         yield out(counts)
 
     def out(counts: Counter) -> pa.RecordBatch:
@@ -64,11 +63,10 @@ class Coder:
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
     """Rows one by one, the text's words in place of the text."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            columns = [c.to_pylist() for c in batch.slice(at, 256).columns]
-            columns[column] = map(words_of, columns[column])
-            yield from zip(*columns)
+    for batch in parts(batches, column, 256):
+        columns = [c.to_pylist() for c in batch.columns]
+        columns[column] = map(words_of, columns[column])
+        yield from zip(*columns)
 
 
 def train(

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import cut, held, joined_evenly, numbered, numbered_texts, unused
+from basalt.llm.common import cut, held, joined_evenly, numbered, numbered_texts, parts, unused
 from basalt.llm.components import components
 
 #: Every second bit, from the lowest: x - ((x >> 1) & LOW_BITS) holds, for each segment of two bits of
@@ -53,11 +53,9 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("simhash",), object)  # nothing to keep, but what other operators left goes
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                fp = fingerprints_of(batch.column(2).to_pylist(), width).view(np.int64)
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp)], names=["row_id", "doc_id", "fp"])
+        for batch in parts(batches, 2, 128):
+            fp = fingerprints_of(batch.column(2).to_pylist(), width).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp)], names=["row_id", "doc_id", "fp"])
 
     return rows.mapInArrow(run, f"row_id long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import texts
+from basalt.llm.common import parts, texts
 from basalt.llm.words import word_encoder
 
 SCHEMA = "shard int, doc_id long, offset long, n_tokens int, ids array<int>"
@@ -49,24 +49,22 @@ def write_token_files(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, before = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                flat, lens = encoder(batch.column(1).to_pylist())
-                ends = np.cumsum(lens)
-                flat, lens = np.insert(flat, ends, end_id), lens + 1
-                ends = np.cumsum(lens)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.full(len(lens), shard, np.int32)),
-                        batch.column(0),
-                        pa.array(before + ends - lens),
-                        pa.array(lens.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)),
-                    ],
-                    names=["shard", "doc_id", "offset", "n_tokens", "ids"],
-                )
-                before += int(ends[-1]) if len(ends) else 0
+        for batch in parts(batches, 1, 256):
+            flat, lens = encoder(batch.column(1).to_pylist())
+            ends = np.cumsum(lens)
+            flat, lens = np.insert(flat, ends, end_id), lens + 1
+            ends = np.cumsum(lens)
+            yield pa.record_batch(
+                [
+                    pa.array(np.full(len(lens), shard, np.int32)),
+                    batch.column(0),
+                    pa.array(before + ends - lens),
+                    pa.array(lens.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)),
+                ],
+                names=["shard", "doc_id", "offset", "n_tokens", "ids"],
+            )
+            before += int(ends[-1]) if len(ends) else 0
 
     (
         dealt.select("doc_id", "text")
