@@ -1,7 +1,6 @@
 """Texts of snapshots for a reader: a board, a graph, a roster, a catalogue of roles, and numbered blocks of updates.
 
-A whole text is one row, so it is for the few rows that one reader sees; sentences and lines are rows.
-The wording is fixed.
+A text is rows of parts, each of a bounded number of lines; sentences are rows. The wording is fixed.
 """
 
 from __future__ import annotations
@@ -9,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.operators.ranking import board_view, breakdown
+from basalt.functions.numbering import placed
+from basalt.operators.ranking import board_view
 from basalt.operators.snapshots import skills, task_line
 
 #: What is shown of nothing: fixed texts.
@@ -19,15 +19,39 @@ GRAPH_HINT = "\nUse the get_graph tool to explore the full graph or subgraphs."
 ROSTER_HEAD, ROLES_HEAD = "**Here is the team member list by name (and role):**", "**Here is the available team role list (for hiring):**"
 
 
-def joined(rows: DataFrame, line: Column, *order: str, by: str = "\n") -> DataFrame:
-    """One row, text: the lines in order; null for no rows."""
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("line_")))), lambda r: r["line_"]), by)
-    return rows.agg(F.when(F.count("*") > 0, text).alias("text"))
+#: Lines of one part of a text.
+LINES = 1000
 
 
-def owner_counts(tasks: DataFrame) -> DataFrame:
-    """One row, text: tasks by owner, named ones in order, those without one last."""
-    return joined(breakdown(tasks), F.concat("owner", F.lit(": "), F.col("n").cast("string")), "place", by=" | ")
+def text_parts(items: DataFrame, before: dict[int, str], between: dict[int, str], lines: int = LINES) -> DataFrame:
+    """part (from 0) and text: a text in parts of at most ``lines`` items, which give the whole one after another.
+
+    Items: section, n, s (their order within the section, a number and a text) and line. ``before`` is what stands before a
+    section's first item, ``between`` before its others. No rows for no items.
+    """
+    rows = placed(items.select("section", "n", "s", "line"), "section", "n", "s")
+    firsts = rows.groupBy("section").agg(F.min("place").alias("first"))  # a few sections
+    told = lambda signs: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in (signs or {-1: ""}).items() for x in kv)), F.col("section")), F.lit(""))
+    piece = F.concat(F.when(F.col("place") == F.col("first"), told(before)).otherwise(told(between)), "line")
+    rows = rows.join(F.broadcast(firsts), "section").select(F.expr(f"(place - 1) div {lines}").alias("part"), F.struct("place", piece.alias("piece")).alias("p"))
+    return rows.groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["piece"]), "").alias("text"))  # ``lines`` of a part
+
+
+def items(rows: DataFrame, section: int, line: Column | str, n: Column | int = 0, s: Column | str = "") -> DataFrame:
+    """Rows as items of one section of ``text_parts``."""
+    whole = lambda x, kind: (F.lit(x) if isinstance(x, (int, str)) else x).cast(kind)
+    return rows.select(F.lit(section).alias("section"), whole(n, "long").alias("n"), whole(s, "string").alias("s"), (F.lit(line) if isinstance(line, str) else line).alias("line"))
+
+
+def _owners(tasks: DataFrame, section: int) -> DataFrame:
+    owner = F.coalesce(F.nullif(F.col("owner"), F.lit("")), F.lit("unassigned"))
+    counts = tasks.groupBy(owner.alias("owner")).agg(F.count("*").alias("tasks"))
+    return items(counts, section, F.concat("owner", F.lit(": "), F.col("tasks").cast("string")), (F.col("owner") == "unassigned").cast("int"), F.col("owner"))
+
+
+def owner_counts(tasks: DataFrame, lines: int = LINES) -> DataFrame:
+    """part and text: tasks by owner, named ones in order, those without one last."""
+    return text_parts(_owners(tasks, 0), {}, {0: " | "}, lines)
 
 
 def counts_map(tasks: DataFrame, key: str, of: str) -> DataFrame:
@@ -36,46 +60,48 @@ def counts_map(tasks: DataFrame, key: str, of: str) -> DataFrame:
     return counts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("of_", "n_")))).alias("counts"))
 
 
-def board_text(tasks: DataFrame, me: str, own_only: bool = True) -> DataFrame:
-    """One row, text: the whole board as one agent sees it."""
-    total = tasks.agg(F.count("*").alias("total"))
+def board_text(tasks: DataFrame, me: str, own_only: bool = True, lines: int = LINES) -> DataFrame:
+    """part and text: the whole board as one agent sees it."""
     seen = board_view(tasks, me, tasks.columns) if own_only else tasks
-    lines = joined(seen, task_line(seen), "ord").select(F.col("text").alias("lines"))
-    rows = total.crossJoin(owner_counts(tasks).select(F.col("text").alias("owners"))).crossJoin(lines)  # one row each
-    head = F.concat(F.lit("**Team planning:** "), F.col("total").cast("string"), F.when(F.col("total") == 1, " task total\n").otherwise(" tasks total\n"), F.lit("Owners: "), "owners")
+    total = tasks.agg(F.count("*").alias("n"))  # one row, as is what is made of it
+    some = total.filter("n > 0")
+    head = items(total, 0, F.when(F.col("n") == 0, NO_TASKS).otherwise(F.concat(F.lit("**Team planning:** "), F.col("n").cast("string"), F.when(F.col("n") == 1, " task total").otherwise(" tasks total"))))
     if own_only:
-        body = F.when(F.col("lines").isNull(), f"\nNo tasks assigned to or created by {me} yet.").otherwise(F.concat(F.lit(f"\n**Your tasks** (owner or creator: {me}):\n"), "lines"))
+        own = seen.agg(F.count("*").alias("own"))
+        said = F.when(F.col("own") == 0, f"No tasks assigned to or created by {me} yet.").otherwise(f"**Your tasks** (owner or creator: {me}):")
+        title = items(some.crossJoin(own), 2, said)  # one row each
     else:
-        body = F.concat(F.lit("\n**All tasks:**\n"), "lines")
-    return rows.select(F.when(F.col("total") == 0, NO_TASKS).otherwise(F.concat_ws("\n", head, body, F.lit(BOARD_HINT))).alias("text"))
-
-
-def graph_text(entities: DataFrame, relations: DataFrame, schema: bool = True, roots: bool = True) -> DataFrame:
-    """One row, text: how large a graph is, and if asked its types and its roots."""
-    kinds = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
-    e = entities.agg(F.count("*").alias("n"), kinds("entity_type").alias("kinds"))
-    r = relations.agg(F.count("*").alias("m"), kinds("relation_type").alias("links"))
-    tops = entities.filter("is_root")
-    tops = joined(tops, F.concat(F.lit("- "), "name", F.lit(" ("), "entity_type", F.lit("): "), "description"), "ord").select(F.col("text").alias("roots"))
-    rows = e.crossJoin(r).crossJoin(tops)  # one row each
-    parts = [F.lit("**Knowledge Graph Summary:**"), F.format_string("Entities: %d | Relations: %d", "n", "m")]
+        title = items(some, 2, "**All tasks:**")
+    whole = head.unionByName(_owners(tasks, 1)).unionByName(title).unionByName(items(seen, 3, task_line(seen), F.col("ord"))).unionByName(items(some, 4, BOARD_HINT))
+    return text_parts(whole, {1: "\nOwners: ", 2: "\n\n", 3: "\n", 4: "\n"}, {1: " | ", 3: "\n"}, lines)
+
+
+def graph_text(entities: DataFrame, relations: DataFrame, schema: bool = True, roots: bool = True, lines: int = LINES) -> DataFrame:
+    """part and text: how large a graph is, and if asked its types and its roots."""
+    total = entities.agg(F.count("*").alias("n")).crossJoin(relations.agg(F.count("*").alias("m")))  # one row each
+    some = total.filter("n > 0")
+    said = F.concat(F.lit("**Knowledge Graph Summary:**\n"), F.format_string("Entities: %d | Relations: %d", "n", "m"))
+    whole = items(total, 0, F.when(F.col("n") == 0, NO_GRAPH).otherwise(said))
     if schema:
-        parts += [F.concat(F.lit("Entity types: "), "kinds"), F.when(F.col("links") != "", F.concat(F.lit("Relation types: "), "links"))]
+        for section, rows, kind in ((1, entities, "entity_type"), (2, relations, "relation_type")):
+            whole = whole.unionByName(items(rows.filter(F.col(kind).isNotNull()).select(kind).distinct(), section, F.col(kind), s=F.col(kind)))
     if roots:
-        parts.append(F.concat(F.lit("Root entities:\n"), "roots"))
-    return rows.select(F.when(F.col("n") == 0, NO_GRAPH).otherwise(F.concat_ws("\n", *parts, F.lit(GRAPH_HINT))).alias("text"))
+        line = F.concat(F.lit("- "), "name", F.lit(" ("), "entity_type", F.lit("): "), "description")
+        whole = whole.unionByName(items(entities.filter("is_root"), 3, line, F.col("ord")))
+    whole = whole.unionByName(items(some, 4, GRAPH_HINT))
+    return text_parts(whole, {1: "\nEntity types: ", 2: "\nRelation types: ", 3: "\nRoot entities:\n", 4: "\n"}, {1: ", ", 2: ", ", 3: "\n"}, lines)
 
 
-def roster_text(members: DataFrame) -> DataFrame:
-    """One row, text: the members (name, role, is_self, ord) in order; empty without any."""
+def roster_text(members: DataFrame, lines: int = LINES) -> DataFrame:
+    """part and text: the members (name, role, is_self, ord) in order; no rows without any."""
     line = F.concat("name", F.lit(" (role: "), "role", F.lit(")"), F.when(F.col("is_self"), " - [you]").otherwise(""))
-    return joined(members, line, "ord").select(F.coalesce(F.concat(F.lit(f"{ROSTER_HEAD}\n"), "text"), F.lit("")).alias("text"))
+    return text_parts(items(members, 0, line, F.col("ord")), {0: f"{ROSTER_HEAD}\n"}, {0: "\n"}, lines)
 
 
-def roles_text(catalogue: DataFrame) -> DataFrame:
-    """One row, text: the roles (role, description, skills, ord) in order; empty without any."""
+def roles_text(catalogue: DataFrame, lines: int = LINES) -> DataFrame:
+    """part and text: the roles (role, description, skills, ord) in order; no rows without any."""
     line = F.concat("role", F.lit(": "), "description", F.lit(" (Skills: "), skills("skills"), F.lit(")"))
-    return joined(catalogue, line, "ord").select(F.coalesce(F.concat(F.lit(f"{ROLES_HEAD}\n"), "text"), F.lit("")).alias("text"))
+    return text_parts(items(catalogue, 0, line, F.col("ord")), {0: f"{ROLES_HEAD}\n"}, {0: "\n"}, lines)
 
 
 def moves(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions import text as tx
+from basalt.functions.numbering import placed
 from basalt.operators import activity, cache, dependencies, edits, graph, mailbox, mutate, ranking, snapshots, timers, vectors
 from basalt.plans import tables as tb
 from basalt.sources import files, pages
@@ -623,10 +624,16 @@ def s21_page_text(s, d):
     return pages.extracted(tb.table(s, d, "pages"))
 
 
-@query("select 'u' || page_id as url, floor(log2(page_id + 1))::bigint as level from pages where page_id < 15")
+@query("""with recursive n as (select page_id, url, row_number() over (order by page_id) as k from pages), walk(url, k, level) as (
+  select url, k, 0 from n where k = 1 union all select n.url, n.k, walk.level + 1 from walk join n on n.k in (2 * walk.k, 2 * walk.k + 1, 2 * walk.k + 40) and n.url not like '%#%' where walk.level < 12)
+select url, min(level)::bigint as level from walk group by url""")
 def s26_crawl(s, d):
-    """The pages' own links lead out of the table, so each page is given links to two others."""
-    n = F.col("page_id")
-    link = F.format_string("<p><a class=x href='u%d'>one</a> and <A HREF=u%d>two</A>", 2 * n + 1, 2 * n + 2)
-    p = tb.table(s, d, "pages").select(F.concat(F.lit("u"), n.cast("string")).alias("url"), link.alias("html"))
-    return pages.crawl(p, "u0", 3).select("url", F.col("level").cast("long").alias("level"))
+    """The pages' own links lead out of the table (one to a place within a page leads to the page without that place, which the table has not), so links to three others are planted at the end of each page's html, the last one in capitals and without quotes."""
+    p = placed(tb.table(s, d, "pages"), "page_id", name="k")
+    of = p.select(F.col("k").alias("to"), F.col("url").alias("there"))
+    told = p.select("k", F.explode(F.array(2 * F.col("k"), 2 * F.col("k") + 1, 2 * F.col("k") + 40)).alias("to")).join(of, "to")
+    link = F.when(F.col("to") - 2 * F.col("k") < 2, F.concat(F.lit("<p><a class=x href='"), "there", F.lit("'>one</a>"))).otherwise(F.concat(F.lit("<A HREF="), "there", F.lit(">two</A>")))
+    planted = told.groupBy("k").agg(F.concat_ws(" and ", F.collect_list(link)).alias("more"))  # three of a page
+    whole = p.join(planted, "k", "left").select("url", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
+    first = p.filter("k = 1").first()["url"]
+    return pages.crawl(whole, first, 12, limit=None).select("url", F.col("level").cast("long").alias("level"))

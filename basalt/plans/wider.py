@@ -149,7 +149,11 @@ def t12_order_of_release(s, d):
     return dependencies.levels(*_needs(s, d)).select("name", "place")
 
 
-@query(f"with {tb.BOARD_SQL}, c as (select coalesce(nullif(owner, ''), 'unassigned') as o, count(*) as n from tasks group by 1) select string_agg(o || ': ' || n, ' | ' order by o = 'unassigned', o) as text from c")
+#: The owners of a board and their places, and what is told of each.
+OWNERS_SQL = """c as (select coalesce(nullif(owner, ''), 'unassigned') as o, count(*) as n from tasks group by 1), owners as (select o || ': ' || n as told, row_number() over (order by o = 'unassigned', o) as i from c)"""
+
+
+@query(f"with {tb.BOARD_SQL}, {OWNERS_SQL} select (i - 1) // 1000 as part, string_agg(case when i = 1 then '' else ' | ' end || told, '' order by i) as text from owners group by 1")
 def a02_breakdown(s, d):
     return rendering.owner_counts(tb.board(s, d))
 
@@ -263,41 +267,50 @@ def x38_defaults(s, d):
 LINE_SQL = "'- ID ' || id || ' [' || status || '] ' || description || ' (Owner: ' || coalesce(nullif(owner, ''), 'unassigned') || ', Creator: ' || creator || ')'"
 
 
-@query(f"""with {tb.BOARD_SQL}, c as (select coalesce(nullif(owner, ''), 'unassigned') as o, count(*) as n from tasks group by 1)
-select 'C3' as me, '**Team planning:** ' || (select count(*) from tasks) || ' tasks total' || chr(10) || 'Owners: ' || (select string_agg(o || ': ' || n, ' | ' order by o = 'unassigned', o) from c) || chr(10) || chr(10) || '**Your tasks** (owner or creator: C3):' || chr(10)
-  || (select string_agg({LINE_SQL}, chr(10) order by ord) from tasks where owner = 'C3' or (owner <> '' and creator = 'C3')) || chr(10) || chr(10) || 'Use get_planning_task(id) for exact ID lookup or search_planning(...) to filter tasks.' as text
-union all select 'nobody', '**Team planning:** ' || (select count(*) from tasks) || ' tasks total' || chr(10) || 'Owners: ' || (select string_agg(o || ': ' || n, ' | ' order by o = 'unassigned', o) from c) || chr(10) || chr(10) || 'No tasks assigned to or created by nobody yet.'
+@query(f"""with {tb.BOARD_SQL}, {OWNERS_SQL}, own as (select {LINE_SQL} as told, row_number() over (order by ord) as i from tasks where owner = 'C3' or (owner <> '' and creator = 'C3')),
+items as (
+  select 0 as section, 0 as i, '**Team planning:** ' || (select count(*) from tasks) || ' tasks total' as told
+  union all select 1, i, case when i = 1 then chr(10) || 'Owners: ' else ' | ' end || told from owners
+  union all select 2, 0, chr(10) || chr(10) || '**Your tasks** (owner or creator: C3):' union all select 3, i, chr(10) || told from own
+  union all select 4, 0, chr(10) || chr(10) || 'Use get_planning_task(id) for exact ID lookup or search_planning(...) to filter tasks.'),
+n as (select told, row_number() over (order by section, i) as k from items)
+select 'C3' as me, (k - 1) // 1000 as part, string_agg(told, '' order by k) as text from n group by part
+union all select 'nobody', 0, '**Team planning:** ' || (select count(*) from tasks) || ' tasks total' || chr(10) || 'Owners: ' || (select string_agg(told, ' | ' order by i) from owners) || chr(10) || chr(10) || 'No tasks assigned to or created by nobody yet.'
   || chr(10) || chr(10) || 'Use get_planning_task(id) for exact ID lookup or search_planning(...) to filter tasks.'
-union all select 'none', 'No current team planning.'""")
+union all select 'none', 0, 'No current team planning.'""")
 def x39_board_text(s, d):
     t = tb.board(s, d).withColumn("output", F.lit(""))
     shown = [rendering.board_text(t, "C3"), rendering.board_text(t, "nobody"), rendering.board_text(t.filter("false"), "C3")]
-    out = [x.select(F.lit(me).alias("me"), "text") for me, x in zip(("C3", "nobody", "none"), shown)]
+    out = [x.select(F.lit(me).alias("me"), "part", "text") for me, x in zip(("C3", "nobody", "none"), shown)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query(f"""with {tb.GRAPH_SQL} select 'graph' as of, '**Knowledge Graph Summary:**' || chr(10) || 'Entities: ' || (select count(*) from e) || ' | Relations: ' || (select count(*) from r) || chr(10)
+@query(f"""with {tb.GRAPH_SQL} select 'graph' as of, 0 as part, '**Knowledge Graph Summary:**' || chr(10) || 'Entities: ' || (select count(*) from e) || ' | Relations: ' || (select count(*) from r) || chr(10)
   || 'Entity types: ' || (select string_agg(distinct entity_type, ', ' order by entity_type) from e) || chr(10) || 'Relation types: ' || (select string_agg(distinct t, ', ' order by t) from r) || chr(10)
   || 'Root entities:' || chr(10) || (select string_agg('- ' || name || ' (' || entity_type || '): ' || description, chr(10) order by ord) from e where is_root) || chr(10) || chr(10) || 'Use the get_graph tool to explore the full graph or subgraphs.' as text
-union all select 'nothing', 'Knowledge graph is empty.'""")
+union all select 'nothing', 0, 'Knowledge graph is empty.'""")
 def x39_graph_text(s, d):
     e, r = tb.graph(s, d)
     none = rendering.graph_text(e.filter("false"), r.filter("false"))
-    return rendering.graph_text(e, r).select(F.lit("graph").alias("of"), "text").unionByName(none.select(F.lit("nothing").alias("of"), "text"))
+    return rendering.graph_text(e, r).select(F.lit("graph").alias("of"), "part", "text").unionByName(none.select(F.lit("nothing").alias("of"), "part", "text"))
+
 
+#: A text of lines, each with its place from 1, in parts of 1,000 lines, under a head.
+PARTS_SQL = """select (i - 1) // 1000 as part, string_agg(case when i = 1 then '{}' else '' end || chr(10) || told, '' order by i) as text from x group by 1"""
 
-@query("""select '**Here is the team member list by name (and role):**' || chr(10) || string_agg(n_name || ' (role: r' || n_regionkey || ')' || case when n_nationkey = 4 then ' - [you]' else '' end, chr(10) order by n_nationkey) as text from nation union all select ''""")
+
+@query("with x as (select c_name || ' (role: ' || c_mktsegment || ')' || case when c_custkey = 4 then ' - [you]' else '' end as told, row_number() over (order by c_custkey) as i from customer) " + PARTS_SQL.format("**Here is the team member list by name (and role):**"))
 def x39_roster_text(s, d):
-    n = tb.table(s, d, "nation")
-    members = n.select(F.col("n_name").alias("name"), F.format_string("r%d", "n_regionkey").alias("role"), (F.col("n_nationkey") == 4).alias("is_self"), F.col("n_nationkey").alias("ord"))
+    c = tb.table(s, d, "customer")
+    members = c.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("role"), (F.col("c_custkey") == 4).alias("is_self"), F.col("c_custkey").alias("ord"))
     return rendering.roster_text(members).unionByName(rendering.roster_text(members.filter("false")))
 
 
-@query("""select '**Here is the available team role list (for hiring):**' || chr(10) || string_agg(n_name || ': nation (Skills: ' || case when n_nationkey % 2 = 0 then 'a, b' else 'none' end || ')', chr(10) order by n_nationkey) as text from nation union all select ''""")
+@query("with x as (select p_name || ': ' || p_type || ' (Skills: ' || case when p_partkey % 2 = 0 then p_brand || ', s' || p_size else 'none' end || ')' as told, row_number() over (order by p_partkey) as i from part) " + PARTS_SQL.format("**Here is the available team role list (for hiring):**"))
 def x39_roles_text(s, d):
-    n = tb.table(s, d, "nation")
-    skill = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
-    roles = n.select(F.col("n_name").alias("role"), F.lit("nation").alias("description"), skill.alias("skills"), F.col("n_nationkey").alias("ord"))
+    p = tb.table(s, d, "part")
+    skill = F.when(F.col("p_partkey") % 2 == 0, F.array(F.col("p_brand"), F.concat(F.lit("s"), F.col("p_size").cast("string")))).otherwise(F.array().cast("array<string>"))
+    roles = p.select(F.col("p_name").alias("role"), F.col("p_type").alias("description"), skill.alias("skills"), F.col("p_partkey").alias("ord"))
     return rendering.roles_text(roles).unionByName(rendering.roles_text(roles.filter("false")))
 
 

@@ -45,19 +45,30 @@ def search(pages: DataFrame, query: str, k: int = 5) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """url, target and ord of the links of each page, in order."""
+    """url, target and ord of the links of each page, in order; relative ones are made whole by the page's address."""
     found = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href\s*=\s*["']?([^"'\s>#]+)"""), F.lit(1))
-    return pages.select("url", F.posexplode(found).alias("ord", "target"))
-
-
-def crawl(pages: DataFrame, start: str, depth: int = 1, breadth: int = 20, limit: int = 50) -> DataFrame:
-    """url and level of pages reached by links: at most ``breadth`` new ones of each page, and ``limit`` in all."""
-    edges = links(pages).join(pages.select(F.col("url").alias("target")), "target", "left_semi")
-    seen = cut(pages.filter(F.col("url") == start).select("url").distinct().withColumn("level", F.lit(0)))
-    for level in range(1, depth + 1):
-        front = seen.filter(F.col("level") == level - 1).select("url")
-        fresh = edges.join(front, "url", "left_semi").join(seen.select(F.col("url").alias("target")), "target", "left_anti")
-        fresh = fresh.groupBy("url", "target").agg(F.min("ord").alias("ord")).withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("ord")))
-        fresh = fresh.filter(F.col("n") <= breadth).select(F.col("target").alias("url")).distinct().withColumn("level", F.lit(level))
-        seen = cut(seen.unionByName(fresh))
-    return seen.orderBy("level", "url").limit(limit)
+    rows = pages.select("url", F.posexplode(found).alias("ord", "target"))
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    scheme = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*:", 0)
+    folder = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"(?<=[^/:]/)[^/]*$", "")
+    whole = F.when((host == "") | F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("target")).when(F.startswith("target", F.lit("//")), F.concat(scheme, "target"))
+    whole = whole.when(F.startswith("target", F.lit("/")), F.concat(host, "target")).when(F.startswith("target", F.lit("?")), F.concat(F.regexp_replace("url", r"[?#].*$", ""), "target"))
+    return rows.select("url", whole.otherwise(F.concat(folder, F.when(F.endswith(folder, F.lit("/")), "").otherwise("/"), "target")).alias("target"), "ord")
+
+
+def crawl(pages: DataFrame, start: str, depth: int | None = 1, breadth: int = 20, limit: int | None = 50) -> DataFrame:
+    """url and level of pages reached by links: at most ``breadth`` new ones of each page, and ``limit`` in all (None: no bound).
+
+    The pages' html is read once: links to pages of the table are stored. Each level joins the new
+    pages with them and is all that is written.
+    """
+    edges = cut(links(pages).join(pages.select(F.col("url").alias("target")).distinct(), "target", "left_semi").groupBy("url", "target").agg(F.min("ord").alias("ord")))
+    level = cut(pages.filter(F.col("url") == start).select("url").distinct())
+    seen, n = level.withColumn("level", F.lit(0)), 0
+    while not level.isEmpty() and (depth is None or n < depth):
+        n += 1
+        fresh = edges.join(level, "url", "left_semi").join(seen.select(F.col("url").alias("target")), "target", "left_anti")
+        first = fresh.withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("ord", "target"))).filter(F.col("n") <= breadth)
+        level = cut(first.select(F.col("target").alias("url")).distinct())
+        seen = seen.unionByName(level.withColumn("level", F.lit(n)))
+    return seen.orderBy("level", "url").limit(limit) if limit is not None else seen

@@ -224,6 +224,10 @@ def test_page_text_and_crawl(spark):
     assert pages.extracted(p).orderBy("page_id").first()["text"] == "One & two go on"
     assert [(r["url"], r["level"]) for r in pages.crawl(p, "u1", 2).collect()] == [("u1", 0), ("u2", 1), ("u3", 1)]
     assert [r["url"] for r in pages.crawl(p, "u1", 2, breadth=1).collect()] == ["u1", "u2"]
+    assert pages.crawl(p, "nowhere", None).count() == 0
+    whole = spark.createDataFrame([("https://h.example/a/b?x#y", "<a href='/c'>.<a href=d>.<a href='//k.example/e'>.<a href='?z'>.<a href='mailto:x'>.<a href='http://m.example/'>"), ("https://h.example", "<a href=d>")], "url string, html string")
+    got = sorted((r["url"], r["ord"], r["target"]) for r in pages.links(whole).collect())
+    assert [t for _, _, t in got] == ["https://h.example/d", "https://h.example/c", "https://h.example/a/d", "https://k.example/e", "https://h.example/a/b?z", "mailto:x", "http://m.example/"]
 
 
 def test_update_blocks_are_numbered(spark):
