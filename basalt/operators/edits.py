@@ -52,7 +52,8 @@ def located(edits: DataFrame, files: DataFrame) -> DataFrame:
 
     In turn: the exact text; its lines without outer blanks; runs of blanks as one; without common
     indentation; without blank lines around; with \\n, \\t and \\" undone; the most similar window of
-    lines. All but the exact ones find whole lines. edit_id tells edits apart.
+    lines. All but the exact ones find whole lines. edit_id tells edits apart. An edit without a text to
+    look for finds nothing.
     """
     rows = edits.join(files.select("path", "content"), "path", "left")
     c, old = F.col("content"), F.col("old")
@@ -82,7 +83,7 @@ def located(edits: DataFrame, files: DataFrame) -> DataFrame:
         F.when(F.col("u") != old, spot(at("u"), F.length("u"), "escape_normalised")),
         by_line(F.col("fuzzy"), "fuzzy"),
     )
-    return rows.withColumn("m", found).select(*edits.columns, "content", "m.start", "m.length", "m.strategy")
+    return rows.withColumn("m", F.when(old.isNotNull(), found)).select(*edits.columns, "content", "m.start", "m.length", "m.strategy")
 
 
 def by_line_count(content: Column, old: Column, normal: Column, start: Column) -> Column:

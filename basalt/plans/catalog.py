@@ -246,14 +246,14 @@ def a06_highest_number(s, d):
     return snapshots.highest_number(ev)
 
 
-@query("""select 'n' || n_nationkey as provider, case when n_nationkey % 4 = 0 or n_nationkey % 6 = 0 then 'full' else 'delta' end as mode, case when n_nationkey % 4 = 0 then 1 else n_nationkey + 1 end::bigint as number
-from nation where n_nationkey % 4 = 0 or n_nationkey % 6 = 0 or n_nationkey % 3 = 0""")
+@query("""select 'n' || c_custkey as provider, case when c_custkey % 4 = 0 or c_custkey % 6 = 0 then 'full' else 'delta' end as mode, case when c_custkey % 4 = 0 then 1 else c_custkey + 1 end::bigint as number
+from customer where c_custkey % 4 = 0 or c_custkey % 6 = 0 or c_custkey % 3 = 0""")
 def r13_due_updates(s, d):
-    n = tb.table(s, d, "nation")
-    key, name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("provider"), F.col("n_name")
+    n = tb.table(s, d, "customer")
+    key, name = F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("provider"), F.col("c_name")
     sections = n.select(key, F.lit("a").alias("kind"), name.alias("state"))
-    base = n.filter("n_nationkey % 4 <> 0").select(
-        key, F.when(F.col("n_nationkey") % 6 == 0, "b").otherwise("a").alias("kind"), F.when(F.col("n_nationkey") % 3 == 0, "old").otherwise(name).alias("state"), F.col("n_nationkey").cast("long").alias("number")
+    base = n.filter("c_custkey % 4 <> 0").select(
+        key, F.when(F.col("c_custkey") % 6 == 0, "b").otherwise("a").alias("kind"), F.when(F.col("c_custkey") % 3 == 0, "old").otherwise(name).alias("state"), F.col("c_custkey").cast("long").alias("number")
     )
     return snapshots.due_updates(sections, base)
 

@@ -19,11 +19,11 @@ def f08_roster(s, d):
     return registry.roster(members, me)
 
 
-@query("select n_name as role, n_name || ': nation (Skills: ' || case when n_nationkey % 2 = 0 then 'a, b' else 'none' end || ')' as line from nation")
+@query("select c_name as role, c_name || ': customer (Skills: ' || case when c_custkey % 2 = 0 then 'a, b' else 'none' end || ')' as line from customer")
 def f09_roles(s, d):
-    n = tb.table(s, d, "nation")
-    skill = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
-    return registry.roles(n.select(F.col("n_name").alias("role"), F.lit("nation").alias("description"), skill.alias("skills")))
+    n = tb.table(s, d, "customer")
+    skill = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return registry.roles(n.select(F.col("c_name").alias("role"), F.lit("customer").alias("description"), skill.alias("skills")))
 
 
 @query(f"with {tb.LOG_SQL} select ord, agent_id = '5' or name like '#%' or is_user_proxy as excluded from log")
@@ -37,10 +37,10 @@ def f24_menu(s, d):
     return registry.menu(p)
 
 
-@query("select n_name as name, n_regionkey as region from nation where n_nationkey < 3")
+@query("select c_name as name, c_nationkey as region from customer where c_custkey < 3")
 def f23_lookup(s, d):
-    n = tb.table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    return registry.lookup(n, n.filter("n_nationkey < 3").select("name"))[0].select("name", "region")
+    n = tb.table(s, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_nationkey").alias("region"))
+    return registry.lookup(n, n.filter("c_custkey < 3").select("name"))[0].select("name", "region")
 
 
 @query("select p_brand as name, count(*) as n from part group by p_brand having count(*) > 1")
@@ -55,13 +55,13 @@ def a11_merged(s, d):
     return registry.merged(c.filter("ord % 3 = 0"), c.filter("ord % 3 <> 0")).select("ref_id", F.col("ord").cast("long").alias("ord"))
 
 
-@query("select 'r' || n_regionkey as role, n_nationkey as ord, '@r' || n_regionkey || (100 + 2 * row_number() over (partition by n_regionkey order by n_nationkey) - 1) as name from nation where n_nationkey % 2 = 0")
+@query("select 'r' || c_nationkey as role, c_custkey as ord, '@r' || c_nationkey || (100 + 2 * row_number() over (partition by c_nationkey order by c_custkey) - 1) as name from customer where c_custkey % 2 = 0")
 def a13_new_names(s, d):
-    n = tb.table(s, d, "nation")
-    role = F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("role")
-    taken = s.range(5).select(F.explode(F.sequence(F.lit(100), F.lit(140), F.lit(2))).alias("k"), F.col("id").alias("r"))
+    n = tb.table(s, d, "customer")
+    role = F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("role")
+    taken = s.range(25).select(F.explode(F.sequence(F.lit(100), F.lit(100 + 2 * n.count()), F.lit(2))).alias("k"), F.col("id").alias("r"))
     taken = taken.select(F.format_string("r%d", "r").alias("role"), F.format_string("@r%d%d", "r", "k").alias("name"))
-    return registry.new_names(n.filter("n_nationkey % 2 = 0").select(role, F.col("n_nationkey").alias("ord")), taken).select("role", "ord", "name")
+    return registry.new_names(n.filter("c_custkey % 2 = 0").select(role, F.col("c_custkey").alias("ord")), taken).select("role", "ord", "name")
 
 
 @query(f"with {HITS_SQL} select ref_id, rank from hits where rank <= 7")
@@ -137,9 +137,9 @@ def x07_endings(s, d):
     return tb.table(s, d, "documents").select("doc_id", tx.with_endings("text", "\r\n").alias("text"))
 
 
-@query("select n_nationkey, case when n_nationkey > 12 then '+' else '' end || (n_nationkey - 12) as moved from nation")
+@query("select c_custkey, case when c_custkey > 12 then '+' else '' end || (c_custkey - 12) as moved from customer")
 def x42_signed(s, d):
-    return tb.table(s, d, "nation").select("n_nationkey", snapshots.signed(F.col("n_nationkey") - 12).alias("moved"))
+    return tb.table(s, d, "customer").select("c_custkey", snapshots.signed(F.col("c_custkey") - 12).alias("moved"))
 
 
 TYPED = ("lineitem", "orders", "events", "documents", "embeddings")
@@ -211,7 +211,7 @@ def w07_second_of_a_name(s, d):
     return mutate.create_entities(tb.graph(s, d)[0], asked)[1].groupBy("key", "reason").agg(F.count("*").alias("n"))
 
 
-@query(r"""select n_nationkey, concat_ws(chr(10), '--- a/p', '+++ b/p', '@@ -1,3 +1,3 @@', ' a', '-b', '+' || n_name, ' c') as diff from nation""")
+@query(r"""select c_custkey, concat_ws(chr(10), '--- a/p', '+++ b/p', '@@ -1,3 +1,3 @@', ' a', '-b', '+' || c_name, ' c') as diff from customer""")
 def x15_unified_diff(s, d):
-    t = tb.table(s, d, "nation")
-    return t.select("n_nationkey", edits.diff(F.lit("a\nb\nc\n"), F.concat(F.lit("a\n"), "n_name", F.lit("\nc\n")), F.lit("p")).alias("diff"))
+    t = tb.table(s, d, "customer")
+    return t.select("c_custkey", edits.diff(F.lit("a\nb\nc\n"), F.concat(F.lit("a\n"), "c_name", F.lit("\nc\n")), F.lit("p")).alias("diff"))

@@ -111,16 +111,16 @@ def m07_deleted_with_relations(s, d):
     return gone.select("name", F.lit("entity").alias("kind")).unionByName(with_them.select(F.col("ref_id").alias("name"), F.lit("relation").alias("kind")))
 
 
-@query("select n_nationkey, case when n_nationkey % 2 = 0 then 'b,b' else 'a,b,a,b,c' end as observations from nation")
+@query("select c_custkey, case when c_custkey % 2 = 0 then 'b,b' else 'a,b,a,b,c' end as observations from customer")
 def m06_observations_removed(s, d):
-    n = tb.table(s, d, "nation")
-    name = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))
-    e = n.select(name.alias("ref_id"), name.alias("name"), F.lit("t").alias("entity_type"), F.lit("").alias("description"), F.array(*map(F.lit, "abab")).alias("observations"), F.lit(False).alias("is_root"), F.col("n_nationkey").alias("ord"))
+    n = tb.table(s, d, "customer")
+    name = F.concat(F.lit("N"), F.col("c_custkey").cast("string"))
+    e = n.select(name.alias("ref_id"), name.alias("name"), F.lit("t").alias("entity_type"), F.lit("").alias("description"), F.array(*map(F.lit, "abab")).alias("observations"), F.lit(False).alias("is_root"), F.col("c_custkey").alias("ord"))
     none = F.lit(None)
     asked = e.select("name", *(none.cast("string").alias(c) for c in ("description", "entity_type")), none.cast("boolean").alias("is_root"), F.array(F.lit("c")).alias("add_observations"),
                      F.when(F.col("ord") % 2 == 0, F.array(F.lit("a"), F.lit("c"))).alias("remove_observations"), "ord")
     after = mutate.update_entities(e, asked)[0]
-    return after.select(F.col("ord").alias("n_nationkey"), F.array_join("observations", ",").alias("observations"))
+    return after.select(F.col("ord").alias("c_custkey"), F.array_join("observations", ",").alias("observations"))
 
 
 @query(f"with {tb.BOARD_SQL} select id, case when id % 4 = 0 then 'two' when id % 2 = 0 then 'one' else status end as status, case when id % 2 = 0 then 'o' else coalesce(nullif(owner, ''), '-') end as owner from tasks")
@@ -209,13 +209,13 @@ def f13_cancels(s, d):
     return tb.mailbox(s, d).select("msg_id", mailbox.cancels().alias("cancels"))
 
 
-@query("select n_nationkey as pattern_id, a || '/' || n_name || b || '.' || c as pattern from nation, (values ('a'), ('c')) x(a), (values (''), ('/**')) y(b), (values ('py'), ('md'), ('t' || 'xt')) z(c) where n_nationkey % 2 = 0 or c = 'py' and b = ''")
+@query("select c_custkey as pattern_id, a || '/' || c_name || b || '.' || c as pattern from customer, (values ('a'), ('c')) x(a), (values (''), ('/**')) y(b), (values ('py'), ('md'), ('t' || 'xt')) z(c) where c_custkey % 2 = 0 or c = 'py' and b = ''")
 def f15_braces(s, d):
     """Patterns with three groups of braces, and with one."""
-    n = tb.table(s, d, "nation")
-    three, one = F.concat(F.lit("{a, c}/"), "n_name", F.lit("{/**,}.{py,md,txt}")), F.concat(F.lit("{a,c}/"), "n_name", F.lit(".py"))
+    n = tb.table(s, d, "customer")
+    three, one = F.concat(F.lit("{a, c}/"), "c_name", F.lit("{/**,}.{py,md,txt}")), F.concat(F.lit("{a,c}/"), "c_name", F.lit(".py"))
     three = F.replace(three, F.lit("{/**,}"), F.lit("{/**,-}"))
-    rows = tx.expanded_rows(n.select(F.col("n_nationkey").alias("pattern_id"), F.when(F.col("n_nationkey") % 2 == 0, three).otherwise(one).alias("pattern")))
+    rows = tx.expanded_rows(n.select(F.col("c_custkey").alias("pattern_id"), F.when(F.col("c_custkey") % 2 == 0, three).otherwise(one).alias("pattern")))
     return rows.withColumn("pattern", F.regexp_replace("pattern", r"-\.", "."))
 
 
@@ -263,11 +263,11 @@ PATCH = "--- a/%s\n+++ b/%s\n@@ -1,2 +1,3 @@\n a\n-b\n+B\n+C\n@@ -9,1 +10,1 @@\n
 
 
 def _patches(s, d):
-    n = tb.table(s, d, "nation")
-    return edits.parsed(n.select(F.col("n_nationkey").cast("string").alias("patch_id"), F.format_string(PATCH, "n_name", "n_name").alias("text")))
+    n = tb.table(s, d, "customer")
+    return edits.parsed(n.select(F.col("c_custkey").cast("string").alias("patch_id"), F.format_string(PATCH, "c_name", "c_name").alias("text")))
 
 
-@query("select n_nationkey::varchar as patch_id, hunk, shift from nation, (values (1, 0), (2, 1), (3, 1)) t(hunk, shift)")
+@query("select c_custkey::varchar as patch_id, hunk, shift from customer, (values (1, 0), (2, 1), (3, 1)) t(hunk, shift)")
 def w05_running_shift(s, d):
     """How far each hunk's lines have moved when the hunks before it are applied."""
     hunks = _patches(s, d).select("patch_id", "hunk", "old_count", "new_count").distinct()
@@ -276,64 +276,76 @@ def w05_running_shift(s, d):
     return hunks.select("patch_id", F.col("hunk").cast("int").alias("hunk"), shift.cast("int").alias("shift"))
 
 
-@query("select n_nationkey::varchar as patch_id, n_name as path, hunk, line from nation, (values (1, ' a'), (1, '-b'), (1, '+B'), (1, '+C'), (2, '-x'), (2, '+y'), (3, '-p'), (3, '-q'), (3, ' r')) t(hunk, line)")
+@query("select c_custkey::varchar as patch_id, c_name as path, hunk, line from customer, (values (1, ' a'), (1, '-b'), (1, '+B'), (1, '+C'), (2, '-x'), (2, '+y'), (3, '-p'), (3, '-q'), (3, ' r')) t(hunk, line)")
 def x16_patch_lines(s, d):
     own = _patches(s, d).filter("not startswith(line, '@@')")
     return own.select("patch_id", "path", F.col("hunk").cast("int").alias("hunk"), "line")
 
 
-@query("select n_name as path from nation where n_nationkey % 2 = 0")
+@query("select c_name as path from customer where c_custkey % 2 = 0")
 def x17_deleted_paths(s, d):
-    n = tb.table(s, d, "nation")
-    to = F.when(F.col("n_nationkey") % 2 == 0, "/dev/null").otherwise(F.concat(F.lit("b/"), "n_name"))
-    text = F.concat(F.lit("--- a/"), "n_name", F.lit("\n+++ "), to, F.lit("\n@@ -1,1 +0,0 @@\n-a\n"))
-    return edits.parsed(n.select(F.col("n_nationkey").alias("patch_id"), text.alias("text"))).filter("deletes").select("path").distinct()
+    n = tb.table(s, d, "customer")
+    to = F.when(F.col("c_custkey") % 2 == 0, "/dev/null").otherwise(F.concat(F.lit("b/"), "c_name"))
+    text = F.concat(F.lit("--- a/"), "c_name", F.lit("\n+++ "), to, F.lit("\n@@ -1,1 +0,0 @@\n-a\n"))
+    return edits.parsed(n.select(F.col("c_custkey").alias("patch_id"), text.alias("text"))).filter("deletes").select("path").distinct()
 
 
-def _placed(s, d, old):
-    n = tb.table(s, d, "nation")
-    f = n.select(F.col("n_name").alias("path"), F.lit("one\ntwo  words\nthree\n").alias("content"))
-    return edits.located(f.select(F.col("path").alias("edit_id"), "path", F.lit(old).alias("old"), F.lit("x").alias("new")), f).select("path", "start", "strategy")
+def _placed(s, d, old, most=4):
+    """Documents of ``most`` lines or more, none of them twice, and where edits of them are placed that ask for what ``old`` makes of the lines l."""
+    f = tb.files(s, d).withColumn("l", tx.lines("content"))
+    f = f.filter((F.size("l") >= most) & (F.size(F.array_distinct("l")) == F.size("l")) & ~F.contains("content", F.lit("\\")) & (F.trim(F.element_at("l", 2)) != "") & (F.trim(F.element_at("l", 3)) != ""))
+    asked = f.select(F.col("path").alias("edit_id"), "path", old(F.col("l")).alias("old"), F.lit("x").alias("new"))
+    return edits.located(asked, f.drop("l")).select("path", "start", "strategy")
 
 
-@query("select n_name as path, 5 as start, 'line_trimmed' as strategy from nation")
+#: The same documents for DuckDB, and how many letters stand before a line.
+LINED_SQL = f"""with {tb.FILES_SQL}, s as (select path, content, string_split(case when content like '%' || chr(10) then left(content, length(content) - 1) else content end, chr(10)) as l from files),
+f as (select * from s where len(l) >= {{}} and len(list_distinct(l)) = len(l) and not contains(content, '\\') and trim(l[2]) <> '' and trim(l[3]) <> '')"""
+BEFORE_SQL = "coalesce(list_sum(list_transform(l[1:{} - 1], lambda x: length(x) + 1)), 0)::int + 1"
+STRIPPED_SQL = "list_transform(l, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))"
+
+
+@query(LINED_SQL.format(4) + f", g as (select *, {STRIPPED_SQL} as t from f) select path, {BEFORE_SQL.format('list_position(t, t[3])')} as start, 'line_trimmed' as strategy from g")
 def x19_trimmed_lines(s, d):
-    return _placed(s, d, "  two  words ")
+    return _placed(s, d, lambda l: F.concat(F.lit(" \t  "), F.trim(F.regexp_replace(F.element_at(l, 3), "^\\s+|\\s+$", "")), F.lit("   ")))
+
+
+SQUEEZED_SQL = "list_transform(l, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))"
 
 
-@query("select n_name as path, 5 as start, 'whitespace_normalised' as strategy from nation")
+@query(LINED_SQL.format(4) + f", g as (select *, {SQUEEZED_SQL} as t from f where contains(trim(l[2]), ' ')) select path, {BEFORE_SQL.format('list_position(t, t[2])')} as start, 'whitespace_normalised' as strategy from g")
 def x20_squeezed_blanks(s, d):
-    return _placed(s, d, "two \t  words")
+    return _placed(s, d, lambda l: F.when(F.contains(F.trim(F.element_at(l, 2)), F.lit(" ")), F.replace(F.element_at(l, 2), F.lit(" "), F.lit(" \t  ")))).filter("strategy is not null")
 
 
 @query("select n_name as path, 5 as start, 'trimmed_boundary' as strategy from nation")
 def x22_blank_lines_around(s, d):
-    return _placed(s, d, "\ntwo  words\nthree\n\n")
+    f = tb.table(s, d, "nation").select(F.col("n_name").alias("path"), F.lit("one\ntwo  words\nthree\n").alias("content"))
+    return edits.located(f.select(F.col("path").alias("edit_id"), "path", F.lit("\ntwo  words\nthree\n\n").alias("old"), F.lit("x").alias("new")), f).select("path", "start", "strategy")
 
 
-@query("select n_name as path, 1 as start, 'escape_normalised' as strategy from nation")
+@query(LINED_SQL.format(4) + f" select path, {BEFORE_SQL.format('2')} as start, 'escape_normalised' as strategy from f")
 def x23_escapes_undone(s, d):
-    return _placed(s, d, "one\\ntwo  words")
+    return _placed(s, d, lambda l: F.concat_ws("\\n", F.element_at(l, 2), F.element_at(l, 3)))
 
 
-@query("select n_name as path, 9 as start, 'dedented' as strategy from nation")
+@query("select c_name as path, 9 as start, 'dedented' as strategy from customer")
 def x21_indentation_taken_off(s, d):
-    n = tb.table(s, d, "nation")
-    f = n.select(F.col("n_name").alias("path"), F.lit("one two\nthree four").alias("content"))
+    n = tb.table(s, d, "customer")
+    f = n.select(F.col("c_name").alias("path"), F.lit("one two\nthree four").alias("content"))
     return edits.located(f.select(F.col("path").alias("edit_id"), "path", F.lit("    three").alias("old"), F.lit("x").alias("new")), f).select("path", "start", "strategy")
 
 
-@query("select n_name as path, 1 as start, 'fuzzy' as strategy from nation")
+@query(LINED_SQL.format(10) + f" select path, {BEFORE_SQL.format('2')} as start, 'fuzzy' as strategy from f")
 def x24_most_similar_lines(s, d):
-    n = tb.table(s, d, "nation")
-    f = n.select(F.col("n_name").alias("path"), F.lit("\n".join(f"line {i}" for i in range(10)) + "\nend\n").alias("content"))
-    old = "\n".join("other" if i == 4 else f"line {i}" for i in range(10))
-    return edits.located(f.select(F.col("path").alias("edit_id"), "path", F.lit(old).alias("old"), F.lit("x").alias("new")), f).select("path", "start", "strategy")
+    """Eight lines of each document, the fifth of them another."""
+    asked = lambda l: F.array_join(F.concat(F.slice(l, 2, 4), F.array(F.lit("no document has this line")), F.slice(l, 7, 3)), "\n")
+    return _placed(s, d, asked, 10)
 
 
-@query("select n_name as path, true as missing from nation")
+@query(LINED_SQL.format(4) + " select path, not contains(content, 'something else') as missing from f")
 def x26_found_by_none(s, d):
-    return _placed(s, d, "something else").select("path", F.col("strategy").isNull().alias("missing"))
+    return _placed(s, d, lambda l: F.lit("something else")).select("path", F.col("strategy").isNull().alias("missing"))
 
 
 @query(f"with {tb.FILES_SQL} select path, 'A' || chr(10) || 'c' as content, 2 as applied from files")
@@ -356,11 +368,11 @@ def x02_substring(s, d):
     return tb.table(s, d, "part").filter(ranking.matches("AN", "p_name", "p_brand")).select("p_partkey")
 
 
-@query("select n_nationkey, place, case place when 1 then 'who' when 2 then 'f' || n_nationkey else 'when_1' end as field from nation, (values (1), (2), (3)) t(place)")
+@query("select c_custkey, place, case place when 1 then 'who' when 2 then 'f' || c_custkey else 'when_1' end as field from customer, (values (1), (2), (3)) t(place)")
 def x03_template_fields(s, d):
-    n = tb.table(s, d, "nation")
-    template = F.concat(F.lit("{who} {{no}} {f"), F.col("n_nationkey").cast("string"), F.lit("} {who} {when_1} {{{{x}}}}"))
-    return n.select("n_nationkey", F.posexplode(tx.fields_of(template)).alias("i", "field")).select("n_nationkey", (F.col("i") + 1).alias("place"), "field")
+    n = tb.table(s, d, "customer")
+    template = F.concat(F.lit("{who} {{no}} {f"), F.col("c_custkey").cast("string"), F.lit("} {who} {when_1} {{{{x}}}}"))
+    return n.select("c_custkey", F.posexplode(tx.fields_of(template)).alias("i", "field")).select("c_custkey", (F.col("i") + 1).alias("place"), "field")
 
 
 @query(f"""with {tb.MAILBOX_SQL}, l as (select owner, row_number() over (partition by owner order by ord) as n, 'You received a ' || case sender when 'user' then 'message' when 'assistant' then 'result' else 'notification' end || ' from ' || sender || ': ' || content as line from mail)
@@ -406,11 +418,11 @@ def x34_base64(s, d):
     return r.select("r_regionkey", F.decode(F.unbase64(F.base64(F.encode("r_name", "UTF-8"))), "UTF-8").alias("name"))
 
 
-@query("select n_nationkey, case when n_nationkey % 3 = 0 then 'none' when n_nationkey % 3 = 1 then 'a' else 'a, b' end as skills from nation")
+@query("select c_custkey, case when c_custkey % 3 = 0 then 'none' when c_custkey % 3 = 1 then 'a' else 'a, b' end as skills from customer")
 def x40_skills(s, d):
-    n = tb.table(s, d, "nation")
-    size = F.col("n_nationkey") % 3
-    return n.select("n_nationkey", snapshots.skills(F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), size)).alias("skills"))
+    n = tb.table(s, d, "customer")
+    size = F.col("c_custkey") % 3
+    return n.select("c_custkey", snapshots.skills(F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), size)).alias("skills"))
 
 
 @query(f"""with {CACHE_SQL}, m as (select key, min(ord) as since from ev where event in ('deliver', 'fail') group by key), u as (select m.key, max(ev.ord) as used from ev join m on ev.key = m.key and ev.ord >= m.since group by m.key)
@@ -427,20 +439,20 @@ def r17_known_keys(s, d):
     return ev.filter("event in ('deliver', 'fail')").select("key").distinct().join(live, "key", "left").select("key", F.coalesce("live", F.lit(False)).alias("known"))
 
 
-@query("select 'n' || n_nationkey as provider, n_name as state, case when n_nationkey % 2 = 0 then 3 else 1 end::bigint as number from nation")
+@query("select 'n' || c_custkey as provider, c_name as state, case when c_custkey % 2 = 0 then 3 else 1 end::bigint as number from customer")
 def r14_advanced_baselines(s, d):
-    n = tb.table(s, d, "nation")
-    key = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("provider")
-    sections = n.select(key, F.lit("a").alias("kind"), F.col("n_name").alias("state"))
-    base = n.filter("n_nationkey % 2 = 0").select(key, F.lit("a").alias("kind"), F.lit("old").alias("state"), F.lit(2).cast("long").alias("number"))
+    n = tb.table(s, d, "customer")
+    key = F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("provider")
+    sections = n.select(key, F.lit("a").alias("kind"), F.col("c_name").alias("state"))
+    base = n.filter("c_custkey % 2 = 0").select(key, F.lit("a").alias("kind"), F.lit("old").alias("state"), F.lit(2).cast("long").alias("number"))
     return snapshots.advanced(sections, base).select("provider", "state", "number")
 
 
-@query("select 'n' || n_nationkey as provider, 'full' as mode, 1::bigint as number from nation")
+@query("select 'n' || c_custkey as provider, 'full' as mode, 1::bigint as number from customer")
 def r15_reset(s, d):
     """Without baselines every section is shown in full again."""
-    n = tb.table(s, d, "nation")
-    sections = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("provider"), F.lit("a").alias("kind"), F.col("n_name").alias("state"))
+    n = tb.table(s, d, "customer")
+    sections = n.select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("provider"), F.lit("a").alias("kind"), F.col("c_name").alias("state"))
     return snapshots.due_updates(sections, sections.withColumn("number", F.lit(5).cast("long")).filter("false"))
 
 

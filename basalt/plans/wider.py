@@ -47,10 +47,10 @@ def s31_deleted_or_missing(s, d):
     return files.deleted_or_missing(f, asked)[1]
 
 
-@query("select distinct 'nation/' || n_regionkey as path from nation union select 'region/' || r_regionkey from region")
+@query("select distinct 'nation/' || c_nationkey as path from customer union select 'region/' || r_regionkey from region")
 def s31_made_folders(s, d):
     there = tb.table(s, d, "region").select(F.format_string("region/%d", "r_regionkey").alias("path"))
-    asked = tb.table(s, d, "nation").select(F.format_string("nation/%d", "n_regionkey").alias("path"))
+    asked = tb.table(s, d, "customer").select(F.format_string("nation/%d", "c_nationkey").alias("path"))
     return files.make_dirs(there, asked.unionByName(there))
 
 
@@ -163,26 +163,26 @@ def w04_numbered_lines(s, d):
     return files.numbered_lines(tb.files(s, d), 2, 2).select("path", F.col("lineno").cast("long").alias("lineno"), "line")
 
 
-@query("""select n_name as path, case when n_nationkey % 2 = 0 then 'a' || chr(10) || 'B' || chr(10) || 'c' || chr(10) || 'D' || chr(10) || 'E' || chr(10) else 'new' || chr(10) end as content from nation""")
+@query("""select c_name as path, case when c_custkey % 2 = 0 then 'a' || chr(10) || 'B' || chr(10) || 'c' || chr(10) || 'D' || chr(10) || 'E' || chr(10) else 'new' || chr(10) end as content from customer""")
 def m18_one_file_patches(s, d):
     """Two hunks that move lines, and a patch that only adds, which makes its file."""
-    n = tb.table(s, d, "nation")
-    even = F.col("n_nationkey") % 2 == 0
-    f = n.filter(even).select(F.col("n_name").alias("path"), F.lit("a\nb\nc\nd\n").alias("content"), F.lit(8).cast("long").alias("size"), F.timestamp_seconds("n_nationkey").alias("mtime"))
-    change = F.format_string("--- a/%s\n+++ b/%s\n@@ -1,2 +1,2 @@\n a\n-b\n+B\n@@ -4,1 +4,2 @@\n-d\n+D\n+E\n", "n_name", "n_name")
-    make = F.format_string("--- /dev/null\n+++ b/%s\n@@ -0,0 +1 @@\n+new\n", "n_name")
-    return edits.patched(n.select(F.col("n_nationkey").alias("patch_id"), F.when(even, change).otherwise(make).alias("text")), f)[0].select("path", "content")
+    n = tb.table(s, d, "customer")
+    even = F.col("c_custkey") % 2 == 0
+    f = n.filter(even).select(F.col("c_name").alias("path"), F.lit("a\nb\nc\nd\n").alias("content"), F.lit(8).cast("long").alias("size"), F.timestamp_seconds("c_custkey").alias("mtime"))
+    change = F.format_string("--- a/%s\n+++ b/%s\n@@ -1,2 +1,2 @@\n a\n-b\n+B\n@@ -4,1 +4,2 @@\n-d\n+D\n+E\n", "c_name", "c_name")
+    make = F.format_string("--- /dev/null\n+++ b/%s\n@@ -0,0 +1 @@\n+new\n", "c_name")
+    return edits.patched(n.select(F.col("c_custkey").alias("patch_id"), F.when(even, change).otherwise(make).alias("text")), f)[0].select("path", "content")
 
 
-@query("select n_nationkey as template_id, 'field' || n_nationkey as field from nation where n_nationkey % 3 = 0")
+@query("select c_custkey as template_id, 'field' || c_custkey as field from customer where c_custkey % 3 = 0")
 def x05_unknown_fields(s, d):
-    n = tb.table(s, d, "nation")
-    template = F.concat(F.lit("{n_name} {{no}} {"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("field"), F.col("n_nationkey").cast("string"))).otherwise("n_regionkey"), F.lit("}"))
+    n = tb.table(s, d, "customer")
+    template = F.concat(F.lit("{c_name} {{no}} {"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("field"), F.col("c_custkey").cast("string"))).otherwise("c_nationkey"), F.lit("}"))
     columns = s.createDataFrame([(c,) for c in n.columns], "name string")
-    return tx.unknown_fields(n.select(F.col("n_nationkey").alias("template_id"), template.alias("template")), columns)
+    return tx.unknown_fields(n.select(F.col("c_custkey").alias("template_id"), template.alias("template")), columns)
 
 
-@query("""with t as (select n_nationkey as k from nation)
+@query("""with t as (select c_custkey as k from customer)
 select k as prompt_id, 'text' as kind, 'see ' as value from t union all select k, 'text', ' and' from t where k % 4 <> 3 union all select k, 'text', ' ' from t where k % 4 = 3 union all select k, 'text', '' from t where k % 4 = 3
 union all select k, 'image', 'pics/' || k || '/' || i || '.PNG' from t, (values (0), (1)) v(i) where k % 4 = 0
 union all select k, 'document', '!!' || k || '.pdf[=> Use workspace_read tool]' from t where k % 4 = 1
@@ -190,7 +190,7 @@ union all select k, 'error', '!!none/*.jpg[Error: no image found in the workspac
 union all select k, 'image', 'pics/' || (k - 3) || '/' || i || '.PNG' from t, (values (0), (1)) v(i) where k % 4 = 3
 union all select k, 'error', '!!x.png[Error: no image found in the workspace]' from t where k % 4 = 3""")
 def x11_media_references(s, d):
-    n, k = tb.table(s, d, "nation"), F.col("n_nationkey")
+    n, k = tb.table(s, d, "customer"), F.col("c_custkey")
     images = n.filter(k % 4 == 0).select(F.explode(F.array(F.format_string("pics/%d/0.PNG", k), F.format_string("pics/%d/1.PNG", k), F.format_string("pics/%d/notes.pdf", k))).alias("path"))
     paths = images.unionByName(n.filter(k % 4 == 1).select(F.format_string("docs/%d.pdf", k).alias("path"))).unionByName(n.select(F.format_string("none/%d.txt", k).alias("path")))
     ref = F.when(k % 4 == 0, F.format_string("!!pics/%d/* and", k)).when(k % 4 == 1, F.format_string("!!**/%d.pdf and", k)).when(k % 4 == 2, "!!none/*.jpg and").otherwise(F.format_string('!!"pics/%d/?.png" !!x.png', k - 3))
@@ -224,13 +224,13 @@ def x28_due_and_stale(s, d):
     return t.select(F.col("notification_id").alias("id"), timers.due(at, now).alias("due"), (at < timers.cut_off(now, 300)).alias("stale"), F.round(timers.seconds(now, at), 3).alias("late"))
 
 
-@query("""select n_nationkey, case when n_nationkey % 2 = 0 then 'b,c' else 'a,b,a,c' end as after, n_nationkey % 2 <> 0 as has_a, case when n_nationkey % 2 = 0 then 'b,c' else 'a,b,c' end as sorted from nation""")
+@query("""select c_custkey, case when c_custkey % 2 = 0 then 'b,c' else 'a,b,a,c' end as after, c_custkey % 2 <> 0 as has_a, case when c_custkey % 2 = 0 then 'b,c' else 'a,b,c' end as sorted from customer""")
 def x31_array_changes(s, d):
-    n = tb.table(s, d, "nation")
+    n = tb.table(s, d, "customer")
     text = lambda c: F.array_join(c, ",")
-    gone = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("a")))
+    gone = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("a")))
     rows = n.withColumn("o", mutate.after_observations(F.array(*map(F.lit, "aba")), F.array(F.lit("c")), gone))
-    return rows.select("n_nationkey", text("o").alias("after"), F.array_contains("o", "a").alias("has_a"), text(F.array_sort(F.array_distinct("o"))).alias("sorted"))
+    return rows.select("c_custkey", text("o").alias("after"), F.array_contains("o", "a").alias("has_a"), text(F.array_sort(F.array_distinct("o"))).alias("sorted"))
 
 
 @query(f"with {tb.BOARD_SQL} select creator, count(*) filter (status = 'F') as f, count(*) filter (status = 'O') as o, count(*) filter (status = 'P') as p from tasks group by creator")
@@ -249,12 +249,12 @@ def x36_sentences_of_changes(s, d):
     return rendering.moves(t, after.withColumn("output", F.when(k % 5 == 0, "").otherwise(F.col("output")))).select("id", "sentence")
 
 
-@query("""select n_nationkey, '**Context update ' || n_nationkey || '** — ' || case when n_nationkey % 2 = 0 then 'current state.' else 'state has changed since the last update.' end || chr(10) || chr(10) || n_name
-  || case when n_nationkey % 3 = 0 then '' else chr(10) || chr(10) || 'more' end as text from nation""")
+@query("""select c_custkey, '**Context update ' || c_custkey || '** — ' || case when c_custkey % 2 = 0 then 'current state.' else 'state has changed since the last update.' end || chr(10) || chr(10) || c_name
+  || case when c_custkey % 3 = 0 then '' else chr(10) || chr(10) || 'more' end as text from customer""")
 def x37_numbered_blocks(s, d):
-    n = tb.table(s, d, "nation")
-    sections = F.when(F.col("n_nationkey") % 3 == 0, F.array("n_name")).otherwise(F.array("n_name", F.lit("more")))
-    return n.select("n_nationkey", rendering.block("n_nationkey", sections, F.col("n_nationkey") % 2 == 0).alias("text"))
+    n = tb.table(s, d, "customer")
+    sections = F.when(F.col("c_custkey") % 3 == 0, F.array("c_name")).otherwise(F.array("c_name", F.lit("more")))
+    return n.select("c_custkey", rendering.block("c_custkey", sections, F.col("c_custkey") % 2 == 0).alias("text"))
 
 
 @query(f"""with {tb.MAILBOX_SQL} select msg_id, case when sender = 'system' then 'unknown' else sender end as sender, case when sender = 'user' then '<' || type || '>' else content end as text from mail""")
