@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basalt.functions.registry import REGISTRY
+from basalt.operators import registry
 from basalt.plans import tables as tb
 from basalt.plans.catalog import BFS_SQL, query
 
@@ -44,3 +45,11 @@ def d01_cosine(s, d):
 def d02_clipped(s, d):
     tb.table(s, d, "documents").createOrReplaceTempView("called_documents")
     return _installed(s).sql("select doc_id, clipped(text, 30) as head from called_documents")
+
+
+@query("select 'f' || p_partkey as name, p_type || case when p_partkey % 3 = 0 then chr(10) || chr(10) || p_brand else '' end as description from part")
+def d05_described(s, d):
+    """Every third function is told of further instructions."""
+    p = tb.table(s, d, "part")
+    name = F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name")
+    return registry.described(p.select(name, F.col("p_type").alias("description")), p.filter("p_partkey % 3 = 0").select(name, F.col("p_brand").alias("text")))
