@@ -107,16 +107,17 @@ def joined_evenly(rows: DataFrame, groups: DataFrame, rows_on: Column, groups_on
 
     ``size`` is the column of ``groups`` with the number of its rows, ``rows_on`` and ``groups_on`` are
     the same number (a hash of the key) on either side, ``row`` a column that differs between rows.
-    Groups with more than one in ``most`` of all rows, so fewer than ``most`` of them, are sent to every
-    task by their number; their rows are dealt to ``ways`` parts, to each of which the group is sent.
+    Groups with more than one in ``most`` of all rows, so fewer than ``most`` of them, are named by their
+    numbers in the plan; their rows are dealt to ``ways`` parts, to each of which the group is sent.
+    Where there are none, it is a join like any other. ``groups`` are read twice, so they should be stored.
     """
     total = rows.count()
-    hot = groups.filter(F.col(size) * most > total).select(groups_on.alias("hot")).distinct()  # fewer than ``most`` rows
+    hot = [r[0] for r in groups.filter(F.col(size) * most > total).select(groups_on.alias("hot")).distinct().collect()]  # fewer than ``most`` numbers
+    if not hot:
+        return rows.join(groups, same)
     part, parts = unused(rows, "part"), unused(groups, "to_part")
-    own = rows.withColumn(part + "_of", rows_on).join(F.broadcast(hot), F.col(part + "_of") == F.col("hot"), "left")
-    own = own.withColumn(part, F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(row), F.lit(ways))).otherwise(F.lit(0))).drop("hot", part + "_of")
-    to = groups.withColumn(parts + "_of", groups_on).join(F.broadcast(hot), F.col(parts + "_of") == F.col("hot"), "left")
-    to = to.withColumn(parts, F.explode(F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0))))).drop("hot", parts + "_of")
+    own = rows.withColumn(part, F.when(rows_on.isin(hot), F.pmod(F.xxhash64(row), F.lit(ways))).otherwise(F.lit(0)))
+    to = groups.withColumn(parts, F.explode(F.when(groups_on.isin(hot), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
     return own.join(to, same & (F.col(part) == F.col(parts))).drop(part, parts)
 
 

@@ -35,7 +35,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def _beside_least(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Each edge with m, the smallest of the ends ``b`` of its ``a``."""
-    least = edges.groupBy(F.col(a).alias("of")).agg(F.min(b).alias("m"), F.count("*").alias("size"))
+    least = cut(edges.groupBy(F.col(a).alias("of")).agg(F.min(b).alias("m"), F.count("*").alias("size")))
     return joined_evenly(edges, least, F.col(a), F.col("of"), F.col(a) == F.col("of"), "size", b).drop("of", "size")
 
 

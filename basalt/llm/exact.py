@@ -62,6 +62,7 @@ def exact_groups(
     groups = groups.select(
         F.col("recipe").alias("g_recipe"), F.col("marks").alias("g_marks"), "group_size", F.bitwise_not("best.id_down").alias("keep_id"), F.bitwise_not("best.row_down").alias("keep_row")
     )
+    groups = cut(groups)
     same = (F.col("recipe") == F.col("g_recipe")) & F.col("marks").eqNullSafe(F.col("g_marks"))
     by, to = F.xxhash64("recipe", "marks"), F.xxhash64("g_recipe", "g_marks")
     return joined_evenly(digests, groups, by, to, same, "group_size", "row_id").select(

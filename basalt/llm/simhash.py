@@ -105,13 +105,16 @@ def near_groups(
     place in the input, or the column ``row`` if that is given.
     """
     rows = cut(fingerprints(df, doc_id, text, width, row))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    # What is read more than once is stored, so that the driver never holds the plan of one step within that of the next.
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
     reached = cut(components(linked(distinct.select("fp"), most)))
     joined = reached.join(distinct, reached.node == distinct.fp).groupBy(F.col("root").alias("of_root")).agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    joined = cut(joined)
     moved = joined_evenly(reached, joined, F.col("root"), F.col("of_root"), F.col("root") == F.col("of_root"), "members", "node").select("node", "root", "component")
     groups = distinct.join(moved, distinct.fp == moved.node, "left").select(
         F.col("fp").alias("of"), F.coalesce("root", "fp").alias("group_id"), F.expr("if(node is null, least, component)").alias("component_id"), "size"
     )
+    groups = cut(groups)
     found = joined_evenly(rows, groups, F.col("fp"), F.col("of"), F.col("fp") == F.col("of"), "size", "row_id")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row_id", "group_id")
 
