@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +16,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value that is computed once, however often it is named, and wherever the plan puts the whole."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def lines(text: Column | str) -> Column:
     """The lines of a text without their ends; no empty one after a last end; none for an empty or null text."""
-    parts = F.split(F.coalesce(_col(text), F.lit("")), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(F.coalesce(_col(text), F.lit("")), LINE_END, -1), whole)
 
 
 def line_ending(text: Column | str) -> Column:

@@ -8,18 +8,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.functions.text import lines
+from basalt.functions.text import let, lines
 
 #: Likeness from which on a window counts as found.
 ALIKE = 0.85
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
-def _array_place(content: Column, wanted: Column) -> Column:
-    """The first line (from 1) at which the wanted lines stand, or null."""
-    n = F.size(content) - F.size(wanted) + 1
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.try_element_at(F.filter(starts, lambda i: F.slice(content, i, F.size(wanted)) == wanted), F.lit(1))
+def _line_place(content: Column, wanted: Column) -> Column:
+    """The first line (from 1) of a text at which the wanted ones stand, or null: lines are parted and framed by line feeds, so one search finds them."""
+    framed = lambda x: F.concat(F.lit("\n"), x, F.lit("\n"))
+    upto = lambda text: F.substring(text, F.lit(1), F.instr(text, framed(wanted)))
+    line = lambda head: F.nullif(F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))), F.lit(0))
+    return let(framed(content), lambda text: let(upto(text), line))
 
 
 def _likeness(window: Column, wanted: Column) -> Column:
@@ -36,13 +37,18 @@ def most_alike(rows: DataFrame) -> DataFrame:
 
     Rows: edit_id (each once), l (the file's lines) and w (the lines wanted). A window has as many lines
     as are wanted. Its lines that are wanted anywhere bound its likeness from above, so only windows with
-    enough of them go on, as rows of their own, and are compared in order.
+    enough of them go on, as rows of their own, and are compared in order. A file with too few such
+    lines in all has no such window.
     """
-    n = F.size("w")
-    rows = rows.filter((n > 0) & (F.size("l") >= n)).withColumn("hit", F.transform("l", lambda t: F.array_contains("w", t).cast("int")))
-    enough = lambda i: F.aggregate(F.slice("hit", i, n), F.lit(0), lambda s, h: s + h) >= F.lit(ALIKE) * n
-    starts = rows.select("edit_id", "l", "w", F.explode(F.filter(F.sequence(F.lit(1), F.size("l") - n + 1), enough)).alias("line"))
-    windows = starts.select("edit_id", "line", F.slice("l", F.col("line"), n).alias("window"), "w")
+
+    def alike_enough(row: Column) -> Column:
+        l, w, n = row["l"], row["w"], F.size(row["w"])
+        enough = lambda hit: lambda i: F.aggregate(F.slice(hit, i, n), F.lit(0), lambda s, h: s + h) >= F.lit(ALIKE) * n
+        window = lambda i: F.struct(i.alias("line"), F.slice(l, i, n).alias("window"))
+        starts = lambda hit: F.when(F.size(F.filter(hit, lambda h: h > 0)) >= F.lit(ALIKE) * n, F.transform(F.filter(F.sequence(F.lit(1), F.size(l) - n + 1), enough(hit)), window))
+        return F.when((n > 0) & (F.size(l) >= n), let(F.transform(l, lambda t: F.array_contains(w, t).cast("int")), starts))
+
+    windows = rows.select("edit_id", "w", F.explode(let(F.struct("l", "w"), alike_enough)).alias("s")).select("edit_id", "s.line", "s.window", "w")
     like = windows.select("edit_id", "line", _likeness(F.col("window"), F.col("w")).alias("like")).filter(F.col("like") >= ALIKE)
     return like.groupBy("edit_id").agg(F.max_by("line", F.struct("like", -F.col("line"))).alias("line"))
 
@@ -57,32 +63,37 @@ def located(edits: DataFrame, files: DataFrame) -> DataFrame:
     """
     rows = edits.join(files.select("path", "content"), "path", "left")
     c, old = F.col("content"), F.col("old")
-    squeezed = lambda x: F.transform(x, lambda t: F.regexp_replace(t, "[ \\t]+", " "))
-    stripped = lambda x: F.transform(x, lambda t: F.trim(F.regexp_replace(t, "^\\s+|\\s+$", "")))
+    # Of whole texts, each read once: within a line there are no blanks but these.
+    squeezed = lambda x: F.regexp_replace(F.array_join(x, "\n"), "[ \\t]+", " ")
+    stripped = lambda x: F.regexp_replace(F.array_join(x, "\n"), "(?dm)^[ \\t]+|(?<![ \\t])[ \\t]++$", "")
     bare, undone = F.regexp_replace(old, "^\\n+|\\n+$", ""), F.replace(F.replace(F.replace(old, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit('\\"'), F.lit('"'))
     indent = F.array_min(F.transform(F.filter(lines(old), lambda t: F.trim(t) != ""), lambda t: F.length(F.regexp_extract(t, "^[ \\t]*", 0))))
-    dedented = F.transform(lines(old), lambda t: F.when(F.trim(t) == "", F.lit("")).otherwise(F.substr(t, F.coalesce(indent, F.lit(0)) + 1)))
-    rows = rows.withColumn("l", lines(c)).withColumn("w", lines(old)).withColumn("d", F.array_join(dedented, "\n")).withColumn("b", bare).withColumn("u", undone)
-    at = lambda text: F.nullif(F.instr(c, F.col(text)), F.lit(0))
+    dedented = let(F.coalesce(indent, F.lit(0)), lambda n: F.transform(lines(old), lambda t: F.when(F.trim(t) == "", F.lit("")).otherwise(F.substr(t, n + 1))))
+    at = lambda text: F.nullif(F.instr(c, text), F.lit(0))
     spot = lambda start, length, name: F.when(start.isNotNull(), F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"), F.lit(name).alias("strategy")))
-    joined = F.array_join("l", "\n") == F.regexp_replace(c, "\\n$", "")
-
-    def by_line(line: Column, name: str) -> Column:
-        before = F.aggregate(F.slice("l", F.lit(1), F.coalesce(line, F.lit(1)) - 1), F.lit(0), lambda s, t: s + F.length(t) + 1)
-        size = F.aggregate(F.slice("l", F.coalesce(line, F.lit(1)), F.size("w")), F.lit(0), lambda s, t: s + F.length(t) + 1)
-        return F.when(joined, spot(F.when(line.isNotNull(), before + 1), F.least(size, F.length(c) - before), name))
-
-    exact = spot(at("old"), F.length(old), "exact")
-    rows = rows.join(most_alike(rows.filter(exact.isNull())).withColumnRenamed("line", "fuzzy"), "edit_id", "left")
-    found = F.coalesce(
-        exact,
-        by_line(_array_place(stripped(F.col("l")), stripped(F.col("w"))), "line_trimmed"),
-        by_line(_array_place(squeezed(F.col("l")), squeezed(F.col("w"))), "whitespace_normalised"),
-        F.when(F.coalesce(indent, F.lit(0)) > 0, spot(at("d"), F.length("d"), "dedented")),
-        F.when(F.col("b") != old, spot(at("b"), F.length("b"), "trimmed_boundary")),
-        F.when(F.col("u") != old, spot(at("u"), F.length("u"), "escape_normalised")),
-        by_line(F.col("fuzzy"), "fuzzy"),
-    )
+
+    def by_line(l: Column, w: Column, line: Column, name: str) -> Column:
+        joined = F.array_join(l, "\n") == F.regexp_replace(c, "\\n$", "")
+        before = F.aggregate(F.slice(l, F.lit(1), F.coalesce(line, F.lit(1)) - 1), F.lit(0), lambda s, t: s + F.length(t) + 1)
+        size = F.aggregate(F.slice(l, F.coalesce(line, F.lit(1)), F.size(w)), F.lit(0), lambda s, t: s + F.length(t) + 1)
+        return F.when(line.isNotNull() & joined, let(before, lambda b: spot(b + 1, F.least(size, F.length(c) - b), name)))
+
+    def plain(row: Column) -> Column:
+        l, w = row["l"], row["w"]
+        by_lines = lambda kind, name: F.when((F.size(w) > 0) & (F.size(l) >= F.size(w)), let(_line_place(kind(l), kind(w)), lambda line: by_line(l, w, line, name)))
+        return F.coalesce(
+            by_lines(stripped, "line_trimmed"),
+            by_lines(squeezed, "whitespace_normalised"),
+            F.when(F.coalesce(indent, F.lit(0)) > 0, let(F.array_join(dedented, "\n"), lambda d: spot(at(d), F.length(d), "dedented"))),
+            F.when(bare != old, spot(at(bare), F.length(bare), "trimmed_boundary")),
+            F.when(undone != old, spot(at(undone), F.length(undone), "escape_normalised")),
+        )
+
+    split = F.struct(lines(c).alias("l"), lines(old).alias("w"))
+    rows = rows.withColumn("p", F.coalesce(spot(at(old), F.length(old), "exact"), let(split, plain)))
+    fuzzy = most_alike(rows.filter("p is null and content is not null").select("edit_id", lines(c).alias("l"), lines(old).alias("w")))
+    rows = rows.join(fuzzy.withColumnRenamed("line", "fuzzy"), "edit_id", "left")
+    found = F.coalesce(F.col("p"), F.when(F.col("fuzzy").isNotNull(), let(split, lambda row: by_line(row["l"], row["w"], F.col("fuzzy"), "fuzzy"))))
     return rows.withColumn("m", F.when(old.isNotNull(), found)).select(*edits.columns, "content", "m.start", "m.length", "m.strategy")
 
 

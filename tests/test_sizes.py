@@ -13,3 +13,92 @@ def test_even_joins_send_nothing_through_the_driver(spark):
         got = joined_evenly(rows, groups, F.col("k"), F.col("of"), same, "size", "row", most)
         assert "broadcast" not in got._jdf.queryExecution().analyzed().toString().lower()
         assert sorted(got.collect()) == sorted(rows.join(groups, same).collect())
+
+
+def test_new_names_of_many_requests_of_one_role(spark):
+    from basalt.operators import registry
+
+    n = 3 * registry.CHUNK
+    asked = spark.range(n).selectExpr("'r' as role", "id as ord")
+    taken = spark.range(0, 2 * n, 2).selectExpr("'r' as role", "concat('@r', 100 + id) as name")
+    names = registry.new_names(asked, taken)
+    assert "row_number" not in names._jdf.queryExecution().analyzed().toString()  # no role in one task
+    got = {r["ord"]: r["name"] for r in names.collect()}
+    assert got == {i: f"@r{101 + 2 * i}" for i in range(n)}
+
+
+def test_no_literal_list_of_taken_names_grows_with_the_table(spark, sf_dir):
+    from basalt.plans import more
+
+    assert len(more.a13_new_names(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_words_that_cancel_out_still_have_a_length(spark):
+    import numpy as np
+
+    from basalt.sources.embed import hashed_words
+
+    embed = hashed_words(64)
+    words = [f"w{i}" for i in range(400)]
+    found = [(a, b) for a in words[:60] for b in words if np.allclose(np.add(embed([a])[0], embed([b])[0]), 0)]
+    assert found
+    assert all(abs(np.linalg.norm(embed([f"{a} {b}"])[0]) - 1) < 1e-9 for a, b in found)
+    assert not any(embed([" "])[0])
+
+
+def test_pages_that_share_an_address_are_crawled_apart(spark, tmp_path):
+    from oracle import same
+
+    import duckdb
+
+    from basalt.plans import catalog
+
+    rows = [(i, f"http://h/{i % 37}" + ("#x" if i % 11 == 3 else ""), f"<p>{i}</p>") for i in range(1, 120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    same(catalog.s26_crawl(spark, str(tmp_path)), con, catalog.oracle_sql()["s26_crawl"])
+
+
+def test_levels_send_no_side_of_a_join_through_the_driver(spark, monkeypatch):
+    from basalt.operators import dependencies
+
+    plans, cut = [], dependencies.cut
+    monkeypatch.setattr(dependencies, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    nodes = spark.range(20).selectExpr("concat('n', id) as name", "id as ord")
+    needs = spark.range(1, 20).selectExpr("concat('n', id) as name", "concat('n', id div 2) as needs")
+    levels = {r["name"]: (r["level"], r["place"]) for r in dependencies.levels(nodes, needs).collect()}
+    assert levels["n0"] == (0, 1) and levels["n19"] == (5, 20)
+    # Only numbering sends a list, of one row for each range.
+    assert sum("Join" in p for p in plans) and not any("BroadcastHashJoin [name" in p or "BroadcastHashJoin [needs" in p for p in plans)
+
+
+def test_scores_of_a_group_are_held_in_part_and_ties_stay(spark):
+    import numpy as np
+
+    from basalt.operators import vectors
+
+    scores = np.array([[1.0, 3.0, 3.0, np.nan, 2.0, 3.0], [np.nan] * 6, [0.0] * 6])
+    assert [p.tolist() for p in vectors._best(scores, 2)] == [[1, 2], [0, 1], [0, 1]]
+    assert [p.tolist() for p in vectors._best(scores, 6)][0] == [1, 2, 5, 4, 0, 3]
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(60)]
+    v = spark.createDataFrame(rows, "ref_id long, vector array<double>")
+    asked = v.filter("ref_id % 6 = 0").withColumnRenamed("ref_id", "query_id")
+    want = sorted(vectors.search_all(v, asked, 7).collect())
+    assert sorted(vectors.search_all(v, asked, 7, at_once=130).collect()) == want  # two queries at a time
+
+
+def test_edits_of_long_files_read_each_text_once(spark):
+    import time
+
+    from basalt.operators import edits
+
+    content = "\n".join(f"  line  number {i}" for i in range(3000))
+    old = {"t": "line  number 2990 \nline  number 2991", "s": "  line number   2990", "f": "\n".join(f"  line  number {i}" if i != 104 else "other" for i in range(100, 110)), "n": "nothing like it"}
+    f = spark.createDataFrame([("p", content)], "path string, content string")
+    asked = spark.createDataFrame([(k, "p", v, "x") for k, v in old.items()], "edit_id string, path string, old string, new string")
+    began = time.time()
+    got = {r["edit_id"]: (r["start"], r["strategy"]) for r in edits.located(asked, f).collect()}
+    place = lambda i: len("\n".join(content.split("\n")[:i])) + 2
+    assert got == {"t": (place(2990), "line_trimmed"), "s": (place(2990), "whitespace_normalised"), "f": (place(100), "fuzzy"), "n": (None, None)}
+    assert time.time() - began < 20  # by lines times lines it took minutes
