@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.functions.numbering import placed
+from basalt.functions.numbering import placed, placed_within
 from basalt.operators.snapshots import skills
 
+#: Numbers that are tried as one row.
+CHUNK = 4096
+
 
 def roster(members: DataFrame, me: str) -> DataFrame:
     """name, role and is_self of members; tools (names that begin with #) are left out."""
@@ -46,13 +49,19 @@ def new_names(requests: DataFrame, taken: DataFrame, first: int = 100) -> DataFr
     """Requests (role, ord) with a name of @role and a number that no taken row (role, name) has: the smallest free ones from ``first`` on, in order.
 
     Per role as many numbers are tried as there are requests and taken names, so one is always free.
+    They are made ``CHUNK`` to a row, and numbered by ranges, since one role may have any share of the rows.
     """
-    asked = requests.withColumn("i", F.row_number().over(Window.partitionBy("role").orderBy("ord")))
+    asked = placed_within(requests, ["role"], "ord", name="i")
     sizes = asked.groupBy("role").agg(F.count("*").alias("n"))
     counts = sizes.join(taken.groupBy("role").agg(F.count("*").alias("k")), "role", "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    tries = counts.select("role", F.explode(F.sequence(F.lit(first), F.lit(first - 1) + (F.col("n") + F.col("k")).cast("int"))).alias("number"))
+    last = F.lit(first - 1) + F.col("n") + F.col("k")
+    chunks = counts.select("role", last.alias("last"), F.explode(F.sequence(F.lit(0), F.floor((F.col("n") + F.col("k") - 1) / CHUNK))).alias("chunk"))
+    start = F.lit(first) + F.col("chunk") * CHUNK
+    chunks = chunks.repartition("role", "chunk").select("role", F.sequence(start, F.least(start + CHUNK - 1, "last")).alias("numbers"))
+    tries = chunks.select("role", F.explode("numbers").alias("number"))
     tries = tries.withColumn("name", F.concat(F.lit("@"), "role", F.col("number").cast("string")))
-    free = tries.join(taken.select("name"), "name", "left_anti").withColumn("i", F.row_number().over(Window.partitionBy("role").orderBy("number")))
+    free = tries.join(taken.select("name"), "name", "left_anti")
+    free = placed_within(free, ["role"], "number", name="i")
     return asked.join(free.select("role", "i", "name"), ["role", "i"]).drop("i")
 
 

@@ -59,7 +59,8 @@ def a11_merged(s, d):
 def a13_new_names(s, d):
     n = tb.table(s, d, "customer")
     role = F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("role")
-    taken = s.range(25).select(F.explode(F.sequence(F.lit(100), F.lit(100 + 2 * n.count()), F.lit(2))).alias("k"), F.col("id").alias("r"))
+    # Rows of a range: a sequence of literals would be made in the driver, as one array of the plan.
+    taken = s.range(100, 101 + 2 * n.count(), 2).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("r"))
     taken = taken.select(F.format_string("r%d", "r").alias("role"), F.format_string("@r%d%d", "r", "k").alias("name"))
     return registry.new_names(n.filter("c_custkey % 2 = 0").select(role, F.col("c_custkey").alias("ord")), taken).select("role", "ord", "name")
 
