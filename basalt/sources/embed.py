@@ -15,7 +15,10 @@ Provider = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
 def hashed_words(dimension: int = 64) -> Provider:
-    """Words at hashed places with hashed signs, at length 1; alike for like texts, and always the same."""
+    """Words at hashed places with hashed signs, at length 1; alike for like texts, and always the same.
+
+    Where the signs of a text's words cancel out, they are left aside; only a text without a word has no length.
+    """
 
     def embed(texts: Sequence[str]) -> list[list[float]]:
         out = np.zeros((len(texts), dimension))
@@ -23,6 +26,9 @@ def hashed_words(dimension: int = 64) -> Provider:
             for word in text.lower().split():
                 h = zlib.crc32(word.encode())
                 row[h % dimension] += 1 if h >> 16 & 1 else -1
+            if not row.any():
+                for word in text.lower().split():
+                    row[zlib.crc32(word.encode()) % dimension] += 1
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-10)).tolist()
 
     return embed
