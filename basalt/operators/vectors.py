@@ -58,12 +58,23 @@ def search(vectors: DataFrame, query: Sequence[float], k: int, vector: str = "ve
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "ord"))).select("ref_id", "score", "rank")
 
 
-def search_all(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "vector", ref_id: str = "ref_id", block: int = 2048, shard: int = 65536) -> DataFrame:
+def _best(scores: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row the places of its k largest scores, the largest first, of equal ones the earlier first."""
+    if k >= scores.shape[1]:
+        return list(np.argsort(-scores, axis=1, kind="stable"))
+    at = scores.shape[1] - k
+    least = np.partition(np.where(np.isnan(scores), -np.inf, scores), at, axis=1)[:, at]
+    near = [np.flatnonzero(~(s < m)) for s, m in zip(scores, least)]  # what is no number is put last by the sort
+    return [p[np.argsort(-s[p], kind="stable")][:k] for s, p in zip(scores, near)]
+
+
+def search_all(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "vector", ref_id: str = "ref_id", block: int = 8192, shard: int = 32768, at_once: int = 1 << 22) -> DataFrame:
     """query_id, ref_id, score and rank of the k best rows for each query (columns query_id and vector).
 
     Vectors are dealt to shards and queries to blocks; each shard meets each block in a group of its
     own, of at most about ``shard`` vectors and ``block`` queries, and keeps the k best for each query
-    before anything else is shuffled. Nothing comes to the driver. Ties go to the smaller ref_id.
+    before anything else is shuffled. Of a group's scores ``at_once`` are held at a time, whatever its
+    size. Nothing comes to the driver. Ties go to the smaller ref_id.
     """
     rows = vectors.select(F.col(ref_id).alias("ref_id"), F.col(vector).cast("array<double>").alias("vector")).filter("vector is not null")
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
@@ -82,9 +93,12 @@ def search_all(vectors: DataFrame, queries: DataFrame, k: int, vector: str = "ve
                 refs, ids = np.asarray(c.column("ref_id"))[ok], np.asarray(q.column("query_id"))[asks]
                 order = np.argsort(refs, kind="stable")
                 refs, x = refs[order], x[order]
-                scores = y @ x.T / np.maximum(np.sqrt((y * y).sum(1))[:, None] * np.sqrt((x * x).sum(1)), FLOOR)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                out.append((np.repeat(ids, best.shape[1]), refs[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
+                sizes, step = np.sqrt((x * x).sum(1)), max(1, at_once // len(x))
+                for at in range(0, len(y), step):
+                    part = y[at : at + step]
+                    scores = part @ x.T / np.maximum(np.sqrt((part * part).sum(1))[:, None] * sizes, FLOOR)
+                    best = _best(scores, k)
+                    out.append((np.repeat(ids[at : at + step], [len(b) for b in best]), refs[np.concatenate(best)], np.concatenate([s[b] for s, b in zip(scores, best)])))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [[], [], []]
         fields = (("query_id", q.schema.field("query_id").type), ("ref_id", c.schema.field("ref_id").type), ("score", pa.float64()))
         return pa.table({n: pa.array(v, t) for (n, t), v in zip(fields, columns)})
