@@ -140,10 +140,20 @@ def media_references(prompts: DataFrame, files: DataFrame) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.when(suffix.isin(*IMAGES), "image").when(suffix.isin(*DOCUMENTS), "document")
     known = files.select("path", kind.alias("kind"), suffix.alias("suffix")).filter("kind is not null")
-    # A pattern meets the files of its suffix, one that ends otherwise those of every known suffix.
-    own, every = F.lower(F.regexp_extract("pattern", r"\.([^./*?]+)$", 1)), F.array(*map(F.lit, (*IMAGES, *DOCUMENTS)))
-    wanted = asked.select("pattern").distinct().withColumn("suffix", F.explode(F.when(own == "", every).otherwise(F.array(own))))
-    found = known.join(wanted, "suffix").filter(F.rlike("path", glob_expression("pattern"))).drop("suffix")
+    # A pattern meets the files of its last name, if that has no sign of a glob; else those below its first folders that have none;
+    # else, as all that is left, those of its suffix, or of every known one.
+    low, name = F.lower("pattern"), F.element_at(F.split(F.lower("pattern"), "/"), -1)
+    folders, own = F.regexp_extract(low, r"^((?:[^/*?]+/)*)", 1), F.regexp_extract(low, r"\.([^./*?]+)$", 1)
+    every = F.array(*(F.lit(f"suffix {x}") for x in (*IMAGES, *DOCUMENTS)))
+    keys = F.when(~name.rlike("[*?]"), F.array(F.concat(F.lit("name "), name))).when(folders != "", F.array(F.concat(F.lit("below "), folders)))
+    keys = keys.when(own != "", F.array(F.concat(F.lit("suffix "), own))).otherwise(every)
+    wanted = asked.select("pattern").distinct().withColumn("key", F.explode(keys))
+    steps = F.split(F.lower("path"), "/")
+    above = F.transform(F.filter(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: n > 0), lambda n: F.concat(F.lit("below "), F.array_join(F.slice(steps, F.lit(1), n), "/"), F.lit("/")))
+    there = F.concat(F.array(F.concat(F.lit("name "), F.element_at(steps, -1)), F.concat(F.lit("suffix "), "suffix")), above)
+    # Only keys that are asked for are joined with patterns.
+    keyed = known.select("path", "kind", F.explode(there).alias("key"))
+    found = keyed.join(wanted, "key").filter(F.rlike("path", glob_expression("pattern"))).drop("key")
     images = found.filter("kind = 'image'").select("pattern", F.lit(True).alias("has_image")).distinct()
     matched = asked.join(found, "pattern", "left").join(images, "pattern", "left").filter("kind is null or kind = 'image' or has_image is null")
     name = F.element_at(F.split("path", "/"), -1)

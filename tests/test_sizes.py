@@ -102,3 +102,29 @@ def test_edits_of_long_files_read_each_text_once(spark):
     place = lambda i: len("\n".join(content.split("\n")[:i])) + 2
     assert got == {"t": (place(2990), "line_trimmed"), "s": (place(2990), "whitespace_normalised"), "f": (place(100), "fuzzy"), "n": (None, None)}
     assert time.time() - began < 20  # by lines times lines it took minutes
+
+
+def test_patterns_meet_files_by_name_and_folder(spark):
+    import re
+
+    from basalt.functions.text import glob_regex
+    from basalt.sources import files
+
+    paths = [f"{a}/{b}/{n}" for a in ("pics", "Docs") for b in ("1", "22") for n in ("0.PNG", "1.jpg", "x.pdf", "y.txt", "README")] + ["top.png", "/rooted.gif", "a//b.png"]
+    patterns = ["pics/1/*", "pics/**", "**/0.png", "docs/22/?.jpg", "*.png", "**", "pics/*/x.pdf", "p*/1/0.PNG", "PICS/1/0.png", "a//*", "/r*", "none/*.jpg", "top.png"]
+    prompts = spark.createDataFrame([(i, f"!!{p}") for i, p in enumerate(patterns)], "prompt_id int, text string")
+    there = spark.createDataFrame([(p,) for p in paths], "path string")
+    shown = files.media_references(prompts, there)
+    assert "below " in shown._jdf.queryExecution().analyzed().toString()  # not by the suffix alone, which most files share
+    got = {i: sorted(r["path"] for r in shown.collect() if r["prompt_id"] == i and r["kind"] in ("image", "document")) for i in range(len(patterns))}
+    for i, p in enumerate(patterns):
+        hit = [x for x in paths if re.search(glob_regex(p), x)]
+        images = [x for x in hit if x.lower().endswith((".png", ".jpg", ".gif"))]
+        assert got[i] == sorted(images or [x for x in hit if x.endswith(".pdf")]), p
+
+
+def test_a_graph_is_made_once_for_a_walk_and_for_what_is_around_hits(spark, sf_dir):
+    from basalt.plans import called, wider
+
+    for query in (called.d01_reached, wider.t06_around_vector_hits):
+        assert "lineitem" not in str(query(spark, sf_dir).inputFiles())
