@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions.lineage import cut, stored
 from basalt.operators import graph, ranking
 
 
@@ -49,7 +50,13 @@ def search_graph(
         found = ranking.positive(vector_hits, k, threshold).select("ref_id", "score", F.col("rank").alias("place"))
     else:
         found = ranking.hybrid_graph(ranking.positive(vector_hits, k), words, k, threshold)
-    hits = graph.resolve_refs(found, entities, relations).select("kind", "ref_id", "label", "score", F.col("place").cast("long").alias("place"))
+    # k hits at most: what they point at is looked for where the graph lies, and what is around them is read from one stored copy.
+    found = cut(found)
+    if neighbours or edges or paths:
+        relations = stored(relations)
+    own = F.broadcast(found.select("ref_id").distinct())
+    at_hits = (t.join(own, "ref_id", "left_semi") for t in (entities, relations))
+    hits = graph.resolve_refs(found, *at_hits).select("kind", "ref_id", "label", "score", F.col("place").cast("long").alias("place"))
     near = hits.filter("kind = 'entity'").select(F.col("label").alias("name"), F.col("place").alias("rank"))
     return Found(
         hits,
