@@ -50,3 +50,24 @@ def test_timers_fire_once_and_cancels_hold(spark, tmp_path):
 def test_open_counts_plan_is_a_bounded_join(spark):
     stream = spark.readStream.format("rate").load().select(F.lit("received").alias("kind"), F.col("value").cast("string").alias("message_id"), F.col("timestamp").alias("ts"))
     assert ingest.open_counts(stream).isStreaming
+
+
+def test_timers_at_the_watermark_and_many_in_one_state(spark, tmp_path):
+    # Timers of three owners at the watermark's own time, before it and after it, over batches, in few states.
+    schema = "notification_id long, kind string, owner_name string, content string, fire_at timestamp, ts timestamp"
+    big = (1 << 53) + 1
+    first = [(i, "schedule", f"o{i % 3}", "x", later(5 + i % 10), later(0)) for i in range(60)] + [(big, "schedule", "o", "y", later(3), later(0)), (None, "schedule", "o", "z", later(4), later(0)), (200, "schedule", "o", "next", later(6.501), later(0))]
+    second = [(i, "cancel", f"o{i % 3}", "", None, later(6)) for i in range(0, 60, 4)] + [(i, "cancel", "no", "", None, later(6)) for i in range(60)]
+    second += [(4, "schedule", "o1", "again", later(9), later(6.5)), (5, "schedule", "o1", "held", later(99), later(6.5))]
+    third = [(100, "schedule", "o", "late", later(99), later(10))]
+    for i, part in enumerate((first, second, third)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    cp = str(tmp_path / "cp")
+    timers.deliveries(stream, buckets=4).writeStream.format("memory").queryName("many").outputMode("append").option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination(180)
+    got = [(r["notification_id"], r["owner_name"], r["content"]) for r in spark.table("many").collect()]
+    # The first batch ends before any is due; at the second's end those up to 6.5, at the third's those up to 10 itself.
+    want = [(i, f"o{i % 3}", "x") for i in range(60) if i % 10 <= 5 and i % 4] + [(4, "o1", "again"), (big, "o", "y"), (None, "o", "z"), (200, "o", "next")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # Five states in all (one of requests without an id), not one for each timer.
+    assert spark.read.format("statestore").option("stateVarName", "pending").load(cp).count() <= 5
