@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,20 +131,23 @@ class _Ranges(StatefulProcessor):
         self.ranges = handle.getMapState("ranges", number, number)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = sorted((int(k[0]), int(v[0])) for k, v in self.ranges.iterator())
-        new = [(int(s), int(s)) for frame in rows for s in frame["seq"].unique()]
-        merged: list[list[int]] = []
-        for a, b in sorted(held + new):
-            if merged and a <= merged[-1][1] + 1:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        was, now = dict(held), dict(map(tuple, merged))
-        for a in was.keys() - now.keys():
-            self.ranges.removeKey((a,))
-        for a, b in now.items():
-            if was.get(a) != b:
-                self.ranges.updateValue((a,), (b,))
+        # Numbers of eight bytes in arrays all along: a segment's worth of Python numbers would be many times as large.
+        held = np.fromiter((x for k, v in self.ranges.iterator() for x in (k[0], v[0])), np.int64).reshape(-1, 2)
+        new = np.unique(np.concatenate([np.unique(frame["seq"].to_numpy(np.int64)) for frame in rows]))
+        both = np.concatenate([held, np.column_stack([new, new])])
+        both = both[np.argsort(both[:, 0], kind="stable")]
+        last = np.maximum.accumulate(both[:, 1])
+        begins = np.flatnonzero(np.append(True, both[1:, 0] > last[:-1] + 1))
+        now = np.column_stack([both[begins, 0], last[np.append(begins[1:], len(both)) - 1]])
+        for a in np.setdiff1d(held[:, 0], now[:, 0], assume_unique=True):
+            self.ranges.removeKey((int(a),))
+        same = np.zeros(len(now), bool)
+        if len(held):
+            held = held[np.argsort(held[:, 0])]
+            at = np.minimum(np.searchsorted(held[:, 0], now[:, 0]), len(held) - 1)
+            same = (held[at] == now).all(1)
+        for a, b in now[~same]:
+            self.ranges.updateValue((int(a),), (int(b),))
         yield pd.DataFrame({"tool_id": [key[0]], "ranges": [len(now)]}).astype({"ranges": "int64"})
 
     def close(self) -> None:

@@ -1,6 +1,7 @@
 """State kept over a stream: the same for any split into batches and after a restart, and the same as the replay of the whole log."""
 
 import random
+import tracemalloc
 from collections import OrderedDict
 
 import pytest
@@ -118,3 +119,35 @@ def test_gaps_over_the_border_of_segments(spark, tmp_path, monkeypatch):
     state.run(state.met(stream(spark, source, CHANGES)), cp, "append").awaitTermination(300)
     assert sorted(r["seq"] for r in state.gaps_met(spark, cp).collect()) == [9, 19, 21, 40]
     assert state.gaps_met(spark, cp).filter(F.col("tool_id") != "t").count() == 0
+
+
+class _Kept(dict):
+    """A map of the state, without Spark."""
+
+    def iterator(self):
+        return iter([((k,), (v,)) for k, v in self.items()])
+
+    def removeKey(self, key):
+        del self[key[0]]
+
+    def updateValue(self, key, value):
+        self[key[0]] = value[0]
+
+
+def test_a_segment_of_numbers_is_merged_in_little_memory():
+    import numpy as np
+    import pandas as pd
+
+    merge = state._Ranges()
+    merge.ranges = _Kept()
+    numbers = np.arange(1 << 19, dtype=np.int64)
+    frames = lambda own: (pd.DataFrame({"seq": own[at : at + 10_000]}) for at in range(0, len(own), 10_000))
+    odd = numbers[numbers % 1000 > 0]
+    tracemalloc.start()
+    list(merge.handleInputRows(("t", 0), frames(np.random.default_rng(1).permutation(odd)), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert merge.ranges == {int(a): min(int(a) + 998, numbers[-1]) for a in numbers[1::1000]}
+    assert peak < 40 << 20  # 78 MB and more as Python's own numbers
+    list(merge.handleInputRows(("t", 0), frames(numbers[numbers % 1000 == 0]), None))
+    assert merge.ranges == {0: numbers[-1]}
