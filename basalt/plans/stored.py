@@ -126,9 +126,10 @@ def f03_indexed_keyword(s, d):
 x as (select path, case when doc_id % 3 = 1 then '## Sheet1' || chr(10) || t else t end as text from d)
 select path, text, case when length(regexp_replace(text, '\s', '', 'g')) < 50 then 'scant' else 'ok' end as status from x""")
 def s21_office_text(s, d):
-    """Every document is written as a file of one of three kinds, and the files are read."""
+    """Every document is written as a file of one of three kinds, in 512 folders, and the files are read."""
     root, doc = shared_path(s, "office"), tb.table(s, d, "documents")
     suffix = F.element_at(F.array(F.lit(".docx"), F.lit(".xlsx"), F.lit(".pptx")), (F.col("doc_id") % 3 + 1).cast("int"))
-    office.write(doc.select(F.concat(F.col("doc_id").cast("string"), suffix).alias("path"), "text"), root)
-    found = office.extracted(office.read(s, root))
+    folder = F.pmod(F.hash("doc_id"), F.lit(512)).cast("string")
+    office.write(doc.select(F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"), "text"), root)
+    found = office.extracted(office.listed(s, root))
     return found.select(F.element_at(F.split("path", "/"), -1).alias("path"), "text", "status")

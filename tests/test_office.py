@@ -88,3 +88,20 @@ def test_files_of_a_folder(spark, tmp_path):
     null = spark.createDataFrame([("n.docx", 5, None), (None, None, None)], "path string, length long, content binary")
     assert sorted((str(r["path"]), r["status"]) for r in office.extracted(null).collect()) == [("None", "unknown kind"), ("n.docx", "damaged")]
     assert office.extracted(null.limit(0)).count() == 0
+
+
+def test_many_files_are_listed_by_tasks_and_read_in_few(spark, tmp_path):
+    root = str(tmp_path / "files")
+    rows = spark.range(300).selectExpr("concat(id % 7, '/', id % 3, '/', id, '.docx') as path", f"concat('{LONG} ', id) as text")
+    assert office.write(rows, root) == 300
+    (tmp_path / "files" / "large.docx").write_bytes(b"x" * 100_000)
+    (tmp_path / "files" / "x.pdf").write_bytes(b"%PDF")
+    (tmp_path / "files" / "_hidden.docx").write_bytes(b"x")
+    for start in (root, f"file://{root}/"):
+        found = office.listed(spark, start)
+        assert {(r["path"].split("/files/")[1], r["length"]) for r in found.collect()} == {(r["path"].split("/files/")[1], r["length"]) for r in office.read(spark, root).collect()}
+        got = office.extracted(found, most_bytes=90_000)
+        assert got.rdd.getNumPartitions() <= 16  # Spark's own reader plans a part for each 32 files, twice
+        told = {r["path"].rsplit("/", 1)[1]: (r["text"], r["status"]) for r in got.collect()}
+        assert told == {f"{i}.docx": (f"{LONG} {i}", "ok") for i in range(300)} | {"large.docx": (None, "too large"), "x.pdf": (None, "unknown kind")}
+    assert office.extracted(office.listed(spark, str(tmp_path / "none"))).count() == 0
