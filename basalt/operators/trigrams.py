@@ -24,6 +24,8 @@ from basalt.sources import files
 BLOCK_BYTES, BLOCK_TEXTS = 16 << 20, 4096
 #: Files of the index that a sequence is looked for in: one of so many.
 SLOTS = 64
+#: A block's lists are made in so many passes.
+PASSES = 8
 #: Strings that a part of a pattern may stand for before it counts as anything, and sequences that a search asks for.
 STRINGS, ASKED = 16, 24
 ROWS = "kind string, slot int, block string, doc int, path string, mtime timestamp, content string, gram long, docs array<int>"
@@ -89,10 +91,19 @@ def _block(name: str, held: list) -> Iterator[pa.RecordBatch]:
     own = [pa.array(["text"] * n), pa.array(np.zeros(n, np.int32)), pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), *(texts.column(c).combine_chunks() for c in ("path", "mtime", "content"))]
     own[5] = own[5].cast(stamp)
     yield pa.record_batch([*own, none(n, pa.int64()), none(n, pa.list_(pa.int32()))], names=names)
-    flat = np.concatenate([g for _, g in held])
-    doc = np.repeat(np.arange(n, dtype=np.int32), [len(g) for _, g in held])
+    for k in range(PASSES):
+        # One class of sequences after another, so that only its copies are there beside what is held.
+        own = [g[g % PASSES == k] for _, g in held]
+        yield from _lists(name, np.concatenate(own), np.repeat(np.arange(n, dtype=np.int32), [len(g) for g in own]))
+
+
+def _lists(name: str, flat: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The list of each sequence, from pairs of a sequence and a text's number in the order of these."""
+    none = lambda k, t: pa.nulls(k, t)
+    stamp, names = pa.timestamp("us", "UTC"), ["kind", "slot", "block", "doc", "path", "mtime", "content", "gram", "docs"]
     order = np.argsort(flat, kind="stable")
     flat, doc = flat[order], doc[order]
+    del order
     starts = np.flatnonzero(np.diff(flat, prepend=-1))
     ends, k = np.append(starts[1:], len(flat)), len(starts)
     for at in range(0, k, 8192):
