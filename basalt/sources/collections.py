@@ -26,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 SCHEMA = "collection string, tenant string, ref_id string, text string, vector array<double>"
 #: Rows of one collection and tenant are dealt to so many buckets by their ref_id.
 BUCKETS = 8
-#: Files that a task keeps open at once; beyond it they are closed, and their keys go on in further ones.
+#: Files that a task keeps open at once (of sorted rows, one); beyond it they are closed, and their keys go on in further ones. Each holds some megabytes.
 OPEN = 64
 
 
@@ -102,8 +102,13 @@ def remove(keys: DataFrame, path: str) -> None:
 
 def _write(rows: DataFrame, path: str, change: str) -> None:
     register(rows.sparkSession)
-    dealt = rows.repartition("collection", "tenant", (pmod_crc("ref_id")))
-    dealt.write.format("collections").mode("append").option("path", path).option("change", change).save()
+    _dealt(rows).write.format("collections").mode("append").option("path", path).option("change", change).option("sorted", "true").save()
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of one file together and one file's after another's, so that a task has one file open at a time."""
+    key = "collection", "tenant", pmod_crc("ref_id")
+    return rows.repartition(*key).sortWithinPartitions(*key)
 
 
 def pmod_crc(ref_id: str):
@@ -119,8 +124,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def compact(spark: SparkSession, path: str) -> None:
     """Writes all live rows anew in one commit that replaces the earlier ones; their files are deleted by ``clean``."""
     names = [c["name"] for c in Store(path).commits() if c["kind"] != "create"]
-    rows = read(spark, path).repartition("collection", "tenant", pmod_crc("ref_id"))
-    rows.write.format("collections").mode("append").option("path", path).option("replaces", json.dumps(names)).save()
+    _dealt(read(spark, path)).write.format("collections").mode("append").option("path", path).option("sorted", "true").option("replaces", json.dumps(names)).save()
 
 
 def clean(path: str) -> int:
@@ -191,12 +195,13 @@ class CollectionReader(DataSourceReader):
         by_commit: dict[str, list] = {}
         for name, kind, path in partition.files:
             by_commit.setdefault(name, []).append((kind, path))
-        for files in by_commit.values():
+        for left, files in zip(range(len(by_commit) - 1, -1, -1), by_commit.values()):
             keys = []
             for kind, path in files:
                 with store.fs.open_input_file(store.at(path)) as source:
                     for batch in pq.ParquetFile(source).iter_batches(batch_size=4096):
-                        keys.append(batch.column("ref_id"))
+                        if left:  # nothing is older than the first commit
+                            keys.append(batch.column("ref_id"))
                         if kind == "add":
                             live = batch.filter(pc.invert(pc.is_in(batch.column("ref_id"), value_set=gone)))
                             same = [pa.array([partition.key[i]] * live.num_rows, pa.string()) for i in (0, 1)]
@@ -217,6 +222,7 @@ class Written(WriterCommitMessage):
 class CollectionWriter(DataSourceArrowWriter):
     def __init__(self, options: dict) -> None:
         self.path, self.change, self.replaces = options["path"], options.get("change", "add"), json.loads(options.get("replaces", "[]"))
+        self.open = 1 if options.get("sorted") == "true" else OPEN
         if self.change not in ("add", "remove"):
             raise ValueError("change is 'add' or 'remove'")
 
@@ -233,7 +239,7 @@ class CollectionWriter(DataSourceArrowWriter):
                 for i, key in enumerate(keys):
                     places.setdefault(key, []).append(i)
                 for key, own in places.items():
-                    if key not in opened and len(opened) >= OPEN:
+                    if key not in opened and len(opened) >= self.open:
                         self._close(opened)
                     rows = batch.take(pa.array(own)).select(["ref_id", "text", "vector"] if self.change == "add" else ["ref_id"])
                     if key not in opened:

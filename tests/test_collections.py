@@ -126,3 +126,32 @@ def test_empty_batches_and_stores(spark, tmp_path):
         cs.create(path, "b", 0)
     with pytest.raises(Exception, match="overwrite"):
         spark.range(1).select(F.lit("a").alias("collection"), F.lit(None).cast("string").alias("tenant"), F.lit("x").alias("ref_id"), F.lit("").alias("text"), F.array(F.lit(1.0)).alias("vector")).write.format("collections").mode("overwrite").option("path", path).save()
+
+
+def test_sorted_rows_are_written_with_one_file_open(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    cs.create(path, "c", 2, "a")
+    cs.create(path, "c", 2, "b")
+    rows = spark.range(400).selectExpr("'c' as collection", "if(id % 2 = 0, 'a', 'b') as tenant", "cast(id as string) as ref_id", "'x' as text", "array(1d, 2d) as vector")
+    batches = cs._dealt(rows).coalesce(1).toArrow().to_batches(max_chunksize=64)
+    open_now, most = set(), []
+
+    class Counted(cs.pq.ParquetWriter):
+        def __init__(self, *given, **how):
+            super().__init__(*given, **how)
+            open_now.add(self)
+            most.append(len(open_now))
+
+        def close(self):
+            open_now.discard(self)
+            super().close()
+
+    monkeypatch.setattr(cs.pq, "ParquetWriter", Counted)
+    keys = 2 * cs.BUCKETS
+    written = cs.CollectionWriter({"path": path, "sorted": "true"}).write(iter(batches))
+    assert max(most) == 1 and len(written.files) == keys and not open_now
+    cs.add(rows, path)
+    cs.remove(rows.filter("ref_id < 100"), path)
+    changes = [c for c in cs.Store(path).commits() if c["kind"] != "create"]
+    assert [len(c["files"]) for c in changes] == [keys, keys]
+    assert {r["ref_id"] for r in cs.read(spark, path).collect()} == {str(i) for i in range(100, 400)}
