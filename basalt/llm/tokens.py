@@ -49,8 +49,8 @@ def write_token_files(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, before = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in parts(batches, 1, 256):
-            flat, lens = encoder(batch.column(1).to_pylist())
+        for batch in parts(batches, 1, 1024, 1 << 22):
+            flat, lens = encoder(batch.column(1))
             ends = np.cumsum(lens)
             flat, lens = np.insert(flat, ends, end_id), lens + 1
             ends = np.cumsum(lens)

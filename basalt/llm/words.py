@@ -8,17 +8,30 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from basalt.llm.common import held
 
 #: One run of Latin letters, then one run of ASCII punctuation; either may be missing. The tokenizer
 #: makes one unit of each, and neither Unicode composition nor its white-space rule changes them.
-REGULAR = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
+REGULAR, PUNCTUATION = re.compile(f"[{LETTERS}]*[{MARKS}]*"), re.compile(f"[{MARKS}]+")
+#: Any other word, of a text with one space between any two words.
+ODD = re.compile(f"(?<![^ ])(?![{LETTERS}]*[{MARKS}]*(?![^ ]))[^ ]+")
 
 #: Letters of both cases with and without accents, punctuation in runs, numerals, other scripts and white space, on which a new file is tried.
 PROBE = "The quick-brown Größe NAÏVE don't ... 'tis (a.b) x1y2 100% é\t日本語 \n WORD end!?  ÿß×÷ ſ ﬁ a\u0301"
 
 
+#: Byte-level tokenizers spell each byte as one visible letter.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = dict(zip(_VISIBLE, map(chr, _VISIBLE))) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+#: What is remembered has at most so many letters.
+MOST_LETTERS = 16 << 20
+
+
 class Ragged:
     """Rows of integers of different lengths, in one growing array."""
 
@@ -87,7 +100,7 @@ class Numbered(dict):
         self.size += sum(map(len, new))
         return new
 
-    def full(self, room: int, size: int = 16 << 20) -> bool:
+    def full(self, room: int, size: int = MOST_LETTERS) -> bool:
         """More than ``room`` keys, or than ``size`` letters in all: time to forget them. Nothing but time is lost."""
         return len(self) > room or self.size > size
 
@@ -110,81 +123,146 @@ class Numbers(defaultdict):
     full = Numbered.full
 
 
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words between ASCII white space, the number among them of each word in order, and how many words each text has.
+
+    White space at either end of a text, or no text, counts as an empty word.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    return words, coded.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
+
+
+def _units(text: str) -> tuple[list[str], np.ndarray]:
+    """Units of the regular words of a text with one space between any two words, and which word each is of."""
+    units = PUNCTUATION.sub("\n\\g<0>", ODD.sub("", text).lower())  # a lower-case letter is one character, too
+    edges = np.frombuffer(units.encode(), np.uint8)
+    edges = edges[(edges == 10) | (edges == 32)]
+    units = units.replace("\n", " ").split(" ")
+    some = np.fromiter(map(bool, units), bool, len(units))
+    return list(filter(None, units)), np.concatenate([[0], np.cumsum(edges == 32)])[some]
+
+
+class Remembered:
+    """Keys with a row of ids each, about ``room`` keys: when there are more, those met in one call only are forgotten,
+    and of the others all but the first half of the room. Nothing but time is lost."""
+
+    def __init__(self, room: int) -> None:
+        self.room = room
+        self._start()
+
+    def _start(self) -> None:
+        self.numbers, self.ids, self.again = Numbers(), Ragged(), np.zeros(1 << 12, bool)
+
+    def make_room(self) -> None:
+        if not self.numbers.full(self.room):
+            return
+        kept, keys = np.flatnonzero(self.again)[: self.room // 2], list(self.numbers)
+        keys, flat, lens = [keys[i] for i in kept.tolist()], *self.ids.take(kept)
+        self._start()
+        if 2 * sum(map(len, keys)) <= MOST_LETTERS:
+            self.numbers.of(keys)
+            self.numbers.drain()
+            self.ids.append(flat, lens)
+
+    def rows(self, keys: list) -> tuple[np.ndarray, list]:
+        """The rows of the keys, and the new ones among them, whose ids are to be appended."""
+        known, rows = self.numbers.known, self.numbers.of(keys)
+        new = self.numbers.drain()
+        if self.numbers.known > len(self.again):
+            self.again = np.concatenate([self.again, np.zeros(2 * self.numbers.known - len(self.again), bool)])
+        self.again[rows[rows < known]] = True
+        return rows, new
+
+
 class WordEncoder:
     """Encodes texts word by word; ASCII white space always ends a word for this kind of tokenizer
-    (white space is dropped and no piece goes over it). ``room`` words are remembered at most."""
+    (white space is dropped and no piece goes over it). About ``room`` words are remembered, and as many of their units."""
 
     def __init__(self, path: str, room: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.by_word = Tokenizer.from_file(path), room, True
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), True
+        self.merger, self.table = self.tokenizer, {}
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.final = np.zeros(self.size, bool)
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
+        self.words, self.units = Remembered(room), Remembered(room)
+        self._take_model()
         # A file that follows other rules has no words to remember: its texts go to the tokenizer whole.
         self.by_word = self([PROBE])[0].tolist() == self.tokenizer.encode(PROBE, add_special_tokens=False).ids
 
-    def _forget(self) -> None:
-        self.words, self.units = Numbers(), Numbers()
-        self.word_ids, self.unit_ids = Ragged(), Ragged()
+    def _take_model(self) -> None:
+        """Units are in normal form and not to be split, so the file's model can merge them without the steps before it,
+        if only bytes have to be spelt as letters: tried on every letter and mark that units have, and on pairs."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        some = dict.fromkeys(x for c in map(chr, range(33, 256)) if REGULAR.fullmatch(c) for x in (c.lower(), 2 * c.lower()))
+        want = self._merged([*some])
+        self.merger, self.table = Tokenizer(self.tokenizer.model), {c: "".join(BYTE_LETTERS[b] for b in chr(c).encode()) for c in range(128, 256)}
+        self.merger.pre_tokenizer = WhitespaceSplit()
+        if any(not np.array_equal(x, y) for x, y in zip(want, self._merged([*some]))):
+            self.merger, self.table = self.tokenizer, {}
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         if not self.by_word:
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
             encoded = [np.asarray(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.int32), *encoded]), np.array([len(x) for x in encoded], np.int64)
-        if self.words.full(self.room):
-            self._forget()
-        split = [(x or "").encode().split() for x in texts]
-        rows = self.words.of([w for ws in split for w in ws])
-        self._learn(self.words.drain())
-        ids, lens = self.word_ids.take(rows)
+        self.words.make_room()
+        words, places, counts = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        rows, new = self.words.rows(words)
+        self._learn(new)
+        ids, lens = self.words.ids.take(rows[places])
         ends = np.concatenate([[0], np.cumsum(lens)])
-        at = np.concatenate([[0], np.cumsum([len(ws) for ws in split])]).astype(np.int64)
-        return ids, np.diff(ends[at])
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
 
     def _learn(self, words: list[bytes]) -> None:
         """Regular words go by their one or two units; any other word goes to the tokenizer as it is."""
         if not words:
             return
-        units, counts, odd = [], np.zeros(len(words), np.int64), []
-        for i, word in enumerate(words):
-            m = REGULAR.fullmatch(word.decode())
-            if m:
-                own = [x for x in (m[1].lower(), m[2]) if x]
-                units += own
-                counts[i] = len(own)
-            else:
-                odd.append(i)
-        rows = self.units.of(units)
-        self._learn_units(self.units.drain())
-        flat, lens = self.unit_ids.take(rows)
+        self.units.make_room()
+        text = b" ".join(words).decode()
+        units, of = _units(text)
+        rows, new = self.units.rows(units)
+        if new:
+            self.units.ids.append(*self._merged(new))
+        flat, lens = self.units.ids.take(rows)
         ends = np.concatenate([[0], np.cumsum(lens)])
-        at = np.concatenate([[0], np.cumsum(counts)])
+        at = np.searchsorted(of, np.arange(len(words) + 1))
+        odd, words = set(ODD.findall(text)), text.split(" ")
+        odd = [i for i, w in enumerate(words) if w in odd] if odd else []
         lens = np.diff(ends[at])
         if odd:
-            encoded = [np.asarray(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast([words[i].decode() for i in odd], add_special_tokens=False)]
+            encoded = [np.asarray(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)]
             places = np.cumsum(lens)[odd]
             flat = np.insert(flat, np.repeat(places, [len(x) for x in encoded]), np.concatenate(encoded))
             lens[odd] = [len(x) for x in encoded]
-        self.word_ids.append(flat, lens)
+        self.words.ids.append(flat, lens)
 
-    def _learn_units(self, units: list[str], together: int = 500) -> None:
-        """Many units in one call; the ids of each end with the only one that closes a word."""
+    def _merged(self, units: list[str], together: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers. Many units go in one call; the ids of each end with the only one that closes a word."""
+        if self.table:
+            units = [x if x.isascii() else x.translate(self.table) for x in units]
+        all_ids, all_lens = [], []
         for a in range(0, len(units), together * 64):
             some = units[a : a + together * 64]
             joined = [" ".join(some[i : i + together]) for i in range(0, len(some), together)]
-            flat = np.concatenate([np.asarray(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            flat = np.concatenate([np.asarray(x.ids, np.int32) for x in self.merger.encode_batch_fast(joined, add_special_tokens=False)])
             ends = np.flatnonzero(self.final[flat]) + 1
             if len(ends) == len(some):
                 lens = np.diff(ends, prepend=0)
             else:
-                each = [np.asarray(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                each = [np.asarray(x.ids, np.int32) for x in self.merger.encode_batch_fast(some, add_special_tokens=False)]
                 flat, lens = np.concatenate(each), np.array([len(x) for x in each])
-            self.unit_ids.append(flat, lens)
+            all_ids.append(flat)
+            all_lens.append(lens)
+        return np.concatenate(all_ids), np.concatenate(all_lens)
 
 
 def word_encoder(path: str) -> WordEncoder:

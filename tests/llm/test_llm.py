@@ -108,6 +108,19 @@ def test_word_encoder_equals_the_library(texts):
     assert flat.tolist() == [i for x in want for i in x] and lens.tolist() == [len(x) for x in want]
 
 
+def test_words_that_recur_are_not_encoded_again(tokenizer):
+    encoder, learned = words.WordEncoder(WORDS, room=60), []
+    learn = encoder._learn
+    encoder._learn = lambda new: (learned.extend(new), learn(new))
+    for i in range(30):
+        texts = [" ".join(["Both same, Größer!", "isn't", *(chr(97 + i % 26) * 3 + chr(97 + k) * (i // 26 + 1) for k in range(26))]), None, " "]
+        flat, lens = encoder(texts)
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert flat.tolist() == [x for ids in want for x in ids] and lens.tolist() == [len(x) for x in want]
+    assert {learned.count(w.encode()) for w in ("Both", "same,", "Größer!", "isn't")} == {1}
+    assert len(encoder.words.numbers) < 120 and encoder.merger is not encoder.tokenizer
+
+
 def whole_ids(tokenizer, text, end):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
