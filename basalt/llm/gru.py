@@ -74,10 +74,19 @@ def _order(numbers: np.ndarray) -> np.ndarray:
     return np.argsort(numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers, kind="stable")
 
 
+def _small(weight: np.ndarray) -> bool:
+    """No state can give a logit above 80. What keeps out a missing word is negative and counts as nothing."""
+    return bool((np.abs(weight[..., :-1, :]).sum(-2) + np.maximum(weight[..., -1, :], 0)).max() < 80)
+
+
 def _scores(hs: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits, their exponentials and the sums of these; states are below 1, so logits stay far below the limit set here."""
-    z = hs @ weight
-    np.minimum(z, 80, out=z)
+    """Logits, their exponentials and the sums of these; states are below 1, so logits stay far below the limit set here, and mostly need not be looked at."""
+    return _sums(hs @ weight, _small(weight))
+
+
+def _sums(z: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not small:
+        np.minimum(z, 80, out=z)
     e = np.exp(z)
     return z, e, e @ np.ones(e.shape[1], np.float32)
 
@@ -153,10 +162,13 @@ class Gru:
         weight[-1] += self.no_class
         return _scores(hs, weight)
 
-    def _words(self, hs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        weight = self.word[k].copy()
-        weight[-1] += self.no_word[k]
-        return _scores(hs, weight)
+    def _words(self, hs: np.ndarray, classes: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_classes``, within each state's own class; states are in the classes' order."""
+        weight, z = self.word.copy(), np.empty((len(hs), self.side), np.float32)
+        weight[:, -1] += self.no_word
+        for k, at in classes:
+            np.matmul(hs[at], weight[k], out=z[at])
+        return _sums(z, _small(weight))
 
     def _class_of(self, target: np.ndarray) -> np.ndarray:
         return np.where(target < self.rest, target // self.side, target - self.rest + self.side)
@@ -185,11 +197,9 @@ class Gru:
             z, _, total = self._classes(rows)
             p = z[np.arange(len(own)), klass] - np.log(total)
             order, classes = self._by_class(klass)
-            rows, place, within = rows[order], own[order] % self.side, np.empty(len(order), np.float32)
-            for k, at in classes:
-                z, _, total = self._words(rows[at], k)
-                within[at] = z[np.arange(len(z)), place[at]] - np.log(total)
-            p[order] += within
+            rows, place = rows[order], own[order] % self.side
+            z, _, total = self._words(rows, classes)
+            p[order] += z[np.arange(len(z)), place] - np.log(total)
             flat = np.zeros(hs.shape[0] * n, np.float32)
             flat[some] = p
             values[part, :n] = flat.reshape(-1, n)
@@ -206,12 +216,12 @@ class Gru:
         g_word = np.zeros_like(self.word)
         order, classes = self._by_class(klass)
         rows, place, within = rows[order], own[order] % self.side, np.empty((len(order), self.hidden), np.float32)
+        z, d, total = self._words(rows, classes)
+        d *= (scale / total)[:, None]
+        d[np.arange(len(d)), place] -= scale
         for k, at in classes:
-            _, d, total = self._words(rows[at], k)
-            d *= (scale / total)[:, None]
-            d[np.arange(len(d)), place[at]] -= scale
-            np.matmul(rows[at].T, d, out=g_word[k])
-            np.matmul(d, self.word[k, :-1].T, out=within[at])
+            np.matmul(rows[at].T, d[at], out=g_word[k])
+            np.matmul(d[at], self.word[k, :-1].T, out=within[at])
         back[order] += within
         g_out = np.zeros((hs.shape[0] * hs.shape[1], self.hidden), np.float32)
         g_out[some] = back
@@ -244,11 +254,10 @@ class Gru:
         words = self.embed[ids]
         g_into = np.stack([words.T @ x for x in into_flat])
         g_words = sum(x @ w.T for x, w in zip(into_flat, self.into))
-        order = _order(ids)
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g_embed = np.zeros_like(self.embed)
-        g_embed[ids[order][first]] = np.add.reduceat(g_words[order], first, axis=0)
-        return [g_embed, g_into, np.stack([x.sum(0) for x in into_flat]), g_state, g_own_n.sum((0, 1)), g_klass, g_word], last
+        width, ones = self.embed.shape[1], np.ones(len(ids), np.float32)
+        cells = (ids[:, None] * np.int64(width) + np.arange(width)).ravel()
+        g_embed = np.bincount(cells, g_words.ravel(), self.embed.size).astype(np.float32).reshape(self.embed.shape)
+        return [g_embed, g_into, np.stack([ones @ x for x in into_flat]), g_state, ones @ g_own_n.reshape(-1, self.hidden), g_klass, g_word], last
 
     def train(self, docs: list[np.ndarray], optimiser: Adam, width: int = 256, window: int = 24, segment: int = 1024) -> int:
         """One pass by truncated backpropagation; the state is carried over windows, gradients are not. Returns the number of tokens.

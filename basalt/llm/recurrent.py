@@ -3,42 +3,54 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import cut, held, in_fold, parts, share
 from basalt.llm.gru import Adam, Gru
+from basalt.llm.words import split_words
 
 LN10 = math.log(10)
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space, with A-Z in lower case."""
-    return (text or b"").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words between ASCII white space, with A-Z in lower case: distinct ones, the number among them of each word in order, and how many each text has."""
+    words, places, counts = split_words(pc.ascii_lower(pc.fill_null(texts, b"").cast(pa.string(), safe=False)))
+    empty = pc.index(words, pa.scalar(b"", words.type)).as_py()
+    if empty >= 0:
+        there, of = places != empty, np.repeat(np.arange(len(counts)), counts)
+        places, counts = places[there], np.bincount(of[there], minlength=len(counts))
+        places, words = places - (places > empty), pa.concat_arrays([words[:empty], words[empty + 1 :]])
+    return words, places, counts
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word (binary) and n over all rows' texts: each task counts its own first."""
+def word_counts(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """word (binary) and n over all rows' texts: each task adds up its own first, ``most`` words at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("recurrent",), object)  # nothing to keep, but what other operators left goes
-        counts: Counter = Counter()
-        for batch in parts(batches, 0, 256):
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
-            if len(counts) > 1_000_000:
-                yield out(counts)
-                counts.clear()
-        yield out(counts)
-
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        tables, size = [], 0
+        for batch in _parts(batches, 0):
+            words, places, _ = words_of(batch.column(0))
+            tables.append(pa.table({"word": words, "n": np.bincount(places, minlength=len(words))}))
+            size += len(words)
+            if size > 2 * most:
+                tables = [added_up(tables)]
+                size = len(tables[0])
+                if size > most:
+                    yield from tables[0].to_batches()
+                    tables, size = [], 0
+        if tables:
+            yield from added_up(tables).to_batches()
+
+    def added_up(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     return rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -52,21 +64,34 @@ class Coder:
         self.head = len(head)
         self.logs = np.log10(np.array([frequent[w] for w in self.rows] or [0], float) + 1)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __call__(self, words: pa.Array) -> np.ndarray:
         """A row per word: below ``head`` those of the model, -1 for words that are not sent."""
-        return np.fromiter(map(self.rows.get, words, repeat(-1)), np.int32, len(words))
+        return np.fromiter(map(self.rows.get, words.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int32, len(words))
 
-    def ids(self, rows: np.ndarray, model: Gru) -> np.ndarray:
-        """For the model: any other word is one, and the end follows."""
-        return np.append(np.where((rows >= 0) & (rows < self.head), rows, np.int32(model.rest)), np.int32(model.end))
+    def docs(self, rows: np.ndarray, counts: np.ndarray, model: Gru) -> list[np.ndarray]:
+        """For the model, by document: any other word is one, and the end follows."""
+        ids = np.where((rows >= 0) & (rows < self.head), rows, np.int32(model.rest))
+        ids, ends = np.insert(ids, np.cumsum(counts), np.int32(model.end)), np.cumsum(counts + 1).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
-    """Rows one by one, the text's words in place of the text."""
-    for batch in parts(batches, column, 256):
-        columns = [c.to_pylist() for c in batch.columns]
-        columns[column] = map(words_of, columns[column])
-        yield from zip(*columns)
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    return parts(batches, column, 1024, 1 << 21)
+
+
+def _docs(batches: Iterator[pa.RecordBatch], coder: Coder, model: Gru) -> Iterator[np.ndarray]:
+    """The model's ids of the texts in the first column, one by one."""
+    for batch in _parts(batches, 0):
+        words, places, counts = words_of(batch.column(0))
+        yield from coder.docs(coder(words)[places], counts, model)
+
+
+def _sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values, so many of them each; reduceat adds in pairs, for less rounding than one by one."""
+    out, some = np.zeros(len(counts)), counts > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some])
+    return out
 
 
 def train(
@@ -94,9 +119,9 @@ def train(
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, step, docs, n = Gru(sent.value.head, hidden=hidden), Adam(rate), [], 0
-        for (words,) in _texts(batches, 0):
+        for doc in _docs(batches, sent.value, own):
             if n < sample_tokens:
-                docs.append(sent.value.ids(sent.value(words), own)[: sample_tokens - n])
+                docs.append(doc[: sample_tokens - n])
                 n += len(docs[-1])
         for _ in range(epochs):
             own.train(docs, step, width=128)
@@ -110,8 +135,8 @@ def train(
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, coder = begun.value
         own, step, n, docs, waiting = Gru(coder.head, hidden=hidden).with_weights(weights.copy()), Adam(shard_rate), 0, [], 0
-        for (words,) in _texts(batches, 0):
-            docs.append(coder.ids(coder(words), own))
+        for doc in _docs(batches, coder, own):
+            docs.append(doc)
             waiting += len(docs[-1])
             if waiting >= tokens:
                 n += own.train(docs, step)
@@ -187,29 +212,33 @@ def lm_scores(
         coder, weights = shared.value
         model = Gru(coder.head, hidden=hidden).with_weights(weights)
         out, docs, waiting = [], [], 0
-        for row_id, own_id, held_out, words in _texts(batches, 3):
-            at = coder(words)
-            docs.append(coder.ids(at, model))
-            waiting += len(docs[-1])
-            logs, far = coder.logs[at[at >= 0]], at >= coder.head
-            rare = list(Counter(w for w, i in zip(words, at.tolist()) if i < 0).items()) if len(logs) < len(at) else []
-            out.append((row_id, own_id, held_out, len(at) + 1, len(logs), float(logs.sum()), float(coder.logs[at[far]].sum()), int(far.sum()) + len(at) - len(logs), rare))
+        for batch in _parts(batches, 3):
+            words, places, counts = words_of(batch.column(3))
+            at, of, size = coder(words)[places], np.repeat(np.arange(len(counts)), counts), len(counts)
+            own = coder.docs(at, counts, model)
+            docs += own
+            waiting += len(at) + size
+            sent, far = at >= 0, at >= coder.head
+            seen, sum_log = np.bincount(of[sent], minlength=size), _sums_of(np.where(sent, coder.logs[at], 0), counts)
+            far_log, outside = _sums_of(np.where(far, coder.logs[at], 0), counts), np.bincount(of[far], minlength=size) + counts - seen
+            pairs, k = np.unique(of[~sent] * np.int64(max(1, len(words))) + places[~sent], return_counts=True)
+            of_pair, word = np.divmod(pairs, max(1, len(words)))
+            ends = np.cumsum(np.bincount(of_pair, minlength=size))
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(k, pa.int64())], names=["word", "k"]))
+            columns = [*batch.columns[:3], *map(pa.array, (counts + 1, seen, sum_log, far_log, outside)), rare]
+            out.append(pa.record_batch(columns, names=["row_id", "doc_id", "held_out", "n_tokens", "seen", "sum_log", "model_log", "outside", "rare"]))
             if waiting >= tokens:
-                yield scored(out, model.log_probabilities(docs))
+                yield from scored(out, model.log_probabilities(docs))
                 out, docs, waiting = [], [], 0
         if out:
-            yield scored(out, model.log_probabilities(docs))
-
-    def scored(out: list[tuple], logs: list[float]) -> pa.RecordBatch:
-        row_id, own_id, held_out, n_tokens, seen, sum_log, far_log, outside, rare = zip(*out)
-        flat = [x for r in rare for x in r]
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()),
-            pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int64())], names=["word", "k"]),
-        )
-        columns = [pa.array(x, k) for x, k in ((row_id, pa.int64()), (own_id, pa.int64()), (held_out, pa.bool_()), (n_tokens, pa.int64()), (seen, pa.int64()), (sum_log, pa.float64()))]
-        columns += [pa.array([x / LN10 + y for x, y in zip(logs, far_log)], pa.float64()), pa.array(outside, pa.int64()), lists]
-        return pa.record_batch(columns, names=["row_id", "doc_id", "held_out", "n_tokens", "seen", "sum_log", "model_log", "outside", "rare"])
+            yield from scored(out, model.log_probabilities(docs))
+
+    def scored(out: list[pa.RecordBatch], logs: list[float]) -> Iterator[pa.RecordBatch]:
+        """The batches, with the model's logarithms added to those of the words that it doesn't know."""
+        logs, at = np.array(logs) / LN10, 0
+        for batch in out:
+            yield batch.set_column(6, "model_log", pa.array(batch.column(6).to_numpy() + logs[at : at + len(batch)]))
+            at += len(batch)
 
     numbered = rows.withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "doc_id", "held_out", "text")
     numbered = numbered.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -123,15 +123,14 @@ class Numbers(defaultdict):
     full = Numbered.full
 
 
-def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words between ASCII white space, the number among them of each word in order, and how many words each text has.
 
     White space at either end of a text, or no text, counts as an empty word.
     """
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-    return words, coded.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
 
 
 def _units(text: str) -> tuple[list[str], np.ndarray]:
@@ -216,7 +215,7 @@ class WordEncoder:
             return np.concatenate([np.zeros(0, np.int32), *encoded]), np.array([len(x) for x in encoded], np.int64)
         self.words.make_room()
         words, places, counts = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
-        rows, new = self.words.rows(words)
+        rows, new = self.words.rows(words.to_numpy(zero_copy_only=False).tolist())
         self._learn(new)
         ids, lens = self.words.ids.take(rows[places])
         ends = np.concatenate([[0], np.cumsum(lens)])

@@ -531,6 +531,21 @@ def test_lanes_and_windows_do_not_change_scores():
     assert model.log_probabilities(docs, 3, 64) == pytest.approx(alone, rel=1e-4)
 
 
+def test_lm_words_are_looked_up_once_a_batch():
+    """The words are those of bytes.split(), with A-Z in lower case; each distinct one is asked for once."""
+    texts = [b" The\x0bCAT\x1cx\x0c\x85 \xc2\xa0\xc3\x89 \r\n", None, b"", b" \t", b"the cat the", b"\xff\xfe THE", b"z" * 5000]
+    for own in (texts, texts[1:4], [b"a b a"], []):
+        distinct, places, counts = recurrent.words_of(pa.array(own, pa.binary()))
+        want = [(t or b"").lower().split() for t in own]
+        assert [distinct[i].as_py() for i in places.tolist()] == [w for ws in want for w in ws] and counts.tolist() == [len(ws) for ws in want]
+        assert sorted(distinct.to_pylist()) == sorted({w for ws in want for w in ws})
+    words_, places, counts = recurrent.words_of(pa.array([b"the cat the", None, b"dog"]))
+    coder, model = recurrent.Coder({b"the": 5, b"dog": 2}, [b"the"]), gru.Gru(1)
+    rows = coder(words_)
+    assert rows.tolist() == [0, -1, 1]
+    assert [d.tolist() for d in coder.docs(rows[places], counts, model)] == [[0, model.rest, 0, model.end], [model.end], [model.rest, model.end]]
+
+
 def test_lm_scores_on_odd_rows(spark):
     rows = frame(odd_rows(spark))
     held = [d == d and zlib.crc32(str(int(d)).encode()) % 7 == 2 for d in rows.doc_id]
