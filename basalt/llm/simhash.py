@@ -89,7 +89,8 @@ def linked(distinct: DataFrame, most: int = 3) -> DataFrame:
     homes = points.selectExpr("fp as b", "c.half as home_half", f"{segment_counts('c.x')} as home")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
     met = (F.col("cell") == F.col("home")) & (F.col("half") == F.col("home_half")) & (F.col("a") < F.col("b"))
-    return visits.join(homes, met & close).select("a", "b").distinct()
+    # Sorted and merged: Spark takes what explode makes for as small as what it reads, and would send the homes through the driver.
+    return visits.join(homes.hint("merge"), met & close).select("a", "b").distinct()
 
 
 def near_groups(

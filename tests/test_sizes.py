@@ -127,3 +127,13 @@ def test_what_is_around_hits_is_read_from_one_stored_graph(spark, sf_dir):
     from basalt.plans import wider
 
     assert "lineitem" not in str(wider.t06_around_vector_hits(spark, sf_dir).inputFiles())
+
+
+def test_links_of_fingerprints_are_not_sent_through_the_driver(spark):
+    from basalt.llm.simhash import linked
+
+    fps = spark.createDataFrame([(x,) for x in range(64)], "fp long")
+    found = linked(fps)
+    assert len(found.collect()) == sum(bin(a ^ b).count("1") <= 3 for a in range(64) for b in range(a + 1, 64))
+    plan = found._jdf.queryExecution().executedPlan().toString()  # as it was run, after what Spark chose on the way
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
