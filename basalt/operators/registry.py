@@ -60,9 +60,10 @@ def new_names(requests: DataFrame, taken: DataFrame, first: int = 100) -> DataFr
     chunks = chunks.repartition("role", "chunk").select("role", F.sequence(start, F.least(start + CHUNK - 1, "last")).alias("numbers"))
     tries = chunks.select("role", F.explode("numbers").alias("number"))
     tries = tries.withColumn("name", F.concat(F.lit("@"), "role", F.col("number").cast("string")))
-    free = tries.join(taken.select("name"), "name", "left_anti")
+    # Sorted and merged: a caller's list may be made by explode, which Spark takes for as small as what it reads, and so are the numbers.
+    free = tries.join(taken.select("name").hint("merge"), "name", "left_anti")
     free = placed_within(free, ["role"], "number", name="i")
-    return asked.join(free.select("role", "i", "name"), ["role", "i"]).drop("i")
+    return asked.join(free.select("role", "i", "name").hint("merge"), ["role", "i"]).drop("i")
 
 
 def described(functions: DataFrame, extra: DataFrame) -> DataFrame:

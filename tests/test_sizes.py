@@ -137,3 +137,17 @@ def test_links_of_fingerprints_are_not_sent_through_the_driver(spark):
     assert len(found.collect()) == sum(bin(a ^ b).count("1") <= 3 for a in range(64) for b in range(a + 1, 64))
     plan = found._jdf.queryExecution().executedPlan().toString()  # as it was run, after what Spark chose on the way
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
+
+
+def test_taken_names_are_not_sent_through_the_driver(spark, monkeypatch):
+    from basalt.functions import numbering
+    from basalt.operators import registry
+
+    plans, cut = [], numbering.cut
+    monkeypatch.setattr(numbering, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    asked = spark.range(30).selectExpr("'r' as role", "id as ord")
+    taken = spark.range(0, 60, 2).selectExpr("id", "explode(sequence(0, 24)) as r").selectExpr("if(r = 0, 'r', 'r' || r) as role", "'@' || if(r = 0, 'r', 'r' || r) || (100 + id) as name")
+    names = registry.new_names(asked, taken)
+    assert {r["ord"]: r["name"] for r in names.collect()} == {i: f"@r{101 + 2 * i}" for i in range(30)}
+    assert [("SortMergeJoin [name" in p, "BroadcastHashJoin [name" in p) for p in plans if "LeftAnti" in p] == [(True, False)]
+    assert "SortMergeJoin [role" in names._jdf.queryExecution().executedPlan().toString()
