@@ -151,3 +151,17 @@ def test_taken_names_are_not_sent_through_the_driver(spark, monkeypatch):
     assert {r["ord"]: r["name"] for r in names.collect()} == {i: f"@r{101 + 2 * i}" for i in range(30)}
     assert [("SortMergeJoin [name" in p, "BroadcastHashJoin [name" in p) for p in plans if "LeftAnti" in p] == [(True, False)]
     assert "SortMergeJoin [role" in names._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_without_a_line_are_not_patched(spark, tmp_path):
+    from oracle import same
+
+    import duckdb
+
+    from basalt.plans import catalog
+
+    rows = [(i, x, "en", "web", len(x or "")) for i, x in enumerate(["", None, "a\nb", "\n", "\n\n", "a\n\n\n", "%s 100%d", "@@ -1 +1 @@"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same(catalog.m17_patch(spark, str(tmp_path)), con, catalog.oracle_sql()["m17_patch"])
