@@ -165,3 +165,22 @@ def test_files_without_a_line_are_not_patched(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     same(catalog.m17_patch(spark, str(tmp_path)), con, catalog.oracle_sql()["m17_patch"])
+
+
+def test_more_walks_than_the_limit_of_a_recursion(spark, sf_dir):
+    from oracle import same
+
+    import duckdb
+
+    from basalt.plans import catalog
+
+    con = duckdb.connect()
+    for table in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
+        con.execute(f"create view {table} as select * from read_parquet('{sf_dir}/{table}.parquet')")
+    key, before = "spark.sql.cteRecursionRowLimit", spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set(key, 5)
+    try:
+        same(catalog.queries()["d01_reached"](spark, sf_dir), con, catalog.oracle_sql()["d01_reached"])
+        assert spark.conf.get(key) == "5"
+    finally:
+        spark.conf.set(key, before)
